@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, sharding
+from . import mixing, neardup, sharding
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,9 +19,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_documents(spark, sf_dir))
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_documents(spark, sf_dir), percent=85)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op8_sharding": op8_sharding,
+    "op9_neardup": op9_neardup,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
