@@ -34,14 +34,14 @@ def components(edges: DataFrame, tables: WorkTables) -> DataFrame:
             if done:
                 break
         ends = points.select("node", "root")
-        a = ends.withColumnsRenamed({"node": "a", "root": "ra"})
-        b = ends.withColumnsRenamed({"node": "b", "root": "rb"})
+        a = ends.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+        b = ends.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         cut = rest.join(a, "a").join(b, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         left = tables.save(cut, "edges")
         if labels is None:
             labels = tables.save(ends, "labels")
         else:
-            onward = ends.withColumnsRenamed({"node": "root", "root": "top"})
+            onward = ends.select(F.col("node").alias("root"), F.col("root").alias("top"))
             labels = tables.save(labels.join(onward, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "labels")
         tables.drop(rest, points)
         rest = left
