@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, sharding
+from . import mixing, neardup, packing, quality, sharding, tokenfile
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenfile.token_digest(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_documents(spark, sf_dir))
 
@@ -36,6 +44,8 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
+    "op3_quality": op3_quality,
+    "op6_tokenfile": op6_tokenfile,
     "op8_sharding": op8_sharding,
     "op9_neardup": op9_neardup,
 }
