@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
@@ -14,6 +16,9 @@ from pyspark.sql import functions as F
 #: A word is a run of characters other than U+0020 and U+0009..U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch.
+BATCH = 1000
+
 
 def work_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which every executor reads.
@@ -29,6 +34,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}"
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH rows at most in this session: rows hold whole documents."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH:
+        spark.conf.set(name, str(BATCH))
+
+
 class WorkTables:
     """Parquet tables that cut lineage; each is written once and read back.
 
@@ -37,6 +49,7 @@ class WorkTables:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
@@ -71,7 +84,7 @@ def split_words(raw: bytes | None) -> list[bytes]:
     return raw.split() if raw else []
 
 
-def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of Arrow batches of about `limit` text bytes, one row at least, so that memory per step is bounded."""
     for batch in batches:
         if not batch.num_rows:
@@ -85,10 +98,26 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             yield batch.slice(low, high - low)
 
 
+def per_worker(name: str, make):
+    """What make() returned when this Python worker first asked for `name`.
+
+    Functions reach workers by value, with globals of their own for each task;
+    a module that lives in the worker keeps caches between tasks.
+    """
+    kept = sys.modules.setdefault("strideframe_worker", types.ModuleType("strideframe_worker")).__dict__
+    if name not in kept:
+        kept[name] = make()
+    return kept[name]
+
+
+def word_hashes() -> WordHashes:
+    return per_worker("word hashes", WordHashes)
+
+
 class WordHashes(dict):
     """Word to 64-bit hash; a bounded cache in front of xxh3."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 

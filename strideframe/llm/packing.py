@@ -127,18 +127,16 @@ def _cut_documents(path: str, end: int, capacity: int, grid: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = tokens.tokenizer(path), TaskContext.get().partitionId(), {}
-        last = np.asarray([end], dtype="<u4").tobytes()
         for batch in pieces(batches):
-            ids = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
-            texts = [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            rows = []
-            for doc, raw in zip(ids, encoder.encode(texts), strict=True):
-                raw += last
-                n = len(raw) // 4
+            docs = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+            ids, counts = encoder.encode(batch.column(batch.schema.get_field_index("text")), end)
+            raw, at, rows = memoryview(ids).cast("B"), 0, []
+            for doc, n in zip(docs, counts.tolist(), strict=True):
                 for start, length in cuts(n, capacity, grid):
                     local = seen.get(length, 0)
                     seen[length] = local + 1
-                    rows.append((doc, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), n, part, local))
+                    rows.append((doc, start, length, zlib.crc32(raw[4 * (at + start) : 4 * (at + start + length)]), n, part, local))
+                at += n
             columns = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if x == "part" else pa.int64()) for c, x in zip(columns, names, strict=True)], names=names)
 

@@ -1,8 +1,10 @@
 """Token ids by the tokenizers library, with a bounded cache of text pieces.
 
 A text is cut where its tokenizer cannot look across, so that the ids of the
-text are the ids of its pieces in order; each distinct piece is encoded once
-per cache filling. The vocabulary file's path is a parameter.
+text are the ids of its pieces in order. A batch is cut and its distinct
+pieces are found by Arrow; each distinct piece is encoded by the library once
+per cache filling, and ids are gathered by numpy. Texts that cannot be cut
+safely are encoded whole. The vocabulary file's path is a parameter.
 """
 
 from __future__ import annotations
@@ -12,18 +14,29 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: A space with no white space on either side; byte-level pre-tokenizers start a token there whatever surrounds it.
-_BREAK = re.compile(r"(?<=\S) (?=\S)")
-_LOOSE = re.compile(r" \s|\s ")
-#: Pieces that are encoded in one text.
-JOINED = 128
+from .common import per_worker
+
+_WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+#: White space next to a space: such a space is no safe place to cut.
+_LOOSE = f" {_WHITE}|{_WHITE} "
+_STOPS = (",", ".")
+#: Words that are encoded in one text.
+JOINED = 64
 
 
 class PieceTokenizer:
-    """encode(texts) gives the little-endian unsigned 32-bit ids of each text, as bytes."""
+    """Encodes batches of texts; the rule says where texts may be cut.
+
+    "lone": before a space without white space beside it (a byte-level
+    pre-tokenizer starts a token there whatever surrounds it). "dropped": at
+    spaces and line ends (they are dropped, and the normaliser looks at single
+    characters). "none": nowhere.
+    """
 
-    def __init__(self, path: str, limit: int = 1_500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -32,13 +45,15 @@ class PieceTokenizer:
             spec = json.load(file)
         self.special = [x["content"] for x in spec["added_tokens"]]
         self.rule = self._rule(spec)
-        self.limit = limit
-        self.head: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
+        self.limit, self.cache = limit, {}
+        # a word of letters is one run: its first token carries the space before it, or its last token a word's end
+        self.prefix, self.gap, mark = (" ", "", "\u0120") if self.rule == "lone" else ("", " ", "</w>")
+        self.marked = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.marked[[k for x, k in self.tokenizer.get_vocab().items() if (x.startswith(mark) if self.rule == "lone" else x.endswith(mark))]] = True
+        self.unsafe = "|".join([re.escape(x) for x in self.special] + [_LOOSE] * (self.rule == "lone"))
 
     @staticmethod
     def _rule(spec: dict) -> str:
-        """Where texts may be cut: before a lone space, at white space that is dropped, or nowhere."""
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         if pre.get("type") == "ByteLevel" and pre.get("use_regex") and not pre.get("add_prefix_space") and norm is None:
             return "lone"
@@ -48,58 +63,78 @@ class PieceTokenizer:
             return "dropped"
         return "none"
 
-    def _encode(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
-
-    def _encode_joined(self, pieces: list[str]) -> list[bytes]:
-        """Many short pieces in one text: a special token between them splits a text before any other step."""
-        if not self.special:
-            return self._encode(pieces)
-        mark, out = self.special[-1], []
-        number = self.tokenizer.token_to_id(mark)
-        joined = [mark.join(pieces[k : k + JOINED]) for k in range(0, len(pieces), JOINED)]
-        for raw in self._encode(joined):
-            low = 0
-            for high in (np.flatnonzero(np.frombuffer(raw, "<u4") == number) * 4).tolist():
-                out.append(raw[low:high])
-                low = high + 4
-            out.append(raw[low:])
+    def _one(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _words(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of words of letters, many in one text; a text with an odd number of marks is encoded word by word."""
+        out: dict[str, bytes] = {}
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        texts = [self.gap.join([self.prefix + x for x in group]) for group in groups]
+        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, dtype="<u4")
+            at = np.flatnonzero(self.marked[ids])
+            if len(at) != len(group):
+                out.update((x, self._one(self.prefix + x)) for x in group)
+                continue
+            cuts = [*(4 * at).tolist(), 4 * len(ids)] if self.rule == "lone" else [0, *(4 * at + 4).tolist()]
+            raw = ids.tobytes()
+            out.update((x, raw[low:high]) for x, low, high in zip(group, cuts[:-1], cuts[1:], strict=True))
         return out
 
-    def _learn(self, cache: dict[str, bytes], pieces: set[str], prefix: str) -> None:
+    def _learn(self, pieces: list[str]) -> None:
+        """Caches the pieces. A comma or full stop after a letter is a run of its own, so the word before it is encoded once."""
+        cache = self.cache
         new = [x for x in pieces if x not in cache]
         if len(cache) + len(new) > self.limit:
             cache.clear()
-            new = list(pieces)
-        cache.update(zip(new, self._encode_joined([prefix + x for x in new]), strict=True))
-
-    def _cut(self, text: str) -> list[str] | None:
-        if self.rule == "none" or any(x in text for x in self.special):
-            return None
+            new = pieces
+        stopped = [x for x in new if x[-1:] in _STOPS and x[:-1].isalpha()]
+        words = {x[:-1] for x in stopped}
+        words.update(x for x in new if x.isalpha())
+        cache.update(self._words([x for x in words if x not in cache]))
+        stops = {x: self._one(x) for x in _STOPS}
+        cache.update((x, cache[x[:-1]] + stops[x[-1]]) for x in stopped)
+        cache.update((x, self._one(self.prefix + x)) for x in new if x not in cache)
+
+    def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts (null: none), each followed by `end`, and how many each has."""
+        texts = texts.fill_null("")
+        n, whole = len(texts), np.zeros(len(texts), bool)
+        if self.rule == "none":
+            whole[:] = True
+        elif self.unsafe:
+            whole = pc.match_substring_regex(texts, self.unsafe).to_numpy(zero_copy_only=False)
+        alone = {int(k): self._one(texts[int(k)].as_py()) for k in np.flatnonzero(whole)}
+        if alone:
+            texts = pc.if_else(pa.array(whole), pa.scalar(""), texts)
         if self.rule == "dropped":
-            return text.replace("\n", " ").split(" ")
-        return _BREAK.split(text) if _LOOSE.search(text) else text.split(" ")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(x) for x in texts]
-        whole = [k for k, x in enumerate(cut) if x is None]
-        out = dict(zip(whole, self._encode([texts[k] for k in whole]), strict=True)) if whole else {}
-        if self.rule == "dropped":
-            self._learn(self.rest, set().union(*[x for x in cut if x]), "")
-            rest = self.rest
-            return [out[k] if x is None else b"".join(map(rest.__getitem__, x)) for k, x in enumerate(cut)]
-        self._learn(self.head, {x[0] for x in cut if x}, "")
-        self._learn(self.rest, set().union(*[x[1:] for x in cut if x]), " ")
-        head, rest = self.head, self.rest
-        return [out[k] if x is None else head[x[0]] + b"".join(map(rest.__getitem__, x[1:])) for k, x in enumerate(cut)]
-
-
-_OPEN: dict[str, PieceTokenizer] = {}
+            texts = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        cut = pc.split_pattern(texts, " ")
+        starts = cut.offsets.to_numpy()[: n + 1] - cut.offsets[0].as_py()
+        words = cut.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self._learn(distinct)
+        values = list(map(self.cache.__getitem__, distinct))
+        at = words.indices.to_numpy().astype(np.int64)
+        if self.rule == "lone":  # a first piece has no space before it
+            at[starts[:-1]] = len(values) + np.arange(n)
+            values += [self._one(x) if x else b"" for x in cut.flatten().take(pa.array(starts[:-1])).to_pylist()]
+        if alone or end is not None:  # one more entry for each text, after its pieces
+            tail = np.asarray([] if end is None else [end], "<u4").tobytes()
+            at = np.insert(at, starts[1:], len(values) + np.arange(n))
+            starts = starts + np.arange(n + 1)
+            values += [alone.get(k, b"") + tail for k in range(n)]
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        pool = np.frombuffer(b"".join(values), "<u4")
+        first = np.cumsum(sizes) - sizes
+        each = sizes[at]
+        upto = np.cumsum(each)
+        ids = pool[np.repeat(first[at] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
+        ends = np.concatenate([[0], upto])
+        return ids, ends[starts[1:]] - ends[starts[:-1]]
 
 
 def tokenizer(path: str) -> PieceTokenizer:
     """One per Python worker and file."""
-    if path not in _OPEN:
-        _OPEN[path] = PieceTokenizer(path)
-    return _OPEN[path]
+    return per_worker(f"tokenizer {path}", lambda: PieceTokenizer(path))
