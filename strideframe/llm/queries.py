@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup, packing, quality, sharding, tokenfile
+from . import embdup, mixing, neardup, packing, quality, sharding, tokenfile
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,6 +41,10 @@ def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), percent=85)
 
 
+def op10_embdup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdup.embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -48,6 +52,7 @@ QUERIES = {
     "op6_tokenfile": op6_tokenfile,
     "op8_sharding": op8_sharding,
     "op9_neardup": op9_neardup,
+    "op10_embdup": op10_embdup,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
