@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdup, mixing, neardup, packing, quality, sharding, tokenfile
+from . import embdup, linedup, mixing, neardup, packing, quality, sharding, tokenfile
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_digest(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linedup.line_digest(_documents(spark, sf_dir))
+
+
 def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
@@ -49,6 +53,7 @@ QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
+    "op4_linedup": op4_linedup,
     "op6_tokenfile": op6_tokenfile,
     "op8_sharding": op8_sharding,
     "op9_neardup": op9_neardup,
