@@ -11,12 +11,16 @@ Bins are taken in BANDS groups of ROWS; documents that agree in a whole group
 are candidates. Candidates are confirmed on full shingle sets. Documents with
 equal sets are one class from the start, and only classes are compared.
 
-No pairs within a bucket are listed while a cheaper way holds. First every
-class is compared with the smallest class among its buckets; links give
-components; then only buckets that still hold several components go on, where
-members outside a random leader's component are compared with that leader;
-what remains after ROUNDS such rounds is compared exhaustively across
-components. Links inside one component cannot change the result.
+No pairs of a large bucket are listed. First every class is compared with the
+smallest class among its buckets; links give components, and only buckets that
+still hold several components go on. Buckets of up to SMALL members list their
+pairs across components. In larger ones, members outside a random leader's
+component are compared with that leader, ROUNDS times; what is still open is
+compared exhaustively across components, in blocks of two chunks of members
+whose sets meet in one task, which returns links only. A block looks at a pair
+in the first bucket that it shares, and reads the full sets unless the
+sketches differ by more than SIGMAS standard deviations from the threshold.
+Links inside one component cannot change the result.
 """
 
 from __future__ import annotations
@@ -28,15 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WordHashes, WorkTables, mix64, odd_constants, pieces, split_words, windows_hash
+from .common import WordHashes, WorkTables, mix64, odd_constants, pieces, split_words, windows_hash, word_hashes
 from .components import components
 
 SHINGLE = 5
 #: Bins per band and bands: a pair at Jaccard 0.8 is missed with probability (1 - 0.8^6)^40, about 5e-6.
 ROWS, BANDS = 6, 40
 BINS = ROWS * BANDS
-#: Rounds with a random leader before what is left is compared exhaustively.
-ROUNDS = 3
+#: Members of a bucket whose pairs are listed, rounds with a random leader, and members of a chunk of a larger bucket.
+SMALL, ROUNDS, CHUNK = 12, 2, 256
+SIGMAS = 6
 #: Pairs of one leader that one task may hold.
 LEADER_PAIRS = 256
 
@@ -87,8 +92,47 @@ def _sets_of(batch: pa.RecordBatch, hashes: WordHashes) -> list[np.ndarray]:
     return [shingle_set(hashes.array(split_words(t.lower() if t else None))) for t in texts]
 
 
+def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union, for two non-empty sorted sets."""
+    small, large = sorted((len(a), len(b)))
+    if 100 * small < percent * large:
+        return False
+    same = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return 100 * same >= percent * (small + large - same)
+
+
+def block_links(percent: int, band: int, nodes, roots, chunks, tables, sets) -> list[tuple[int, int]]:
+    """Links across components between two chunks (or within one) of a bucket; enough of them to join what is linked."""
+    need = percent / 100
+    least = BINS * (need - SIGMAS * (need * (1 - need) / BINS) ** 0.5)
+    one = chunks == chunks.min()
+    left, right = np.flatnonzero(one), np.flatnonzero(~one) if not one.all() else np.flatnonzero(one)
+    tried = []
+    for k in left:
+        same = tables[k] == tables[right]
+        count = same.sum(axis=1)
+        first = same.reshape(len(right), BANDS, ROWS).all(axis=2).argmax(axis=1)
+        fit = (count >= least) & (first == band) & (roots[k] != roots[right]) & ((nodes[k] < nodes[right]) | (chunks[k] != chunks[right]))
+        tried += [(-int(count[x]), int(k), int(right[x])) for x in np.flatnonzero(fit)]
+    top = {r: r for r in roots.tolist()}
+
+    def find(x):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for _, k, x in sorted(tried):
+        a, b = find(int(roots[k])), find(int(roots[x]))
+        if a != b and alike(np.frombuffer(sets[k], np.uint64), np.frombuffer(sets[x], np.uint64), percent):
+            top[max(a, b)] = min(a, b)
+            out.append((int(nodes[k]), int(nodes[x])))
+    return out
+
+
 def _features(batches):
-    hashes = WordHashes()
+    hashes = word_hashes()
     for batch in pieces(batches):
         sets = _sets_of(batch, hashes)
         keys = band_keys(sketches(sets)).view(np.int64)
@@ -103,10 +147,12 @@ def _features(batches):
 
 
 def _full_sets(batches):
-    hashes = WordHashes()
+    hashes = word_hashes()
     for batch in pieces(batches):
         sets = _sets_of(batch, hashes)
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("doc_id")), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "items"])
+        low = sketches(sets).astype(np.uint32)
+        columns = [batch.column(batch.schema.get_field_index("doc_id")), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([row.tobytes() for row in low], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["node", "items", "sketch"])
 
 
 def _lean(docs: DataFrame) -> DataFrame:
@@ -128,13 +174,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 a = x.as_buffer()
                 if last is None or not a.equals(last):
                     last, mine = a, np.frombuffer(a, np.uint64)
-                other = np.frombuffer(y.as_buffer(), np.uint64)
-                small, large = sorted((len(mine), len(other)))
-                same = 0
-                if 100 * small >= percent * large:
-                    at = np.searchsorted(mine, other)
-                    same = int((mine[np.minimum(at, len(mine) - 1)] == other).sum())
-                hit.append(100 * same >= percent * (small + large - same))
+                hit.append(alike(mine, np.frombuffer(y.as_buffer(), np.uint64), percent))
             kept = pa.array(hit, pa.bool_())
             yield pa.RecordBatch.from_arrays([get("leader"), get("node")], names=["a", "b"]).filter(kept)
 
@@ -145,6 +185,22 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return ready.select("leader", "node", "left", "right").mapInArrow(check, "a long, b long")
 
 
+def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) across components within the buckets of rows (place, band, node, root, members)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        get = lambda name: table.column(name).combine_chunks()
+        values = [get(x).to_numpy() for x in ("node", "root", "chunk")]
+        low = np.stack([np.frombuffer(x.as_buffer(), np.uint32) for x in get("sketch")])
+        found = block_links(percent, get("place")[0].as_py(), *values, low, [x.as_buffer() for x in get("items")])
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
+
+    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    dealt = dealt.select("place", "band", "node", "root", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    return dealt.join(sets, "node").groupBy("band", "place", "low", "high").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -157,36 +213,40 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     rows = tables.save(_lean(docs).mapInArrow(_features, "doc_id long, n_shingles long, high long, low long, bands array<long>"), "features")
     linkable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = tables.save(linkable.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("node", F.explode("bands").alias("band"))
+    buckets = classes.select("node", F.posexplode("bands").alias("place", "band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("top")).where("leader <> top").select("band", "leader")
-    members = tables.save(buckets.join(shared, "band").select("band", "node", "leader"), "members")
+    members = tables.save(buckets.join(shared, "band").select("place", "band", "node", "leader"), "members")
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = _lean(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
-    sets = tables.save(texts.mapInArrow(_full_sets, "node long, items binary"), "sets")
+    sets = tables.save(texts.mapInArrow(_full_sets, "node long, items binary, sketch binary"), "sets")
     sets = sets.dropDuplicates(["node", "items"]) if not rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty() else sets
 
+    items = sets.select("node", "items")
     first = members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
-    links = tables.save(_confirm(first, sets, percent), "links")
-    # rows of one doc_id with unlike texts are one node as well
+    links = tables.save(_confirm(first, items, percent), "links")
     labels = components(links, tables)
+    members = members.drop("leader")
     for step in range(ROUNDS + 1):
-        placed = members.join(labels, "node", "left").select("band", "node", F.coalesce("root", "node").alias("root"))
-        open_bands = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("band")
-        open_rows = tables.save(placed.join(open_bands, "band"), "open")
-        if open_rows.isEmpty():
-            break
+        placed = members.join(labels, "node", "left").select("place", "band", "node", F.coalesce("root", "node").alias("root"))
+        still = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members")).where("r0 <> r1").select("band", "members")
+        opened = tables.save(placed.join(still, "band"), "open")
+        large = opened.where(F.col("members") > SMALL)
         if step < ROUNDS:
-            lead = open_rows.select("band", F.struct(F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("leader"), F.col("root").alias("lead_root")).alias("x"))
-            lead = lead.groupBy("band").agg(F.min("x").alias("x")).select("band", "x.leader", "x.lead_root")
-            pairs = open_rows.join(lead, "band").where("root <> lead_root").select("leader", "node").distinct()
+            h = F.struct(F.xxhash64("node", F.lit(step)).alias("h"), F.col("node").alias("leader"), F.col("root").alias("lead_root"))
+            lead = large.groupBy("band").agg(F.min(h).alias("x")).select("band", "x.leader", "x.lead_root")
+            pairs = large.join(lead, "band").where("root <> lead_root").select("leader", "node")
+            if step == 0:
+                small = opened.where(F.col("members") <= SMALL)
+                other = small.select("band", F.col("node").alias("leader"), F.col("root").alias("lead_root"))
+                pairs = pairs.unionByName(small.join(other, "band").where("root <> lead_root AND leader < node").select("leader", "node"))
+            found = tables.save(_confirm(tables.save(pairs.distinct(), "pairs"), items, percent), "links")
         else:
-            other = open_rows.select("band", F.col("node").alias("leader"), F.col("root").alias("lead_root"))
-            pairs = open_rows.join(other, "band").where("root <> lead_root AND leader < node").select("leader", "node").distinct()
-        found = tables.save(_confirm(tables.save(pairs, "pairs"), sets, percent), "links")
+            found = tables.save(_blocks(large, sets, percent), "links")
         if not found.isEmpty():
             links = tables.save(links.unionByName(found), "links")
             labels = components(links, tables)
+        members = large.select("place", "band", "node")
 
     ids = classes.select("high", "low", "node").join(labels, "node", "left").select("high", "low", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "n_shingles", "high", "low").join(ids, ["high", "low"], "left")
