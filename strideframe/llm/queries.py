@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdup, linedup, mixing, neardup, packing, quality, sharding, tokenfile
+from . import embdup, linedup, lmscore, mixing, neardup, packing, quality, sharding, tokenfile, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,10 +33,18 @@ def op4_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.line_digest(_documents(spark, sf_dir))
 
 
+def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.lm_scores(_documents(spark, sf_dir))
+
+
 def op6_tokenfile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfile.token_digest(_documents(spark, sf_dir), _vocabulary("byte_bpe_50k.json"))
 
 
+def op7_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.url_digest(spark, sf_dir)
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_digest(_documents(spark, sf_dir))
 
@@ -54,11 +62,14 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality": op3_quality,
     "op4_linedup": op4_linedup,
+    "op5_lmscore": op5_lmscore,
     "op6_tokenfile": op6_tokenfile,
+    "op7_urlfilter": op7_urlfilter,
     "op8_sharding": op8_sharding,
     "op9_neardup": op9_neardup,
     "op10_embdup": op10_embdup,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
+    "op7_urlfilter": urlfilter.SQL,
 }
