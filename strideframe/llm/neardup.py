@@ -260,7 +260,7 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     found = near_duplicates(docs, percent)
     kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
     named = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    rows = named.join(kept, "__id", "left_semi")
+    rows = named.join(kept.hint("shuffle_hash"), "__id", "left_semi")
     once = rows.withColumn("__n", F.row_number().over(W.partitionBy("__id").orderBy(F.xxhash64("text"), F.lit(0)))).where("__n = 1")
     loose = named.where("__id IS NULL")
     return once.drop("__n", "__id").unionByName(loose.drop("__id"))
