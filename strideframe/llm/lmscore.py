@@ -31,8 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import WorkTables, per_worker, pieces
 
-HEAD, VOCABULARY, CLASSES, HIDDEN = 1 << 18, 2047, 40, 16
+HEAD, VOCABULARY, CLASSES, HIDDEN = 1 << 18, 2047, 40, 12
 LANES, STEPS, RATE, CLIP = 256, 16, 0.05, 1.0
+#: Scores are log masses and bounded states' products; none comes near this bound, which keeps exp finite.
+TOP = np.float32(60)
 FOLDS, HELD = 7, 2
 #: Distinct words that a task counts before it passes them on, and tables averaged at a time.
 FLUSH, FAN = 400_000, 32
@@ -72,21 +74,29 @@ class Network:
         ]
         self.squares = [np.full(p.shape, 1e-2, np.float32) for p in self.params]
 
-    def run(self, ids: np.ndarray, starts: np.ndarray, state: np.ndarray):
+    def run(self, ids: np.ndarray, starts: np.ndarray, state: np.ndarray, keep: bool = False):
         """States before each token (steps, lanes, hidden), the last state, and what backpropagation needs."""
         h, kept = HIDDEN, []
-        table, across = self.params[0], self.params[1]
+        across, inputs = self.params[1], self.params[0][ids]
         out = np.empty((*ids.shape, h), np.float32)
-        for t in range(len(ids)):
-            if starts[t].any():
+        for t, fresh in enumerate(starts.any(axis=1).tolist()):
+            if fresh:
                 state = np.where(starts[t][:, None], np.float32(0), state)
             out[t] = state
-            x, y = table[ids[t]], state @ across
-            gates = 1 / (1 + np.exp(-(x[:, : 2 * h] + y[:, : 2 * h])))
-            z, r = gates[:, :h], gates[:, h:]
-            c = np.tanh(x[:, 2 * h :] + r * y[:, 2 * h :])
-            kept.append((gates, c, y[:, 2 * h :]))
-            state = c + z * (state - c)
+            x, y = inputs[t], state @ across
+            gates = x[:, : 2 * h] + y[:, : 2 * h]
+            np.negative(gates, out=gates)
+            np.exp(gates, out=gates)
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            c = gates[:, h:] * y[:, 2 * h :]
+            c += x[:, 2 * h :]
+            np.tanh(c, out=c)
+            if keep:
+                kept.append((gates, c, y[:, 2 * h :]))
+            state = state - c
+            state *= gates[:, :h]
+            state += c
         return out, state, kept
 
     def log_probs(self, states: np.ndarray, ids: np.ndarray, train: bool = False):
@@ -94,10 +104,9 @@ class Network:
         _, _, wc, bc, ww, bw = self.params
         cls = self.cls[ids]
         rows = np.arange(len(ids))
-        scores = states @ wc + bc
-        scores -= scores.max(axis=1, keepdims=True)
+        scores = np.minimum(states @ wc + bc, TOP)
         raised = np.exp(scores)
-        total = raised.sum(axis=1)
+        total = raised @ np.ones(raised.shape[1], np.float32)
         logp = scores[rows, cls] - np.log(total)
         if train:
             raised /= total[:, None]
@@ -112,10 +121,9 @@ class Network:
                 continue
             at = order[edges[k] : edges[k + 1]]
             s = states[at]
-            scores = s @ ww[low:high].T + bw[low:high]
-            scores -= scores.max(axis=1, keepdims=True)
+            scores = np.minimum(s @ ww[low:high].T + bw[low:high], TOP)
             raised = np.exp(scores)
-            total = raised.sum(axis=1)
+            total = raised @ np.ones(high - low, np.float32)
             pick = np.arange(len(at)), ids[at] - low
             logp[at] += scores[pick] - np.log(total)
             if train:
@@ -130,7 +138,7 @@ class Network:
         """One step over a window (steps, lanes); returns the state to carry on."""
         h = HIDDEN
         across = self.params[1]
-        states, state, kept = self.run(ids, starts, state)
+        states, state, kept = self.run(ids, starts, state, keep=True)
         _, grads, back = self.log_probs(states.reshape(-1, h), ids.reshape(-1), train=True)
         back = back.reshape(states.shape)
         dx = np.empty((*ids.shape, 3 * h), np.float32)
@@ -233,13 +241,14 @@ def _head(key: str, shared) -> dict[bytes, int]:
 
 def _train(key: str, shared, symbols: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, plan = _head(key, shared), pickle.loads(shared.value)
+        plan = pickle.loads(shared.value)
+        index = {w: k for k, w in enumerate(plan["words"][: symbols - 1])}
         network, lanes, state, seen = Network(plan["symbols"]), Lanes(), np.zeros((LANES, HIDDEN), np.float32), 0
         for batch in pieces(batches):
             for doc, raw in zip(_column(batch, "doc_id"), _column(batch, "text"), strict=True):
                 if fold(doc) != HELD:
                     words = tokens_of(raw)
-                    lanes.add(np.minimum(np.fromiter(map(index.get, words, repeat(symbols - 1)), np.int64, len(words)), symbols - 1))
+                    lanes.add(np.fromiter(map(index.get, words, repeat(symbols - 1)), np.int64, len(words)))
             for at, ids, starts, _ in lanes.windows():
                 state[at] = network.learn(ids, starts, state[at])
                 seen += ids.size
