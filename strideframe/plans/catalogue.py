@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import relational, sequences, skeletons
+
 FLAGSHIP = "q10_steady_segments"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = relational.QUERIES | sequences.QUERIES | skeletons.QUERIES
+ORACLE_SQL = relational.ORACLE_SQL | sequences.ORACLE_SQL | skeletons.ORACLE_SQL
