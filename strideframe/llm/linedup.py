@@ -86,7 +86,7 @@ def _general(docs: DataFrame, templates: DataFrame, tables: WorkTables) -> DataF
     tokens = tokens.select("tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"))
     wanted = templates.select(slot(F.col("template"))).distinct()
     tokens = tokens.withColumn("__slot", slot(F.col("template"))).join(F.broadcast(wanted), "__slot", "left_semi").drop("__slot")
-    rows = tokens.join(templates.hint("shuffle_hash"), ["leaf", "template"]).groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.max("documents").alias("n"), F.min("first").alias("first"))
+    rows = tokens.join(templates.hint("merge"), ["leaf", "template"]).groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.max("documents").alias("n"), F.min("first").alias("first"))
     rows = tables.save(rows, "general")
     places = rows.select("leaf", "template", "n", F.posexplode("tokens").alias("at", "token"))
     total = rows.groupBy("leaf").agg(F.sum("n").alias("lines"), F.max(F.size("tokens")).alias("size"))
@@ -112,8 +112,8 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     drops = tables.save(recurring_lines(docs, tables), "drops")
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
     same = keyed["__id"].eqNullSafe(drops["__id"]) & (keyed["__text"] == drops["__text"])
-    # by a shuffle at every size; sorting whole texts is saved
-    joined = keyed.join(drops.hint("shuffle_hash"), same, "left").drop(drops["__id"], drops["__text"])
+    # by a shuffle at every size
+    joined = keyed.join(drops.hint("merge"), same, "left").drop(drops["__id"], drops["__text"])
     lines = F.split(F.col("text").cast("string"), "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
     text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left)
