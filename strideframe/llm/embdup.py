@@ -24,15 +24,13 @@ larger one of smaller number.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WorkTables
+from .common import WorkTables, per_worker
 from .components import components
 
 ROTATIONS, FILTERS, LOAD = 6, 12.0, 0.6
@@ -41,9 +39,12 @@ SMALL, CHUNK = 12, 256
 TRIALS = 400
 
 
-@lru_cache(maxsize=8)
 def code_book(dim: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotation (dim, dim) and both halves' codes (size, half), scaled so that scores add up to inner products."""
+    return per_worker(f"code {dim} {size} {seed}", lambda: _code_book(dim, size, seed))
+
+
+def _code_book(dim: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, dim, size])
     rotation, _ = np.linalg.qr(rng.normal(size=(dim, dim)))
     first = (dim + 1) // 2
@@ -68,7 +69,6 @@ def decode(vectors: np.ndarray, size: int, seed: int, alpha: float) -> list[np.n
     return out
 
 
-@lru_cache(maxsize=8)
 def plan_code(dim: int, count: int) -> tuple[int, float]:
     """B and ALPHA for `count` vectors of `dim` dimensions."""
     size = int(max(16, np.ceil(np.sqrt(count * FILTERS / LOAD))))
