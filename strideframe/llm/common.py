@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch.
-BATCH = 2000
+BATCH = 4000
 
 
 def work_dir(spark: SparkSession) -> str:

@@ -127,7 +127,7 @@ def _cut_documents(path: str, end: int, capacity: int, grid: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seen = tokens.tokenizer(path), TaskContext.get().partitionId(), {}
-        for batch in pieces(batches):
+        for batch in pieces(batches, limit=16 << 20):
             docs = batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
             ids, counts = encoder.encode(batch.column(batch.schema.get_field_index("text")), end)
             raw, at, rows = memoryview(ids).cast("B"), 0, []

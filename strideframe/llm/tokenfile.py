@@ -38,9 +38,10 @@ MAGIC = b"PFR1"
 END, FILE_IDS = 2, 1 << 20
 
 
-def _widths(values: np.ndarray) -> np.ndarray:
-    """Bits that each unsigned value needs."""
-    return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[k], starts[k] + 1, ... sizes[k] of them, for every k in turn."""
+    upto = np.cumsum(sizes)
+    return np.repeat(starts - (upto - sizes), sizes) + np.arange(upto[-1] if len(upto) else 0)
 
 
 def encode_blocks(ids: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, bytes]:
@@ -52,52 +53,48 @@ def encode_blocks(ids: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray,
     table = np.concatenate([ids, np.full(count * BLOCK - n, ids[-1], ids.dtype)]).astype("<u4").reshape(count, BLOCK)
     low = table.min(axis=1)
     diff = table - low[:, None]
-    need = _widths(diff)
-    width = np.partition(need, (BLOCK * percent + 99) // 100 - 1, axis=1)[:, (BLOCK * percent + 99) // 100 - 1]
-    over = need > width[:, None]
-    packed: list[bytes] = [b""] * count
-    for w in np.unique(width):
+    rank = (BLOCK * percent + 99) // 100 - 1
+    width = np.frexp(np.sort(diff, axis=1)[:, rank].astype(np.float64))[1].astype(np.int64)
+    # two shifts, as one of 32 bits is not defined
+    high = (diff >> (width // 2).astype(np.uint32)[:, None]) >> (width - width // 2).astype(np.uint32)[:, None]
+    listed_at = np.flatnonzero(high)
+    block, where = listed_at // BLOCK, listed_at % BLOCK
+    many = np.bincount(block, minlength=count)
+    sizes = 6 + BLOCK // 8 * width + 5 * many
+    starts = np.cumsum(sizes) - sizes
+    out = np.zeros(int(sizes.sum()), np.uint8)
+    out[starts[:, None] + np.arange(4)] = low[:, None].view(np.uint8)
+    out[starts + 4], out[starts + 5] = width, many
+    for w in np.unique(width[width > 0]):
         at = np.flatnonzero(width == w)
-        if w:
-            bits = np.unpackbits(diff[at].view(np.uint8).reshape(len(at), BLOCK, 4), axis=2, bitorder="little")[:, :, :w]
-            rows = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
-            for k, row in zip(at, rows, strict=True):
-                packed[k] = row.tobytes()
-    out, starts, place = [], np.zeros(count, np.uint32), 0
-    head, many, sizes = low.astype("<u4"), over.sum(axis=1).tolist(), width.tolist()
-    for k in range(count):
-        part = head[k].tobytes() + bytes((sizes[k], many[k])) + packed[k]
-        if many[k]:
-            where = np.flatnonzero(over[k])
-            part += where.astype(np.uint8).tobytes() + (diff[k, where].astype(np.uint64) >> np.uint64(width[k])).astype("<u4").tobytes()
-        starts[k] = place
-        place += len(part)
-        out.append(part)
-    return starts, b"".join(out)
+        room = "<u2" if w <= 16 else "<u4"
+        bits = np.unpackbits(diff[at].astype(room).view(np.uint8).reshape(len(at), BLOCK, -1), axis=2, bitorder="little", count=int(w))
+        out[(starts[at] + 6)[:, None] + np.arange(BLOCK // 8 * w)] = np.packbits(bits.reshape(len(at), -1), axis=1, bitorder="little")
+    listed = starts + 6 + BLOCK // 8 * width
+    out[_spread(listed, many)] = where
+    out[_spread(listed + many, 4 * many)] = high.reshape(-1)[listed_at].view(np.uint8)
+    return starts.astype(np.uint32), out.tobytes()
 
 
 def decode_blocks(payload: bytes, starts: np.ndarray, first: int, last: int) -> np.ndarray:
     """The ids of blocks first..last-1."""
     raw = np.frombuffer(payload, np.uint8)
     at = starts[first:last].astype(np.int64)
-    out = np.zeros((len(at), BLOCK), np.uint64)
+    out = np.zeros((len(at), BLOCK), "<u4")
     low = raw[at[:, None] + np.arange(4)].copy().view("<u4").reshape(-1)
-    width, more = raw[at + 4].astype(np.int64), raw[at + 5].astype(np.int64)
-    for w in np.unique(width):
+    width, many = raw[at + 4].astype(np.int64), raw[at + 5].astype(np.int64)
+    for w in np.unique(width[width > 0]):
         rows = np.flatnonzero(width == w)
-        if w:
-            size = BLOCK * int(w) // 8
-            bits = np.unpackbits(raw[at[rows][:, None] + 6 + np.arange(size)], axis=1, bitorder="little").reshape(len(rows), BLOCK, int(w))
-            value = np.zeros((len(rows), BLOCK), np.uint64)
-            for b in range(int(w)):
-                value |= bits[:, :, b].astype(np.uint64) << np.uint64(b)
-            out[rows] = value
-    for k in np.flatnonzero(more):
-        base, n = at[k] + 6 + BLOCK * width[k] // 8, more[k]
-        where = raw[base : base + n].astype(np.int64)
-        high = raw[base + n : base + 5 * n].copy().view("<u4").astype(np.uint64)
-        out[k, where] |= high << np.uint64(width[k])
-    return (out + low[:, None].astype(np.uint64)).astype("<u4").reshape(-1)
+        bits = np.unpackbits(raw[at[rows][:, None] + 6 + np.arange(BLOCK // 8 * w)], axis=1, bitorder="little").reshape(len(rows), BLOCK, w)
+        room = 16 if w <= 16 else 32
+        wide = np.zeros((len(rows), BLOCK, room), np.uint8)
+        wide[:, :, :w] = bits
+        out[rows] = np.packbits(wide, axis=2, bitorder="little").view("<u2" if room == 16 else "<u4").reshape(len(rows), BLOCK)
+    listed = at + 6 + BLOCK // 8 * width
+    block = np.repeat(np.arange(len(at)), many)
+    high = raw[_spread(listed + many, 4 * many)].copy().view("<u4").astype(np.uint64)
+    out[block, raw[_spread(listed, many)].astype(np.int64)] |= (high << width[block].astype(np.uint64)).astype("<u4")
+    return (out + low[:, None]).reshape(-1)
 
 
 def encode_file(documents: list[np.ndarray]) -> bytes:
@@ -133,7 +130,6 @@ class TokenFile:
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = tokens.tokenizer(path), TaskContext.get().partitionId()
-        last = np.asarray([end], "<u4").tobytes()
         ids: list = []
         held: list[np.ndarray] = []
         number, before, size = 0, 0, 0
@@ -143,15 +139,15 @@ def _encode(path: str, end: int):
             kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "number", "before", "n_ids", "doc_ids", "file"])
 
-        for batch in pieces(batches):
-            texts = [x or "" for x in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            for doc, raw in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), encoder.encode(texts), strict=True):
-                if size and size + len(raw) // 4 >= FILE_IDS:
+        for batch in pieces(batches, limit=16 << 20):
+            found, counts = encoder.encode(batch.column(batch.schema.get_field_index("text")), end)
+            for doc, one in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), np.split(found, np.cumsum(counts)[:-1]), strict=True):
+                if size and size + len(one) > FILE_IDS:
                     yield close()
                     number, before, size, ids, held = number + 1, before + size, 0, [], []
                 ids.append(doc)
-                held.append(np.frombuffer(raw + last, "<u4"))
-                size += len(held[-1])
+                held.append(one)
+                size += len(one)
         if ids:
             yield close()
 
@@ -177,7 +173,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(batch.num_rows):
             one = {f.name: batch.column(i)[k] for i, f in enumerate(batch.schema)}
             file = TokenFile(one["file"].as_py())
-            raw, ends = file.all().tobytes(), file.ends
+            raw, ends = memoryview(file.all()).cast("B"), file.ends
             starts = ends - file.lengths
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             n = len(crcs)

@@ -9,6 +9,7 @@ safely are encoded whole. The vocabulary file's path is a parameter.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -22,7 +23,8 @@ from .common import per_worker
 _WHITE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: White space next to a space: such a space is no safe place to cut.
 _LOOSE = f" {_WHITE}|{_WHITE} "
-_STOPS = (",", ".")
+#: ASCII marks that may end a word; one of them begins contractions and is left out.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Words that are encoded in one text.
 JOINED = 64
 
@@ -48,6 +50,8 @@ class PieceTokenizer:
         self.limit, self.cache = limit, {}
         # a word of letters is one run: its first token carries the space before it, or its last token a word's end
         self.prefix, self.gap, mark = (" ", "", "\u0120") if self.rule == "lone" else ("", " ", "</w>")
+        self.after = "\n" if self.rule == "lone" else ""
+        self.line_end = next(iter(self.tokenizer.encode("\n", add_special_tokens=False).ids), -1)
         self.marked = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.marked[[k for x, k in self.tokenizer.get_vocab().items() if (x.startswith(mark) if self.rule == "lone" else x.endswith(mark))]] = True
         self.unsafe = "|".join([re.escape(x) for x in self.special] + [_LOOSE] * (self.rule == "lone"))
@@ -66,36 +70,67 @@ class PieceTokenizer:
     def _one(self, text: str) -> bytes:
         return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _words(self, words: list[str]) -> dict[str, bytes]:
-        """Ids of words of letters, many in one text; a text with an odd number of marks is encoded word by word."""
+    def _words(self, words: list[str], head: bool) -> dict[str, bytes]:
+        """Ids of words of letters, many in one text; a text with an odd number of marks is encoded word by word.
+
+        head: without the space before them, divided by line ends.
+        """
+        prefix, gap = ("", "\n") if head else (self.prefix, self.gap)
         out: dict[str, bytes] = {}
         groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
-        texts = [self.gap.join([self.prefix + x for x in group]) for group in groups]
+        texts = [gap.join([prefix + x for x in group]) for group in groups]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.asarray(found.ids, dtype="<u4")
-            at = np.flatnonzero(self.marked[ids])
-            if len(at) != len(group):
-                out.update((x, self._one(self.prefix + x)) for x in group)
+            at = np.flatnonzero(ids == self.line_end if head else self.marked[ids])
+            if len(at) != len(group) - head:
+                out.update((x, self._one(prefix + x)) for x in group)
                 continue
-            cuts = [*(4 * at).tolist(), 4 * len(ids)] if self.rule == "lone" else [0, *(4 * at + 4).tolist()]
-            raw = ids.tobytes()
-            out.update((x, raw[low:high]) for x, low, high in zip(group, cuts[:-1], cuts[1:], strict=True))
+            raw, at = ids.tobytes(), 4 * at
+            if head:
+                lows, highs = [0, *(at + 4).tolist()], [*at.tolist(), len(raw)]
+            elif self.rule == "lone":
+                lows, highs = at.tolist(), [*at[1:].tolist(), len(raw)]
+            else:
+                lows, highs = [0, *(at[:-1] + 4).tolist()], (at + 4).tolist()
+            out.update((x, raw[low:high]) for x, low, high in zip(group, lows, highs, strict=True))
+        return out
+
+    def _atoms(self, piece: str) -> list[str] | None:
+        """Cache keys whose ids make up the piece's: words of letters, runs of marks behind them, line ends.
+
+        Each is a run of its own for the pre-tokenizer. Keys of what has no
+        space before it start with a line end under the rule "lone".
+        """
+        parts, out = piece.split("\n"), []
+        for k, part in enumerate(parts):
+            core = part.rstrip(_MARKS)
+            if not core.isalpha():
+                return None
+            if k:
+                out.append("\n")
+            out.append("\n" + core if k else core)
+            if len(core) < len(part):
+                out.append(self.after + part[len(core) :])
         return out
 
     def _learn(self, pieces: list[str]) -> None:
-        """Caches the pieces. A comma or full stop after a letter is a run of its own, so the word before it is encoded once."""
+        """Caches the pieces, from the ids of their parts where they have such."""
         cache = self.cache
         new = [x for x in pieces if x not in cache]
         if len(cache) + len(new) > self.limit:
             cache.clear()
             new = pieces
-        stopped = [x for x in new if x[-1:] in _STOPS and x[:-1].isalpha()]
-        words = {x[:-1] for x in stopped}
-        words.update(x for x in new if x.isalpha())
-        cache.update(self._words([x for x in words if x not in cache]))
-        stops = {x: self._one(x) for x in _STOPS}
-        cache.update((x, cache[x[:-1]] + stops[x[-1]]) for x in stopped)
-        cache.update((x, self._one(self.prefix + x)) for x in new if x not in cache)
+        plain = {x for x in new if x.isalpha()}
+        atoms = {x: y for x in new if x not in plain and (y := self._atoms(x))}
+        parts = plain.union(*atoms.values()).difference(cache)
+        words = [x for x in parts if x[0] != "\n" and x[0].isalpha()]
+        heads = [x[1:] for x in parts if x[0] == "\n" and x[1:].isalpha()]
+        cache.update(self._words(words, False))
+        cache.update(("\n" + x, y) for x, y in self._words(heads, True).items())
+        cache.update((x, self._one(x[len(self.after) :] or x)) for x in parts if x not in cache)
+        get = cache.__getitem__
+        cache.update([(x, b"".join(map(get, y))) for x, y in atoms.items()])
+        cache.update([(x, self._one(self.prefix + x)) for x in new if x not in plain and x not in atoms])
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (null: none), each followed by `end`, and how many each has."""
@@ -114,7 +149,9 @@ class PieceTokenizer:
         starts = cut.offsets.to_numpy()[: n + 1] - cut.offsets[0].as_py()
         words = cut.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
+        gc.disable()  # many small lists, none in a cycle
         self._learn(distinct)
+        gc.enable()
         values = list(map(self.cache.__getitem__, distinct))
         at = words.indices.to_numpy().astype(np.int64)
         if self.rule == "lone":  # a first piece has no space before it
@@ -126,9 +163,7 @@ class PieceTokenizer:
             starts = starts + np.arange(n + 1)
             values += [alone.get(k, b"") + tail for k in range(n)]
         sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        pool = np.frombuffer(b"".join(values), "<u4")
-        first = np.cumsum(sizes) - sizes
-        each = sizes[at]
+        pool, first, each = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes, sizes[at]
         upto = np.cumsum(each)
         ids = pool[np.repeat(first[at] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)]
         ends = np.concatenate([[0], upto])
