@@ -5,7 +5,7 @@ from __future__ import annotations
 import sys
 import types
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch.
-BATCH = 4000
+BATCH = 2000
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -69,9 +69,10 @@ class WorkTables:
             path.getFileSystem(conf).delete(path, True)
 
 
-def with_defaults(docs: DataFrame, **kinds: str) -> DataFrame:
-    """The named columns only, cast; extra columns never reach an operator."""
-    return docs.select(*[F.col(f"`{name}`").cast(kind).alias(name) for name, kind in kinds.items()])
+def sealed(docs: DataFrame, needed: Sequence[str], run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run over docs whose other columns have neutral names meanwhile, so that no name can clash; run keeps the columns."""
+    inner = [c if c in needed else f"column_{k}" for k, c in enumerate(docs.columns)]
+    return run(docs.toDF(*inner)).select(*inner).toDF(*docs.columns)
 
 
 def word_count(text: Column) -> Column:

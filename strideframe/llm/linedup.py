@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WorkTables
+from .common import WorkTables, sealed
 
 LEADING, STABLE, SIMILAR = 3, 0.9, 0.9
 DOCUMENTS, MIN_TOKENS = 3, 3
@@ -109,7 +109,11 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     no rows. Columns other than text and n_chars pass through.
     """
     tables = WorkTables(docs.sparkSession, "linedup")
-    drops = tables.save(recurring_lines(docs, tables), "drops")
+    drops = tables.save(recurring_lines(docs.select("doc_id", "text"), tables), "drops")
+    return sealed(docs, ("doc_id", "text", "n_chars"), lambda rows: _without(rows, drops))
+
+
+def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
     same = keyed["__id"].eqNullSafe(drops["__id"]) & (keyed["__text"] == drops["__text"])
     # by a shuffle at every size

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import word_count
+from .common import sealed, word_count
 
 #: Weights that sources take in turn, in code-point order of their names.
 WEIGHTS = (3, 1, 2)
@@ -96,14 +96,12 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the columns of docs, each row as often as it is taken."""
-    own = {"text": "text", "source": "source", "doc_id": "doc_id"}
-    clash = [c for c in docs.columns if c in ("size", "source_size", "target", "copies") or c.startswith("__")]
-    renamed = docs.withColumnsRenamed({c: f"x_{i}_{c}" for i, c in enumerate(clash)})
-    back = {f"x_{i}_{c}": c for i, c in enumerate(clash)}
-    assert set(own) <= set(docs.columns), "docs needs doc_id, source and text"
-    taken = mixed(renamed, **how)
-    rows = taken.where(F.col("copies") > 0).withColumn("__copy", F.explode(F.expr("array_repeat(0, cast(copies AS int))")))
-    return rows.select(*renamed.columns).withColumnsRenamed(back).select(*docs.columns)
+
+    def emit(rows: DataFrame) -> DataFrame:
+        taken = mixed(rows, **how).where(F.col("copies") > 0)
+        return taken.withColumn("__copy", F.explode(F.expr("array_repeat(0, cast(copies AS int))")))
+
+    return sealed(docs, ("doc_id", "source", "text"), emit)
 
 
 SQL = r"""

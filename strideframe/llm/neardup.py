@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WordHashes, WorkTables, mix64, odd_constants, pieces, split_words, windows_hash, word_hashes
+from .common import WordHashes, WorkTables, mix64, odd_constants, pieces, sealed, split_words, windows_hash, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -257,10 +257,13 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one document of each group: the one with the smallest doc_id, once."""
-    found = near_duplicates(docs, percent)
+    found = near_duplicates(docs.select("doc_id", "text"), percent)
     kept = found.where("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__id")).distinct()
-    named = docs.withColumn("__id", F.col("doc_id").cast("long"))
-    rows = named.join(kept.hint("shuffle_hash"), "__id", "left_semi")
-    once = rows.withColumn("__n", F.row_number().over(W.partitionBy("__id").orderBy(F.xxhash64("text"), F.lit(0)))).where("__n = 1")
-    loose = named.where("__id IS NULL")
-    return once.drop("__n", "__id").unionByName(loose.drop("__id"))
+
+    def keep(rows: DataFrame) -> DataFrame:
+        named = rows.withColumn("__id", F.col("doc_id").cast("long"))
+        matched = named.join(kept.hint("shuffle_hash"), "__id", "left_semi")
+        once = matched.withColumn("__n", F.row_number().over(W.partitionBy("__id").orderBy(F.xxhash64("text"), F.lit(0)))).where("__n = 1")
+        return once.drop("__n").unionByName(named.where("__id IS NULL"))
+
+    return sealed(docs, ("doc_id", "text"), keep)

@@ -13,6 +13,7 @@ import gc
 import json
 import os
 import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +30,11 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 JOINED = 64
 
 
+def _plain(word: str) -> bool:
+    """Letters of long-settled alphabets that stay letters when normalised and lower-cased."""
+    return max(word) < "\u0530" and word.lower().isalpha() and unicodedata.is_normalized("NFC", word)
+
+
 class PieceTokenizer:
     """Encodes batches of texts; the rule says where texts may be cut.
 
@@ -104,7 +110,7 @@ class PieceTokenizer:
         parts, out = piece.split("\n"), []
         for k, part in enumerate(parts):
             core = part.rstrip(_MARKS)
-            if not core.isalpha():
+            if not core.isalpha() or not (core.isascii() or _plain(core)):
                 return None
             if k:
                 out.append("\n")
