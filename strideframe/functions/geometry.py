@@ -60,6 +60,12 @@ def flat(vectors: Sequence[Vector]) -> Column:
     return F.array(*[x for v in vectors for x in v])
 
 
+def each_joint(flat: Column, n: int, body: Callable[[Vector], Vector]) -> Column:
+    """body of each of the first n joints, as a flat array; short code for long bodies."""
+    at = lambda k, i: F.get(flat, 3 * k + i).cast("double")
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.array(*body((at(k, 0), at(k, 1), at(k, 2))))))
+
+
 def clip(x: Column, low: float, high: float) -> Column:
     """F-23."""
     return F.least(F.greatest(x, F.lit(low)), F.lit(high))

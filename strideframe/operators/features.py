@@ -44,14 +44,14 @@ def face_forward(frames: DataFrame, joints: str = "joints", clip: str = "clip",
     """V-28: all frames of a clip turned by the quaternion of its first frame."""
     first = W.partitionBy(clip).orderBy("frame")
     turned = frames.withColumn("__f", facing(F.col(joints))).withColumn("__q", F.first("__f").over(first))
-    moved = [g.quaternion_rotate(quaternion(F.col("__q")), g.joint(F.col(joints), k)) for k in range(n)]
-    return turned.withColumn(joints, g.flat(moved)).select(*frames.columns)
+    moved = g.each_joint(F.col(joints), n, lambda j: g.quaternion_rotate(quaternion(F.col("__q")), j))
+    return turned.withColumn(joints, moved).select(*frames.columns)
 
 
 def local_pose(flat: Column, q: g.Quaternion, n: int = 22) -> Column:
     """V-31: joints minus the root's x and z, turned by the root's quaternion."""
     root = (flat[0], F.lit(0.0), flat[2])
-    return g.flat([g.quaternion_rotate(q, g.sub(g.joint(flat, k), root)) for k in range(n)])
+    return g.each_joint(flat, n, lambda j: g.quaternion_rotate(q, g.sub(j, root)))
 
 
 def assemble(root: Column, positions: Column, rotations: Column, velocities: Column, contacts: Column) -> Column:

@@ -31,7 +31,9 @@ def frames(spark, sf_dir) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("label").alias("clip"), F.col("vec_id").alias("frame"), F.col("embedding").cast("array<double>").alias("joints"))
 
 
-J = F.col("joints")
+def J() -> Column:  # noqa: N802
+    return F.col("joints")
+
 
 
 def rounded(rows: DataFrame, *names: str, digits: int = 5) -> DataFrame:
@@ -78,7 +80,7 @@ def r(expression: str, digits: int = 5) -> str:
 # V-01..V-04
 @query(f"WITH {EM} SELECT frame, {r(SPINE)} AS spine, {r(LEG)} AS leg, {r(NECK)} AS neck, {r(HEIGHT)} AS height FROM e")
 def q24_heights(spark, sf_dir):
-    rows = frames(spark, sf_dir).select("frame", skeleton.spine_length(J).alias("spine"), skeleton.leg_length(J).alias("leg"), skeleton.neck_head_length(J).alias("neck"), skeleton.height(J).alias("height"))
+    rows = frames(spark, sf_dir).select("frame", skeleton.spine_length(J()).alias("spine"), skeleton.leg_length(J()).alias("leg"), skeleton.neck_head_length(J()).alias("neck"), skeleton.height(J()).alias("height"))
     return rounded(rows, "spine", "leg", "neck", "height")
 
 
@@ -88,14 +90,14 @@ MEANS = f"{EM}, h AS (SELECT *, {HEIGHT} AS h FROM e), c AS (SELECT clip, avg(h)
 # V-05, V-07, A-13
 @query(f"WITH {MEANS} SELECT frame, {r('j[1] * t / m')} AS x0, {r('j[25] * t / m')} AS x8 FROM h JOIN c USING (clip), t")
 def q25_height_align_avg(spark, sf_dir):
-    rows = skeleton.align_heights(frames(spark, sf_dir)).select("frame", J[0].alias("x0"), J[24].alias("x8"))
+    rows = skeleton.align_heights(frames(spark, sf_dir)).select("frame", J()[0].alias("x0"), J()[24].alias("x8"))
     return rounded(rows, "x0", "x8")
 
 
 # V-06
 @query(f"WITH {MEANS} SELECT frame, {r('j[1] * t / h')} AS x0, {r('j[25] * t / h')} AS x8 FROM h, t")
 def q26_height_align_frame(spark, sf_dir):
-    rows = skeleton.align_heights(frames(spark, sf_dir), in_average=False).select("frame", J[0].alias("x0"), J[24].alias("x8"))
+    rows = skeleton.align_heights(frames(spark, sf_dir), in_average=False).select("frame", J()[0].alias("x0"), J()[24].alias("x8"))
     return rounded(rows, "x0", "x8")
 
 
@@ -108,9 +110,9 @@ def q26b_height_statistics(spark, sf_dir):
 # V-08, V-12
 @query(f"""WITH {AXES} SELECT frame, {", ".join(f"{r(a + str(i))} AS {a}{i}" for a in "xyz" for i in range(3))}, {r("x2 * 0.6 + y2 * 0.3 + z2 * 0.1")} AS facing FROM a3""")
 def q27_root_frame(spark, sf_dir):
-    axes = skeleton.root_frame(J)
+    axes = skeleton.root_frame(J())
     names = [f"{a}{i}" for a in "xyz" for i in range(3)]
-    facing = skeleton.features(J, g.vector(0.6, 0.3, 0.1))[3]
+    facing = skeleton.features(J(), g.vector(0.6, 0.3, 0.1))[3]
     rows = frames(spark, sf_dir).select("frame", *[v.alias(n) for n, v in zip(names, [x for a in axes for x in a], strict=True)], facing.alias("facing"))
     return rounded(rows, *names, "facing")
 
@@ -126,25 +128,25 @@ def sql_aligned(k: int, a: str) -> str:
 # V-09, V-10
 @query(f"WITH {AXES} {sql_long('a3', [p(0, i) for i in range(3)] + [sql_aligned(k, a) for k in range(1, 17) for a in 'xyz'])}")
 def q28_global_align(spark, sf_dir):
-    return long(frames(spark, sf_dir), skeleton.align_globally(J))
+    return long(frames(spark, sf_dir), skeleton.align_globally(J()))
 
 
 # V-11
 @query(f"WITH {EM} {sql_long('e', [f'{p(k, i)} - {p(0, i)}' for k in range(17) for i in range(3)])}")
 def q28b_origin(spark, sf_dir):
-    return long(frames(spark, sf_dir), skeleton.shift_to_origin(J))
+    return long(frames(spark, sf_dir), skeleton.shift_to_origin(J()))
 
 
 # V-14, P-23, U-02, D17
 @query(f"WITH {EM} {sql_long('e', [f'j[{k}]' for k in range(1, 52) if k != 3])}")
 def q29_stack(spark, sf_dir):
-    return long(frames(spark, sf_dir), skeleton.stacked(J))
+    return long(frames(spark, sf_dir), skeleton.stacked(J()))
 
 
 # F-28
 @query(f"WITH {EM} {sql_long('e', ['0.0', '0.0', '0.0'] + [f'j[{k}]' for k in range(1, 49)])}")
 def q29b_zero_root(spark, sf_dir):
-    return long(frames(spark, sf_dir), skeleton.with_zero_root(F.slice(J, 1, 49)))
+    return long(frames(spark, sf_dir), skeleton.with_zero_root(F.slice(J(), 1, 49)))
 
 
 STATS = f"""{EM}, l AS (SELECT unnest(range(51)) AS pos, unnest(j[1:51]) AS v FROM e), s AS (SELECT pos, avg(v) AS mean, stddev_pop(v) AS std FROM l GROUP BY 1)"""
@@ -153,7 +155,7 @@ STATS = f"""{EM}, l AS (SELECT unnest(range(51)) AS pos, unnest(j[1:51]) AS v FR
 # A-15, A-16, D20
 @query(f"""WITH {STATS} SELECT pos::INT AS pos, {r("mean", 6)} AS mean, {r("avg(std) OVER (PARTITION BY pos // 10)", 6)} AS std FROM s""")
 def q30_feature_stats(spark, sf_dir):
-    stats = features.feature_statistics(frames(spark, sf_dir).select(F.slice(J, 1, 51).alias("values")))
+    stats = features.feature_statistics(frames(spark, sf_dir).select(F.slice(J(), 1, 51).alias("values")))
     return rounded(features.pooled_deviation(stats, F.floor(F.col("pos") / 10)), "mean", "std", digits=6)
 
 
@@ -170,14 +172,14 @@ def _mirror(n: int) -> list[str]:
 # F-29, F-31, P-24
 @query(f"WITH {EM} {sql_long('e', _mirror(21))}")
 def q31_mirror(spark, sf_dir):
-    return long(frames(spark, sf_dir), skeleton.mirrored(skeleton.subset(J, 21), PAIRS, 21))
+    return long(frames(spark, sf_dir), skeleton.mirrored(skeleton.subset(J(), 21), PAIRS, 21))
 
 
 # W-11, W-12
 @query(f"""WITH {EM}, s AS (SELECT clip, frame, j[1] - lag(j[1]) OVER w AS d_x, pow(lead(j[10]) OVER w - j[10], 2) + pow(lead(j[11]) OVER w - j[11], 2) + pow(lead(j[12]) OVER w - j[12], 2) AS s FROM e WINDOW w AS (PARTITION BY clip ORDER BY frame))
 SELECT clip, frame, {r("d_x")} AS d_x, CASE WHEN s < 0.04 THEN 1.0 ELSE 0.0 END::DOUBLE AS contact FROM s WHERE s IS NOT NULL AND d_x IS NOT NULL""")
 def q32_velocity_contact(spark, sf_dir):
-    rows = frames(spark, sf_dir).select("clip", "frame", J[0].alias("x"), J[9].alias("a"), J[10].alias("b"), J[11].alias("c"))
+    rows = frames(spark, sf_dir).select("clip", "frame", J()[0].alias("x"), J()[9].alias("a"), J()[10].alias("b"), J()[11].alias("c"))
     found = sequence.first_difference(sequence.contact(rows, "a", "b", "c", 0.04), "x")
     return rounded(found.select("clip", "frame", "d_x", "contact"), "d_x")
 
@@ -187,7 +189,7 @@ def q32_velocity_contact(spark, sf_dir):
   first_value(j[1]) OVER (PARTITION BY clip ORDER BY frame) AS x0, first_value(j[3]) OVER (PARTITION BY clip ORDER BY frame) AS z0 FROM e)
 SELECT clip, frame, {r("j[4] - x0")} AS x1, {r("j[5] - y0")} AS y1, {r("j[6] - z0")} AS z1 FROM w""")
 def q32b_floor(spark, sf_dir):
-    rows = features.put_on_floor(frames(spark, sf_dir), n=17).select("clip", "frame", J[3].alias("x1"), J[4].alias("y1"), J[5].alias("z1"))
+    rows = features.put_on_floor(frames(spark, sf_dir), n=17).select("clip", "frame", J()[3].alias("x1"), J()[4].alias("y1"), J()[5].alias("z1"))
     return rounded(rows, "x1", "y1", "z1")
 
 
@@ -197,14 +199,14 @@ def q32b_floor(spark, sf_dir):
 t AS (SELECT *, vx * cos(2 * a) - vz * sin(2 * a) AS x, vz * cos(2 * a) + vx * sin(2 * a) AS z FROM h)
 SELECT clip, frame, {r("a")} AS heading, {r("sum(x) OVER u")} AS root_x, {r("sum(z) OVER u")} AS root_z FROM t WINDOW u AS (PARTITION BY clip ORDER BY frame ROWS UNBOUNDED PRECEDING)""")
 def q33b_recover_root(spark, sf_dir):
-    rows = frames(spark, sf_dir).select("clip", "frame", J[0].alias("rv"), J[1].alias("vx"), J[2].alias("vz"), J[3].alias("y"))
+    rows = frames(spark, sf_dir).select("clip", "frame", J()[0].alias("rv"), J()[1].alias("vx"), J()[2].alias("vz"), J()[3].alias("y"))
     return rounded(features.recover_root(rows).select("clip", "frame", "heading", "root_x", "root_z"), "heading", "root_x", "root_z")
 
 
 # V-36
 @query(f"""WITH {EM} SELECT frame, {r("j[1] * cos(2 * j[5]) - j[3] * sin(2 * j[5]) + j[7]")} AS x1, {r("j[2]")} AS y1, {r("j[3] * cos(2 * j[5]) + j[1] * sin(2 * j[5]) + j[9]")} AS z1, {r("j[8]")} AS y0 FROM e""")
 def q33c_recover_positions(spark, sf_dir):
-    out = features.recover_positions(F.slice(J, 1, 3), J[4], (J[6], J[7], J[8]), n=2)
+    out = features.recover_positions(F.slice(J(), 1, 3), J()[4], (J()[6], J()[7], J()[8]), n=2)
     rows = frames(spark, sf_dir).select("frame", out.alias("o")).select("frame", F.col("o")[3].alias("x1"), F.col("o")[4].alias("y1"), F.col("o")[5].alias("z1"), F.col("o")[1].alias("y0"))
     return rounded(rows, "x1", "y1", "z1", "y0")
 
@@ -215,7 +217,7 @@ SPINE_AXES = f"""{EM}, b1 AS (SELECT *, {sql_unit("x", 7, 0)}, {sql_unit("u", 4,
 # V-24, V-25
 @query(f"""WITH {SPINE_AXES} {sql_long("b3", [p(0, i) for i in range(3)] + ["(" + " + ".join(f"({p(k, i)} - {p(0, i)}) * {a}{c}" for i, a in enumerate("xyz")) + ")" for k in range(1, 17) for c in range(3)])}""")
 def q45_to_root(spark, sf_dir):
-    return long(frames(spark, sf_dir), skeleton.to_root(J))
+    return long(frames(spark, sf_dir), skeleton.to_root(J()))
 
 
 def _flip(k: int, i: int) -> str:
@@ -228,20 +230,20 @@ def _flip(k: int, i: int) -> str:
 # V-26
 @query(f"WITH {SPINE_AXES} {sql_long('b3', [_flip(k, i) for k in range(17) for i in range(3)])}")
 def q46_flip_siblings(spark, sf_dir):
-    return long(frames(spark, sf_dir), skeleton.flip_siblings(J), digits=5)
+    return long(frames(spark, sf_dir), skeleton.flip_siblings(J()), digits=5)
 
 
 # V-39
 @query(f"WITH {EM} {sql_long('e', [f'(j[{k}] + j[{k + 1}]) / 2' for k in range(1, 52)])}")
 def q47_flip_average(spark, sf_dir):
-    return long(frames(spark, sf_dir), skeleton.flip_average(J, F.slice(J, 2, 51)))
+    return long(frames(spark, sf_dir), skeleton.flip_average(J(), F.slice(J(), 2, 51)))
 
 
 # P-19, A-19
 @query(f"""WITH {EM}, b AS (SELECT DISTINCT clip FROM e WHERE j[1] > 0.4), k AS (SELECT * FROM e WHERE clip NOT IN (SELECT clip FROM b))
 SELECT count(DISTINCT clip) AS clips, count(*) AS frames, round(count(*) / 40.0::DOUBLE / 60, 6) AS minutes FROM k""")
 def q48_totals(spark, sf_dir):
-    marked = frames(spark, sf_dir).withColumn("values", F.array(F.when(J[0] > 0.4, F.lit(float("nan"))).otherwise(J[0])))
+    marked = frames(spark, sf_dir).withColumn("values", F.array(F.when(J()[0] > 0.4, F.lit(float("nan"))).otherwise(J()[0])))
     return features.totals(features.finite_clips(marked)).withColumn("minutes", F.round("minutes", 6))
 
 
@@ -249,21 +251,21 @@ def q48_totals(spark, sf_dir):
 @query()
 def q49_rotations(spark, sf_dir):
     """Face-forward clips and their local poses; lengths are unchanged by rotations."""
-    turned = features.face_forward(frames(spark, sf_dir).withColumn("joints", F.slice(J, 1, 63)), n=21)
-    headed = turned.withColumn("q", features.facing(J))
-    rows = headed.select("clip", "frame", F.posexplode(features.local_pose(J, features.quaternion(F.col("q")), n=21)).alias("pos", "v"))
+    turned = features.face_forward(frames(spark, sf_dir).withColumn("joints", F.slice(J(), 1, 63)), n=21)
+    headed = turned.withColumn("q", features.facing(J()))
+    rows = headed.select("clip", "frame", F.posexplode(features.local_pose(J(), features.quaternion(F.col("q")), n=21)).alias("pos", "v"))
     return rounded(rows, "v", digits=6)
 
 
 # V-15, V-16
 @query()
 def q41_pca(spark, sf_dir):
-    rows = frames(spark, sf_dir).select("clip", "frame", skeleton.stacked(J).alias("values"))
+    rows = frames(spark, sf_dir).select("clip", "frame", skeleton.stacked(J()).alias("values"))
     return pca.fit_component(rows).transform(rows).select("clip", "frame", F.round("score", 6).alias("score"))
 
 
 # V-33, A-21, P-24
 @query()
 def q50_assembly(spark, sf_dir):
-    whole = features.assemble(F.slice(J, 1, 4), F.slice(J, 5, 20), F.slice(J, 25, 20), F.slice(J, 45, 16), F.slice(J, 61, 4))
-    return frames(spark, sf_dir).select("clip", "frame", F.size(whole).alias("width"), F.round(features.leg_ratio(J, F.slice(J, 4, 48)), 6).alias("ratio"))
+    whole = features.assemble(F.slice(J(), 1, 4), F.slice(J(), 5, 20), F.slice(J(), 25, 20), F.slice(J(), 45, 16), F.slice(J(), 61, 4))
+    return frames(spark, sf_dir).select("clip", "frame", F.size(whole).alias("width"), F.round(features.leg_ratio(J(), F.slice(J(), 4, 48)), 6).alias("ratio"))
