@@ -113,24 +113,61 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     return sealed(docs, ("doc_id", "text", "n_chars"), lambda rows: _without(rows, drops))
 
 
-def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
+def _marked(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    """docs with __drop, the lines to take out of each text, and __left, the text without them."""
     keyed = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__text": F.xxhash64(F.col("text").cast("string"))})
     same = keyed["__id"].eqNullSafe(drops["__id"]) & (keyed["__text"] == drops["__text"])
     # by a shuffle at every size
     joined = keyed.join(drops.hint("merge"), same, "left").drop(drops["__id"], drops["__text"])
     lines = F.split(F.col("text").cast("string"), "\n")
     left = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__drop"), i)), "\n")
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left)
-    out = joined.withColumn("text", text)
+    return joined.withColumn("__left", F.when(F.col("__drop").isNull(), F.col("text")).otherwise(left))
+
+
+def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
+    out = _marked(docs, drops).withColumn("text", F.col("__left"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("__drop").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_dropped, text_crc32 of the text that is left."""
-    lean = docs.select("doc_id", "text", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).alias("n_lines"))
-    out = drop_recurring_lines(lean)
-    left = F.when(F.col("text").isNull() | (F.col("text") == ""), F.lit(0)).otherwise(F.size(F.split("text", "\n")))
-    dropped = F.greatest(F.col("n_lines") - left, F.lit(0))
-    return out.select("doc_id", F.col("n_lines").cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"))
+    """One row per document: doc_id, n_lines, n_dropped, text_md5 of the text that is left (null: empty)."""
+    lean = docs.select("doc_id", "text")
+    tables = WorkTables(docs.sparkSession, "linedup")
+    out = _marked(lean, tables.save(recurring_lines(lean, tables), "drops"))
+    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
+    dropped = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop"))
+    return out.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.md5(F.coalesce("__left", F.lit("")).cast("binary")).alias("text_md5"))
+
+
+SQL = r"""
+WITH l AS (
+  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS at
+  FROM documents WHERE text IS NOT NULL),
+t AS (
+  SELECT *, list_transform(list_filter(regexp_split_to_array(line, '[ 	]+'), lambda x: x <> ''),
+                           lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM l),
+k AS (SELECT *, len(tok) AS n, tok[1:3] AS head FROM t WHERE len(tok) >= 3),
+s AS (SELECT n, head, tok, count(DISTINCT (doc_id, md5(text))) AS docs, min(doc_id) AS first FROM k GROUP BY n, head, tok),
+w AS (SELECT n, head, sum(docs) AS lines FROM s GROUP BY n, head HAVING count(*) > 1 AND sum(docs) >= 3),
+x AS (SELECT s.*, lines, row_number() OVER () AS id FROM s JOIN w ON s.n = w.n AND s.head = w.head),
+p AS (SELECT n, head, id, docs, lines, unnest(range(1, n + 1)) AS pos, unnest(tok) AS token FROM x),
+c AS (SELECT n, head, pos, token FROM p GROUP BY n, head, pos, token, lines HAVING sum(docs) >= 0.9 * lines AND token <> '<*>'),
+f AS (SELECT n, head, count(*) AS fixed FROM c GROUP BY n, head HAVING count(*) * 2 > n),
+m AS (
+  SELECT p.id FROM p JOIN c ON p.n = c.n AND p.head = c.head AND p.pos = c.pos AND p.token = c.token
+  JOIN f ON p.n = f.n AND p.head = f.head GROUP BY p.id, fixed HAVING count(*) >= 0.9 * fixed),
+g AS (SELECT n, head, min(first) AS first FROM x JOIN m USING (id) GROUP BY n, head HAVING sum(docs) >= 3),
+a AS (
+  SELECT n, head, tok, first FROM s WHERE docs >= 3
+  UNION ALL SELECT x.n, x.head, x.tok, g.first FROM x JOIN m USING (id) JOIN g ON x.n = g.n AND x.head = g.head),
+b AS (SELECT n, head, tok, min(first) AS first FROM a GROUP BY n, head, tok),
+r AS (SELECT k.doc_id, k.at FROM k JOIN b ON k.n = b.n AND k.head = b.head AND k.tok = b.tok WHERE k.doc_id <> b.first),
+o AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(r.at) AS n_dropped,
+         md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (r.at IS NULL), '')) AS text_md5
+  FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.at = l.at GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(text_md5, md5('')) AS text_md5
+FROM documents d LEFT JOIN o USING (doc_id)
+"""

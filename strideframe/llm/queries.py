@@ -71,5 +71,6 @@ QUERIES = {
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
+    "op4_linedup": linedup.SQL,
     "op7_urlfilter": urlfilter.SQL,
 }
