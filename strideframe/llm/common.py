@@ -54,10 +54,18 @@ class WorkTables:
         self.root = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def save(self, df: DataFrame, what: str = "t") -> DataFrame:
+    def save(self, df: DataFrame, what: str = "t", batch: int | None = None) -> DataFrame:
+        """batch: rows of an Arrow batch while this table is made, where rows are very wide."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{what}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+        usual = self.spark.conf.get(name)
+        if batch:
+            self.spark.conf.set(name, str(batch))
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(name, usual)
         table = self.spark.read.schema(df.schema).parquet(path)
         table.work_path = path
         return table

@@ -42,6 +42,8 @@ BINS = ROWS * BANDS
 #: Members of a bucket whose pairs are listed, rounds with a random leader, and members of a chunk of a larger bucket.
 SMALL, ROUNDS, CHUNK = 12, 2, 256
 SIGMAS = 6
+#: Pairs in an Arrow batch, as each carries both full sets.
+PAIRS = 64
 #: Pairs of one leader that one task may hold.
 LEADER_PAIRS = 256
 
@@ -224,7 +226,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     items = sets.select("node", "items")
     first = members.where("node <> leader").groupBy("node").agg(F.min("leader").alias("leader"))
-    links = tables.save(_confirm(first, items, percent), "links")
+    links = tables.save(_confirm(first, items, percent), "links", batch=PAIRS)
     labels = components(links, tables)
     members = members.drop("leader")
     for step in range(ROUNDS + 1):
@@ -240,7 +242,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
                 small = opened.where(F.col("members") <= SMALL)
                 other = small.select("band", F.col("node").alias("leader"), F.col("root").alias("lead_root"))
                 pairs = pairs.unionByName(small.join(other, "band").where("root <> lead_root AND leader < node").select("leader", "node"))
-            found = tables.save(_confirm(tables.save(pairs.distinct(), "pairs"), items, percent), "links")
+            found = tables.save(_confirm(tables.save(pairs.distinct(), "pairs"), items, percent), "links", batch=PAIRS)
         else:
             found = tables.save(_blocks(large, sets, percent), "links")
         if not found.isEmpty():
