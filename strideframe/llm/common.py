@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -119,6 +121,20 @@ def per_worker(name: str, make):
     return kept[name]
 
 
+def releasing(run):
+    """run, and then freed memory goes back to the system, since Python workers stay on while other stages need it."""
+
+    def whole(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return whole
+
+
 def word_hashes() -> WordHashes:
     return per_worker("word hashes", WordHashes)
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from .common import WordHashes, WorkTables, mix64, odd_constants, pieces, sealed, split_words, windows_hash, word_hashes
+from .common import WordHashes, WorkTables, mix64, odd_constants, pieces, releasing, sealed, split_words, windows_hash, word_hashes
 from .components import components
 
 SHINGLE = 5
@@ -184,7 +184,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     leaders = sets.join(deals, sets["node"] == deals["leader"]).select("leader", F.col("items").alias("left"), "deals", F.explode(F.expr("sequence(0, deals - 1)")).alias("deal"))
     dealt = pairs.join(deals, "leader").select("leader", "node", F.pmod(F.xxhash64("node"), F.col("deals")).cast("int").alias("deal"))
     ready = dealt.join(sets.withColumnRenamed("items", "right"), "node").join(leaders.drop("deals"), ["leader", "deal"])
-    return ready.select("leader", "node", "left", "right").mapInArrow(check, "a long, b long")
+    return ready.select("leader", "node", "left", "right").mapInArrow(releasing(check), "a long, b long")
 
 
 def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     An empty table gives no rows.
     """
     tables = WorkTables(docs.sparkSession, "neardup")
-    rows = tables.save(_lean(docs).mapInArrow(_features, "doc_id long, n_shingles long, high long, low long, bands array<long>"), "features")
+    rows = tables.save(_lean(docs).mapInArrow(releasing(_features), "doc_id long, n_shingles long, high long, low long, bands array<long>"), "features")
     linkable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = tables.save(linkable.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
     buckets = classes.select("node", F.posexplode("bands").alias("place", "band"))
@@ -221,7 +221,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = _lean(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
-    sets = tables.save(texts.mapInArrow(_full_sets, "node long, items binary, sketch binary"), "sets")
+    sets = tables.save(texts.mapInArrow(releasing(_full_sets), "node long, items binary, sketch binary"), "sets")
     sets = sets.dropDuplicates(["node", "items"]) if not rows.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").isEmpty() else sets
 
     items = sets.select("node", "items")
