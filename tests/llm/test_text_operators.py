@@ -315,6 +315,12 @@ def test_network_learns_order():
     assert net.log_probs(states.reshape(40, -1), ids.reshape(-1))[5:].mean() > np.log(1 / 6) + 0.5
 
 
+def test_network_state_is_whole():
+    net = lmscore.Network(np.full(6, 100.0))
+    states, last, _ = net.run(np.zeros((3, 2), np.int64), np.zeros((3, 2), bool), np.zeros((2, 16), np.float32))
+    assert states.shape == (3, 2, 16) and last.shape == (2, 16) and [p.shape for p in net.params[:2]] == [(6, 48), (16, 48)]
+
+
 def test_lanes_keep_documents_whole():
     lanes, seen = lmscore.Lanes(lanes=3, steps=4), collections.defaultdict(list)
     docs = [np.arange(n) for n in (1, 9, 30, 2, 5, 17, 1)]
