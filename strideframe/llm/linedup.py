@@ -9,6 +9,12 @@ STABLE of the leaf's lines is a constant, every other is a variable field too,
 and lines that agree with at least SIMILAR of the constants, where most of the
 template is constant, belong to the leaf's general template.
 
+drop_recurring_lines also looks for several templates in a leaf. A line's
+frequent tokens (at least so many of the leaf's lines have them at that
+position, for counts from DOCUMENTS up in powers of two), or all of the least
+frequent but one, are the constants of a family; each family is judged on its
+own members' documents. line_digest, which has SQL, keeps to one template.
+
 A template that occurs in DOCUMENTS documents or more is recurring: all its
 lines are dropped but those of its first document (the smallest doc_id), so
 one copy of what is said stays in the corpus. Lines without a token are left
@@ -53,25 +59,29 @@ def _lines(docs: DataFrame) -> DataFrame:
     return tokens.select("__id", "__text", "__at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"))
 
 
-def recurring_lines(docs: DataFrame, tables: WorkTables) -> DataFrame:
-    """Lines to drop: __id, __text, __drop (an array of line numbers)."""
+def recurring_lines(docs: DataFrame, tables: WorkTables, families: bool = True) -> DataFrame:
+    """Lines to drop: __id, __text, __drop (an array of line numbers); without families as in SQL."""
     lines = tables.save(_lines(docs), "lines")
     number = F.coalesce("__id", F.lit(_LAST))
+    document = F.xxhash64("__id", "__text")
     once = lines.groupBy("leaf", "template", "__id", "__text").agg(F.count(F.lit(1)).alias("n"))
-    sums = once.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("documents"), F.min(number).alias("first"))
+    sums = once.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("documents"), F.min(number).alias("first"), F.min(document).alias("low"), F.max(document).alias("high"))
     sums = tables.save(sums, "templates")
     exact = sums.where(F.col("documents") >= DOCUMENTS).select("leaf", "template", "first")
     # leaves of several templates, which may share a general one
     wide = sums.groupBy("leaf").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("documents"))
     wide = wide.where((F.col("templates") > 1) & (F.col("documents") >= DOCUMENTS)).select("leaf")
-    general = _general(docs, sums.join(wide, "leaf"), tables)
+    rows = _wide(docs, sums.join(wide, "leaf"), tables)
+    general = _general(rows)
+    if families:
+        general = general.unionByName(_families(rows, tables))
     found = exact.unionByName(general).groupBy("leaf", "template").agg(F.min("first").alias("first"))
     hit = lines.join(tables.save(found, "found"), ["leaf", "template"]).where(number != F.col("first"))
     return hit.groupBy("__id", "__text").agg(F.collect_set("__at").alias("__drop"))
 
 
-def _general(docs: DataFrame, templates: DataFrame, tables: WorkTables) -> DataFrame:
-    """Of wide leaves' templates (leaf, template, documents, first), those that fit a recurring general template: leaf, template, first.
+def _wide(docs: DataFrame, templates: DataFrame, tables: WorkTables) -> DataFrame:
+    """Wide leaves' templates (leaf, template, documents, first, low, high) with their tokens; documents as n.
 
     The tokens of one line of each template are read again; documents without
     such a line are left out before the exchange by filters of SLOTS slots.
@@ -86,8 +96,12 @@ def _general(docs: DataFrame, templates: DataFrame, tables: WorkTables) -> DataF
     tokens = tokens.select("tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"))
     wanted = templates.select(slot(F.col("template"))).distinct()
     tokens = tokens.withColumn("__slot", slot(F.col("template"))).join(F.broadcast(wanted), "__slot", "left_semi").drop("__slot")
-    rows = tokens.join(templates.hint("merge"), ["leaf", "template"]).groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.max("documents").alias("n"), F.min("first").alias("first"))
-    rows = tables.save(rows, "general")
+    rows = tokens.join(templates.hint("merge"), ["leaf", "template"]).groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.max("documents").alias("n"), F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
+    return tables.save(rows, "general")
+
+
+def _general(rows: DataFrame) -> DataFrame:
+    """Of wide leaves' templates, those that fit the leaf's recurring general template: leaf, template, first."""
     places = rows.select("leaf", "template", "n", F.posexplode("tokens").alias("at", "token"))
     total = rows.groupBy("leaf").agg(F.sum("n").alias("lines"), F.max(F.size("tokens")).alias("size"))
     held = places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
@@ -100,6 +114,30 @@ def _general(docs: DataFrame, templates: DataFrame, tables: WorkTables) -> DataF
     return members.select("leaf", "template").join(whole.select("leaf", "first"), "leaf")
 
 
+def _families(rows: DataFrame, tables: WorkTables) -> DataFrame:
+    """Of wide leaves' templates, those of a recurring family of their leaf: leaf, template, first."""
+    places = rows.select("leaf", "template", "n", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD)
+    held = places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= DOCUMENTS)
+    mark = F.struct(F.xxhash64("at", "token").alias("h"), "held")
+    marks = places.join(held, ["leaf", "at", "token"]).groupBy("leaf", "template").agg(F.collect_list(mark).alias("marks"))
+    marks = rows.select("leaf", "template", F.size("tokens").alias("size"), "n", "first", "low", "high").join(marks, ["leaf", "template"])
+    joined = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda all_, m: all_.bitwiseXOR(m["h"]))
+    family = lambda key, fixed: F.struct(key.alias("key"), fixed.alias("fixed"))
+    highest = F.floor(F.log2(F.array_max(F.transform("marks", lambda m: m["held"])) / DOCUMENTS)).cast("int")
+    levels = F.transform(F.sequence(F.lit(0), highest), lambda k: F.filter("marks", lambda m: m["held"] >= F.lit(DOCUMENTS) * F.pow(F.lit(2), k)))
+    shared = F.transform(levels, lambda some: family(joined(some), F.size(some)))
+    but_one = F.transform("marks", lambda m: family(F.col("every").bitwiseXOR(m["h"]), F.size("marks") - 1))
+    keys = marks.withColumn("every", joined(F.col("marks"))).select("leaf", "template", "n", "first", "low", "high", F.explode(F.filter(F.array_distinct(F.concat(shared, but_one)), lambda f: f["fixed"] * 2 > F.col("size"))).alias("f"))
+    keys = tables.save(keys.withColumn("key", F.col("f")["key"]).drop("f"), "keys")
+    # a template of fewer than DOCUMENTS documents has no others than low and high
+    ends = keys.groupBy("leaf", "key").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.min("first").alias("first"), F.count(F.lit(1)).alias("templates")).where("templates > 1")
+    between = lambda x: (F.col(x) > F.col("lowest")) & (F.col(x) < F.col("highest"))
+    members = tables.save(keys.drop("first").join(ends, ["leaf", "key"]), "families")
+    third = (F.col("n") >= DOCUMENTS) | between("low") | between("high")
+    recurring = members.where(third).select("leaf", "key").distinct()
+    return members.join(recurring, ["leaf", "key"], "left_semi").groupBy("leaf", "template").agg(F.min("first").alias("first"))
+
+
 def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs with recurring lines taken out of text; n_chars, where present, is counted anew.
 
@@ -135,7 +173,7 @@ def line_digest(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, text_md5 of the text that is left (null: empty)."""
     lean = docs.select("doc_id", "text")
     tables = WorkTables(docs.sparkSession, "linedup")
-    out = _marked(lean, tables.save(recurring_lines(lean, tables), "drops"))
+    out = _marked(lean, tables.save(recurring_lines(lean, tables, families=False), "drops"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     dropped = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop"))
     return out.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.md5(F.coalesce("__left", F.lit("")).cast("binary")).alias("text_md5"))
@@ -146,7 +184,8 @@ WITH l AS (
   SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS at
   FROM documents WHERE text IS NOT NULL),
 t AS (
-  SELECT *, list_transform(list_filter(regexp_split_to_array(line, '[ 	]+'), lambda x: x <> ''),
+  SELECT *, list_transform(list_filter(regexp_split_to_array(line, '[ 	
+]+'), lambda x: x <> ''),
                            lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM l),
 k AS (SELECT *, len(tok) AS n, tok[1:3] AS head FROM t WHERE len(tok) >= 3),
 s AS (SELECT n, head, tok, count(DISTINCT (doc_id, md5(text))) AS docs, min(doc_id) AS first FROM k GROUP BY n, head, tok),

@@ -1,6 +1,7 @@
 """Operators on documents against brute force, and on awkward rows."""
 
 import collections
+import itertools
 import math
 import random
 import re
@@ -355,6 +356,19 @@ def test_line_dedup(spark):
     assert found[40] == [rows[12][1]] and all(found[k] == [""] for k in range(41, 51))
 
 
+def test_line_dedup_families_in_one_leaf(spark):
+    names = ["".join(w) for w in itertools.product("bdfg", "aeio", "lmnr")]
+    one = [f"please contact our office in {w} for any further help or advice" for w in names[:30]]
+    two = [f"please contact our editors when you have {w} and think it wrong" for w in names[30:60]]
+    lone = ["please contact our " + " ".join(f"{w}{c}" for c in "stuvwxyzq") for w in names[:20]]
+    one_document = "\n".join(f"please contact our shops near {w} when the weather is nice" for w in names[:5])
+    common = [f"please contact our staff about {w} before the end of may" for w in ["cars"] * 20 + ["kites"]]
+    texts = one + two + lone + [one_document] + common
+    found = {r["doc_id"]: r["text"] for r in linedup.drop_recurring_lines(table(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    left = {0: one[0], 30: two[0], **{60 + k: t for k, t in enumerate(lone)}, 80: one_document, 81: common[0]}
+    assert found == {k: left.get(k, "") for k in range(len(texts))}
+
+
 def test_empty_tables(spark):
     none, labels = table(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     path = public.path("word_bpe_49k.json")
