@@ -18,7 +18,11 @@ own members' documents. line_digest, which has SQL, keeps to one template.
 A template that occurs in DOCUMENTS documents or more is recurring: all its
 lines are dropped but those of its first document (the smallest doc_id), so
 one copy of what is said stays in the corpus. Lines without a token are left
-alone, and so are lines of fewer than MIN_TOKENS tokens.
+alone. Lines of fewer than MIN_TOKENS tokens and SHORT characters ask
+SHORT_DOCUMENTS documents, and long ones (LONG tokens, or LONG_CHARACTERS in
+fewer than MIN_TOKENS, as in scripts without spaces) ask LONG_DOCUMENTS. With
+line_digest, which has SQL, lines of fewer than MIN_TOKENS are left alone, and
+all others ask DOCUMENTS.
 
 Only DataFrame functions run. A document sends each template once, counts are
 aggregated before they are exchanged, and no task holds a template's lines.
@@ -33,6 +37,8 @@ from .common import WorkTables, sealed
 
 LEADING, STABLE, SIMILAR = 3, 0.9, 0.9
 DOCUMENTS, MIN_TOKENS = 3, 3
+SHORT, SHORT_DOCUMENTS = 18, 10
+LONG, LONG_CHARACTERS, LONG_DOCUMENTS = 50, 300, 2
 FIELD = "<*>"
 
 
@@ -52,26 +58,35 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("__id"), F.xxhash64(text).alias("__text"), text.alias("__body"))
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """One row per line: __id, __text, __at, leaf, template."""
+def _least() -> Column:
+    """Documents in which a template, given as tokens, recurs."""
+    size, few = F.size("tokens"), F.size("tokens") < MIN_TOKENS
+    characters = F.length(F.array_join("tokens", ""))
+    least = F.when((size >= LONG) | (few & (characters >= LONG_CHARACTERS)), LONG_DOCUMENTS)
+    return least.when(few & (characters < SHORT), SHORT_DOCUMENTS).otherwise(DOCUMENTS)
+
+
+def _lines(docs: DataFrame, families: bool) -> DataFrame:
+    """One row per line: __id, __text, __at, leaf, template, least."""
     rows = _keys(docs).select("__id", "__text", F.posexplode(F.split("__body", "\n")).alias("__at", "__line"))
-    tokens = rows.select("__id", "__text", "__at", _tokens(F.col("__line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
-    return tokens.select("__id", "__text", "__at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"))
+    tokens = rows.select("__id", "__text", "__at", _tokens(F.col("__line")).alias("tokens")).where(F.col("tokens")[0] != "" if families else F.size("tokens") >= MIN_TOKENS)
+    least = _least() if families else F.lit(DOCUMENTS)
+    return tokens.select("__id", "__text", "__at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"), least.alias("least"))
 
 
 def recurring_lines(docs: DataFrame, tables: WorkTables, families: bool = True) -> DataFrame:
     """Lines to drop: __id, __text, __drop (an array of line numbers); without families as in SQL."""
-    lines = tables.save(_lines(docs), "lines")
+    lines = tables.save(_lines(docs, families), "lines")
     number = F.coalesce("__id", F.lit(_LAST))
     document = F.xxhash64("__id", "__text")
-    once = lines.groupBy("leaf", "template", "__id", "__text").agg(F.count(F.lit(1)).alias("n"))
-    sums = once.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("documents"), F.min(number).alias("first"), F.min(document).alias("low"), F.max(document).alias("high"))
+    once = lines.groupBy("leaf", "template", "__id", "__text").agg(F.max("least").alias("least"))
+    sums = once.groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("documents"), F.min(number).alias("first"), F.min(document).alias("low"), F.max(document).alias("high"), F.max("least").alias("least"))
     sums = tables.save(sums, "templates")
-    exact = sums.where(F.col("documents") >= DOCUMENTS).select("leaf", "template", "first")
+    exact = sums.where(F.col("documents") >= F.col("least")).select("leaf", "template", "first")
     # leaves of several templates, which may share a general one
-    wide = sums.groupBy("leaf").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("documents"))
-    wide = wide.where((F.col("templates") > 1) & (F.col("documents") >= DOCUMENTS)).select("leaf")
-    rows = _wide(docs, sums.join(wide, "leaf"), tables)
+    wide = sums.groupBy("leaf").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("documents"), F.max("least").alias("least"))
+    wide = wide.where((F.col("templates") > 1) & (F.col("documents") >= F.col("least"))).select("leaf")
+    rows = _wide(docs, sums.drop("least").join(wide, "leaf"), tables)
     general = _general(rows)
     if families:
         general = general.unionByName(_families(rows, tables))
@@ -117,24 +132,25 @@ def _general(rows: DataFrame) -> DataFrame:
 def _families(rows: DataFrame, tables: WorkTables) -> DataFrame:
     """Of wide leaves' templates, those of a recurring family of their leaf: leaf, template, first."""
     places = rows.select("leaf", "template", "n", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD)
-    held = places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= DOCUMENTS)
+    held = places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= LONG_DOCUMENTS)
     mark = F.struct(F.xxhash64("at", "token").alias("h"), "held")
     marks = places.join(held, ["leaf", "at", "token"]).groupBy("leaf", "template").agg(F.collect_list(mark).alias("marks"))
-    marks = rows.select("leaf", "template", F.size("tokens").alias("size"), "n", "first", "low", "high").join(marks, ["leaf", "template"])
+    marks = rows.select("leaf", "template", F.size("tokens").alias("size"), _least().alias("least"), "n", "first", "low", "high").join(marks, ["leaf", "template"])
+    marks = marks.withColumn("marks", F.filter("marks", lambda m: m["held"] >= F.col("least"))).where(F.size("marks") > 0)
     joined = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda all_, m: all_.bitwiseXOR(m["h"]))
     family = lambda key, fixed: F.struct(key.alias("key"), fixed.alias("fixed"))
-    highest = F.floor(F.log2(F.array_max(F.transform("marks", lambda m: m["held"])) / DOCUMENTS)).cast("int")
-    levels = F.transform(F.sequence(F.lit(0), highest), lambda k: F.filter("marks", lambda m: m["held"] >= F.lit(DOCUMENTS) * F.pow(F.lit(2), k)))
+    highest = F.floor(F.log2(F.array_max(F.transform("marks", lambda m: m["held"])) / F.col("least"))).cast("int")
+    levels = F.transform(F.sequence(F.lit(0), highest), lambda k: F.filter("marks", lambda m: m["held"] >= F.col("least") * F.pow(F.lit(2), k)))
     shared = F.transform(levels, lambda some: family(joined(some), F.size(some)))
     but_one = F.transform("marks", lambda m: family(F.col("every").bitwiseXOR(m["h"]), F.size("marks") - 1))
-    keys = marks.withColumn("every", joined(F.col("marks"))).select("leaf", "template", "n", "first", "low", "high", F.explode(F.filter(F.array_distinct(F.concat(shared, but_one)), lambda f: f["fixed"] * 2 > F.col("size"))).alias("f"))
+    keys = marks.withColumn("every", joined(F.col("marks"))).select("leaf", "template", "least", "n", "first", "low", "high", F.explode(F.filter(F.array_distinct(F.concat(shared, but_one)), lambda f: f["fixed"] * 2 > F.col("size"))).alias("f"))
     keys = tables.save(keys.withColumn("key", F.col("f")["key"]).drop("f"), "keys")
     # a template of fewer than DOCUMENTS documents has no others than low and high
     ends = keys.groupBy("leaf", "key").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.min("first").alias("first"), F.count(F.lit(1)).alias("templates")).where("templates > 1")
     between = lambda x: (F.col(x) > F.col("lowest")) & (F.col(x) < F.col("highest"))
     members = tables.save(keys.drop("first").join(ends, ["leaf", "key"]), "families")
-    third = (F.col("n") >= DOCUMENTS) | between("low") | between("high")
-    recurring = members.where(third).select("leaf", "key").distinct()
+    enough = (F.col("n") >= F.col("least")) | between("low") | between("high") | ((F.col("least") == 2) & (F.col("lowest") < F.col("highest")))
+    recurring = members.where(enough).select("leaf", "key").distinct()
     return members.join(recurring, ["leaf", "key"], "left_semi").groupBy("leaf", "template").agg(F.min("first").alias("first"))
 
 

@@ -369,6 +369,15 @@ def test_line_dedup_families_in_one_leaf(spark):
     assert found == {k: left.get(k, "") for k in range(len(texts))}
 
 
+def test_line_dedup_short_and_long_lines(spark):
+    passage, script = " ".join(f"word{c}{d}" for c in "abcdefgh" for d in "stuvwxyz"), "許諾条項" * 12
+    texts = [f"Read more\n{script if k < 4 else 'own'}\n  \n{passage if k in (2, 7) else ''}" for k in range(12)] + ["Go on"] * 9
+    found = {r["doc_id"]: r["text"] for r in linedup.drop_recurring_lines(table(spark, [(k, t, "s") for k, t in enumerate(texts)])).collect()}
+    want = {k: f"{'' if k < 4 else 'own' + chr(10)}  \n{passage if k == 2 else ''}" for k in range(12)}
+    want = {k: t if k != 7 else "own\n  " for k, t in want.items()} | {k: "Go on" for k in range(12, 21)} | {0: texts[0]}
+    assert found == want
+
+
 def test_empty_tables(spark):
     none, labels = table(spark, []), spark.createDataFrame([], "doc_id long, quality int, toxic int")
     path = public.path("word_bpe_49k.json")
