@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,25 +101,45 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2
     for batch in batches:
         if not batch.num_rows:
             continue
-        column = batch.column(batch.schema.get_field_index(text))
-        sizes = column.fill_null(b"" if pa.types.is_binary(column.type) else "")
-        lengths = np.asarray([len(x.as_buffer()) if x.is_valid else 0 for x in sizes], dtype=np.int64)
+        lengths = text_bytes(batch, text)
         step = (np.cumsum(lengths) - lengths) // limit
         cuts = np.flatnonzero(np.diff(step)) + 1
         for low, high in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             yield batch.slice(low, high - low)
 
 
-def per_worker(name: str, make):
-    """What make() returned when this Python worker first asked for `name`.
+def text_bytes(batch: pa.RecordBatch, text: str = "text") -> np.ndarray:
+    """Bytes of each row's text; 0 for null."""
+    return pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches joined or sliced to about `limit` text bytes, one row at least."""
+    held, size = [], 0
+    for batch in pieces(batches, text, limit):
+        n = int(text_bytes(batch, text).sum())
+        if held and size + n > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += n
+    if held:
+        yield pa.concat_batches(held)
+
+
+def per_worker(kind: str, key, make):
+    """What make() returned when this Python worker first asked for `key` of this kind.
 
     Functions reach workers by value, with globals of their own for each task;
-    a module that lives in the worker keeps caches between tasks.
+    a module that lives in the worker keeps caches between tasks. Caches of
+    other kinds go, as the stages that used them have ended.
     """
-    kept = sys.modules.setdefault("strideframe_worker", types.ModuleType("strideframe_worker")).__dict__
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    module = sys.modules.setdefault("strideframe_worker", types.ModuleType("strideframe_worker"))
+    if getattr(module, "kind", None) != kind:
+        module.kind, module.kept = kind, {}
+    if key not in module.kept:
+        module.kept[key] = make()
+    return module.kept[key]
 
 
 def releasing(run):
@@ -136,7 +157,7 @@ def releasing(run):
 
 
 def word_hashes() -> WordHashes:
-    return per_worker("word hashes", WordHashes)
+    return per_worker("word hashes", None, WordHashes)
 
 
 class WordHashes(dict):

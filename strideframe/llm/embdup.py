@@ -41,7 +41,7 @@ TRIALS = 400
 
 def code_book(dim: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rotation (dim, dim) and both halves' codes (size, half), scaled so that scores add up to inner products."""
-    return per_worker(f"code {dim} {size} {seed}", lambda: _code_book(dim, size, seed))
+    return per_worker("codes", (dim, size, seed), lambda: _code_book(dim, size, seed))
 
 
 def _code_book(dim: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

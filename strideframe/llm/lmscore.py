@@ -236,7 +236,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _head(key: str, shared) -> dict[bytes, int]:
-    return per_worker(f"head {key}", lambda: {w: k for k, w in enumerate(pickle.loads(shared.value)["words"])})
+    return per_worker("head", key, lambda: {w: k for k, w in enumerate(pickle.loads(shared.value)["words"])})
 
 
 def _train(key: str, shared, symbols: int):

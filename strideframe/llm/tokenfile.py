@@ -9,9 +9,11 @@ any document can be read without decoding what lies before it.
 One file (a row of a table, as only Spark's own writers reach every store)
 holds consecutive documents in ascending doc_id order:
 
-    magic "PFR1", documents, ids, blocks      little-endian unsigned 32 bits
+    magic "PFR2", documents, documents without an id (they come first), ids, blocks
+                                               little-endian unsigned 32 bits each
     block starts                               unsigned 32 bits, from the payload's start
     lengths of the documents                   unsigned 32 bits
+    doc_ids (0 where there is none)            signed 64 bits
     payload, per block: minimum (4 bytes), width, exceptions (1 byte each),
         packed differences (BLOCK * width / 8 bytes),
         exception positions (1 byte each), their high bits (4 bytes each)
@@ -30,12 +32,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from . import tokens
-from .common import WorkTables, pieces
+from .common import WorkTables, gathered, releasing
 
 BLOCK, PERCENT = 128, 90
-MAGIC = b"PFR1"
+MAGIC = b"PFR2"
 #: Id that ends each document, and ids after which a file is closed.
 END, FILE_IDS = 2, 1 << 20
+#: Text bytes that are encoded at a time.
+CHUNK = 6 << 20
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -97,12 +101,17 @@ def decode_blocks(payload: bytes, starts: np.ndarray, first: int, last: int) ->
     return (out + low[:, None]).reshape(-1)
 
 
-def encode_file(documents: list[np.ndarray]) -> bytes:
-    """The file of some documents' ids, in their order."""
+def encode_file(documents: list[np.ndarray], doc_ids: list[int | None] | None = None) -> bytes:
+    """The file of some documents' ids, in their order; documents without an id come first."""
     ids = np.concatenate(documents) if documents else np.zeros(0, np.uint32)
+    return _file(np.asarray([len(d) for d in documents], np.int64), ids, [None] * len(documents) if doc_ids is None else doc_ids)
+
+
+def _file(lengths: np.ndarray, ids: np.ndarray, doc_ids: list[int | None]) -> bytes:
     starts, payload = encode_blocks(ids)
-    head = np.asarray([len(documents), len(ids), len(starts)], "<u4").tobytes()
-    return MAGIC + head + starts.astype("<u4").tobytes() + np.asarray([len(d) for d in documents], "<u4").tobytes() + payload
+    head = np.asarray([len(lengths), sum(x is None for x in doc_ids), len(ids), len(starts)], "<u4").tobytes()
+    names = np.asarray([x or 0 for x in doc_ids], "<i8").tobytes()
+    return MAGIC + head + starts.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + names + payload
 
 
 class TokenFile:
@@ -111,10 +120,11 @@ class TokenFile:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a token file")
-        n, self.ids, blocks = np.frombuffer(data, "<u4", 3, 4).tolist()
-        self.starts = np.frombuffer(data, "<u4", blocks, 16)
-        self.lengths = np.frombuffer(data, "<u4", n, 16 + 4 * blocks).astype(np.int64)
-        self.payload = data[16 + 4 * (blocks + n) :]
+        n, nulls, self.ids, blocks = np.frombuffer(data, "<u4", 4, 4).tolist()
+        self.starts = np.frombuffer(data, "<u4", blocks, 20)
+        self.lengths = np.frombuffer(data, "<u4", n, 20 + 4 * blocks).astype(np.int64)
+        self.doc_ids = [None] * nulls + np.frombuffer(data, "<i8", n, 20 + 4 * (blocks + n))[nulls:].tolist()
+        self.payload = data[20 + 4 * (blocks + n) + 8 * n :]
         self.ends = np.cumsum(self.lengths)
 
     def document(self, k: int) -> np.ndarray:
@@ -130,32 +140,38 @@ class TokenFile:
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part = tokens.tokenizer(path), TaskContext.get().partitionId()
-        ids: list = []
-        held: list[np.ndarray] = []
+        docs: list[int | None] = []
+        lengths, held = [], []
         number, before, size = 0, 0, 0
 
         def close():
-            row = [[part], [number], [before], [size], [ids], [encode_file(held)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "number", "before", "n_ids", "doc_ids", "file"])
+            file = _file(np.concatenate(lengths), np.concatenate(held), docs)
+            row = [[part], [number], [before], [size], [file]]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "number", "before", "n_ids", "file"])
 
-        for batch in pieces(batches, limit=16 << 20):
+        for batch in gathered(batches, limit=CHUNK):
             found, counts = encoder.encode(batch.column(batch.schema.get_field_index("text")), end)
-            for doc, one in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), np.split(found, np.cumsum(counts)[:-1]), strict=True):
-                if size and size + len(one) > FILE_IDS:
+            ids, ends, low = batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), np.cumsum(counts), 0
+            while low < len(ids):  # as many documents as the file still takes, one at least
+                done = int(ends[low - 1]) if low else 0
+                high = max(int(np.searchsorted(ends, done + FILE_IDS - size, side="right")), low + (not size))
+                docs += ids[low:high]
+                lengths.append(counts[low:high])
+                held.append(found[done : int(ends[high - 1])] if high > low else found[:0])
+                size += len(held[-1])
+                if high < len(ids):
                     yield close()
-                    number, before, size, ids, held = number + 1, before + size, 0, [], []
-                ids.append(doc)
-                held.append(one)
-                size += len(one)
-        if ids:
+                    number, before, size, docs, lengths, held = number + 1, before + size, 0, [], [], []
+                low = high
+        if docs:
             yield close()
 
     return run
 
 
 def write_token_files(docs: DataFrame, tokenizer_path: str, tables: WorkTables, end: int = END) -> DataFrame:
-    """Writes the files and returns their table: part, number, before, n_ids, doc_ids, file.
+    """Writes the files and returns their table: part, number, before, n_ids, file.
 
     Documents are dealt by ranges of doc_id and sorted, so
     (part, number) order is ascending doc_id order; null ids come first. Rows
@@ -164,8 +180,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, tables: WorkTables,
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     salted = lean.withColumn("__salt", F.pmod(F.monotonically_increasing_id() * 48271, F.lit(65521)))
     dealt = salted.repartitionByRange("doc_id", "__salt").sortWithinPartitions("doc_id", "__salt").select("doc_id", "text")
-    schema = "part int, number int, before long, n_ids long, doc_ids array<long>, file binary"
-    return tables.save(dealt.mapInArrow(_encode(tokenizer_path, end), schema), "files")
+    schema = "part int, number int, before long, n_ids long, file binary"
+    return tables.save(dealt.mapInArrow(releasing(_encode(tokenizer_path, end)), schema), "files")
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +194,7 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
             n = len(crcs)
             yield pa.RecordBatch.from_arrays(
-                [one["doc_ids"].values, pa.array(np.full(n, one["part"].as_py(), np.int32)), pa.array(starts + one["before"].as_py()), pa.array(file.lengths), pa.array(crcs, pa.int64())],
+                [pa.array(file.doc_ids, pa.int64()), pa.array(np.full(n, one["part"].as_py(), np.int32)), pa.array(starts + one["before"].as_py()), pa.array(file.lengths), pa.array(crcs, pa.int64())],
                 names=["doc_id", "part", "local", "n_tokens", "ids_crc32"],
             )
 
@@ -186,12 +202,14 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def token_digest(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32.
 
-    Null and empty texts hold the end id alone. Repeated doc_ids follow each
-    other in a fixed but arbitrary order. An empty table gives no rows.
+    Null and empty texts hold the end id alone. Null doc_ids come first.
+    Repeated doc_ids follow each other in a fixed but arbitrary order. A text of
+    more than FILE_IDS ids has a file of its own. Other columns of docs are not
+    read. An empty table gives no rows.
     """
     tables = WorkTables(docs.sparkSession, "tokens")
     files = write_token_files(docs, tokenizer_path, tables, end)
-    read = files.select("part", "before", "doc_ids", "file").mapInArrow(_decode, "doc_id long, part int, local long, n_tokens long, ids_crc32 long")
+    read = files.select("part", "before", "file").mapInArrow(_decode, "doc_id long, part int, local long, n_tokens long, ids_crc32 long")
     sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("part", before.alias("before"))

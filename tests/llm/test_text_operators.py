@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.llm import linedup, lmscore, mixing, neardup, packing, quality, sharding, tokenfile, tokens
+from strideframe.llm.common import WorkTables
 
 public = pytest.importorskip("public_tokenizers")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -245,6 +246,49 @@ def test_token_files(spark, rows):
         at += len(want)
 
 
+def test_token_files_name_their_documents(spark, rows, monkeypatch):
+    monkeypatch.setattr(tokenfile, "FILE_IDS", 400)
+    path = public.path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(path)
+    more = [*rows, (9000, "very long " * 40_000, "s1"), (None, "another without an id", "s1")]
+    files = tokenfile.write_token_files(table(spark, more), path, WorkTables(spark, "test")).orderBy("part", "number").collect()
+    found, at = [], {}
+    for r in files:
+        file = tokenfile.TokenFile(bytes(r["file"]))
+        assert r["before"] == at.get(r["part"], 0) and r["n_ids"] == file.ids == file.lengths.sum() and (file.ids <= 400 or len(file.lengths) == 1)
+        at[r["part"]] = r["before"] + r["n_ids"]
+        found += [(i, zlib.crc32(file.document(k).tobytes())) for k, i in enumerate(file.doc_ids)]
+    want = [(i, zlib.crc32(np.asarray([*tool.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t, _ in more]
+    assert collections.Counter(found) == collections.Counter(want) and [x for x, _ in found] == sorted((x for x, _, _ in more), key=lambda x: -1 if x is None else x)
+
+
+def test_packing_keeps_documents_whole(spark):
+    rng = random.Random(4)
+    path = public.path("word_bpe_49k.json")
+    docs = [(k, " ".join(rng.choice(("one", "two", "three")) for _ in range(rng.choice((3, 20, 200, 300)))), "s0") for k in range(400)]
+    docs.append((400, "one two " * 40_000, "s1"))
+    found = packing.pack(table(spark, docs), path).collect()
+    pieces = collections.Counter(r["doc_id"] for r in found)
+    assert all(pieces[r["doc_id"]] == -(-r["doc_tokens"] // 2048) for r in found)
+    used, ids = max(r["sequence_id"] for r in found) + 1, sum(r["length"] for r in found)
+    assert used <= -(-ids // 2048) + 2
+
+
+def test_encoder_forgets_and_keeps_right():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(8)
+    tool = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    encoder = tokens.PieceTokenizer(public.path("byte_bpe_50k.json"), limit=60)
+    for _ in range(30):
+        batch = ["".join(rng.choice("ab cd\n\n.,'!1\u00e9\t x") for _ in range(rng.randint(0, 40))) for _ in range(50)]
+        ids, counts = encoder.encode(pa.array(batch, pa.string()))
+        want = [tool.encode(t, add_special_tokens=False).ids for t in batch]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
+
+
 def test_patched_blocks_round_trip():
     rng = np.random.default_rng(6)
     shapes = [np.zeros(0, "<u4"), np.array([7], "<u4"), np.full(500, 9, "<u4"), rng.integers(0, 2**32, 300, dtype=np.uint64).astype("<u4"), np.array([0, 2**32 - 1] * 200, "<u4")]
