@@ -8,7 +8,9 @@ integer boundary once per copy that is emitted.
 The order groups documents of similar size (a power of two and its two next
 bits), so the words taken miss a target by little. The running sum needs no
 task that holds a whole source: ranks are taken inside small groups (source,
-size class, hashed chunk), and only one row per group is summed per source.
+size class, hashed chunk), and only one row per group is summed per source:
+some 40 * CHUNKS rows at most, however many documents. Sources are expected to
+be some thousands at most, as targets are set over one row for each.
 """
 
 from __future__ import annotations
@@ -25,8 +27,8 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 #: No source, and no document, gives more than this many times its words.
 CAP = 2
-#: Chunks of a size class, for each CHUNK_ROWS rows of the table.
-CHUNKS, CHUNK_ROWS = 64, 100_000_000
+#: Chunks of a size class, by a hash of doc_id (of the text, where that is null); one running sum per source is over these.
+CHUNKS = 1024
 
 
 def _key(source: Column) -> Column:
@@ -59,24 +61,34 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap:
     return ranked.select("__src", "source_size", F.least(F.col("__cap").cast("double"), level * F.col("__w")).alias("target"))
 
 
-def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 1, chunks: int | None = None) -> DataFrame:
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP, seed: int = 1, chunks: int = CHUNKS) -> DataFrame:
     """docs with size, source_size, target and copies (how often the mix takes each row).
 
     Null text counts 0 words; a null source is a source of its own, last in
-    order; a null doc_id sorts first. Rows that agree in source, size and
-    doc_id are interchangeable: one of them may get a copy more. Sources
-    without words get target 0 and no copies. An empty table gives no rows.
+    order; rows without a doc_id come first, by their texts. Rows that agree in
+    source, size and doc_id are interchangeable: one of them may get a copy more. Sources
+    without words get target 0 and no copies. Columns of docs with one of
+    those four names are replaced; no other name can clash. Texts of any length
+    are counted whole. An empty table gives no rows.
     """
-    if chunks is None:
-        chunks = CHUNKS * (1 + docs.count() // CHUNK_ROWS)
+    own = ["size", "source_size", "target", "copies"]
+    docs = docs.drop(*own)
+    inner = [c if c in ("doc_id", "source", "text") else f"column_{k}" for k, c in enumerate(docs.columns)]
+    out = _mixed(docs.toDF(*inner), weights, share, cap, seed, chunks)
+    return out.select(*inner, *own).toDF(*docs.columns, *own)
+
+
+def _mixed(docs: DataFrame, weights, share: float, cap: int, seed: int, chunks: int) -> DataFrame:
     size = word_count(F.col("text"))
     bits = F.length(F.bin(F.col("size")))
     # fixed value: the multiplier of the minimal standard generator modulo 2^31 - 1
     hashed = F.pmod(F.pmod(F.col("doc_id").cast("long"), F.lit(2147483647)) * 48271, F.lit(2147483647))
+    by_text = F.conv(F.substring(F.md5(F.col("text").cast("binary")), 1, 8), 16, 10).cast("long")
     keyed = docs.withColumns({"size": size, "__src": _key(F.col("source"))})
     keyed = keyed.withColumns({
         "__class": (bits * 8 + F.expr("shiftright(size, greatest(length(bin(size)) - 3, 0))")).cast("int"),
-        "__chunk": F.coalesce(F.pmod(hashed, F.lit(chunks)), F.lit(0)).cast("int"),
+        "__turn": F.when(F.col("doc_id").isNull(), by_text),
+        "__chunk": F.pmod(F.coalesce(hashed, by_text, F.lit(0)), F.lit(chunks)).cast("int"),
     })
     key = ["__src", "__class", "__chunk"]
     groups = keyed.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.sum("size").alias("__words"))
@@ -87,11 +99,12 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: int = CAP
     })
     before = F.coalesce(F.sum("__n").over(W.partitionBy("__src").orderBy("__class", "__chunk").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = groups.select(*key, before.alias("__before")).join(plan, "__src")
-    ranked = keyed.withColumn("__rank", F.row_number().over(W.partitionBy(*key).orderBy("size", "doc_id")))
+    ranked = keyed.withColumn("__rank", F.row_number().over(W.partitionBy(*key).orderBy("size", "doc_id", "__turn")))
     crossed = F.floor((F.col("__i")) * F.col("__e") + F.col("__u")) - F.floor((F.col("__i") - 1) * F.col("__e") + F.col("__u"))
     out = ranked.join(starts, key).withColumn("__i", (F.col("__before") + F.col("__rank")).cast("double"))
-    out = out.withColumn("copies", F.least(crossed.cast("long"), F.lit(int(cap)).cast("long")))
-    return out.select(*docs.columns, "size", "source_size", "target", "copies")
+    # e is cap at most, so no more boundaries are crossed but by rounding of the running sum
+    copies = F.when(crossed <= cap + 1, F.least(crossed, F.lit(int(cap)))).otherwise(F.raise_error(F.lit("more copies than the cap")))
+    return out.withColumn("copies", copies.cast("long"))
 
 
 def mix_sources(docs: DataFrame, **how) -> DataFrame:
@@ -106,13 +119,12 @@ def mix_sources(docs: DataFrame, **how) -> DataFrame:
 
 SQL = r"""
 WITH d AS (
-  SELECT doc_id, coalesce('s' || source, '~') AS src,
+  SELECT doc_id, text, coalesce('s' || source, '~') AS src,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 k AS (
   SELECT *, CAST(length(bin(size)) * 8 + (size >> greatest(length(bin(size)) - 3, 0)) AS INTEGER) AS cls,
-         coalesce((((doc_id % 2147483647 + 2147483647) % 2147483647) * 48271 % 2147483647)
-                  % (64 * (1 + (SELECT count(*) FROM documents) // 100000000)), 0) AS chunk
+         coalesce(((doc_id % 2147483647 + 2147483647) % 2147483647) * 48271 % 2147483647, ('0x' || substr(md5(text), 1, 8))::BIGINT, 0) % 1024 AS chunk
   FROM d),
 s AS (SELECT src, sum(size)::BIGINT AS source_size FROM k GROUP BY src),
 w AS (
@@ -134,7 +146,7 @@ e AS (
   FROM t),
 i AS (
   SELECT k.doc_id, k.size, e.source_size, e.target, e.e, e.u,
-         (row_number() OVER (PARTITION BY k.src ORDER BY cls, chunk, size, doc_id NULLS FIRST))::DOUBLE AS i
+         (row_number() OVER (PARTITION BY k.src ORDER BY cls, chunk, size, doc_id NULLS FIRST, md5(text) NULLS FIRST))::DOUBLE AS i
   FROM k JOIN e USING (src))
 SELECT doc_id, size, source_size, target,
        CAST(least(floor(i * e + u) - floor((i - 1) * e + u), 2) * size AS BIGINT) AS taken
