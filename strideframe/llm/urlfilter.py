@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 FOREVER = 2**31 - 1
+#: Keys over which a host's captures are spread.
+SALTS = 8
 
 
 def host_of(url: Column) -> Column:
@@ -46,33 +48,53 @@ def validity(changes: DataFrame) -> DataFrame:
 
 
 def timelines(hosts: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Segments (host, since, until, entry, list) of each host, without overlap; days no entry covers have none."""
+    """Segments (host, since, until, entry, list) of each host, without overlap; days no entry covers have none.
+
+    One sweep over a host's days: intervals of one entry and list have no
+    overlap, so a day has one of each (number of labels, list) at most. Running
+    last values keep, for each of these, the interval that began last; the most
+    specific one that is still open wins. Numbers of labels that no entry has
+    are left out: a row for each number is collected.
+    """
     parts = F.split("host", r"\.")
-    names = hosts.select("host", parts.alias("parts"))
-    suffixes = names.select("host", F.explode(F.expr("transform(sequence(1, size(parts)), i -> array_join(slice(parts, i, size(parts)), '.'))")).alias("entry"))
-    active = suffixes.join(intervals, "entry")
-    days = active.select("host", "since").unionByName(active.select("host", F.col("until").alias("since"))).distinct()
-    segments = days.withColumn("until", F.lead("since").over(W.partitionBy("host").orderBy("since"))).dropna()
-    over = active.withColumnsRenamed({"since": "s", "until": "u"})
-    found = segments.join(over, "host").where("s <= since AND u > since")
-    best = F.max(F.struct(F.length("entry").alias("size"), (F.col("list") == "allow").alias("allow"), "entry", "list")).alias("x")
-    return found.groupBy("host", "since", "until").agg(best).select("host", "since", "until", "x.entry", "x.list")
+    names = hosts.select("host", parts.alias("parts"), F.size(parts).alias("labels"))
+    suffix = "transform(sequence(1, labels), i -> struct(labels - i + 1 AS labels, array_join(slice(parts, i, labels), '.') AS entry))"
+    suffixes = names.select("host", F.explode(F.expr(suffix)).alias("x")).select("host", "x.labels", "x.entry")
+    active = suffixes.join(intervals, "entry").withColumn("level", F.col("labels") * 2 + (F.col("list") == "allow").cast("int"))
+    depths = intervals.select(F.size(F.split("entry", r"\.")).alias("n")).distinct().collect()
+    levels = [2 * n + allow for n in sorted((r["n"] for r in depths), reverse=True) for allow in (1, 0)]
+    if not levels:
+        return active.select("host", "since", "until", "entry", "list")
+    began, ended = F.struct("since", "until", "entry", "list"), F.lit(None).cast("struct<since:int,until:int,entry:string,list:string>")
+    events = active.select("host", F.col("since").alias("day"), "level", began.alias("x")).unionByName(active.select("host", F.col("until").alias("day"), "level", ended.alias("x")))
+    # one row for each day of a host on which anything changes
+    days = events.groupBy("host", "day").agg(*[F.max(F.when(F.col("level") == k, F.col("x"))).alias(f"l{k}") for k in levels])
+    line = W.partitionBy("host").orderBy("day")
+    held = days.select("host", F.col("day").alias("since"), F.lead("day").over(line).alias("until"), *[F.last(f"l{k}", ignorenulls=True).over(line).alias(f"l{k}") for k in levels])
+    best = F.coalesce(*[F.when(F.col(f"l{k}.until") > F.col("since"), F.col(f"l{k}")) for k in levels])
+    return held.where("until IS NOT NULL").select("host", "since", "until", best.alias("x")).where("x IS NOT NULL").select("host", "since", "until", "x.entry", "x.list")
 
 
 def filter_urls(captures: DataFrame, changes: DataFrame) -> DataFrame:
     """captures (url, fetched: day number, further columns) with host, entry, list and blocked.
 
-    A null or unusable url, a null day, and a host without an active entry are
-    not blocked; entry and list are null. Rows are neither lost nor repeated.
-    Columns of captures with these four names are replaced.
+    A null, empty or unusable url, a null day, and a host without an active
+    entry are not blocked; entry and list are null. Rows are neither lost nor
+    repeated; equal ones get equal results. Columns of captures with these four
+    names are replaced; no other name can clash. An empty table gives no rows.
     """
     own = ["host", "entry", "list", "blocked"]
-    kept = captures.drop(*own).withColumns({"host": host_of(F.col("url")), "__day": F.col("fetched").cast("int")})
-    line = timelines(kept.select("host").dropna().distinct(), validity(changes))
-    line = line.withColumnRenamed("host", "__host")
-    hit = (F.col("host") == F.col("__host")) & (F.col("__day") >= F.col("since")) & (F.col("__day") < F.col("until"))
-    out = kept.join(line, hit, "left")
-    return out.withColumn("blocked", F.coalesce(F.col("list") == "block", F.lit(False))).drop("__host", "__day", "since", "until")
+    captures = captures.drop(*own)
+    inner = [c if c in ("url", "fetched") else f"column_{k}" for k, c in enumerate(captures.columns)]
+    kept = captures.toDF(*inner).withColumns({"host": host_of(F.col("url")), "__day": F.col("fetched").cast("int")})
+    line = timelines(kept.select("host").dropna().distinct(), validity(changes)).withColumnsRenamed({"host": "__host", "since": "__since", "until": "__until"})
+    # a host's captures are spread over SALTS keys, as one host may hold a third of all, and its timeline is copied to each
+    salt = F.pmod(F.xxhash64("url", "__day"), F.lit(SALTS)).cast("int")
+    copies = line.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = kept.withColumn("__part", salt)
+    hit = (salted["host"] == copies["__host"]) & (salted["__part"] == copies["__salt"]) & (salted["__day"] >= copies["__since"]) & (salted["__day"] < copies["__until"])
+    out = salted.join(copies, hit, "left").withColumn("blocked", F.coalesce(F.col("list") == "block", F.lit(False)))
+    return out.select(*inner, *own).toDF(*captures.columns, *own)
 
 
 def dated_changes(hosts: DataFrame) -> DataFrame:
