@@ -2,16 +2,19 @@
 
 A filter is a direction; a unit vector passes it where their inner product
 reaches ALPHA. Directions are structured: after a random rotation a vector is
-cut in two halves, each half has a code of B random unit vectors, and every
-pair of code words, scaled to unit length, is a direction. So B * B filters
-cost 2 * B inner products: decoding lists all pairs whose halves' scores sum
-to the threshold, by pruning each half against the best of the other.
-ROTATIONS independent codes make up for vectors that lie badly to one.
-
-B grows with the root of the number of vectors, and ALPHA is set so that a
+cut in PARTS parts, each part has a code of B random unit vectors, and every
+choice of one code word a part, scaled to unit length, is a direction. So
+B ** PARTS filters cost PARTS * B inner products: decoding lists all choices
+whose parts' scores sum to the threshold, part by part, pruning by the best
+that the parts to come can add. ROTATIONS independent codes make up for
+vectors that lie badly to one.
+
+B grows with the cube root of the number of vectors, and ALPHA is set so that a
 random vector passes FILTERS filters of each code; so the chance company in a
-bucket stays LOAD whatever the size. At 64 dimensions a pair at cosine 0.95
-is missed with probability of about 0.001, closer pairs far more rarely.
+bucket stays LOAD whatever the size. Where that would lose more than MISSED of
+the pairs at the wanted cosine (vectors of few dimensions), ALPHA is lowered
+until it does not, and buckets grow. Vectors are filled with zeros to the next
+of few lengths, so that few codes are planned, however ragged the table.
 
 Candidates share a filter; all are verified by cosine in double precision.
 Vectors with equal components are one class with a count. Buckets of up to
@@ -26,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,90 +37,149 @@ from pyspark.sql import functions as F
 from .common import WorkTables, per_worker
 from .components import components
 
-ROTATIONS, FILTERS, LOAD = 6, 12.0, 0.6
+PARTS, ROTATIONS, FILTERS, LOAD = 3, 6, 12.0, 0.6
 SMALL, CHUNK = 12, 256
-#: Random vectors on which ALPHA is set.
-TRIALS = 400
+#: Random vectors, and pairs at the wanted cosine, on which ALPHA is set; share of such pairs that may be missed.
+TRIALS, MISSED = 400, 0.005
+#: Scores that decoding holds at a time.
+SCORES = 1 << 19
+
 
+def filled(dim: int) -> int:
+    """The length to which vectors are filled: 12, 16, 24, 32, 48, 64, ..."""
+    low = 12
+    while low < dim:
+        low = low * 4 // 3 if low % 3 == 0 else low * 3 // 2
+    return low
 
-def code_book(dim: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rotation (dim, dim) and both halves' codes (size, half), scaled so that scores add up to inner products."""
+
+def code_book(dim: int, size: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Rotation (dim, dim) and the parts' codes (size, width), scaled so that scores add up to inner products."""
     return per_worker("codes", (dim, size, seed), lambda: _code_book(dim, size, seed))
 
 
-def _code_book(dim: int, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _code_book(dim: int, size: int, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
     rng = np.random.default_rng([seed, dim, size])
     rotation, _ = np.linalg.qr(rng.normal(size=(dim, dim)))
-    first = (dim + 1) // 2
-    halves = []
-    for width in (first, dim - first):
+    codes = []
+    for width in np.diff(np.arange(PARTS + 1) * dim // PARTS):
         code = rng.normal(size=(size, width))
-        halves.append(code / np.linalg.norm(code, axis=1, keepdims=True) / np.sqrt(2) if width else np.zeros((size, 0)))
-    return rotation, halves[0], halves[1]
-
+        codes.append(code / np.linalg.norm(code, axis=1, keepdims=True) / np.sqrt(PARTS))
+    return rotation, codes
+
+
+def decode(vectors: np.ndarray, size: int, seed: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of every filter of one code that a unit vector passes, sorted by row."""
+    rotation, codes = code_book(filled(vectors.shape[1]), size, seed)
+    turned = vectors @ rotation[: vectors.shape[1]]
+    scores, at = [], 0
+    for code in codes:
+        scores.append(turned[:, at : at + code.shape[1]] @ code.T)
+        at += code.shape[1]
+    best = np.stack([s.max(axis=1) for s in scores])
+    row, number, total = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), np.zeros(len(vectors))
+    for k, s in enumerate(scores):
+        # words that can be part of a choice at all, and then sums that later parts can still lift to alpha
+        near_row, near = np.nonzero(s >= (alpha - best.sum(axis=0) + best[k])[:, None])
+        many = np.bincount(near_row, minlength=len(vectors))
+        first = np.cumsum(many) - many
+        each = many[row]
+        upto = np.cumsum(each)
+        take = np.repeat(first[row] - (upto - each), each) + np.arange(upto[-1] if len(upto) else 0)
+        row, number, total = np.repeat(row, each), np.repeat(number, each) * size + near[take], np.repeat(total, each) + s[near_row[take], near[take]]
+        fit = total >= alpha - best[k + 1 :].sum(axis=0)[row]
+        row, number, total = row[fit], number[fit], total[fit]
+    return row, number
+
+
+def plan_code(dim: int, count: int, cosine: float) -> tuple[int, float]:
+    """B and ALPHA for `count` vectors of `dim` dimensions."""
+    size = int(max(8, np.ceil((count * FILTERS / LOAD) ** (1 / PARTS))))
+    rng = np.random.default_rng([dim, size])
+    one, other = rng.normal(size=(2, TRIALS, dim))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    other -= (one * other).sum(axis=1, keepdims=True) * one
+    norm = np.linalg.norm(other, axis=1, keepdims=True)
+    other = cosine * one + np.sqrt(1 - cosine**2) * np.divide(other, norm, out=np.zeros_like(other), where=norm > 1e-9)
+    if dim == 1:
+        other = one
+    alpha = 1.0
+    while alpha > 0 and len(decode(one, size, 0, alpha)[0]) < FILTERS * TRIALS:
+        alpha -= 0.01
+    while alpha > 0:
+        met = np.zeros(TRIALS, bool)
+        for seed in range(ROTATIONS):
+            (a, x), (b, y) = decode(one, size, seed, alpha), decode(other, size, seed, alpha)
+            whole = size**PARTS
+            met[np.intersect1d(a * whole + x, b * whole + y) // whole] = True
+        if met.mean() >= 1 - MISSED:
+            break
+        alpha -= 0.02
+    return size, alpha
 
-def decode(vectors: np.ndarray, size: int, seed: int, alpha: float) -> list[np.ndarray]:
-    """For each unit vector, the numbers of all filters of one code that it passes."""
-    rotation, left, right = code_book(vectors.shape[1], size, seed)
-    turned = vectors @ rotation
-    a, b = turned[:, : left.shape[1]] @ left.T, turned[:, left.shape[1] :] @ right.T
-    near_a, near_b = a >= alpha - b.max(axis=1, keepdims=True), b >= alpha - a.max(axis=1, keepdims=True)
-    out = []
-    for k in range(len(vectors)):
-        i, j = np.flatnonzero(near_a[k]), np.flatnonzero(near_b[k])
-        x, y = np.nonzero(a[k, i][:, None] + b[k, j] >= alpha)
-        out.append(i[x] * size + j[y])
-    return out
 
+def _plans(cosine: float):
+    def run(batches):
+        for batch in batches:
+            found = [plan_code(d, n, cosine) for d, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.float64())], names=["d", "size", "alpha"])
 
-def plan_code(dim: int, count: int) -> tuple[int, float]:
-    """B and ALPHA for `count` vectors of `dim` dimensions."""
-    size = int(max(16, np.ceil(np.sqrt(count * FILTERS / LOAD))))
-    rng = np.random.default_rng([dim, size])
-    trial = rng.normal(size=(TRIALS, dim))
-    trial /= np.linalg.norm(trial, axis=1, keepdims=True)
-    low, high = 0.0, 1.0
-    while high - low > 1e-3:
-        alpha = (low + high) / 2
-        # few trials where many filters pass
-        some = trial if alpha > 0.35 or size < 128 else trial[:20]
-        passed = np.mean([len(x) for x in decode(some, size, 0, alpha)])
-        low, high = (alpha, high) if passed > FILTERS else (low, alpha)
-    return size, low
+    return run
 
 
 def _unit(batches):
     """vec_id, the bytes of the unit vector, hash of the components; null where the vector links with nothing."""
     for batch in batches:
-        unit, high, low = [], [], []
-        for one in batch.column(batch.schema.get_field_index("embedding")):
-            raw = np.asarray(one.values.to_numpy(zero_copy_only=False), np.float64) if one.is_valid and not one.values.null_count else np.zeros(0)
-            norm = np.linalg.norm(raw / np.abs(raw).max()) * np.abs(raw).max() if len(raw) and np.isfinite(raw).all() and raw.any() else 0.0
-            usable = norm > 0 and np.isfinite(norm)
-            digest = xxhash.xxh3_128_digest((raw + 0.0).tobytes())
-            unit.append((raw / norm).tobytes() if usable else None)
-            high.append(int.from_bytes(digest[:8], "little", signed=True))
-            low.append(int.from_bytes(digest[8:], "little", signed=True))
-        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("vec_id")), pa.array(unit, pa.binary()), pa.array(high, pa.int64()), pa.array(low, pa.int64())], names=["vec_id", "unit", "high", "low"])
-
-
-def _filters(size_of: dict[int, tuple[int, float]]):
+        ids, column = batch.column(batch.schema.get_field_index("vec_id")), batch.column(batch.schema.get_field_index("embedding"))
+        n = batch.num_rows
+        sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        values = pc.fill_null(column.flatten(), np.nan).to_numpy(zero_copy_only=False)
+        first = np.cumsum(sizes) - sizes
+        unit = np.full(n, None, object)
+        # rows that link with nothing keep apart from each other
+        high, low = pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).copy(), np.zeros(n, np.int64)
+        for dim in np.unique(sizes[sizes > 0]):
+            at = np.flatnonzero(sizes == dim)
+            raw = values[first[at][:, None] + np.arange(dim)]
+            top = np.abs(raw).max(axis=1)
+            good = np.isfinite(raw).all(axis=1) & (top > 0)
+            at, raw, top = at[good], raw[good], top[good][:, None]
+            with np.errstate(over="ignore"):
+                norm = np.linalg.norm(raw / top, axis=1, keepdims=True) * top
+            good = np.isfinite(norm[:, 0])
+            at, raw, norm = at[good], raw[good] + 0.0, norm[good]
+            for k, vector, own in zip(at.tolist(), raw / norm, raw, strict=True):
+                unit[k] = vector.tobytes()
+                digest = xxhash.xxh3_128_digest(own.tobytes())
+                high[k], low[k] = int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(unit, pa.binary()), pa.array(high), pa.array(low)], names=["vec_id", "unit", "high", "low"])
+
+
+def _stacked(column: pa.Array) -> np.ndarray:
+    """Vectors of equal length, one a row."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(len(column), -1)
+
+
+def _filters(plans: dict[int, tuple[int, float]]):
     def run(batches):
         for batch in batches:
-            raws = [x.as_buffer() for x in batch.column(batch.schema.get_field_index("unit"))]
-            dims = np.asarray([len(x) // 8 for x in raws])
-            found = np.empty(len(raws), object)
+            units = batch.column(batch.schema.get_field_index("unit"))
+            dims = pc.binary_length(units).to_numpy() // 8
             for dim in np.unique(dims):
-                at = np.flatnonzero(dims == dim)
-                size, alpha = size_of[int(dim)]
-                for low in range(0, len(at), 512):
-                    rows = at[low : low + 512]
-                    vectors = np.stack([np.frombuffer(raws[k], np.float64) for k in rows])
-                    parts = [decode(vectors, size, r, alpha) for r in range(ROTATIONS)]
-                    for x, k in enumerate(rows):
-                        # number of the filter, beyond those of other codes; the dimension keeps lengths apart
-                        found[k] = np.concatenate([p[x] + r * size * size for r, p in enumerate(parts)]) * 65536 + dim % 65536
-            yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")), pa.array(list(found), pa.list_(pa.int64()))], names=["node", "filters"])
+                rows = np.flatnonzero(dims == dim)
+                size, alpha = plans[filled(int(dim))]
+                step = max(8, SCORES // (PARTS * size))
+                for low in range(0, len(rows), step):
+                    some = pa.array(rows[low : low + step])
+                    vectors = _stacked(units.take(some))
+                    parts = [decode(vectors, size, seed, alpha) for seed in range(ROTATIONS)]
+                    row = np.concatenate([x for x, _ in parts])
+                    # number of the filter, beyond those of other codes; the dimension keeps lengths apart
+                    number = np.concatenate([x + seed * size**PARTS for seed, (_, x) in enumerate(parts)]) * 65536 + dim % 65536
+                    order = np.argsort(row, kind="stable")
+                    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(some)))]).astype(np.int32)
+                    lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(number[order]))
+                    yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("node")).take(some), lists], names=["node", "filters"])
 
     return run
 
@@ -125,8 +188,14 @@ def _verify(cosine: float):
     def run(batches):
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name))
-            hit = [bool(len(x.as_buffer()) == len(y.as_buffer()) and np.frombuffer(x.as_buffer(), np.float64) @ np.frombuffer(y.as_buffer(), np.float64) >= cosine) for x, y in zip(get("ua"), get("ub"), strict=True)]
-            yield pa.RecordBatch.from_arrays([get("a"), get("b"), get("ca"), get("cb")], names=["a", "b", "ca", "cb"]).filter(pa.array(hit, pa.bool_()))
+            dims, others = (pc.binary_length(get(x)).to_numpy() for x in ("ua", "ub"))
+            hit = np.zeros(batch.num_rows, bool)
+            for dim in np.unique(dims):
+                at = np.flatnonzero((dims == dim) & (others == dim))
+                if len(at):
+                    one, other = (_stacked(get(x).take(pa.array(at))) for x in ("ua", "ub"))
+                    hit[at] = np.einsum("ij,ij->i", one, other) >= cosine
+            yield pa.RecordBatch.from_arrays([get("a"), get("b"), get("ca"), get("cb")], names=["a", "b", "ca", "cb"]).filter(pa.array(hit))
 
     return run
 
@@ -164,7 +233,8 @@ def embedding_duplicates(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept.
 
     Null or zero vectors, and those with null or non-finite components, link
-    with nothing; so do vectors of unlike length. Rows that share a vec_id are
+    with nothing; so do vectors of unlike length. A cosine of exactly `cosine`
+    (in double precision) links. Other columns of the table are not read. Rows that share a vec_id are
     one node, though each counts as a link of its equals. A null vec_id links
     with nothing: 0 links, null component, kept true. An empty table gives no
     rows.
@@ -174,9 +244,17 @@ def embedding_duplicates(table: DataFrame, cosine: float = 0.95) -> DataFrame:
     rows = tables.save(lean.mapInArrow(_unit, "vec_id long, unit binary, high long, low long"), "unit")
     usable = rows.where("unit IS NOT NULL AND vec_id IS NOT NULL")
     classes = tables.save(usable.groupBy("high", "low").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit")), "classes")
-    # one row for each vector length
-    lengths = {r["d"]: r["n"] for r in classes.groupBy(F.expr("cast(octet_length(unit) / 8 as int)").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    passed = tables.save(classes.select("node", "unit").mapInArrow(_filters({d: plan_code(d, n) for d, n in lengths.items()}), "node long, filters array<long>"), "filters")
+    by_length = classes.groupBy(F.expr("cast(octet_length(unit) / 8 as int)").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    # the lengths to which vectors are filled: some twenty, whatever the table
+    top = by_length.agg(F.max("d")).first()[0] or 0
+    steps = [12]
+    while steps[-1] < top:
+        steps.append(filled(steps[-1] + 1))
+    # the least length of each, as fewer dimensions ask for a lower threshold
+    step = F.element_at(F.filter(F.array(*map(F.lit, steps)), lambda x: x >= F.col("d")), 1)
+    wanted = by_length.groupBy(step.alias("step")).agg(F.min("d").cast("long").alias("d"), F.sum("n").alias("n")).select("d", "n")
+    plans = {filled(r["d"]): (r["size"], r["alpha"]) for r in wanted.mapInArrow(_plans(cosine), "d long, size long, alpha double").collect()}
+    passed = tables.save(classes.select("node", "unit").mapInArrow(_filters(plans), "node long, filters array<long>"), "filters")
     listed = passed.select("node", F.explode("filters").alias("filter"))
     shared = listed.groupBy("filter").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     members = tables.save(listed.join(shared, "filter"), "members")
