@@ -1,7 +1,8 @@
 """Line dedup by a log-template tree (operator 4).
 
 A line's tokens are split at white space; tokens with a digit are variable
-fields. The tree has a fixed depth: lines fall into a leaf by their number of
+fields, where most of the line's tokens are not (other lines are taken as they
+are). The tree has a fixed depth: lines fall into a leaf by their number of
 tokens and their first LEADING tokens (fields as wildcards). Within a leaf,
 lines that agree once fields are wildcards have one template. A leaf of
 several such templates is generalised: a position where one token holds
@@ -9,20 +10,17 @@ STABLE of the leaf's lines is a constant, every other is a variable field too,
 and lines that agree with at least SIMILAR of the constants, where most of the
 template is constant, belong to the leaf's general template.
 
-drop_recurring_lines also looks for several templates in a leaf. A line's
-frequent tokens (at least so many of the leaf's lines have them at that
-position, for counts from DOCUMENTS up in powers of two), or all of the least
-frequent but one, are the constants of a family; each family is judged on its
-own members' documents. line_digest, which has SQL, keeps to one template.
+A leaf may hold several templates besides. A line's frequent tokens (at least
+so many of the leaf's lines have them at that position, for counts from
+DOCUMENTS up in powers of two), or all of the least frequent but one, are the
+constants of a family; each family is judged on its own members' documents.
 
 A template that occurs in DOCUMENTS documents or more is recurring: all its
 lines are dropped but those of its first document (the smallest doc_id), so
 one copy of what is said stays in the corpus. Lines without a token are left
 alone. Lines of fewer than MIN_TOKENS tokens and SHORT characters ask
 SHORT_DOCUMENTS documents, and long ones (LONG tokens, or LONG_CHARACTERS in
-fewer than MIN_TOKENS, as in scripts without spaces) ask LONG_DOCUMENTS. With
-line_digest, which has SQL, lines of fewer than MIN_TOKENS are left alone, and
-all others ask DOCUMENTS.
+fewer than MIN_TOKENS, as in scripts without spaces) ask LONG_DOCUMENTS.
 
 Only DataFrame functions run. A document sends each template once, counts are
 aggregated before they are exchanged, and no task holds a template's lines.
@@ -47,9 +45,16 @@ SLOTS = 1 << 20
 _LAST = 2**63 - 1
 
 
+_BLANK = r" \t\r\x0b\f"
+
+
 def _tokens(line: Column) -> Column:
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, r"(?<![^ \t])[^ \t]*[0-9][^ \t]*", FIELD)).otherwise(line)
-    return F.split(F.btrim(masked, F.lit(" \t\r\x0b\f")), "[ \t\r\x0b\f]+")
+    """Tokens of a line, fields masked where they are fewer than half of all."""
+    trimmed = F.btrim(line, F.lit(" \t\r\x0b\f"))
+    masked = F.split(F.regexp_replace(trimmed, rf"(?<![^{_BLANK}])[^{_BLANK}]*[0-9][^{_BLANK}]*", FIELD), f"[{_BLANK}]+")
+    plain = F.split(trimmed, f"[{_BLANK}]+")
+    fields = F.size(F.filter(masked, lambda x: x == FIELD))
+    return F.when(line.rlike("[0-9]"), F.when(2 * fields < F.size(masked), masked).otherwise(plain)).otherwise(plain)
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -66,17 +71,16 @@ def _least() -> Column:
     return least.when(few & (characters < SHORT), SHORT_DOCUMENTS).otherwise(DOCUMENTS)
 
 
-def _lines(docs: DataFrame, families: bool) -> DataFrame:
+def _lines(docs: DataFrame) -> DataFrame:
     """One row per line: __id, __text, __at, leaf, template, least."""
     rows = _keys(docs).select("__id", "__text", F.posexplode(F.split("__body", "\n")).alias("__at", "__line"))
-    tokens = rows.select("__id", "__text", "__at", _tokens(F.col("__line")).alias("tokens")).where(F.col("tokens")[0] != "" if families else F.size("tokens") >= MIN_TOKENS)
-    least = _least() if families else F.lit(DOCUMENTS)
-    return tokens.select("__id", "__text", "__at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"), least.alias("least"))
+    tokens = rows.select("__id", "__text", "__at", _tokens(F.col("__line")).alias("tokens")).where(F.col("tokens")[0] != "")
+    return tokens.select("__id", "__text", "__at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"), _least().alias("least"))
 
 
-def recurring_lines(docs: DataFrame, tables: WorkTables, families: bool = True) -> DataFrame:
-    """Lines to drop: __id, __text, __drop (an array of line numbers); without families as in SQL."""
-    lines = tables.save(_lines(docs, families), "lines")
+def recurring_lines(docs: DataFrame, tables: WorkTables) -> DataFrame:
+    """Lines to drop: __id, __text, __drop (an array of line numbers)."""
+    lines = tables.save(_lines(docs), "lines")
     number = F.coalesce("__id", F.lit(_LAST))
     document = F.xxhash64("__id", "__text")
     once = lines.groupBy("leaf", "template", "__id", "__text").agg(F.max("least").alias("least"))
@@ -87,10 +91,7 @@ def recurring_lines(docs: DataFrame, tables: WorkTables, families: bool = True)
     wide = sums.groupBy("leaf").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("documents"), F.max("least").alias("least"))
     wide = wide.where((F.col("templates") > 1) & (F.col("documents") >= F.col("least"))).select("leaf")
     rows = _wide(docs, sums.drop("least").join(wide, "leaf"), tables)
-    general = _general(rows)
-    if families:
-        general = general.unionByName(_families(rows, tables))
-    found = exact.unionByName(general).groupBy("leaf", "template").agg(F.min("first").alias("first"))
+    found = exact.unionByName(_general(rows)).unionByName(_families(rows, tables)).groupBy("leaf", "template").agg(F.min("first").alias("first"))
     hit = lines.join(tables.save(found, "found"), ["leaf", "template"]).where(number != F.col("first"))
     return hit.groupBy("__id", "__text").agg(F.collect_set("__at").alias("__drop"))
 
@@ -139,7 +140,7 @@ def _families(rows: DataFrame, tables: WorkTables) -> DataFrame:
     marks = marks.withColumn("marks", F.filter("marks", lambda m: m["held"] >= F.col("least"))).where(F.size("marks") > 0)
     joined = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda all_, m: all_.bitwiseXOR(m["h"]))
     family = lambda key, fixed: F.struct(key.alias("key"), fixed.alias("fixed"))
-    highest = F.floor(F.log2(F.array_max(F.transform("marks", lambda m: m["held"])) / F.col("least"))).cast("int")
+    highest = F.length(F.bin(F.floor(F.array_max(F.transform("marks", lambda m: m["held"])) / F.col("least")))) - 1  # of the powers of two
     levels = F.transform(F.sequence(F.lit(0), highest), lambda k: F.filter("marks", lambda m: m["held"] >= F.col("least") * F.pow(F.lit(2), k)))
     shared = F.transform(levels, lambda some: family(joined(some), F.size(some)))
     but_one = F.transform("marks", lambda m: family(F.col("every").bitwiseXOR(m["h"]), F.size("marks") - 1))
@@ -158,7 +159,7 @@ def drop_recurring_lines(docs: DataFrame) -> DataFrame:
     """docs with recurring lines taken out of text; n_chars, where present, is counted anew.
 
     Null texts stay null; a text all of whose lines go becomes empty, and its
-    row stays. Rows that agree in doc_id and text are one document. A null
+    row stays. Texts of any length are read whole. Rows that agree in doc_id and text are one document. A null
     doc_id comes last in the choice of a first document. An empty table gives
     no rows. Columns other than text and n_chars pass through.
     """
@@ -186,43 +187,70 @@ def _without(docs: DataFrame, drops: DataFrame) -> DataFrame:
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_lines, n_dropped, text_md5 of the text that is left (null: empty)."""
+    """One row per document: doc_id, n_lines, n_dropped, text_md5 of the text that is left (null: empty).
+
+    The same rules, and the same cases, as drop_recurring_lines. Other columns
+    of docs are not read.
+    """
     lean = docs.select("doc_id", "text")
     tables = WorkTables(docs.sparkSession, "linedup")
-    out = _marked(lean, tables.save(recurring_lines(lean, tables, families=False), "drops"))
+    out = _marked(lean, tables.save(recurring_lines(lean, tables), "drops"))
     n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n")))
     dropped = F.when(F.col("__drop").isNull(), 0).otherwise(F.size("__drop"))
     return out.select("doc_id", n_lines.cast("long").alias("n_lines"), dropped.cast("long").alias("n_dropped"), F.md5(F.coalesce("__left", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 SQL = r"""
-WITH l AS (
-  SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS at
-  FROM documents WHERE text IS NOT NULL),
-t AS (
-  SELECT *, list_transform(list_filter(regexp_split_to_array(line, '[ 	
-]+'), lambda x: x <> ''),
-                           lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS tok FROM l),
-k AS (SELECT *, len(tok) AS n, tok[1:3] AS head FROM t WHERE len(tok) >= 3),
-s AS (SELECT n, head, tok, count(DISTINCT (doc_id, md5(text))) AS docs, min(doc_id) AS first FROM k GROUP BY n, head, tok),
-w AS (SELECT n, head, sum(docs) AS lines FROM s GROUP BY n, head HAVING count(*) > 1 AND sum(docs) >= 3),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS num, text, md5(text) AS h FROM documents),
+l AS (
+  SELECT rid, num, h, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS ln
+  FROM d WHERE text IS NOT NULL),
+u AS (
+  SELECT *, list_transform(raw, lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN '<*>' ELSE x END) AS msk
+  FROM (SELECT *, list_filter(regexp_split_to_array(line, '[ \t\r\x0b\f]+'), lambda x: x <> '') AS raw FROM l)),
+t AS (SELECT *, CASE WHEN 2 * len(list_filter(msk, lambda x: x = '<*>')) < len(msk) THEN msk ELSE raw END AS tok FROM u),
+k AS (
+  SELECT rid, num, h, ln, tok, len(tok) AS n, tok[1:3] AS head,
+         CASE WHEN len(tok) >= 50 OR (len(tok) < 3 AND length(array_to_string(tok, '')) >= 300) THEN 2
+              WHEN len(tok) < 3 AND length(array_to_string(tok, '')) < 18 THEN 10 ELSE 3 END AS least
+  FROM t WHERE len(tok) >= 1),
+s AS (SELECT n, head, tok, any_value(least) AS least, count(DISTINCT (num, h)) AS docs, min(num) AS first FROM k GROUP BY n, head, tok),
+w AS (SELECT n, head, sum(docs)::BIGINT AS lines FROM s WHERE n >= 3 GROUP BY n, head HAVING count(*) > 1 AND sum(docs) >= max(least)),
 x AS (SELECT s.*, lines, row_number() OVER () AS id FROM s JOIN w ON s.n = w.n AND s.head = w.head),
-p AS (SELECT n, head, id, docs, lines, unnest(range(1, n + 1)) AS pos, unnest(tok) AS token FROM x),
+p AS (SELECT n, head, id, docs, lines, least, unnest(range(1, n + 1)) AS pos, unnest(tok) AS token FROM x),
 c AS (SELECT n, head, pos, token FROM p GROUP BY n, head, pos, token, lines HAVING sum(docs) >= 0.9 * lines AND token <> '<*>'),
 f AS (SELECT n, head, count(*) AS fixed FROM c GROUP BY n, head HAVING count(*) * 2 > n),
 m AS (
   SELECT p.id FROM p JOIN c ON p.n = c.n AND p.head = c.head AND p.pos = c.pos AND p.token = c.token
   JOIN f ON p.n = f.n AND p.head = f.head GROUP BY p.id, fixed HAVING count(*) >= 0.9 * fixed),
 g AS (SELECT n, head, min(first) AS first FROM x JOIN m USING (id) GROUP BY n, head HAVING sum(docs) >= 3),
+v AS (SELECT n, head, pos, token, sum(docs)::BIGINT AS held FROM p WHERE token <> '<*>' GROUP BY n, head, pos, token HAVING sum(docs) >= 2),
+y AS (
+  SELECT id, any_value(p.least) AS least, list({'p': p.pos, 't': p.token, 'h': held} ORDER BY p.pos) AS marks
+  FROM p JOIN v ON p.n = v.n AND p.head = v.head AND p.pos = v.pos AND p.token = v.token WHERE held >= least GROUP BY id),
+z AS (
+  SELECT id, list_filter(marks, lambda e: e.h >= least * (1::BIGINT << e2)) AS chosen
+  FROM (SELECT *, unnest(range(0, length(bin(list_max(list_transform(marks, lambda e: e.h)) // least)))) AS e2 FROM y)
+  UNION ALL
+  SELECT id, list_filter(marks, lambda e: e.p <> q) FROM (SELECT *, unnest(list_transform(marks, lambda e: e.p)) AS q FROM y)),
+i AS (
+  SELECT DISTINCT x.n, x.head, x.least, x.id, list_transform(chosen, lambda e: {'p': e.p, 't': e.t}) AS key
+  FROM z JOIN x USING (id) WHERE len(chosen) * 2 > x.n),
+j AS (SELECT n, head, key FROM i GROUP BY n, head, key HAVING count(*) > 1),
+e AS (SELECT DISTINCT x.id, k.num, k.h FROM x JOIN k ON x.n = k.n AND x.head = k.head AND x.tok = k.tok),
+q AS (
+  SELECT i.n, i.head, i.key, min(e.num) AS first FROM i JOIN j ON i.n = j.n AND i.head = j.head AND i.key = j.key JOIN e USING (id)
+  GROUP BY i.n, i.head, i.key HAVING count(DISTINCT (e.num, e.h)) >= any_value(i.least)),
 a AS (
-  SELECT n, head, tok, first FROM s WHERE docs >= 3
-  UNION ALL SELECT x.n, x.head, x.tok, g.first FROM x JOIN m USING (id) JOIN g ON x.n = g.n AND x.head = g.head),
+  SELECT n, head, tok, first FROM s WHERE docs >= least
+  UNION ALL SELECT x.n, x.head, x.tok, g.first FROM x JOIN m USING (id) JOIN g ON x.n = g.n AND x.head = g.head
+  UNION ALL SELECT x.n, x.head, x.tok, q.first FROM x JOIN i USING (id) JOIN q ON i.n = q.n AND i.head = q.head AND i.key = q.key),
 b AS (SELECT n, head, tok, min(first) AS first FROM a GROUP BY n, head, tok),
-r AS (SELECT k.doc_id, k.at FROM k JOIN b ON k.n = b.n AND k.head = b.head AND k.tok = b.tok WHERE k.doc_id <> b.first),
+r AS (SELECT k.rid, k.ln FROM k JOIN b ON k.n = b.n AND k.head = b.head AND k.tok = b.tok WHERE k.num <> b.first),
 o AS (
-  SELECT l.doc_id, count(*) AS n_lines, count(r.at) AS n_dropped,
-         md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.at) FILTER (r.at IS NULL), '')) AS text_md5
-  FROM l LEFT JOIN r ON r.doc_id = l.doc_id AND r.at = l.at GROUP BY l.doc_id)
+  SELECT l.rid, count(*) AS n_lines, count(r.ln) AS n_dropped,
+         md5(coalesce(string_agg(l.line, chr(10) ORDER BY l.ln) FILTER (r.ln IS NULL), '')) AS text_md5
+  FROM l LEFT JOIN r ON r.rid = l.rid AND r.ln = l.ln GROUP BY l.rid)
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, coalesce(text_md5, md5('')) AS text_md5
-FROM documents d LEFT JOIN o USING (doc_id)
+FROM d LEFT JOIN o USING (rid)
 """
