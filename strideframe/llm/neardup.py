@@ -18,9 +18,9 @@ pairs across components. In larger ones, members outside a random leader's
 component are compared with that leader, ROUNDS times; what is still open is
 compared exhaustively across components, in blocks of two chunks of members
 whose sets meet in one task, which returns links only. A block looks at a pair
-in the first bucket that it shares, and reads the full sets unless the
-sketches differ by more than SIGMAS standard deviations from the threshold.
-Links inside one component cannot change the result.
+in the first bucket that it shares and reads the full sets, unless the two are
+joined by then: links inside one component cannot change the result. Chunks
+are bounded by rows and by the bytes of their sets.
 """
 
 from __future__ import annotations
@@ -40,8 +40,7 @@ SHINGLE = 5
 ROWS, BANDS = 6, 40
 BINS = ROWS * BANDS
 #: Members of a bucket whose pairs are listed, rounds with a random leader, and members of a chunk of a larger bucket.
-SMALL, ROUNDS, CHUNK = 12, 2, 256
-SIGMAS = 6
+SMALL, ROUNDS, CHUNK, CHUNK_BYTES = 12, 2, 256, 16 << 20
 #: Pairs in an Arrow batch, as each carries both full sets.
 PAIRS = 64
 #: Pairs of one leader that one task may hold.
@@ -105,8 +104,6 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 def block_links(percent: int, band: int, nodes, roots, chunks, tables, sets) -> list[tuple[int, int]]:
     """Links across components between two chunks (or within one) of a bucket; enough of them to join what is linked."""
-    need = percent / 100
-    least = BINS * (need - SIGMAS * (need * (1 - need) / BINS) ** 0.5)
     one = chunks == chunks.min()
     left, right = np.flatnonzero(one), np.flatnonzero(~one) if not one.all() else np.flatnonzero(one)
     tried = []
@@ -114,7 +111,7 @@ def block_links(percent: int, band: int, nodes, roots, chunks, tables, sets) ->
         same = tables[k] == tables[right]
         count = same.sum(axis=1)
         first = same.reshape(len(right), BANDS, ROWS).all(axis=2).argmax(axis=1)
-        fit = (count >= least) & (first == band) & (roots[k] != roots[right]) & ((nodes[k] < nodes[right]) | (chunks[k] != chunks[right]))
+        fit = (first == band) & (roots[k] != roots[right]) & ((nodes[k] < nodes[right]) | (chunks[k] != chunks[right]))
         tried += [(-int(count[x]), int(k), int(right[x])) for x in np.flatnonzero(fit)]
     top = {r: r for r in roots.tolist()}
 
@@ -188,7 +185,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) across components within the buckets of rows (place, band, node, root, members)."""
+    """Links (a, b) across components within the buckets of rows (place, band, node, root, members, bytes)."""
 
     def compare(table: pa.Table) -> pa.Table:
         get = lambda name: table.column(name).combine_chunks()
@@ -197,7 +194,7 @@ def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         found = block_links(percent, get("place")[0].as_py(), *values, low, [x.as_buffer() for x in get("items")])
         return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
 
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    chunks = F.ceil(F.greatest(F.col("members") / CHUNK, F.col("bytes") / CHUNK_BYTES)).cast("int")
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     dealt = dealt.select("place", "band", "node", "root", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
     return dealt.join(sets, "node").groupBy("band", "place", "low", "high").applyInArrow(compare, "a long, b long")
@@ -206,18 +203,19 @@ def _blocks(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
-    Lower-cased (A-Z) words of whole texts. Null text, and text without words,
-    has no shingles and links with nothing. Rows that share a doc_id are one
+    Lower-cased (A-Z) words of whole texts, however long. Null text, and text
+    without words, has no shingles and links with nothing. Sets at exactly
+    `percent` link. Other columns of docs are not read. Rows that share a doc_id are one
     node. A null doc_id links with nothing: component_id is null and kept true.
     An empty table gives no rows.
     """
     tables = WorkTables(docs.sparkSession, "neardup")
     rows = tables.save(_lean(docs).mapInArrow(releasing(_features), "doc_id long, n_shingles long, high long, low long, bands array<long>"), "features")
     linkable = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = tables.save(linkable.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands")), "classes")
-    buckets = classes.select("node", F.posexplode("bands").alias("place", "band"))
+    classes = tables.save(linkable.groupBy("high", "low").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.max(F.col("n_shingles") * 8).alias("size")), "classes")
+    buckets = classes.select("node", "size", F.posexplode("bands").alias("place", "band"))
     shared = buckets.groupBy("band").agg(F.min("node").alias("leader"), F.max("node").alias("top")).where("leader <> top").select("band", "leader")
-    members = tables.save(buckets.join(shared, "band").select("place", "band", "node", "leader"), "members")
+    members = tables.save(buckets.join(shared, "band").select("place", "band", "node", "size", "leader"), "members")
 
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
     texts = _lean(docs).join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text")
@@ -230,8 +228,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     labels = components(links, tables)
     members = members.drop("leader")
     for step in range(ROUNDS + 1):
-        placed = members.join(labels, "node", "left").select("place", "band", "node", F.coalesce("root", "node").alias("root"))
-        still = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members")).where("r0 <> r1").select("band", "members")
+        placed = members.join(labels, "node", "left").select("place", "band", "node", "size", F.coalesce("root", "node").alias("root"))
+        still = placed.groupBy("band").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("members"), F.sum("size").alias("bytes")).where("r0 <> r1").select("band", "members", "bytes")
         opened = tables.save(placed.join(still, "band"), "open")
         large = opened.where(F.col("members") > SMALL)
         if step < ROUNDS:
@@ -248,7 +246,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
         if not found.isEmpty():
             links = tables.save(links.unionByName(found), "links")
             labels = components(links, tables)
-        members = large.select("place", "band", "node")
+        members = large.select("place", "band", "node", "size")
 
     ids = classes.select("high", "low", "node").join(labels, "node", "left").select("high", "low", F.coalesce("root", "node").alias("root"))
     out = rows.select("doc_id", "n_shingles", "high", "low").join(ids, ["high", "low"], "left")
