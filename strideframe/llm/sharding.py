@@ -10,11 +10,9 @@ one at most and both can be computed from a row number alone.
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark import TaskContext
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 from pyspark.sql.window import Window as W
 
 from .common import WorkTables, mix64
@@ -49,22 +47,24 @@ def numbered(rows: DataFrame, order: list[str], tables: WorkTables) -> DataFrame
     """
     salted = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id() * 48271, F.lit(65521)))
     keys = [*order, "__salt"]
-    schema = StructType([*rows.schema.fields, StructField("__part", IntegerType()), StructField("__local", LongType())])
-    names = rows.columns
-
-    def number(batches):
-        part, start = TaskContext.get().partitionId(), 0
-        for batch in batches:
-            arrays = [batch.column(batch.schema.get_field_index(x)) for x in names]
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(np.full(n, part, np.int32)), pa.array(np.arange(start, start + n))], names=[*names, "__part", "__local"])
-            start += n
-
-    table = tables.save(salted.repartitionByRange(*keys).sortWithinPartitions(*keys).mapInArrow(number, schema), "numbered")
+    # partition in the upper bits, place within it in the lower 33
+    placed = salted.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__salt").withColumn("__id", F.monotonically_increasing_id())
+    table = tables.save(placed, "numbered").withColumns({"__part": F.shiftright("__id", 33), "__local": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = table.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = F.coalesce(F.sum("__n").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("__part", before.alias("__before"))
-    return table.join(starts, "__part").withColumn("__row", F.col("__before") + F.col("__local")).drop("__part", "__local", "__before")
+    return table.join(starts, "__part").withColumn("__row", F.col("__before") + F.col("__local")).drop("__id", "__part", "__local", "__before")
+
+
+def placed(rows: DataFrame, total: int, shards: int, seed: int) -> DataFrame:
+    """rows with shard and slot in place of __row; only row numbers pass through Python."""
+
+    @F.pandas_udf("long")
+    def permuted(numbers: pd.Series) -> pd.Series:
+        return pd.Series(feistel(numbers.to_numpy(), total, seed))
+
+    found = rows.withColumn("__place", permuted("__row"))
+    return found.withColumns({"shard": (F.col("__place") % shards).cast("int"), "slot": F.floor(F.col("__place") / shards).cast("long")}).drop("__row", "__place")
 
 
 def shard_digest(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
@@ -72,45 +72,27 @@ def shard_digest(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFr
 
     The law is `rows`: counts of shards differ by one at most, slots are
     gapless from 0. Null text has size 1 and the checksum of no bytes. Null
-    doc_ids sort first. Rows equal in doc_id and text are interchangeable.
+    doc_ids sort first. Rows equal in doc_id and text are interchangeable. Texts
+    of any length count whole. Other columns of docs are not read. An empty
+    table gives no rows.
     """
     tables = WorkTables(docs.sparkSession, "shards")
     raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
     rows = numbered(lean, ["doc_id", "text_crc32", "size"], tables)
-    total = rows.count()
-    schema = "doc_id long, size long, text_crc32 long, law string, shard int, slot long, grown_shard int"
-
-    def place(batches):
-        for batch in batches:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))
-            p = feistel(get("__row").to_numpy(), total, seed)
-            n = batch.num_rows
-            yield pa.RecordBatch.from_arrays(
-                [get("doc_id"), get("size"), get("text_crc32"), pa.array(["rows"] * n), pa.array((p % shards).astype(np.int32)), pa.array(p // shards), pa.nulls(n, pa.int32())],
-                names=["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
-            )
-
-    return rows.mapInArrow(place, schema)
+    out = placed(rows, rows.count(), shards, seed)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = 0) -> DataFrame:
     """docs with shard and slot, ready for write.partitionBy("shard").
 
-    Placed by (doc_id, text) as in shard_digest; docs keeps all its columns, a
-    clashing shard or slot column is replaced.
+    Placed as in shard_digest; docs keeps all its columns, a clashing shard or
+    slot column is replaced. Texts pass one exchange and no Python.
     """
-    keyed = docs.drop("shard", "slot").withColumn("__crc", F.crc32(F.coalesce(F.col("text").cast("binary"), F.lit(b""))))
-    tables = WorkTables(docs.sparkSession, "shards")
-    rows = numbered(keyed, ["doc_id", "__crc"], tables)
-    total = rows.count()
-    names = [c for c in keyed.columns if c != "__crc"]
-    schema = StructType([*docs.drop("shard", "slot").schema.fields, StructField("shard", IntegerType()), StructField("slot", LongType())])
-
-    def place(batches):
-        for batch in batches:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))
-            p = feistel(get("__row").to_numpy(), total, seed)
-            yield pa.RecordBatch.from_arrays([*map(get, names), pa.array((p % shards).astype(np.int32)), pa.array(p // shards)], names=[*names, "shard", "slot"])
-
-    return rows.mapInArrow(place, schema)
+    docs = docs.drop("shard", "slot")
+    inner = [c if c in ("doc_id", "text") else f"column_{k}" for k, c in enumerate(docs.columns)]
+    raw = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    keyed = docs.toDF(*inner).withColumns({"__key": F.col("doc_id").cast("long"), "__crc": F.crc32(raw), "__size": F.octet_length(raw)})
+    rows = numbered(keyed, ["__key", "__crc", "__size"], WorkTables(docs.sparkSession, "shards"))
+    return placed(rows, rows.count(), shards, seed).select(*inner, "shard", "slot").toDF(*docs.columns, "shard", "slot")
