@@ -57,8 +57,8 @@ class WorkTables:
         self.root = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self.count = 0
 
-    def save(self, df: DataFrame, what: str = "t", batch: int | None = None) -> DataFrame:
-        """batch: rows of an Arrow batch while this table is made, where rows are very wide."""
+    def save(self, df: DataFrame, what: str = "t", batch: int | None = None, by: str | None = None) -> DataFrame:
+        """batch: rows of an Arrow batch while this table is made, where rows are very wide. by: a column of few values that readers select on."""
         self.count += 1
         path = f"{self.root}/{self.count:03d}-{what}"
         name = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -66,7 +66,7 @@ class WorkTables:
         if batch:
             self.spark.conf.set(name, str(batch))
         try:
-            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path, partitionBy=by)
         finally:
             self.spark.conf.set(name, usual)
         table = self.spark.read.schema(df.schema).parquet(path)

@@ -10,9 +10,14 @@ Softmax is factored: classes of about equal mass, then the words of a class.
 Documents run in LANES side by side; a lane's state is carried from window to
 window and cleared where a document starts, so a document's score is the log
 probability of the whole of it. Training is truncated backpropagation over
-windows of STEPS tokens with adaptive steps. Every partition trains from the
-same start over all of its training documents, and parameters are averaged by
-their tokens, in a tree of fan-in FAN.
+windows of STEPS tokens with adaptive steps.
+
+Training documents (those of more than CUT tokens in parts) are dealt by a hash
+of their id and text to shards of about SHARD_TOKENS tokens, and to ROUNDS
+rounds. In a round every shard starts from the same parameters and learns its
+documents of that round in the order of the hash; then parameters and step
+sizes are averaged by tokens, in a tree of fan-in FAN. So a score depends on
+the documents alone, not on how the table or the cluster is cut.
 """
 
 from __future__ import annotations
@@ -25,19 +30,24 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WorkTables, per_worker, pieces
+from .common import WorkTables, mix64, per_worker, pieces, releasing
 
 HEAD, VOCABULARY, CLASSES, HIDDEN = 1 << 18, 2047, 40, 16
-LANES, STEPS, RATE, CLIP = 256, 16, 0.05, 1.0
+LANES, STEPS, RATE, CLIP = 256, 32, 0.3, 1.0
 #: Scores are log masses and bounded states' products; none comes near this bound, which keeps exp finite.
 TOP = np.float32(60)
 FOLDS, HELD = 7, 2
+#: Tokens of a shard, of a part of a document in training, and rounds between which shards are averaged.
+SHARD_TOKENS, CUT, ROUNDS = 1 << 22, 4096, 4
+#: Tasks of a round at most; each takes its shards one after the other.
+TASKS = 10_000
 #: Distinct words that a task counts before it passes them on, and tables averaged at a time.
-FLUSH, FAN = 400_000, 32
+FLUSH, FAN = 400_000, 16
 #: No word holds a space.
 END = b" "
 
@@ -74,6 +84,17 @@ class Network:
         ]
         self.squares = [np.full(p.shape, 1e-2, np.float32) for p in self.params]
 
+    def packed(self) -> bytes:
+        """Parameters and their sums of squared gradients."""
+        return b"".join(x.tobytes() for x in [*self.params, *self.squares])
+
+    def unpack(self, raw: bytes) -> None:
+        flat, at = np.frombuffer(raw, np.float32).copy(), 0
+        for some in (self.params, self.squares):
+            for k, p in enumerate(some):
+                some[k] = flat[at : at + p.size].reshape(p.shape)
+                at += p.size
+
     def run(self, ids: np.ndarray, starts: np.ndarray, state: np.ndarray, keep: bool = False):
         """States before each token (steps, lanes, hidden), the last state, and what backpropagation needs."""
         h, kept = HIDDEN, []
@@ -239,36 +260,84 @@ def _head(key: str, shared) -> dict[bytes, int]:
     return per_worker("head", key, lambda: {w: k for k, w in enumerate(pickle.loads(shared.value)["words"])})
 
 
-def _train(key: str, shared, symbols: int):
+def _symbols(shared, symbols: int, shards: int):
+    """Training documents as symbols: round, shard, place (a hash), and the symbols' 16 bits each."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = pickle.loads(shared.value)
         index = {w: k for k, w in enumerate(plan["words"][: symbols - 1])}
-        network, lanes, state, seen = Network(plan["symbols"]), Lanes(), np.zeros((LANES, HIDDEN), np.float32), 0
         for batch in pieces(batches):
+            parts, keys = [], []
             for doc, raw in zip(_column(batch, "doc_id"), _column(batch, "text"), strict=True):
                 if fold(doc) != HELD:
                     words = tokens_of(raw)
-                    lanes.add(np.fromiter(map(index.get, words, repeat(symbols - 1)), np.int64, len(words)))
-            for at, ids, starts, _ in lanes.windows():
+                    found = np.fromiter(map(index.get, words, repeat(symbols - 1)), "<u2", len(words))
+                    seed = xxhash.xxh3_64_intdigest(raw or b"", seed=(doc or 0) & 0xFFFFFFFF)
+                    parts += [found[k : k + CUT].tobytes() for k in range(0, len(found), CUT)]
+                    keys += [(seed + k) & 0xFFFFFFFFFFFFFFFF for k in range(-(-len(found) // CUT))]
+            key = mix64(np.asarray(keys, np.uint64))
+            columns = [pa.array((key >> np.uint64(40)) % np.uint64(ROUNDS), pa.int32()), pa.array((mix64(key) % np.uint64(shards)).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(parts, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["round", "shard", "place", "symbols"])
+
+    return run
+
+
+def _train(shared, model):
+    """One row per shard: tokens seen and the parameters; rows come sorted by shard and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plan, current = pickle.loads(shared.value), None
+
+        def end():
+            learn(True)
+            return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([seen], pa.int64()), pa.array([network.packed()], pa.binary())], names=["part", "seen", "params"])
+
+        def learn(last: bool):
+            nonlocal seen
+            for at, ids, starts, _ in lanes.windows(last):
                 state[at] = network.learn(ids, starts, state[at])
                 seen += ids.size
-        for at, ids, starts, _ in lanes.windows(last=True):
-            state[at] = network.learn(ids, starts, state[at])
-            seen += ids.size
-        flat = np.concatenate([p.reshape(-1) for p in network.params])
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([seen], pa.int64()), pa.array([flat.tobytes()], pa.binary())], names=["part", "seen", "params"])
+
+        for batch in pieces(batches, "symbols"):
+            for shard, raw in zip(_column(batch, "shard"), _column(batch, "symbols"), strict=True):
+                if shard != current:
+                    if current is not None:
+                        yield end()
+                    current, seen, network, lanes, state = shard, 0, Network(plan["symbols"]), Lanes(), np.zeros((LANES, HIDDEN), np.float32)
+                    network.unpack(model.value)
+                lanes.add(np.frombuffer(raw, "<u2").astype(np.int64))
+            learn(False)
+        if current is not None:
+            yield end()
 
     return run
 
 
 def _mean(table: pa.Table) -> pa.Table:
     seen, total = 0, None
-    for k in range(table.num_rows):
+    for k in np.argsort(table.column("part").to_numpy()):
         n = table.column("seen")[k].as_py()
-        one = np.frombuffer(table.column("params")[k].as_py(), np.float32).astype(np.float64) * max(n, 1e-9)
+        one = np.frombuffer(table.column("params")[k].as_py(), np.float32).astype(np.float64) * n
         total, seen = one if total is None else total + one, seen + n
-    mean = (total / max(seen, 1e-9 * table.num_rows)).astype(np.float32)
-    return pa.table({"part": [table.column("part")[0].as_py() // FAN], "seen": [seen], "params": pa.array([mean.tobytes()], pa.binary())})
+    return pa.table({"part": [table.column("part")[0].as_py() // FAN], "seen": [seen], "params": pa.array([(total / seen).astype(np.float32).tobytes()], pa.binary())})
+
+
+def _learned(lean: DataFrame, tables: WorkTables, shared, symbols: int, train_tokens: int, start: bytes) -> bytes:
+    """The parameters after all rounds."""
+    spark = lean.sparkSession
+    shards = max(1, -(-train_tokens // SHARD_TOKENS))
+    dealt = tables.save(lean.mapInArrow(_symbols(shared, symbols, shards), "round int, shard long, place long, symbols binary"), "symbols", by="round")
+    params = start
+    for turn in range(ROUNDS):
+        model = spark.sparkContext.broadcast(params)
+        rows = dealt.where(F.col("round") == turn).select("shard", "place", "symbols").repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard", "place")
+        trained = tables.save(rows.mapInArrow(_train(shared, model), "part long, seen long, params binary"), "trained")
+        while trained.count() > 1:
+            group = trained.withColumn("group", F.floor(F.col("part") / FAN))
+            trained = tables.save(group.groupBy("group").applyInArrow(lambda t: _mean(t.select(["part", "seen", "params"])), "part long, seen long, params binary"), "trained")
+        found = trained.first()
+        params = bytes(found["params"]) if found else params
+    return params
 
 
 def _score(key: str, shared, model, symbols: int):
@@ -278,10 +347,8 @@ def _score(key: str, shared, model, symbols: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, plan = _head(key, shared), pickle.loads(shared.value)
         logs = np.log10(np.concatenate([plan["counts"], [0]]) + 1.0)  # the last: words beyond the head
-        network, flat, at = Network(plan["symbols"]), np.frombuffer(model.value, np.float32), 0
-        for k, p in enumerate(network.params):
-            network.params[k] = flat[at : at + p.size].reshape(p.shape)
-            at += p.size
+        network = Network(plan["symbols"])
+        network.unpack(model.value)
         lanes, state, base = Lanes(steps=64), np.zeros((LANES, HIDDEN), np.float32), TaskContext.get().partitionId() << 33
         rows: dict[int, list] = {}
 
@@ -320,15 +387,16 @@ def _score(key: str, shared, model, symbols: int):
 def lm_scores(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    Scores are log10 probabilities of whole texts. Null and empty texts are
-    the end token alone. A null doc_id is a training row. Repeated rows are
-    counted and scored each. Without training rows every word is unseen. An
-    empty table gives no rows.
+    Scores are log10 probabilities of whole texts, however long. Null and
+    empty texts are the end token alone. A null doc_id is a training row.
+    Repeated rows are counted and scored each. Words of equal counts are ranked
+    by their bytes. Without training rows every word is unseen. Other columns
+    of docs are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     tables = WorkTables(spark, "lm")
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    counts = tables.save(lean.mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
+    counts = tables.save(lean.mapInArrow(releasing(_count), "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     whole = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     n, v = whole["n"], whole["v"]
     top = counts.orderBy(F.desc("n"), "word").limit(HEAD).toArrow()  # HEAD rows at most
@@ -337,15 +405,10 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     others = n - int(head[: symbols - 1].sum())
     plan = {"words": [bytes(w) for w in words], "counts": head, "symbols": np.concatenate([head[: symbols - 1], [others]]).astype(np.float64)}
     shared, key = spark.sparkContext.broadcast(pickle.dumps(plan)), tables.root
-    trained = tables.save(lean.mapInArrow(_train(key, shared, symbols), "part long, seen long, params binary"), "trained")
-    while trained.count() > 1:
-        group = trained.withColumn("group", F.floor(F.col("part") / FAN))
-        trained = tables.save(group.groupBy("group").applyInArrow(lambda t: _mean(t.select(["part", "seen", "params"])), "part long, seen long, params binary"), "trained")
-    found = trained.first()
-    start = np.concatenate([p.reshape(-1) for p in Network(plan["symbols"]).params]).tobytes()
-    model = spark.sparkContext.broadcast(bytes(found["params"]) if found and found["seen"] else start)
+    params = _learned(lean, tables, shared, symbols, n, Network(plan["symbols"]).packed())
+    model = spark.sparkContext.broadcast(params)
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_counts double, rare double, log_prob double, outside long, tail array<binary>, tail_n array<long>"
-    rows = tables.save(lean.mapInArrow(_score(key, shared, model, symbols), schema), "scores")
+    rows = tables.save(lean.mapInArrow(releasing(_score(key, shared, model, symbols)), schema), "scores")
     tail = rows.select("uid", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select("uid", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("times"))
     # the tail's words are none of the HEAD most frequent
     joined = tail.join(counts, "word").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
