@@ -2,9 +2,11 @@
 
 import math
 import os
+import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -53,20 +55,57 @@ def test_embedding_duplicates(spark, monkeypatch, small, chunk):
     assert embdup.embedding_duplicates(df.limit(0)).count() == 0
 
 
-def test_filters_reach_pairs_at_the_threshold():
+@pytest.mark.parametrize(("dim", "count"), [(1, 50), (2, 1000), (4, 1000), (8, 50_000), (16, 20_000), (64, 20_000), (64, 10_000_000), (768, 1_000_000)])
+def test_filters_reach_pairs_at_the_threshold(dim, count):
     rng = np.random.default_rng(1)
-    v = rng.normal(size=(300, 64))
+    v = rng.normal(size=(300, dim))
     v /= np.linalg.norm(v, axis=1, keepdims=True)
     r = rng.normal(size=v.shape)
     r -= (r * v).sum(axis=1, keepdims=True) * v
-    w = 0.95 * v + math.sqrt(1 - 0.95**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
-    size, alpha = embdup.plan_code(64, 20_000)
+    w = v if dim == 1 else 0.95 * v + math.sqrt(1 - 0.95**2) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    size, alpha = embdup.plan_code(dim, count, 0.95)
     hit = np.zeros(300, bool)
     for k in range(embdup.ROTATIONS):
-        hit |= [bool(np.intersect1d(a, b).size) for a, b in zip(embdup.decode(v, size, k, alpha), embdup.decode(w, size, k, alpha), strict=True)]
+        (a, x), (b, y) = embdup.decode(v, size, k, alpha), embdup.decode(w, size, k, alpha)
+        both = set(zip(a.tolist(), x.tolist(), strict=True)) & set(zip(b.tolist(), y.tolist(), strict=True))
+        hit[[i for i, _ in both]] = True
     assert hit.mean() >= 0.98
 
 
+def test_decoding_lists_all_filters():
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(20, 13))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rotation, codes = embdup.code_book(16, 9, 4)
+    full = np.concatenate([v, np.zeros((20, 3))], axis=1) @ rotation
+    number = np.arange(9**3)
+    words = np.concatenate([codes[0][number // 81], codes[1][number // 9 % 9], codes[2][number % 9]], axis=1)
+    assert np.linalg.norm(words, axis=1) == pytest.approx(1)
+    want = {(int(a), int(b)) for a, b in zip(*np.nonzero(full @ words.T >= 0.45), strict=True)}
+    row, found = embdup.decode(v, 9, 4, 0.45)
+    assert len(row) == len(want) > 50 and set(zip(row.tolist(), found.tolist(), strict=True)) == want
+
+
+def test_recall_on_many_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(10_000, 32))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = rng.normal(size=base.shape)
+    near -= (near * base).sum(axis=1, keepdims=True) * base
+    near /= np.linalg.norm(near, axis=1, keepdims=True)
+    cosines = rng.uniform(0.94, 0.97, (10_000, 1))
+    every = np.concatenate([base, cosines * base + np.sqrt(1 - cosines**2) * near])
+    unit = every / np.linalg.norm(every, axis=1, keepdims=True)
+    links = np.zeros(len(unit), np.int64)
+    for low in range(0, len(unit), 1000):
+        links[low : low + 1000] = (unit[low : low + 1000] @ unit.T >= 0.95).sum(axis=1) - 1
+    df = spark.createDataFrame(pa.table({"vec_id": pa.array(np.arange(len(every))), "embedding": pa.array(list(every))}))
+    found = embdup.embedding_duplicates(df).toArrow()
+    got = np.zeros(len(unit), np.int64)
+    got[found.column("vec_id").to_numpy()] = found.column("n_links").to_numpy()
+    assert (got <= links).all() and got.sum() >= 0.98 * links.sum() > 5000
+
+
 def test_components(spark):
     tables = WorkTables(spark, "test")
     edges = [(k, k + 1) for k in range(40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (200, 201), (201, 200)]
@@ -87,6 +126,34 @@ def test_url_filter(spark):
     assert urlfilter.filter_urls(df, lists.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filter_equals_brute_force(spark):
+    rng = random.Random(6)
+    hosts = ["a.b.c.d.e.f.g.h.i.j.com", "b.c.d.e.f.g.h.i.j.com", "x.org", "y.x.org", "hot.x.org"]
+    suffixes = sorted({".".join(h.split(".")[k:]) for h in hosts for k in range(h.count(".") + 1)})
+    changes = [(rng.choice(suffixes), rng.choice(("block", "allow")), rng.randrange(40), rng.choice(("add", "remove"))) for _ in range(150)]
+    names = ("url", "fetched", "since", "until", "day", "__host", "blocked", "entry")
+    captures = [(f"http://{rng.choice([*hosts, 'hot.x.org', 'hot.x.org'])}/{'p' * rng.choice((1, 1, 50_000))}", rng.randrange(45), k, "u", "d", "h", "mine", "mine") for k in range(300)]
+    df, lists = spark.createDataFrame(captures, names), spark.createDataFrame(changes, "entry string, list string, day int, action string")
+
+    def verdict(host, day):
+        best = (0, False, None, None)
+        for entry in suffixes:
+            if host == entry or host.endswith("." + entry):
+                for name in ("block", "allow"):
+                    past = [(d, a == "add") for e, x, d, a in changes if (e, x) == (entry, name) and d <= day]
+                    if past and max(past)[1]:
+                        best = max(best, (len(entry), name == "allow", entry, name))
+        return best[2], best[3], best[3] == "block"
+
+    found = urlfilter.filter_urls(df, lists)
+    assert found.columns == ["url", "fetched", "since", "until", "day", "__host", "host", "entry", "list", "blocked"]
+    rows = {r["since"]: r for r in found.collect()}
+    assert len(rows) == 300 == found.count()
+    for url, day, k, *_ in captures:
+        host = url.split("/")[2]
+        assert (rows[k]["entry"], rows[k]["list"], rows[k]["blocked"]) == verdict(host, day) and rows[k]["until"] == "u" and rows[k]["host"] == host
+
+
 @pytest.mark.skipif(not HERE, reason="no test tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_equals_sql(spark, name):

@@ -91,6 +91,15 @@ def test_mix_emits_rows(spark, rows):
     assert words == sum(r["taken"] for r in mixing.mixing_digest(docs).collect())
 
 
+def test_mixing_spreads_rows_without_ids_and_keeps_other_columns(spark):
+    docs = spark.createDataFrame([(None, f"some words number {k}", "s0", 9, "mine") for k in range(200)], "doc_id long, text string, source string, size int, __src string")
+    found = mixing.mixed(docs)
+    assert found.columns == ["doc_id", "text", "source", "__src", "size", "source_size", "target", "copies"]
+    rows = found.collect()
+    assert {(r["__src"], r["size"], r["source_size"]) for r in rows} == {("mine", 4, 800)} and abs(sum(4 * r["copies"] for r in rows) - rows[0]["target"]) <= 4
+    assert sorted(map(str, mixing.mixed(docs.repartition(5)).collect())) == sorted(map(str, rows))
+
+
 def test_sharding(spark, rows):
     found = sharding.shard_digest(table(spark, rows), shards=16).collect()
     by_shard = collections.defaultdict(list)
@@ -107,6 +116,18 @@ def test_sharding(spark, rows):
     assert sharding.shard(table(spark, rows)).select("doc_id", "shard", "slot").distinct().count() >= len(rows) - 1
 
 
+def test_shards_equal_the_formula(spark, rows):
+    """Row numbers in the order of (id, checksum, size), permuted one by one."""
+    order = sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], zlib.crc32((r[1] or "").encode()), len((r[1] or "").encode())))
+    place = [int(sharding.feistel(np.array([k]), len(rows))[0]) for k in range(len(rows))]
+    want = collections.Counter((i, zlib.crc32((t or "").encode()), p % 16, p // 16) for (i, t, _), p in zip(order, place, strict=True))
+    assert collections.Counter((r["doc_id"], r["text_crc32"], r["shard"], r["slot"]) for r in sharding.shard_digest(table(spark, rows)).collect()) == want
+    odd = table(spark, rows).withColumnsRenamed({"source": "slot", "size": "column_3", "copies": "__row"})
+    whole = sharding.shard(odd)
+    assert whole.columns == ["doc_id", "text", "n_chars", "column_3", "__row", "__id", "shard", "slot"]
+    assert collections.Counter((r["doc_id"], zlib.crc32((r["text"] or "").encode()), r["shard"], r["slot"]) for r in whole.collect()) == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     assert sorted(sharding.feistel(np.arange(n), n, seed=5)) == list(range(n))
@@ -145,6 +166,36 @@ def test_quality_verdict(spark):
     assert quality.quality_digest(docs, labels.limit(0)).where("NOT kept AND NOT base_failed").count() == 0
 
 
+def test_quality_equals_brute_force(spark):
+    """Scores and verdicts, recounted without hashing into arrays: one plain sum per document."""
+    rng = random.Random(3)
+    good, bad, both = ([f"{x}{k}" for k in range(150)] for x in ("good", "bad", "all"))
+    docs = [(k, " ".join(rng.choice(both if rng.random() < 0.5 else good if k % 3 else bad) for _ in range(rng.choice((12, 40, 300)))), "s") for k in range(240)]
+    docs += [(None, docs[1][1], "s"), (300, docs[2][1], "s"), (300, docs[2][1], "s"), (301, None, "s"), (302, "", "s"), (303, " ".join(good) * 400, "s")]
+    labels = [(k, int(bool(k % 3)), 0) for k in range(0, 240, 2)]
+    model = quality.fit_quality(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    order = quality.labelled(spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), 1)
+    hashes = quality.word_hashes()
+    marks = lambda t: quality.features(hashes.array((t or "").encode().split())).tolist()
+    total, target = collections.Counter(), collections.Counter()
+    for i, t, _ in docs:
+        total.update(marks(t))
+        target.update(marks(t) if i in order[::2] else [])
+    n, m, b = sum(total.values()), sum(target.values()), quality.BUCKETS
+    weight = lambda k: math.log((target[k] + 1) / (m + b)) - math.log((total[k] + 1) / (n + b))
+    score = lambda t: sum(map(weight, marks(t))) / len(marks(t)) if marks(t) else 0.0
+    found = quality.quality_digest(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert len(found) == len(docs)
+    text, failed = {i: t for i, t, _ in docs}, {r["doc_id"]: r["base_failed"] for r in found}
+    kept = sorted(score(text[i]) for i in order[1::2] if not failed[i])
+    below = sorted(x for i, q, _ in labels if not q and not failed[i] and (x := score(text[i])) < kept[0])
+    edge = (kept[0] + below[int(0.99 * (len(below) - 1))]) / 2 if below else kept[0]
+    assert model.edge == pytest.approx(edge)
+    for r in found:
+        want = score(text[r["doc_id"]])
+        assert r["score"] == pytest.approx(want) and r["kept"] == (not r["base_failed"] and want >= edge)
+
+
 def components(rows, percent):
     """Brute force over all pairs; rows of one doc_id are one node."""
     sets, top = collections.defaultdict(list), {}
@@ -431,3 +482,57 @@ def test_empty_tables(spark):
     ]
     assert [r.count() for r in results] == [0] * len(results)
     assert none.select(F.lit(1)).count() == 0
+
+
+def test_lm_scores_do_not_depend_on_the_layout(spark, monkeypatch):
+    monkeypatch.setattr(lmscore, "SHARD_TOKENS", 6000)
+    rng = random.Random(11)
+    chain = {k: [rng.randrange(60) for _ in range(3)] for k in range(60)}
+
+    def say(n):
+        k, out = rng.randrange(60), []
+        for _ in range(n):
+            out.append(f"w{k}")
+            k = rng.choice(chain[k])
+        return " ".join(out)
+
+    docs = [(k, say(rng.choice((20, 60, 150))), "s0") for k in range(400)] + [(None, say(40), "s0"), (1000, say(9000), "s0")]
+    one, many = ({r["doc_id"]: r for r in lmscore.lm_scores(table(spark, docs).repartition(n)).collect()} for n in (1, 8))
+    assert len(one) == len(docs)
+    for i, r in one.items():
+        assert r["score"] == pytest.approx(many[i]["score"], rel=1e-4)
+    held = [r for r in one.values() if r["held_out"]]
+    assert sum(r["score"] for r in held) > 0.9 * sum(r["base_score"] for r in held)
+
+
+def plain_log_prob(net, symbols):
+    """Step by step, one token after the other, in double precision."""
+    wx, wh, wc, bc, ww, bw = (p.astype(np.float64) for p in net.params)
+    h, s, total = lmscore.HIDDEN, np.zeros(lmscore.HIDDEN), 0.0
+    soft = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+    for k in symbols:
+        c = net.cls[k]
+        mates = np.flatnonzero(net.cls == c)
+        total += soft(s @ wc + bc)[c] + soft(ww[mates] @ s + bw[mates])[list(mates).index(k)]
+        x, y = wx[k], s @ wh
+        z, r = (1 / (1 + np.exp(-(x[a : a + h] + y[a : a + h]))) for a in (0, h))
+        s = z * s + (1 - z) * np.tanh(x[2 * h :] + r * y[2 * h :])
+    return total
+
+
+def test_lanes_score_whole_documents():
+    rng = np.random.default_rng(5)
+    net = lmscore.Network(np.array([50.0, 30, 20, 10, 5, 5, 3, 100]), seed=1)
+    docs = [rng.integers(0, 8, n) for n in (1, 5, 40, 200, 3, 700)]
+    train, state = lmscore.Lanes(4, 8), np.zeros((4, lmscore.HIDDEN), np.float32)
+    for d in docs:
+        train.add(d)
+    for at, ids, starts, _ in [*train.windows(), *train.windows(last=True)]:
+        state[at] = net.learn(ids, starts, state[at])
+    lanes, state, got = lmscore.Lanes(3, 16), np.zeros((3, lmscore.HIDDEN), np.float32), np.zeros(len(docs))
+    for d in docs:
+        lanes.add(d)
+    for at, ids, starts, numbers in [*lanes.windows(), *lanes.windows(last=True)]:
+        states, state[at], _ = net.run(ids, starts, state[at])
+        np.add.at(got, numbers.reshape(-1), net.log_probs(states.reshape(-1, lmscore.HIDDEN), ids.reshape(-1)))
+    assert got == pytest.approx([plain_log_prob(net, d) for d in docs], rel=1e-4)
