@@ -42,12 +42,19 @@ def check_reference(rows: DataFrame, parents: DataFrame, reference: str, parent_
 
 
 def unfold_chapters(videos: DataFrame, first_id: int = 1) -> DataFrame:
-    """S-24: a row for each chapter of `chapters`, with source and times as doubles; null lists give none."""
-    out = videos.select(F.col("id").alias("video_id"), F.posexplode("chapters").alias("ordinal", "c"))
-    number = F.row_number().over(W.orderBy("video_id", "ordinal")) + first_id - 1
-    columns = ["title", F.col("start_time").cast("double").alias("start_time"), F.col("end_time").cast("double").alias("end_time")]
-    flat = out.select("video_id", "ordinal", "c.title", "c.start_time", "c.end_time")
-    return flat.select(number.cast("long").alias("chapter_id"), *columns, F.lit("youtube").alias("source"), "video_id")
+    """S-24: a row for each chapter of `chapters`, with source and times as doubles; null lists give none.
+
+    Chapters are numbered in the order of (video_id, position). A running sum
+    goes over videos inside a range of ids that share two characters, and over
+    these ranges; no task sees all videos. Ids are keys, so no two are equal.
+    """
+    sized = videos.withColumns({"__n": F.coalesce(F.size("chapters"), F.lit(0)), "__range": F.substring("id", 1, 2)}).where("__n > 0")
+    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranges = sized.groupBy("__range").agg(F.sum("__n").alias("__n")).select("__range", before(W.orderBy("__range")).alias("__ahead"))
+    placed = sized.withColumn("__own", before(W.partitionBy("__range").orderBy("id"))).join(ranges, "__range")
+    out = placed.select(F.col("id").alias("video_id"), (F.col("__ahead") + F.col("__own")).alias("__first"), F.posexplode("chapters").alias("ordinal", "c"))
+    times = [F.col(f"c.{x}").cast("double").alias(x) for x in ("start_time", "end_time")]
+    return out.select((F.col("__first") + F.col("ordinal") + first_id).cast("long").alias("chapter_id"), "c.title", *times, F.lit("youtube").alias("source"), "video_id")
 
 
 def with_defaults(rows: DataFrame, defaults: Mapping[str, object]) -> DataFrame:
@@ -60,6 +67,16 @@ def json_field(document: Column, key: str, default: object = None) -> Column:
     return F.coalesce(F.get_json_object(document, f"$.{key}"), F.lit(default))
 
 
+def json_text(*columns: str) -> Column:
+    """F-26: the columns as one JSON object."""
+    return F.to_json(F.struct(*columns))
+
+
+def of_length(values: Column, length: int) -> Column:
+    """F-27: an array of that length, or null."""
+    return F.when(F.size(values) == length, values)
+
+
 def drop_keys(document: Column, keys: Sequence[str]) -> Column:
     """P-21: a map without some keys; missing keys are ignored."""
     return F.map_filter(document, lambda k, _: ~k.isin(*keys)) if keys else document

@@ -84,18 +84,22 @@ def contains_join(texts: DataFrame, parts: DataFrame, text_key: str, text_column
 
     An equi-join on blocks instead of a nested loop: a text is cut into blocks
     of w characters, a part of 2 * w - 1 or more holds a whole block at one of
-    its first w offsets. Parts fall into three classes of length, each with
-    its own w; the exact test follows on the distinct candidates.
+    its first w offsets. Parts fall into four classes of length, each with its
+    own w; the exact test follows on the distinct candidates. Texts are not
+    cut for a class that has no parts. Parts of one or two characters meet all
+    texts that hold the first one, which is about what they return.
     """
-    found = None
-    for w, most in ((16, None), (4, 30), (1, 6)):
-        size = F.length(part_column)
+    size = F.length(part_column)
+    classes = ((16, None), (4, 30), (2, 6), (1, 2))
+    there = parts.agg(*[F.coalesce(F.bool_or((size >= 2 * w - 1) & (size <= most if most else F.lit(True))), F.lit(False)) for w, most in classes]).first()
+    found = parts.join(texts, F.lit(False)).select(text_key, part_key)
+    for w, most in [x for x, used in zip(classes, there, strict=True) if used]:
         some = parts.where((size >= 2 * w - 1) & (size <= most if most else F.lit(True)))
         offsets = F.array(*[F.substring(F.col(part_column), F.lit(i), F.lit(w)) for i in range(1, w + 1)])
         grams = some.select(part_key, F.explode(F.array_distinct(offsets)).alias("__k"))
         blocks = texts.select(text_key, F.explode(F.array_distinct(F.regexp_extract_all(text_column, F.lit(f"(?s).{{{w}}}"), F.lit(0)))).alias("__k"))
         pairs = blocks.join(grams, "__k").select(text_key, part_key)
-        found = pairs if found is None else found.unionByName(pairs)
+        found = found.unionByName(pairs)
     tested = found.distinct().join(texts.select(text_key, text_column), text_key).join(parts.select(part_key, part_column), part_key)
     return tested.where(F.contains(F.col(text_column), F.col(part_column))).select(text_key, part_key)
 

@@ -84,10 +84,10 @@ def token_counts(chapters: DataFrame, tokens: Sequence[str], exclude_tokens: Seq
 
 
 def links_from_prompt(chapters: DataFrame, prompt: Prompt, title: str = "title") -> DataFrame:
-    """X-16: token and the sorted list of its chapters' links."""
+    """X-16: token and link, a row for each chapter that the token selects."""
     found = fan_out(chapters, prompt.or_tokens, prompt.and_not_tokens, title)
     link = text.chapter_link(F.col("video_id"), F.col("start_time"), F.col("end_time"))
-    return found.groupBy("token").agg(F.sort_array(F.collect_list(link)).alias("links"))
+    return found.select("token", link.alias("link"))
 
 
 def interval_statistics(rows: DataFrame, start: str = "start_time", end: str = "end_time", by: Sequence[str] = ()) -> DataFrame:

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 _WINDOWS: dict[tuple[int, int], np.ndarray] = {}
@@ -29,6 +30,10 @@ def spectrum(image: np.ndarray, compat: bool = True) -> np.ndarray:
     return np.fft.fftshift(raw) if compat else raw
 
 
+#: Pairs of a video that one task registers.
+SPAN = 64
+
+
 def wrap(index: int, size: int, compat: bool = True) -> int:
     """V-21; compat gives size - 1 - index, without sign, beyond half of the size (K-14)."""
     if index <= size / 2:
@@ -104,22 +109,53 @@ def unite_masks(masks: list[np.ndarray]) -> np.ndarray:
     return np.clip(np.sum(masks, axis=0), 0, 1)
 
 
+def masked(images: DataFrame, kernel: int = 21, sigma: float = 7.0, threshold: float = 0.1) -> DataFrame:
+    """X-04, V-22, V-23, A-20: images (height, width, pixels, boxes: lists of x1, y1, x2, y2) faded out under the union of their boxes.
+
+    An image without boxes stays as it is. Further columns pass through.
+    """
+
+    def fade(batches):
+        for batch in batches:
+            pixels = []
+            for flat, height, width, boxes in zip(batch["pixels"], batch["height"], batch["width"], batch["boxes"], strict=True):
+                image = np.asarray(flat, np.float64).reshape(height, width)
+                masks = [rectangles(image.shape, [tuple(map(int, b))]) for b in boxes] if boxes is not None else []
+                pixels.append((blend(image, unite_masks(masks), kernel, sigma, threshold) if masks else image).reshape(-1))
+            yield batch.assign(pixels=pixels)
+
+    return images.mapInPandas(fade, images.schema)
+
+
+def covered(images: DataFrame) -> DataFrame:
+    """A-20: images (height, width, boxes) with `covered`, the pixels under the union of their boxes; no Python."""
+    inside = lambda x, y: F.exists("boxes", lambda b: (b[0] <= x) & (x <= b[2]) & (b[1] <= y) & (y <= b[3]))
+    cells = F.sequence(F.lit(0), F.col("width") * F.col("height") - 1)
+    hit = F.filter(cells, lambda k: inside(k % F.col("width"), F.floor(k / F.col("width"))))
+    return images.withColumn("covered", F.size(hit))
+
+
 def register(batches: DataFrame, compat: bool = True, key: str = "video") -> DataFrame:
     """X-04, V-19: rows (key, pair_idx, dx, dy, confidence) of batches (key, batch, height, width, pixels: flat gray image).
 
-    One group per video, of batch means, so a long video is some hundred small
-    images. A video of one batch has no pairs (K-07).
+    One group for each SPAN pairs of a video, so that a long video is many
+    tasks; the batch between two spans goes to both. A video of one batch has
+    no pairs (K-07).
     """
+    place = F.row_number().over(W.partitionBy(key).orderBy("batch")) - 1
+    span = F.floor(F.col("__place") / SPAN)
+    both = F.when((F.col("__place") % SPAN == 0) & (F.col("__place") > 0), F.array(span - 1, span)).otherwise(F.array(span))
+    dealt = batches.withColumn("__place", place).withColumn("__span", F.explode(both))
 
     def pairs(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("batch")
+        table = table.rename(columns={"__place": "place"}).sort_values("place")
         rows, before = [], None
-        for k, one in enumerate(table.itertuples(index=False)):
+        for one in table.itertuples(index=False):
             now = spectrum(np.asarray(one.pixels, np.float64).reshape(one.height, one.width), compat)
             if before is not None:
-                rows.append((getattr(one, key), k - 1, *correlate(before, now, compat)))
+                rows.append((getattr(one, key), one.place - 1, *correlate(before, now, compat)))
             before = now
         return pd.DataFrame(rows, columns=[key, "pair_idx", "dx", "dy", "confidence"])
 
     kind = batches.schema[key].dataType.simpleString()
-    return batches.groupBy(key).applyInPandas(pairs, f"{key} {kind}, pair_idx long, dx int, dy int, confidence double")
+    return dealt.groupBy(key, "__span").applyInPandas(pairs, f"{key} {kind}, pair_idx long, dx int, dy int, confidence double")

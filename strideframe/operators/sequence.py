@@ -167,3 +167,22 @@ def lead_trim(rows: DataFrame, seconds: Column, start: Column, end: Column, rate
 def down_sample(rows: DataFrame, fps: Column, rate: int = 40) -> DataFrame:
     """P-26: every k-th frame, k = max(1, int(fps / rate))."""
     return rows.where(F.col("frame") % F.greatest(F.lit(1), (fps / rate).cast("int")) == 0)
+
+
+def continuous(rows: DataFrame, quaternion: str, key: str = "video", order: str = "frame") -> DataFrame:
+    """W-17: quaternions (arrays w, x, y, z) with their sign turned where they lie on the other side of the one before.
+
+    A running number of turns decides the sign, so no frame waits for another.
+    """
+    line = W.partitionBy(key).orderBy(order)
+    before = F.lag(quaternion).over(line)
+    product = sum((F.get(quaternion, k) * F.get("__before", k) for k in range(1, 4)), F.get(quaternion, 0) * F.get("__before", 0))
+    marked = rows.withColumn("__before", before).withColumn("__turn", F.when(product < 0, 1).otherwise(0))
+    turns = F.sum("__turn").over(line.rowsBetween(W.unboundedPreceding, 0))
+    turned = F.when(F.col("__turns") % 2 == 1, F.transform(quaternion, lambda x: -x)).otherwise(F.col(quaternion))
+    return marked.withColumn("__turns", turns).withColumn(quaternion, turned).drop("__before", "__turn", "__turns")
+
+
+def in_name_order(files: DataFrame, folder: str, name: str = "name") -> DataFrame:
+    """O-05: files with their place, from 0, in the order of names within a folder."""
+    return files.withColumn("place", F.row_number().over(W.partitionBy(folder).orderBy(name)) - 1)

@@ -68,7 +68,7 @@ def q04_interval_stats(spark, sf_dir):
     return prompts.interval_statistics(rows, by=["user_id"]).select("user_id", F.round("mean_length", 3).alias("mean_length"), F.round("std_length", 3).alias("std_length"))
 
 
-# J-01, U-04, P-08, F-05, S-02, S-03, S-22
+# J-01, U-04, O-04, P-08, F-05, S-02, S-03
 @query("""WITH p AS (SELECT page_id, url, right(split_part(url, '&t=', 1), 11) AS id FROM pages WHERE length(url) >= 11),
 f AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY page_id) AS n FROM p)
 SELECT page_id, url, id FROM f WHERE n = 1 AND id NOT IN (SELECT id FROM p WHERE page_id % 2 = 0)""")
@@ -87,7 +87,7 @@ def q06_fk_rejects(spark, sf_dir):
     return good.unionByName(found.rejected.select("o_orderkey", "o_custkey", "reason"))
 
 
-# P-21, P-22, F-26, F-27
+# P-21, P-22
 @query("""SELECT event_id, coalesce(json_extract_string(props, '$.k'), '-1') AS k, coalesce(json_extract_string(props, '$.missing'), '') AS title,
   (len(json_keys(props)) - CASE WHEN json_exists(props, '$.k') THEN 1 ELSE 0 END)::INT AS other_keys FROM events""")
 def q07_info_keys(spark, sf_dir):
@@ -165,7 +165,7 @@ def q40c_chapter_clips(spark, sf_dir):
     return manifests.chapter_clips(chapters, done).groupBy("name").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-# S-24, S-25, U-06
+# U-06
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
 SELECT conv_id, turn, role FROM l WHERE n = 1 AND conv_id % 4 <> 0""")
 def q05b_last_wins(spark, sf_dir):
@@ -184,4 +184,4 @@ def q43_annotations(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 3600).alias("s"), (F.col("event_id") % 3600 + F.col("value").cast("int") % 40 - 5).alias("e"))
     entry = F.concat(F.lit("    "), clock(F.col("s")), F.lit(" - "), clock(F.col("e")), F.lit(" = move "), (F.col("event_id") % 9).cast("string"))
     lines = F.array(F.struct((F.col("event_id") * 2).alias("ordinal"), F.concat(F.lit("https://v/"), F.col("user_id").cast("string")).alias("value")), F.struct((F.col("event_id") * 2 + 1).alias("ordinal"), entry.alias("value")))
-    return readers.annotations(events.where("e >= 0").select(F.inline(lines)))
+    return readers.annotations(events.where("e >= 0").select(F.col("event_id").alias("document"), F.inline(lines)), document="document")

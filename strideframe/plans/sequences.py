@@ -182,18 +182,18 @@ def q17_vote(spark, sf_dir):
 
 
 # X-18
-@query(f"""WITH {TRACKS}, al AS (SELECT track AS video, track, n, first, last FROM ex WHERE track % 2 = 0)
+@query(f"""WITH {TRACKS}, al AS (SELECT track AS video, track, n, first, last FROM ex)
 SELECT * FROM al WHERE n > 12 AND n / nullif(last - first, 0)::DOUBLE > 0.9""")
 def q17b_only_track(spark, sf_dir):
-    rows = daily(spark, sf_dir).where("track % 2 = 0").withColumn("video", F.col("track"))
+    rows = daily(spark, sf_dir).withColumn("video", F.col("track"))
     return tracks.only_track(rows, 12, 0.9)
 
 
 # J-09, K-09
-@query(f"WITH {TRACKS} SELECT ex.video, ex.track FROM ex WHERE video IN (SELECT video FROM sb WHERE track < 40)")
+@query(f"WITH {TRACKS} SELECT ex.video, ex.track FROM ex WHERE video IN (SELECT video FROM sb)")
 def q17c_crop_targets(spark, sf_dir):
     every = tracks.extents(daily(spark, sf_dir)).select("video", "track")
-    return tracks.tracks_to_crop(every, q14(spark, sf_dir).where("track < 40"), compat=True)
+    return tracks.tracks_to_crop(every, q14(spark, sf_dir), compat=True)
 
 
 # A-09, A-10
@@ -205,7 +205,7 @@ def q18_envelope(spark, sf_dir):
     return tracks.envelope(rows, box, ("l_orderkey",)).join(tracks.max_size(rows, box, ("l_orderkey",)), "l_orderkey")
 
 
-# J-13, J-14, O-03
+# J-14, O-03
 @query("""SELECT l_orderkey, trunc(l_extendedprice / 100)::SMALLINT AS x FROM
   (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS n FROM lineitem WHERE l_suppkey % 2 = 0) WHERE n = 1""")
 def q18b_own_box(spark, sf_dir):
@@ -215,7 +215,7 @@ def q18b_own_box(spark, sf_dir):
     return rows.withColumn("own", tracks.own_box(F.col("boxes"), F.lit(0.0))).where("own IS NOT NULL").select("l_orderkey", F.col("own")[0].alias("x"))
 
 
-# J-05, J-06, A-12, P-20
+# J-05, J-06, A-12
 @query(f"""WITH {BASE}, {steady_sql(25, "st")}, {steady_sql(28, "su")},
 n AS (SELECT a.video, a.n AS n_a, b.n AS n_b FROM (SELECT video, count(*) AS n FROM st GROUP BY 1) a JOIN (SELECT video, count(*) AS n FROM su GROUP BY 1) b USING (video)),
 d AS (SELECT st.video, unnest([abs(st.start - su.start), abs(st."end" - su."end")]) AS d FROM st JOIN su USING (video, seg_idx)),
@@ -308,7 +308,7 @@ def q39_lead_trim(spark, sf_dir):
     return sequence.down_sample(cut, 60 + 60 * (v % 2)).select("video", "frame")
 
 
-# S-28..S-30, F-09, F-20
+# S-28, S-29, F-09, F-20
 @query(f"""WITH {BASE}, {steady_sql(25, "st")}
 SELECT video, start, "end", 'clip.' || video || '__steady_' || lpad(start::VARCHAR, 5, '0') || '-' || lpad("end"::VARCHAR, 5, '0') || '__.mp4' AS path,
   CASE WHEN start = 0 AND "end" = frames_number - 1 THEN 'copy' ELSE 'cut' END AS mode, start / 5.0::DOUBLE AS start_seconds, "end" / 5.0::DOUBLE AS end_seconds FROM st JOIN vi USING (video)""")

@@ -137,7 +137,7 @@ def q28b_origin(spark, sf_dir):
     return long(frames(spark, sf_dir), skeleton.shift_to_origin(J()))
 
 
-# V-14, P-23, U-02, D17
+# V-14, P-23, D17
 @query(f"WITH {EM} {sql_long('e', [f'j[{k}]' for k in range(1, 52) if k != 3])}")
 def q29_stack(spark, sf_dir):
     return long(frames(spark, sf_dir), skeleton.stacked(J()))

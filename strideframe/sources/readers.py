@@ -53,13 +53,17 @@ def read_yaml(document: str) -> dict:
 
 
 def read_arrays(spark: SparkSession, folder: str, pattern: str = "*.npy") -> DataFrame:
-    """S-10: path, shape and flat values of .npy files; objects are never unpickled."""
+    """S-10: path, shape and flat values of .npy files, one at a time; objects are never unpickled.
+
+    Batches of files that go to Python are bounded by spark.sql.execution.arrow.maxBytesPerBatch.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            arrays = [np.load(io.BytesIO(x), allow_pickle=False) for x in batch["content"]]
-            yield pd.DataFrame({"path": batch["path"], "shape": [list(a.shape) for a in arrays], "values": [a.astype(np.float64).reshape(-1) for a in arrays]})
+            for path, content in zip(batch["path"], batch["content"], strict=True):
+                one = np.load(io.BytesIO(content), allow_pickle=False)
+                yield pd.DataFrame({"path": [path], "shape": [list(one.shape)], "values": [one.astype(np.float64).reshape(-1)]})
 
     return files.mapInPandas(load, "path string, shape array<long>, values array<double>")
 
@@ -71,14 +75,15 @@ def array_rows(arrays: DataFrame) -> DataFrame:
     return frames.select("path", "frame", F.expr("slice(values, cast(frame * w + 1 as int), w)").alias("joints"))
 
 
-def annotations(lines: DataFrame, value: str = "value", order: str = "ordinal") -> DataFrame:
+def annotations(lines: DataFrame, value: str = "value", order: str = "ordinal", document: str | None = None) -> DataFrame:
     """S-18, D22: url, start_time, end_time, label of lines: a url, then "HH:MM:SS - HH:MM:SS = label".
 
     Inverted and empty ranges are left out, exact repeats count once. Lines
-    need an ordinal; a document is one group, as its order matters.
+    need an ordinal; a document (all lines, where none is named) is one group, as its order
+    matters, and a url counts for its own document alone.
     """
     line = F.trim(value)
-    urls = lines.withColumn("url", F.last(F.when(line.rlike("^https?://"), line), ignorenulls=True).over(W.orderBy(order)))
+    urls = lines.withColumn("url", F.last(F.when(line.rlike("^https?://"), line), ignorenulls=True).over(W.partitionBy(*[document] if document else []).orderBy(order)))
     pattern = r"^(\d+):(\d+):(\d+)\s*-\s*(\d+):(\d+):(\d+)\s*=\s*(.*)$"
     part = lambda k: F.regexp_extract(line, pattern, k).cast("double")
     rows = urls.where(line.rlike(pattern)).select("url", (part(1) * 3600 + part(2) * 60 + part(3)).alias("start_time"), (part(4) * 3600 + part(5) * 60 + part(6)).alias("end_time"), F.trim(F.regexp_extract(line, pattern, 7)).alias("label"))

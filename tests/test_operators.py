@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from strideframe.functions import geometry as g
 from strideframe.functions import text
 from strideframe.operators import features, ingest, manifests, pca, plugins, prompts, registration, sequence, skeleton, tracks
-from strideframe.sources import readers
+from strideframe.sources import readers, sinks
 
 
 def test_tokens_fold_ascii_only(spark):
@@ -31,7 +31,7 @@ def test_fan_out_keeps_tokens_without_hits(spark):
     df = spark.createDataFrame([("back squat", "x", 1.9, 3.0), ("squat jump", "y", 0.0, 2.5)], "title string, video_id string, start_time double, end_time double")
     counts = {r["token"]: r["n_chapters"] for r in prompts.token_counts(df, ["squat", "jump", "none"]).collect()}
     assert counts == {"squat": 2, "jump": 1, "none": 0, None: 3}
-    links = {r["token"]: r["links"] for r in prompts.links_from_prompt(df, prompts.Prompt(or_tokens=["jump"])).collect()}
+    links = {r["token"]: [r["link"]] for r in prompts.links_from_prompt(df, prompts.Prompt(or_tokens=["jump"])).collect()}
     assert links == {"jump": ["https://youtu.be/y?start=0&end=2"]}
 
 
@@ -189,3 +189,72 @@ def test_registry():
         plugins.POSES.create("unknown")
     with pytest.raises(ValueError):
         plugins.check_size("huge")
+
+
+def test_chapters_are_numbered_over_all_videos(spark):
+    rows = [(f"{p}{k:02d}", None if k % 5 == 4 else [(f"t{j}", j, j + 1) for j in range(k % 4)]) for p in ("aa", "ab", "b") for k in range(12)]
+    rows.append(("hot", [(f"t{j}", j, j + 1) for j in range(500)]))
+    videos = spark.createDataFrame(rows, "id string, chapters array<struct<title: string, start_time: int, end_time: int>>").repartition(5)
+    found = [(r["chapter_id"], r["video_id"], r["title"]) for r in ingest.unfold_chapters(videos, 7).orderBy("chapter_id").collect()]
+    want = [(i, t[0]) for i, c in sorted(rows) for t in c or []]
+    assert found == [(7 + n, i, t) for n, (i, t) in enumerate(want)]
+
+
+def test_annotations_keep_to_their_document(spark):
+    lines = [("a", 1, "https://v/1"), ("a", 2, "00:00:01 - 00:00:05 = x"), ("b", 1, "00:00:02 - 00:00:03 = y"), ("b", 2, "https://v/2"), ("b", 3, "00:00:04 - 00:00:09 = z")]
+    found = readers.annotations(spark.createDataFrame(lines, "document string, ordinal int, value string"), document="document").collect()
+    assert {(r["url"], r["label"]) for r in found} == {("https://v/1", "x"), (None, "y"), ("https://v/2", "z")}
+
+
+def test_short_parts_are_found(spark):
+    texts = [(1, "abcdefghij"), (2, "xyz"), (3, ""), (4, "aXbc")]
+    parts = [(k, p) for k, p in enumerate(("a", "bc", "cde", "efgh", "defghi", "cdefghij", "zz", "Xbc", ""))]
+    found = manifests.contains_join(spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame(parts, "p int, part string"), "t", "text", "p", "part")
+    assert {tuple(r) for r in found.collect()} == {(t, k) for t, x in texts for k, p in parts if p and p in x}
+    assert manifests.contains_join(spark.createDataFrame(texts, "t int, text string"), spark.createDataFrame([], "p int, part string"), "t", "text", "p", "part").count() == 0
+
+
+def test_long_videos_are_registered_in_spans(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    base = rng.normal(size=(16, 16))
+    images = [("v", k, 16, 16, np.roll(base, k * (k + 1) // 2 % 5, axis=1).reshape(-1).tolist()) for k in range(23)]
+    df = spark.createDataFrame(images, "video string, batch int, height int, width int, pixels array<double>")
+    whole = sorted(map(tuple, registration.register(df).collect()))
+    monkeypatch.setattr(registration, "SPAN", 4)
+    assert len(whole) == 22 and sorted(map(tuple, registration.register(df).collect())) == whole
+
+
+def test_masks_fade_images(spark):
+    image = np.arange(400.0).reshape(20, 20)
+    rows = [("plain", 20, 20, image.reshape(-1).tolist(), None), ("boxed", 20, 20, image.reshape(-1).tolist(), [[4, 4, 9, 9], [8, 8, 15, 15]])]
+    df = spark.createDataFrame(rows, "name string, height int, width int, pixels array<double>, boxes array<array<int>>")
+    found = {r["name"]: np.asarray(r["pixels"]).reshape(20, 20) for r in registration.masked(df, kernel=3, sigma=1.0).collect()}
+    mask = registration.unite_masks([registration.rectangles((20, 20), [(4, 4, 9, 9)]), registration.rectangles((20, 20), [(8, 8, 15, 15)])])
+    assert (found["plain"] == image).all() and found["boxed"] == pytest.approx(registration.blend(image, mask, 3, 1.0))
+    assert found["boxed"][8, 8] == pytest.approx(image.mean()) and found["boxed"][0, 0] == 0
+    assert registration.covered(df.where("name = 'boxed'")).first()["covered"] == int(mask.sum())
+
+
+def test_writers_and_readers(spark, tmp_path):
+    rows = spark.createDataFrame([("a__steady_", "s1", 1), ("b", "s2", 2)], "name string, label string, n int")
+    sinks.write_by_class(rows, str(tmp_path / "classes"))
+    assert {(r["name"], r["n"], r["label"]) for r in readers.class_table(spark, str(tmp_path / "classes")).collect()} == {("a__steady_", "1", "s1"), ("b", "2", "s2")}
+    for write, read in ((sinks.write_stage, spark.read.parquet), (sinks.write_documents, spark.read.json), (sinks.write_buckets, spark.read.parquet)):
+        path = str(tmp_path / write.__name__)
+        write(rows.withColumn("bucket", F.lit("k")), path)
+        assert read(path).count() == 2
+    sinks.append(rows, str(tmp_path / "table"))
+    sinks.append(rows, str(tmp_path / "table"))
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 4
+    segments_ = spark.createDataFrame([("v", 0, 3)], "video string, start int, end int")
+    for name in ("steady", "other", "steady"):
+        sinks.write_segments(segments_, str(tmp_path / "segments"), name)
+    assert {r["filter_name"] for r in spark.read.parquet(str(tmp_path / "segments")).collect()} == {"steady", "other"}
+    (tmp_path / "sheets").mkdir()
+    (tmp_path / "sheets" / "chan.csv").write_text("name,url\nx,https://youtu.be/abcdefghijk&t=4\ny,short\n")
+    sheet = readers.url_sheets(spark, str(tmp_path / "sheets")).collect()
+    assert [(r["channel_id"], r["video_id"]) for r in sheet] == [("@chan", "abcdefghijk")]
+    (tmp_path / "one.json").write_text('{"a": 1,\n "b": "x"}')
+    assert readers.json_documents(spark, str(tmp_path / "one.json")).first()["b"] == "x" and readers.prompt_of('{"a": 1}') == {"a": 1}
+    listed = readers.list_files(spark, str(tmp_path), [".csv"], recursive=True).collect()
+    assert "chan" in {r["stem"] for r in listed} and all(r["extension"] == ".csv" and r["size"] > 0 for r in listed)
