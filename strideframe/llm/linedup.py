@@ -48,13 +48,13 @@ _LAST = 2**63 - 1
 _BLANK = r" \t\r\x0b\f"
 
 
-def _tokens(line: Column) -> Column:
-    """Tokens of a line, fields masked where they are fewer than half of all."""
-    trimmed = F.btrim(line, F.lit(" \t\r\x0b\f"))
-    masked = F.split(F.regexp_replace(trimmed, rf"(?<![^{_BLANK}])[^{_BLANK}]*[0-9][^{_BLANK}]*", FIELD), f"[{_BLANK}]+")
-    plain = F.split(trimmed, f"[{_BLANK}]+")
-    fields = F.size(F.filter(masked, lambda x: x == FIELD))
-    return F.when(line.rlike("[0-9]"), F.when(2 * fields < F.size(masked), masked).otherwise(plain)).otherwise(plain)
+def _with_tokens(rows: DataFrame) -> DataFrame:
+    """rows with tokens, of __line; fields are masked where they are fewer than half of all."""
+    plain = F.split(F.btrim("__line", F.lit(" \t\r\x0b\f")), f"[{_BLANK}]+")
+    masked = F.when(F.col("__line").rlike("[0-9]"), F.transform("__plain", lambda x: F.when(x.rlike("[0-9]"), FIELD).otherwise(x)))
+    cut = rows.withColumn("__plain", plain).withColumn("__masked", masked).drop("__line")
+    mostly = 2 * F.size(F.filter("__masked", lambda x: x == FIELD)) < F.size("__masked")
+    return cut.withColumn("tokens", F.when(mostly, F.col("__masked")).otherwise(F.col("__plain"))).drop("__plain", "__masked")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -74,7 +74,7 @@ def _least() -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """One row per line: __id, __text, __at, leaf, template, least."""
     rows = _keys(docs).select("__id", "__text", F.posexplode(F.split("__body", "\n")).alias("__at", "__line"))
-    tokens = rows.select("__id", "__text", "__at", _tokens(F.col("__line")).alias("tokens")).where(F.col("tokens")[0] != "")
+    tokens = _with_tokens(rows).where(F.col("tokens")[0] != "")
     return tokens.select("__id", "__text", "__at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"), _least().alias("least"))
 
 
@@ -108,7 +108,8 @@ def _wide(docs: DataFrame, templates: DataFrame, tables: WorkTables) -> DataFram
     slots = templates.select(slot(F.col("first"))).distinct()
     near = _keys(docs).select("__body", number.alias("first"), slot(number)).join(F.broadcast(slots), "__slot", "left_semi")
     read = near.join(templates.select("first").distinct().hint("shuffle_hash"), "first", "left_semi")
-    tokens = read.select(F.explode(F.split("__body", "\n")).alias("__line")).select(_tokens(F.col("__line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    tokens = read.select(F.explode(F.split("__body", "\n")).alias("__line"))
+    tokens = _with_tokens(tokens).where(F.size("tokens") >= MIN_TOKENS)
     tokens = tokens.select("tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"))
     wanted = templates.select(slot(F.col("template"))).distinct()
     tokens = tokens.withColumn("__slot", slot(F.col("template"))).join(F.broadcast(wanted), "__slot", "left_semi").drop("__slot")
