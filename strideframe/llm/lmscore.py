@@ -38,12 +38,12 @@ from pyspark.sql import functions as F
 from .common import WorkTables, mix64, per_worker, pieces, releasing
 
 HEAD, VOCABULARY, CLASSES, HIDDEN = 1 << 18, 2047, 40, 16
-LANES, STEPS, RATE, CLIP = 256, 32, 0.3, 1.0
+LANES, STEPS, RATE, CLIP = 256, 16, 0.3, 1.0
 #: Scores are log masses and bounded states' products; none comes near this bound, which keeps exp finite.
 TOP = np.float32(60)
 FOLDS, HELD = 7, 2
 #: Tokens of a shard, of a part of a document in training, and rounds between which shards are averaged.
-SHARD_TOKENS, CUT, ROUNDS = 1 << 22, 4096, 4
+SHARD_TOKENS, CUT, ROUNDS = 1 << 22, 512, 4
 #: Tasks of a round at most; each takes its shards one after the other.
 TASKS = 10_000
 #: Distinct words that a task counts before it passes them on, and tables averaged at a time.
@@ -72,8 +72,8 @@ class Network:
         n, h = len(counts), HIDDEN
         mass = np.cumsum(counts + 1.0)
         cls = np.minimum((mass - (counts + 1.0) / 2) / mass[-1] * CLASSES, CLASSES - 1).astype(np.int64)
-        self.cls = np.unique(cls, return_inverse=True)[1]
-        self.first = np.searchsorted(self.cls, np.arange(self.cls[-1] + 2))
+        self.cls = np.unique(cls, return_inverse=True)[1].astype(np.int16)  # small numbers sort fast
+        self.first = np.searchsorted(self.cls, np.arange(int(self.cls[-1]) + 2))
         share = np.log((counts + 1.0) / mass[-1])
         whole = np.log(np.add.reduceat(counts + 1.0, self.first[:-1]) / mass[-1])
         small = lambda *shape: rng.normal(0, 0.1, shape).astype(np.float32)
@@ -179,7 +179,7 @@ class Network:
             down = down * z + dy @ across.T + back[t]
             if starts[t].any():
                 down[starts[t]] = 0
-        order = np.argsort(ids, axis=None, kind="stable")
+        order = np.argsort(ids.astype(np.uint16), axis=None, kind="stable")
         used, at = np.unique(ids.reshape(-1)[order], return_index=True)
         rows = np.add.reduceat(dx.reshape(-1, 3 * h)[order], at, axis=0)
         for k, part, grad in ((0, used, rows), (1, slice(None), dacross), (2, slice(None), grads[0]), (3, slice(None), grads[1]), (4, slice(None), grads[2]), (5, slice(None), grads[3])):
@@ -305,7 +305,7 @@ def _train(shared, model):
                         yield end()
                     current, seen, network, lanes, state = shard, 0, Network(plan["symbols"]), Lanes(), np.zeros((LANES, HIDDEN), np.float32)
                     network.unpack(model.value)
-                lanes.add(np.frombuffer(raw, "<u2").astype(np.int64))
+                lanes.add(np.frombuffer(raw, "<u2"))
             learn(False)
         if current is not None:
             yield end()
@@ -349,7 +349,7 @@ def _score(key: str, shared, model, symbols: int):
         logs = np.log10(np.concatenate([plan["counts"], [0]]) + 1.0)  # the last: words beyond the head
         network = Network(plan["symbols"])
         network.unpack(model.value)
-        lanes, state, base = Lanes(steps=64), np.zeros((LANES, HIDDEN), np.float32), TaskContext.get().partitionId() << 33
+        lanes, state, base = Lanes(steps=32), np.zeros((LANES, HIDDEN), np.float32), TaskContext.get().partitionId() << 33
         rows: dict[int, list] = {}
 
         def step(last: bool):
@@ -375,7 +375,7 @@ def _score(key: str, shared, model, symbols: int):
                 each = logs[np.minimum(found, len(logs) - 1)]
                 outside = found >= symbols - 1
                 rows[lanes.docs] = [base + lanes.docs, doc, fold(doc) == HELD, len(words), int(known.sum()), float(each.sum()), float(each[outside].sum()), 0.0, int(outside.sum()), list(tail), list(tail.values()), len(words)]
-                lanes.add(np.minimum(found, symbols - 1))
+                lanes.add(np.minimum(found, symbols - 1).astype("<u2"))
             step(False)
             yield from done()
         step(True)
@@ -408,7 +408,9 @@ def lm_scores(docs: DataFrame) -> DataFrame:
     params = _learned(lean, tables, shared, symbols, n, Network(plan["symbols"]).packed())
     model = spark.sparkContext.broadcast(params)
     schema = "uid long, doc_id long, held_out boolean, n_tokens long, known long, log_counts double, rare double, log_prob double, outside long, tail array<binary>, tail_n array<long>"
-    rows = tables.save(lean.mapInArrow(releasing(_score(key, shared, model, symbols)), schema), "scores")
+    # long texts first, so that no lane is left with one alone at the end
+    ordered = lean.withColumn("size", F.octet_length("text")).sortWithinPartitions(F.desc("size")).drop("size")
+    rows = tables.save(ordered.mapInArrow(releasing(_score(key, shared, model, symbols)), schema), "scores")
     tail = rows.select("uid", F.explode(F.arrays_zip("tail", "tail_n")).alias("x")).select("uid", F.col("x.tail").alias("word"), F.col("x.tail_n").alias("times"))
     # the tail's words are none of the HEAD most frequent
     joined = tail.join(counts, "word").groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("logs"))
