@@ -1,4 +1,4 @@
-"""Writers (S-21, S-22, S-26, S-27, S-34..S-37, X-20)."""
+"""Writers (S-21, S-22, S-26, S-27, S-34, S-35, S-37, X-20)."""
 
 from __future__ import annotations
 
