@@ -104,8 +104,10 @@ def plan_code(dim: int, count: int, cosine: float) -> tuple[int, float]:
     if dim == 1:
         other = one
     alpha = 1.0
-    while alpha > 0 and len(decode(one, size, 0, alpha)[0]) < FILTERS * TRIALS:
-        alpha -= 0.01
+    for step in (0.02, 0.002):
+        while alpha > 0 and len(decode(one, size, 0, alpha)[0]) < FILTERS * TRIALS:
+            alpha -= step
+        alpha += 0.02 if step > 0.01 else 0
     while alpha > 0:
         met = np.zeros(TRIALS, bool)
         for seed in range(ROTATIONS):
