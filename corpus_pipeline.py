@@ -49,7 +49,7 @@ STAGES = [
     ("packing", sequence_packing),
 ]
 
-#: The quality model, sketches and tokenizers are beyond SQL; tests compare stages with brute force.
+#: The quality model, sketches and tokenizers are beyond SQL; tests compare each operator with brute force, and the stages by their columns and counts.
 ORACLE_SQL = None
 
 
