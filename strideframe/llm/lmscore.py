@@ -96,99 +96,126 @@ class Network:
                 at += p.size
 
     def run(self, ids: np.ndarray, starts: np.ndarray, state: np.ndarray, keep: bool = False):
-        """States before each token (steps, lanes, hidden), the last state, and what backpropagation needs."""
-        h, kept = HIDDEN, []
-        across, inputs = self.params[1], self.params[0][ids]
-        out = np.empty((*ids.shape, h), np.float32)
+        """States before each token (steps, lanes, hidden), the last state, and what backpropagation needs.
+
+        Within a step lanes come last in memory, so that gates are whole blocks.
+        """
+        h, (steps, lanes) = HIDDEN, ids.shape
+        across, inputs = np.ascontiguousarray(self.params[1].T), _turned(self.params[0][ids])
+        out = np.empty((steps, h, lanes), np.float32)
+        kept = tuple(np.empty((steps, n, lanes), np.float32) for n in (2 * h, h, h)) if keep else None
+        state = np.ascontiguousarray(state.T)
         for t, fresh in enumerate(starts.any(axis=1).tolist()):
             if fresh:
-                state = np.where(starts[t][:, None], np.float32(0), state)
+                state = np.where(starts[t], np.float32(0), state)
             out[t] = state
-            x, y = inputs[t], state @ across
-            gates = x[:, : 2 * h] + y[:, : 2 * h]
+            x, y = inputs[t], across @ state
+            gates = y[: 2 * h]
+            gates += x[: 2 * h]
             np.negative(gates, out=gates)
             np.exp(gates, out=gates)
             gates += 1
             np.reciprocal(gates, out=gates)
-            c = gates[:, h:] * y[:, 2 * h :]
-            c += x[:, 2 * h :]
+            c = gates[h:] * y[2 * h :]
+            c += x[2 * h :]
             np.tanh(c, out=c)
             if keep:
-                kept.append((gates, c, y[:, 2 * h :]))
+                kept[0][t], kept[1][t], kept[2][t] = gates, c, y[2 * h :]
             state = state - c
-            state *= gates[:, :h]
+            state *= gates[:h]
             state += c
-        return out, state, kept
+        return out.transpose(0, 2, 1), state.T, kept
 
     def log_probs(self, states: np.ndarray, ids: np.ndarray, train: bool = False):
         """Natural log probability of each symbol; with train, also gradients of the mean loss."""
         _, _, wc, bc, ww, bw = self.params
         cls = self.cls[ids]
-        rows = np.arange(len(ids))
-        scores = np.minimum(states @ wc + bc, TOP)
-        raised = np.exp(scores)
-        total = raised @ np.ones(raised.shape[1], np.float32)
-        logp = scores[rows, cls] - np.log(total)
+        order = np.argsort(cls, kind="stable")  # a class's rows are a slice from here on
+        states, ids, cls = states[order], ids[order], cls[order]
+        edges = np.searchsorted(cls, np.arange(len(self.first)))
+        rows, ones = np.arange(len(ids)), np.ones(max(len(ids), len(ww)), np.float32)
+        scores, logp = self._raised(states, wc, bc, rows, cls, ones, train)
         if train:
-            raised /= total[:, None]
-            raised[rows, cls] -= 1
-            grads = [states.T @ raised, raised.sum(axis=0), np.zeros_like(ww), np.zeros_like(bw)]
-            back = raised @ wc.T
-        order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(len(self.first)))
+            scores[rows, cls] -= 1
+            grads = [states.T @ scores, ones[: len(ids)] @ scores, np.zeros_like(ww), np.zeros_like(bw)]
+            back = scores @ wc.T
         for k in range(len(self.first) - 1):
-            low, high = self.first[k], self.first[k + 1]
-            if high - low < 2 or edges[k] == edges[k + 1]:
+            low, high, a, b = self.first[k], self.first[k + 1], edges[k], edges[k + 1]
+            if high - low < 2 or a == b:
                 continue
-            at = order[edges[k] : edges[k + 1]]
-            s = states[at]
-            scores = np.minimum(s @ ww[low:high].T + bw[low:high], TOP)
-            raised = np.exp(scores)
-            total = raised @ np.ones(high - low, np.float32)
-            pick = np.arange(len(at)), ids[at] - low
-            logp[at] += scores[pick] - np.log(total)
+            s, pick = states[a:b], ids[a:b] - low
+            scores, some = self._raised(s, ww[low:high].T, bw[low:high], rows[: b - a], pick, ones, train)
+            logp[a:b] += some
             if train:
-                raised /= total[:, None]
-                raised[pick] -= 1
-                grads[2][low:high] = raised.T @ s
-                grads[3][low:high] = raised.sum(axis=0)
-                back[at] += raised @ ww[low:high]
-        return (logp, grads, back) if train else logp
+                scores[rows[: b - a], pick] -= 1
+                grads[2][low:high] = scores.T @ s
+                grads[3][low:high] = ones[: b - a] @ scores
+                back[a:b] += scores @ ww[low:high]
+        found = np.empty_like(logp)
+        found[order] = logp
+        if not train:
+            return found
+        turned = np.empty_like(back)
+        turned[order] = back
+        return found, grads, turned
+
+    @staticmethod
+    def _raised(states, weights, bias, rows, pick, ones, train):
+        """Probabilities of all columns (masses without train), and the log probability of each row's pick."""
+        scores = states @ weights
+        scores += bias
+        np.minimum(scores, TOP, out=scores)
+        logp = scores[rows, pick]
+        np.exp(scores, out=scores)
+        total = scores @ ones[: scores.shape[1]]
+        logp -= np.log(total)
+        if train:
+            scores *= np.reciprocal(total)[:, None]
+        return scores, logp
 
     def learn(self, ids: np.ndarray, starts: np.ndarray, state: np.ndarray) -> np.ndarray:
         """One step over a window (steps, lanes); returns the state to carry on."""
-        h = HIDDEN
-        across = self.params[1]
-        states, state, kept = self.run(ids, starts, state, keep=True)
+        h, across = HIDDEN, self.params[1]
+        states, state, (gates, c, yc) = self.run(ids, starts, state, keep=True)
         _, grads, back = self.log_probs(states.reshape(-1, h), ids.reshape(-1), train=True)
-        back = back.reshape(states.shape)
-        dx = np.empty((*ids.shape, 3 * h), np.float32)
-        dacross = np.zeros_like(across)
+        states = states.transpose(0, 2, 1)
+        back = _turned(back.reshape(*ids.shape, h))
+        z, r = gates[:, :h], gates[:, h:]
+        # what a state's gradient is multiplied by, for the candidate, the update gate and (after that of the candidate) the reset gate
+        by_c = (1 - z) * (1 - c * c)
+        by_z = (states - c) * z * (1 - z)
+        by_r = yc * r * (1 - r)
+        dx = np.empty((len(ids), 3 * h, ids.shape[1]), np.float32)
+        dy = np.empty_like(dx)
         down = np.zeros_like(states[0])
         for t in range(len(ids) - 1, -1, -1):
-            gates, c, yc = kept[t]
-            z, r = gates[:, :h], gates[:, h:]
-            before = states[t]
-            dc = down * (1 - z) * (1 - c * c)
-            dx[t, :, :h] = down * (before - c) * z * (1 - z)
-            dx[t, :, h : 2 * h] = dc * yc * r * (1 - r)
-            dx[t, :, 2 * h :] = dc
-            dy = dx[t].copy()
-            dy[:, 2 * h :] *= r
-            dacross += before.T @ dy
-            down = down * z + dy @ across.T + back[t]
+            dc = np.multiply(down, by_c[t], out=dx[t, 2 * h :])
+            np.multiply(down, by_z[t], out=dx[t, :h])
+            np.multiply(dc, by_r[t], out=dx[t, h : 2 * h])
+            dy[t, : 2 * h] = dx[t, : 2 * h]
+            np.multiply(dc, r[t], out=dy[t, 2 * h :])
+            down *= z[t]
+            down += across @ dy[t]
+            down += back[t]
             if starts[t].any():
-                down[starts[t]] = 0
+                down[:, starts[t]] = 0
+        dacross = np.matmul(states, dy.transpose(0, 2, 1)).sum(axis=0)
         order = np.argsort(ids.astype(np.uint16), axis=None, kind="stable")
         used, at = np.unique(ids.reshape(-1)[order], return_index=True)
-        rows = np.add.reduceat(dx.reshape(-1, 3 * h)[order], at, axis=0)
+        rows = np.add.reduceat(_turned(dx).reshape(-1, 3 * h)[order], at, axis=0)
         for k, part, grad in ((0, used, rows), (1, slice(None), dacross), (2, slice(None), grads[0]), (3, slice(None), grads[1]), (4, slice(None), grads[2]), (5, slice(None), grads[3])):
-            grad = np.clip(grad / STEPS, -CLIP, CLIP)
+            grad /= STEPS
+            np.clip(grad, -CLIP, CLIP, out=grad)
             self.squares[k][part] += grad * grad
             self.params[k][part] -= RATE * grad / np.sqrt(self.squares[k][part])
         return state
 
 
+def _turned(x: np.ndarray) -> np.ndarray:
+    """The last two axes exchanged, in memory too."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
+
+
 class Lanes:
     """Deals documents' symbols to lanes and hands out windows (ids, starts, document numbers), each (steps, lanes)."""
 
