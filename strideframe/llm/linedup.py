@@ -91,7 +91,8 @@ def recurring_lines(docs: DataFrame, tables: WorkTables) -> DataFrame:
     wide = sums.groupBy("leaf").agg(F.count(F.lit(1)).alias("templates"), F.sum("documents").alias("documents"), F.max("least").alias("least"))
     wide = wide.where((F.col("templates") > 1) & (F.col("documents") >= F.col("least"))).select("leaf")
     rows = _wide(docs, sums.drop("least").join(wide, "leaf"), tables)
-    found = exact.unionByName(_general(rows)).unionByName(_families(rows, tables)).groupBy("leaf", "template").agg(F.min("first").alias("first"))
+    held, marks = _marks(rows, tables)
+    found = exact.unionByName(_general(held, marks)).unionByName(_families(marks, tables)).groupBy("leaf", "template").agg(F.min("first").alias("first"))
     hit = lines.join(tables.save(found, "found"), ["leaf", "template"]).where(number != F.col("first"))
     return hit.groupBy("__id", "__text").agg(F.collect_set("__at").alias("__drop"))
 
@@ -117,27 +118,34 @@ def _wide(docs: DataFrame, templates: DataFrame, tables: WorkTables) -> DataFram
     return tables.save(rows, "general")
 
 
-def _general(rows: DataFrame) -> DataFrame:
-    """Of wide leaves' templates, those that fit the leaf's recurring general template: leaf, template, first."""
-    places = rows.select("leaf", "template", "n", F.posexplode("tokens").alias("at", "token"))
+def _marks(rows: DataFrame, tables: WorkTables) -> tuple[DataFrame, DataFrame]:
+    """Wide leaves' places (a token at a position, by its hash h) that two lines or more hold, and the templates with theirs.
+
+    A place is constant where STABLE of the leaf's lines hold it. The first
+    table has leaf, h, held, constant, size, the second one row per template.
+    """
+    places = rows.select("leaf", "template", "n", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD)
+    places = places.select("leaf", "template", "n", F.xxhash64("at", "token").alias("h"))
     total = rows.groupBy("leaf").agg(F.sum("n").alias("lines"), F.max(F.size("tokens")).alias("size"))
-    held = places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
-    constants = held.join(total, "leaf").where((F.col("n") >= STABLE * F.col("lines")) & (F.col("token") != FIELD)).select("leaf", "at", "token", "size")
-    shape = constants.groupBy("leaf").agg(F.count(F.lit(1)).alias("fixed"), F.max("size").alias("size")).where(F.col("fixed") * 2 > F.col("size")).select("leaf", "fixed")
-    same = places.join(constants.drop("size"), ["leaf", "at", "token"]).groupBy("leaf", "template").agg(F.count(F.lit(1)).alias("same"))
-    members = same.join(shape, "leaf").where(F.col("same") >= SIMILAR * F.col("fixed")).select("leaf", "template")
-    members = members.join(rows.select("leaf", "template", "n", "first"), ["leaf", "template"])
+    held = places.groupBy("leaf", "h").agg(F.sum("n").alias("held")).where(F.col("held") >= LONG_DOCUMENTS).join(total, "leaf")
+    held = tables.save(held.select("leaf", "h", "held", (F.col("held") >= STABLE * F.col("lines")).alias("constant"), "size"), "places")
+    mark = F.struct("h", "held", "constant")
+    marks = places.drop("n").join(held.drop("size"), ["leaf", "h"]).groupBy("leaf", "template").agg(F.collect_list(mark).alias("marks"))
+    whole = rows.select("leaf", "template", F.size("tokens").alias("size"), _least().alias("least"), "n", "first", "low", "high")
+    return held, tables.save(whole.join(marks, ["leaf", "template"]), "marks")
+
+
+def _general(held: DataFrame, marks: DataFrame) -> DataFrame:
+    """Of wide leaves' templates, those that fit the leaf's recurring general template: leaf, template, first."""
+    shape = held.where("constant").groupBy("leaf").agg(F.count(F.lit(1)).alias("fixed"), F.max("size").alias("size")).where(F.col("fixed") * 2 > F.col("size")).select("leaf", "fixed")
+    same = marks.select("leaf", "template", "n", "first", F.size(F.filter("marks", lambda m: m["constant"])).alias("same"))
+    members = same.join(shape, "leaf").where(F.col("same") >= SIMILAR * F.col("fixed"))
     whole = members.groupBy("leaf").agg(F.sum("n").alias("lines"), F.min("first").alias("first")).where(F.col("lines") >= DOCUMENTS)
     return members.select("leaf", "template").join(whole.select("leaf", "first"), "leaf")
 
 
-def _families(rows: DataFrame, tables: WorkTables) -> DataFrame:
+def _families(marks: DataFrame, tables: WorkTables) -> DataFrame:
     """Of wide leaves' templates, those of a recurring family of their leaf: leaf, template, first."""
-    places = rows.select("leaf", "template", "n", F.posexplode("tokens").alias("at", "token")).where(F.col("token") != FIELD)
-    held = places.groupBy("leaf", "at", "token").agg(F.sum("n").alias("held")).where(F.col("held") >= LONG_DOCUMENTS)
-    mark = F.struct(F.xxhash64("at", "token").alias("h"), "held")
-    marks = places.join(held, ["leaf", "at", "token"]).groupBy("leaf", "template").agg(F.collect_list(mark).alias("marks"))
-    marks = rows.select("leaf", "template", F.size("tokens").alias("size"), _least().alias("least"), "n", "first", "low", "high").join(marks, ["leaf", "template"])
     marks = marks.withColumn("marks", F.filter("marks", lambda m: m["held"] >= F.col("least"))).where(F.size("marks") > 0)
     joined = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda all_, m: all_.bitwiseXOR(m["h"]))
     family = lambda key, fixed: F.struct(key.alias("key"), fixed.alias("fixed"))
