@@ -45,16 +45,22 @@ SLOTS = 1 << 20
 _LAST = 2**63 - 1
 
 
-_BLANK = r" \t\r\x0b\f"
+_BLANK = "\t\r\x0b\f"
+#: A whole token that holds a digit, found without going back.
+_WITH_DIGIT = "(?<![^ ])[^0-9 ]*+[0-9][^ ]*+"
 
 
 def _with_tokens(rows: DataFrame) -> DataFrame:
-    """rows with tokens, of __line; fields are masked where they are fewer than half of all."""
-    plain = F.split(F.btrim("__line", F.lit(" \t\r\x0b\f")), f"[{_BLANK}]+")
-    masked = F.when(F.col("__line").rlike("[0-9]"), F.transform("__plain", lambda x: F.when(x.rlike("[0-9]"), FIELD).otherwise(x)))
-    cut = rows.withColumn("__plain", plain).withColumn("__masked", masked).drop("__line")
+    """rows with tokens, of __line; fields are masked where they are fewer than half of all. Blank lines go.
+
+    Conditions on tokens would be pushed down and cut every line once more.
+    """
+    cut = lambda x: F.array_remove(F.split(x, " "), "")
+    spaced = rows.withColumn("__line", F.translate("__line", _BLANK, " " * len(_BLANK))).where(F.btrim("__line") != "")
+    masked = F.when(F.col("__line").rlike("[0-9]"), cut(F.regexp_replace("__line", _WITH_DIGIT, FIELD)))
+    both = spaced.withColumn("__plain", cut(F.col("__line"))).withColumn("__masked", masked).drop("__line")
     mostly = 2 * F.size(F.filter("__masked", lambda x: x == FIELD)) < F.size("__masked")
-    return cut.withColumn("tokens", F.when(mostly, F.col("__masked")).otherwise(F.col("__plain"))).drop("__plain", "__masked")
+    return both.withColumn("tokens", F.when(mostly, F.col("__masked")).otherwise(F.col("__plain"))).drop("__plain", "__masked")
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -74,8 +80,7 @@ def _least() -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """One row per line: __id, __text, __at, leaf, template, least."""
     rows = _keys(docs).select("__id", "__text", F.posexplode(F.split("__body", "\n")).alias("__at", "__line"))
-    tokens = _with_tokens(rows).where(F.col("tokens")[0] != "")
-    return tokens.select("__id", "__text", "__at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"), _least().alias("least"))
+    return _with_tokens(rows).select("__id", "__text", "__at", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"), _least().alias("least"))
 
 
 def recurring_lines(docs: DataFrame, tables: WorkTables) -> DataFrame:
@@ -110,10 +115,10 @@ def _wide(docs: DataFrame, templates: DataFrame, tables: WorkTables) -> DataFram
     near = _keys(docs).select("__body", number.alias("first"), slot(number)).join(F.broadcast(slots), "__slot", "left_semi")
     read = near.join(templates.select("first").distinct().hint("shuffle_hash"), "first", "left_semi")
     tokens = read.select(F.explode(F.split("__body", "\n")).alias("__line"))
-    tokens = _with_tokens(tokens).where(F.size("tokens") >= MIN_TOKENS)
-    tokens = tokens.select("tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"))
+    tokens = _with_tokens(tokens).select("tokens", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, LEADING)).alias("leaf"), F.xxhash64("tokens").alias("template"))
     wanted = templates.select(slot(F.col("template"))).distinct()
-    tokens = tokens.withColumn("__slot", slot(F.col("template"))).join(F.broadcast(wanted), "__slot", "left_semi").drop("__slot")
+    # slots are distinct; a semi-join would be pushed below the cut of lines
+    tokens = tokens.withColumn("__slot", slot(F.col("template"))).join(F.broadcast(wanted), "__slot").drop("__slot")
     rows = tokens.join(templates.hint("merge"), ["leaf", "template"]).groupBy("leaf", "template").agg(F.first("tokens").alias("tokens"), F.max("documents").alias("n"), F.min("first").alias("first"), F.min("low").alias("low"), F.max("high").alias("high"))
     return tables.save(rows, "general")
 
