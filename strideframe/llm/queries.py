@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdup, linedup, lmscore, mixing, neardup, packing, quality, sharding, tokenfile, urlfilter
+from . import embdup, linedup, lmscore, mixing, neardup, negatives, packing, quality, sharding, tokenfile, urlfilter
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op10_embdup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embdup.embedding_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.95)
 
 
+def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.negative_digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -68,9 +72,11 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_neardup": op9_neardup,
     "op10_embdup": op10_embdup,
+    "op11_hardneg": op11_hardneg,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
     "op4_linedup": linedup.SQL,
     "op7_urlfilter": urlfilter.SQL,
+    "op11_hardneg": negatives.SQL,
 }
