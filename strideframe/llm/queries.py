@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdup, linedup, lmscore, mixing, neardup, negatives, packing, quality, sharding, tokenfile, urlfilter
+from . import embdup, linedup, lmscore, mixing, neardup, negatives, packing, quality, sharding, tokenfile, urlfilter, variants
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op11_hardneg(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.negative_digest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_digest(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -73,10 +77,12 @@ QUERIES = {
     "op9_neardup": op9_neardup,
     "op10_embdup": op10_embdup,
     "op11_hardneg": op11_hardneg,
+    "op12_spelling": op12_spelling,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
     "op4_linedup": linedup.SQL,
     "op7_urlfilter": urlfilter.SQL,
     "op11_hardneg": negatives.SQL,
+    "op12_spelling": variants.SQL,
 }

@@ -1,11 +1,20 @@
 """Hard negatives, spelling variants and repeated passages against brute force, and on awkward rows."""
 
+import collections
 import math
+import os
+import random
+import re
+import string
+import zlib
 
+import duckdb
 import numpy as np
 import pytest
 
-from strideframe.llm import negatives
+from strideframe.llm import negatives, queries, variants
+
+SF = "/root/testdata/sf0.001"
 
 
 def hard_negatives(rows):
@@ -76,3 +85,97 @@ def test_few_open_pairs_are_scored_one_by_one(monkeypatch):
     for a, b in zip(*found, strict=True):
         assert (a == b).all()
     assert len(found[0][0]) > 20
+
+
+def one_edit(a, b):
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:k] + long[k + 1 :] == short for k in range(len(long)))
+
+
+def spelling(count):
+    """{word: (form, root, n, n_near, form_n)} of a vocabulary by comparing all words."""
+    near = {w: [x for x in count if one_edit(w, x)] for w in count}
+    form = {}
+    for w, n in count.items():
+        best = min(near[w], key=lambda x: (-count[x], x), default=None)
+        form[w] = best if best is not None and count[best] >= 10 * n else None
+
+    def root(w):
+        return w if form[w] is None else root(form[w])
+
+    return {w: (form[w], root(w), n, len(near[w]), count.get(form[w])) for w, n in count.items()}
+
+
+def vocabulary_of(rows):
+    count = collections.Counter()
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    for i, text in rows:
+        for run in re.findall("[A-Za-z\u00C0-\u00FF]+", text or ""):
+            run = run.translate(lower)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            count[run if h % 31 else run[: h % len(run)] + run[h % len(run) + 1 :]] += 1
+    return {w: n for w, n in count.items() if len(w) >= 7 and n >= 2}
+
+
+def result(df):
+    return {r["word"]: (r["form"], r["root"], r["n"], r["n_near"], r["form_n"]) for r in df.collect()}
+
+
+def test_spelling_of_documents(spark):
+    rng = random.Random(2)
+    base = ["".join(rng.choice("abcdé") for _ in range(rng.randint(6, 9))) for _ in range(40)] + ["straße\u00D7\u00F7x", "ÀÉÎabcdefg", "aaaaaaaa", "aaaaaaa"]
+    rows = []
+    for i in range(200):
+        words = [rng.choice(base[:8] * 9 + base) for _ in range(rng.randint(0, 150))]
+        words = [w.upper() if rng.random() < 0.1 else w for w in words]
+        words = [w[:2] + rng.choice("xyé") + w[3:] if rng.random() < 0.03 else w for w in words]
+        rows.append((i, rng.choice([" ", ", ", "-1 "]).join(words)))
+    giant = "".join(rng.choice("abcdefgh") for _ in range(40_000))
+    rows += [(None, " ".join(base)), (7, rows[7][1]), (300, None), (301, ""), (302, " ".join(base * 700)), (303, giant), (304, giant), (305, giant[:-1]), (306, giant[:-1])]
+    df = spark.createDataFrame([(i, t, "n", 1) for i, t in rows], "doc_id long, text string, word string, n long")
+    got, want = result(variants.variant_digest(df)), spelling(vocabulary_of(rows))
+    assert got == want
+    assert sum(x[0] is not None for x in want.values()) > 10
+    assert variants.variant_digest(df.limit(0)).count() == 0
+
+
+def test_forms_are_followed_to_the_last(spark):
+    count = {"aaaaaaa": 1, "aaaaaab": 10, "aaaaabb": 100, "aaaabbb": 1000, "aaabbbb": 10_000, "aaabbbc": 10_000, "zzzz": 5}
+    df = spark.createDataFrame([(w, n) for w, n in count.items()] + [("zzzz", 2), (None, 3), ("", 4), ("q", None)], "word string, n long")
+    got = result(variants.spelling_variants(df))
+    assert got == spelling(count | {"zzzz": 7})
+    assert got["aaaaaaa"][1] == "aaabbbb" and got["aaabbbc"][0] is None
+
+
+@pytest.mark.parametrize("word", ["a", "aa", "aabbcabb", "abcdefé", "aaaaaaaaaaab"])
+def test_neighbourhood_is_whole_and_distinct(word):
+    alphabet = variants.letters("abcdé")
+    want = {word[:k] + word[k + 1 :] for k in range(len(word))}
+    want |= {word[:k] + x + word[k + 1 :] for k in range(len(word)) for x in "abcdé"}
+    want |= {word[:k] + x + word[k:] for k in range(len(word) + 1) for x in "abcdé"}
+    got = []
+    for hashes, places, put, taken in variants.neighbourhood(word, alphabet, size=11):
+        for h, at, x in zip(hashes.tolist(), places.tolist(), put.tolist(), strict=True):
+            made = word[:at] + (chr(x) if x else "") + word[at + taken :]
+            assert variants.word_hash(made) == h
+            got.append(made)
+    assert len(got) == len(set(got))
+    assert set(got) == want - {word}
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", ["op11_hardneg", "op12_spelling"])
+def test_searches_equal_their_sql(spark, name):
+    con = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    plain = lambda x: "null" if x is None or x != x else str(int(x)) if isinstance(x, float) else str(x)
+    rows = lambda df: sorted(tuple(map(plain, r)) for r in df[columns].astype(object).itertuples(index=False, name=None))
+    assert rows(got) == rows(want)
