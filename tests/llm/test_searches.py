@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from strideframe.llm import negatives, queries, variants
@@ -176,6 +177,6 @@ def test_searches_equal_their_sql(spark, name):
     got, want = queries.QUERIES[name](spark, SF).toPandas(), con.sql(queries.ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    plain = lambda x: "null" if x is None or x != x else str(int(x)) if isinstance(x, float) else str(x)
+    plain = lambda x: "null" if pd.isna(x) else str(int(x)) if isinstance(x, float) else str(x)
     rows = lambda df: sorted(tuple(map(plain, r)) for r in df[columns].astype(object).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
