@@ -200,3 +200,39 @@ def windows_hash(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     for k, factor in enumerate(odd_constants(seed, n)):
         total += mix64(hashes[k : k + last]) * factor if n > 1 else hashes[k : k + last] * factor
     return mix64(total)
+
+
+#: Slots of 64 bits of a filter of hashes: 8 MB at most, whatever the data.
+FILTER_SLOTS = 1 << 20
+
+
+def _filter_bits(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    mask = np.uint64(FILTER_SLOTS * 64 - 1)
+    return hashes & mask, (hashes >> np.uint64(32)) & mask
+
+
+def _filter_slots(batches):
+    for batch in batches:
+        bits = np.concatenate(_filter_bits(batch.column(0).to_numpy().view(np.uint64)))
+        slots, place = np.unique(bits >> np.uint64(6), return_inverse=True)
+        marks = np.zeros(len(slots), np.uint64)
+        np.bitwise_or.at(marks, place, np.uint64(1) << (bits & np.uint64(63)))
+        yield pa.RecordBatch.from_arrays([pa.array(slots.astype(np.int64)), pa.array(marks.view(np.int64))], names=["slot", "bits"])
+
+
+def hash_filter(hashes: DataFrame) -> np.ndarray:
+    """A filter of fixed size that holds a column of well mixed hashes (long, not null), two bits each.
+
+    It passes all that it holds and, as it fills up, ever more of what it
+    doesn't: it spares exchanges, and something exact must follow.
+    """
+    slots = hashes.mapInArrow(_filter_slots, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    filled = np.zeros(FILTER_SLOTS, np.uint64)
+    filled[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy().view(np.uint64)
+    return filled
+
+
+def in_filter(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    one, two = _filter_bits(hashes)
+    found = (filled[one >> np.uint64(6)] >> (one & np.uint64(63))) & (filled[two >> np.uint64(6)] >> (two & np.uint64(63)))
+    return (found & np.uint64(1)).astype(bool)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import embdup, linedup, lmscore, mixing, neardup, negatives, packing, quality, sharding, tokenfile, urlfilter, variants
+from . import embdup, linedup, lmscore, mixing, neardup, negatives, packing, quality, sharding, substrings, tokenfile, urlfilter, variants
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.variant_digest(_documents(spark, sf_dir))
 
 
+def op13_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.repeat_digest(_documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_packing": op2_packing,
@@ -78,6 +82,7 @@ QUERIES = {
     "op10_embdup": op10_embdup,
     "op11_hardneg": op11_hardneg,
     "op12_spelling": op12_spelling,
+    "op13_substring": op13_substring,
 }
 ORACLE_SQL = {
     "op1_mixing": mixing.SQL,
@@ -85,4 +90,5 @@ ORACLE_SQL = {
     "op7_urlfilter": urlfilter.SQL,
     "op11_hardneg": negatives.SQL,
     "op12_spelling": variants.SQL,
+    "op13_substring": substrings.SQL,
 }

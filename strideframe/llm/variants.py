@@ -8,8 +8,8 @@ none is inserted behind its equal.
 
 A candidate is a hash, made in a few operations from the hashes of the parts
 that stay, so that a word of m letters costs m times the alphabet, not m
-strings as long as itself. A filter of fixed size (SLOTS words of 64 bits) holds
-the vocabulary's hashes: what it rules out isn't shuffled. It fills up as the
+strings as long as itself. A filter of fixed size (8 MB) holds the
+vocabulary's hashes: what it rules out isn't shuffled. It fills up as the
 vocabulary grows; then more candidates reach the join, which decides. The
 candidate's string is compared with the word it meets, as hashes may collide.
 """
@@ -23,10 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WorkTables, mix64
+from .common import WorkTables, hash_filter, in_filter, mix64
 
-#: Bits of the filter: 64 a slot, 8 MB at most.
-SLOTS = 1 << 20
 #: Candidates that are made at a time.
 CANDIDATES = 1 << 18
 #: Odd, so that it has an inverse among the 64-bit numbers.
@@ -76,12 +74,6 @@ def neighbourhood(word: str, alphabet: np.ndarray, size: int = CANDIDATES):
         yield mix64(total + lifted[i, x] - (own * power[:m])[place[i]]), place[i], alphabet[x], 1
 
 
-def bits_of(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each hash in the filter."""
-    mask = np.uint64(SLOTS * 64 - 1)
-    return hashes & mask, (hashes >> np.uint64(32)) & mask
-
-
 def _hashed(batches):
     for batch in batches:
         words = batch.column(batch.schema.get_field_index("word"))
@@ -89,14 +81,6 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("id")), words, batch.column(batch.schema.get_field_index("n")), pa.array(hashes, pa.int64())], names=["id", "word", "n", "hash"])
 
 
-def _slots(batches):
-    for batch in batches:
-        hashes = batch.column(0).to_numpy().view(np.uint64)
-        bits = np.concatenate(bits_of(hashes))
-        marks = np.uint64(1) << (bits & np.uint64(63))
-        yield pa.RecordBatch.from_arrays([pa.array((bits >> np.uint64(6)).astype(np.int64)), pa.array(marks.view(np.int64))], names=["slot", "bits"])
-
-
 def _candidates(filled: np.ndarray, alphabet: np.ndarray):
     def run(batches):
         for batch in batches:
@@ -104,9 +88,7 @@ def _candidates(filled: np.ndarray, alphabet: np.ndarray):
             ids, words = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("id", "word"))
             for at_end, (k, word) in zip([*[False] * (len(ids) - 1), True], zip(ids, words, strict=True), strict=bool(ids)):
                 for hashes, place, letter, taken in neighbourhood(word, alphabet):
-                    one, two = bits_of(hashes)
-                    hit = (filled[one >> np.uint64(6)] >> (one & np.uint64(63))) & (filled[two >> np.uint64(6)] >> (two & np.uint64(63))) & np.uint64(1)
-                    at = np.flatnonzero(hit)
+                    at = np.flatnonzero(in_filter(filled, hashes))
                     if len(at):
                         held.append((np.full(len(at), k), hashes[at].view(np.int64), place[at], letter[at], np.full(len(at), taken)))
                         size += len(at)
@@ -134,9 +116,7 @@ def spelling_variants(words: DataFrame, times: int = 10, tables: WorkTables | No
     listed = tables.save(once.withColumn("id", F.monotonically_increasing_id()), "listed")
     vocabulary = tables.save(listed.mapInArrow(_hashed, "id long, word string, n long, hash long"), "words")
     alphabet = np.unique(letters("".join(r[0] for r in vocabulary.select(F.explode(F.split("word", ""))).distinct().collect())))
-    slots = vocabulary.select("hash").mapInArrow(_slots, "slot long, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
-    filled = np.zeros(SLOTS, np.uint64)
-    filled[slots.column("slot").to_numpy()] = slots.column("bits").to_numpy().view(np.uint64)
+    filled = hash_filter(vocabulary.select("hash"))
 
     # few words make very many candidates: their work is dealt evenly
     dealt = vocabulary.select("id", "word").repartition(F.xxhash64("id"))

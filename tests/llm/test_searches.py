@@ -1,6 +1,7 @@
 """Hard negatives, spelling variants and repeated passages against brute force, and on awkward rows."""
 
 import collections
+import hashlib
 import math
 import os
 import random
@@ -13,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from strideframe.llm import negatives, queries, variants
+from strideframe.llm import negatives, queries, substrings, variants
 
 SF = "/root/testdata/sf0.001"
 
@@ -169,7 +170,7 @@ def test_neighbourhood_is_whole_and_distinct(word):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["op11_hardneg", "op12_spelling"])
+@pytest.mark.parametrize("name", ["op11_hardneg", "op12_spelling", "op13_substring"])
 def test_searches_equal_their_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "embeddings"):
@@ -180,3 +181,97 @@ def test_searches_equal_their_sql(spark, name):
     plain = lambda x: "null" if pd.isna(x) else str(int(x)) if isinstance(x, float) else str(x)
     rows = lambda df: sorted(tuple(map(plain, r)) for r in df[columns].astype(object).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
+
+
+def repeats(rows, window=20):
+    """Per row of (doc_id, text): (doc_id, words, removed words, checksum, kept words), by a dictionary of all windows."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in rows]
+    place = lambda i, s: (i is None, i or 0, s)
+    first = {}
+    for (i, _), w in zip(rows, words, strict=True):
+        for s in range(len(w) - window + 1):
+            said = tuple(w[s : s + window])
+            first[said] = min(first.get(said, place(i, s)), place(i, s))
+    out = []
+    for (i, _), w in zip(rows, words, strict=True):
+        gone = set()
+        for s in range(len(w) - window + 1):
+            if first[tuple(w[s : s + window])] < place(i, s):
+                gone.update(range(s, s + window))
+        kept = " ".join(x for k, x in enumerate(w) if k not in gone)
+        out.append((i, len(w), len(gone), hashlib.sha256(kept.encode()).hexdigest(), kept))
+    return out
+
+
+def passages():
+    rng = random.Random(6)
+    say = lambda n, size=400: [f"w{rng.randrange(size)}" for _ in range(n)]
+    shared = [say(60), say(25), say(20), say(19), ["a"] * 70, ["a", "b", "c"] * 20, (say(7) * 9)]
+    rows = []
+    for i in range(150):
+        words = say(rng.randint(0, 90))
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randint(0, len(words))
+            piece = list(rng.choice(shared))
+            if rng.random() < 0.4:
+                piece[rng.randrange(len(piece))] = "edit"
+            words[at:at] = piece
+        rows.append((rng.randrange(1000) if i % 10 else i, rng.choice([" ", "\n", "\t "]).join(words)))
+    long = say(30_000, 50_000)
+    rows += [(2000, " ".join(long)), (2001, " ".join(long[:9000] + ["x"] + long[9000:])), (2002, "z " * 5000), (2003, "z " * 30)]
+    rows += [(None, rows[3][1]), (None, " ".join(shared[0])), (5, None), (6, ""), (7, "  \t "), (2004, rows[0][1]), rows[20], rows[20], (rows[21][0], "q " + rows[21][1])]
+    rows += [(2005, "é\u00a0ü " * 25), (2006, "é\u00a0ü " * 25), (2007, "y" * 300_000 + " end"), (2008, " ".join(["Éa", "éa"] * 15))]
+    return rows
+
+
+@pytest.mark.parametrize(("hot", "shard"), [(2000, 1 << 17), (3, 300)])
+def test_repeated_passages(spark, monkeypatch, hot, shard):
+    monkeypatch.setattr(substrings, "HOT", hot)
+    monkeypatch.setattr(substrings, "SHARD_WORDS", shard)
+    rows = passages()
+    df = spark.createDataFrame([(i, t, "x", 1, "p") for i, t in rows], "doc_id long, text string, key string, start int, print string")
+    got = collections.Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in substrings.repeat_digest(df.repartition(5)).collect())
+    assert got == collections.Counter(x[:4] for x in repeats(rows))
+    assert substrings.repeat_digest(df.limit(0)).count() == 0
+
+
+def test_texts_without_repeats(spark):
+    rows = passages()[:40]
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, print string, spans string")
+    got = substrings.drop_repeats(df)
+    assert got.schema == df.schema
+    want = collections.Counter((i, t if not removed else kept, "x", "y") for (i, t), (_, _, removed, _, kept) in zip(rows, repeats(rows), strict=True))
+    assert collections.Counter(tuple(r) for r in got.collect()) == want
+
+
+def test_index_counts_and_finds():
+    rng = np.random.default_rng(7)
+    for size in (2, 3, 40, 300):
+        text = np.append(rng.integers(1, size, 1000), 0)
+        tree = substrings.WaveletTree(text, size)
+        symbol, place = rng.integers(0, size, 500), rng.integers(0, 1002, 500)
+        assert (tree.count(symbol, place) == [int((text[:p] == s).sum()) for s, p in zip(symbol, place, strict=True)]).all()
+    text = np.append(np.tile(rng.integers(1, 9, 50), 5), 0)
+    first = np.arange(len(text) - 20)
+    at, low = substrings.FMIndex(text, 9).intervals(text, first)
+    said = [tuple(text[k : k + 20]) for k in first]
+    count = collections.Counter(said)
+    assert at.tolist() == [k for k in first if count[said[k]] > 1]
+    assert len(set(low.tolist())) == len({said[k] for k in at}) == len({(a, said[k]) for a, k in zip(low.tolist(), at, strict=True)})
+
+
+def test_equal_windows_have_equal_keys():
+    rng = np.random.default_rng(8)
+    lengths = rng.integers(0, 120, 60)
+    hashes = rng.integers(0, 5, lengths.sum()).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    text, first, windows, key, content, several = substrings.segments(hashes, lengths)
+    ends = np.cumsum(lengths)
+    assert sum(windows) == sum(max(0, n - 19) for n in lengths)
+    keys, places = {}, collections.defaultdict(list)
+    for t, f, n, k, c, s in zip(text, first, windows, key, content, several, strict=True):
+        assert ends[t] - lengths[t] <= f and f + n + 19 <= ends[t]
+        for p in range(f, f + n):
+            said = tuple(hashes[p : p + 20])
+            assert keys.setdefault(said, k) == k
+            assert s or said not in places[(c, f)]
+            places[(c, f)].append(said)
