@@ -234,5 +234,8 @@ def hash_filter(hashes: DataFrame) -> np.ndarray:
 
 def in_filter(filled: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     one, two = _filter_bits(hashes)
-    found = (filled[one >> np.uint64(6)] >> (one & np.uint64(63))) & (filled[two >> np.uint64(6)] >> (two & np.uint64(63)))
-    return (found & np.uint64(1)).astype(bool)
+    found = (filled[one >> np.uint64(6)] >> (one & np.uint64(63)) & np.uint64(1)).astype(bool)
+    at = np.flatnonzero(found)
+    two = two[at]
+    found[at] = (filled[two >> np.uint64(6)] >> (two & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return found

@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import WorkTables, hash_filter, in_filter, mix64
 
 #: Candidates that are made at a time.
-CANDIDATES = 1 << 18
+CANDIDATES = 1 << 17
+#: Letters of words times alphabet that one task works on.
+TASK = 20_000_000
 #: Odd, so that it has an inverse among the 64-bit numbers.
 BASE = 0x9E3779B97F4A7C1B
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -53,25 +55,33 @@ def word_hash(word: str) -> int:
     return int(mix64(np.atleast_1d((weights(codes) * powers(len(codes))).sum(dtype=np.uint64)))[0])
 
 
-def neighbourhood(word: str, alphabet: np.ndarray, size: int = CANDIDATES):
-    """(hashes, places, letters put in or 0, letters taken out 0 or 1) of all distinct strings one edit away, in parts."""
-    codes = letters(word)
-    m = len(codes)
-    power, own, new = powers(m + 1), weights(codes), weights(alphabet)
-    before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(own * power[:m], dtype=np.uint64)])
-    total = before[-1]
-    last = np.concatenate([np.zeros(1, np.uint32), codes])  # the letter before each place
-    at = np.flatnonzero(codes != last[:-1])
-    yield mix64(before[at] + (total - before[at + 1]) * np.uint64(INVERSE)), at, np.zeros(len(at), np.uint32), 1
+def neighbourhoods(words: list[str], alphabet: np.ndarray, size: int = CANDIDATES):
+    """(hashes, numbers of words, places, letters put in or 0, letters taken out 0 or 1) of all distinct strings one edit away, in parts.
+
+    words: of one length.
+    """
+    m = len(words[0])
+    codes = letters("".join(words)).reshape(-1, m)
+    power, new = powers(m + 1), weights(alphabet)
+    own = weights(codes) * power[:m]
+    before = np.concatenate([np.zeros((len(words), 1), np.uint64), np.cumsum(own, axis=1, dtype=np.uint64)], axis=1)
+    total = before[:, -1:]
+    last = np.concatenate([np.zeros((len(words), 1), np.uint32), codes], axis=1)  # the letter before each place
+    k, at = np.nonzero(codes != last[:, :-1])
+    yield mix64(before[k, at] + (total[k, 0] - before[k, at + 1]) * np.uint64(INVERSE)), k, at, np.zeros(len(at), np.uint32), 1
+    with_letter = before + (total - before) * np.uint64(BASE)
     step = max(1, size // max(1, len(alphabet)))
-    for low in range(0, m + 1, step):
-        place = np.arange(low, min(low + step, m + 1))
+    for low in range(0, len(words) * (m + 1), step):
+        k, place = np.divmod(np.arange(low, min(low + step, len(words) * (m + 1))), m + 1)
         lifted = new[None, :] * power[place][:, None]
-        i, x = np.nonzero(alphabet[None, :] != last[place][:, None])
-        yield mix64(before[place[i]] + lifted[i, x] + (total - before[place[i]]) * np.uint64(BASE)), place[i], alphabet[x], 0
-        place = place[place < m]
-        i, x = np.nonzero(alphabet[None, :] != codes[place][:, None])
-        yield mix64(total + lifted[i, x] - (own * power[:m])[place[i]]), place[i], alphabet[x], 1
+        fit = alphabet[None, :] != last[k, place][:, None]
+        i, x = np.nonzero(fit)
+        yield mix64((with_letter[k, place][:, None] + lifted)[fit]), k[i], place[i], alphabet[x], 0
+        inner = place < m
+        k, place, lifted = k[inner], place[inner], lifted[inner]
+        fit = alphabet[None, :] != codes[k, place][:, None]
+        i, x = np.nonzero(fit)
+        yield mix64(((total[k, 0] - own[k, place])[:, None] + lifted)[fit]), k[i], place[i], alphabet[x], 1
 
 
 def _hashed(batches):
@@ -84,19 +94,18 @@ def _hashed(batches):
 def _candidates(filled: np.ndarray, alphabet: np.ndarray):
     def run(batches):
         for batch in batches:
-            held, size = [], 0
-            ids, words = (batch.column(batch.schema.get_field_index(x)).to_pylist() for x in ("id", "word"))
-            for at_end, (k, word) in zip([*[False] * (len(ids) - 1), True], zip(ids, words, strict=True), strict=bool(ids)):
-                for hashes, place, letter, taken in neighbourhood(word, alphabet):
+            ids, words = (batch.column(batch.schema.get_field_index(x)) for x in ("id", "word"))
+            ids, words = ids.to_numpy(), words.to_pylist()
+            alike = {}
+            for k, word in enumerate(words):
+                alike.setdefault(len(word), []).append(k)
+            for rows in alike.values():
+                number = ids[rows]
+                for hashes, k, place, letter, taken in neighbourhoods([words[x] for x in rows], alphabet):
                     at = np.flatnonzero(in_filter(filled, hashes))
-                    if len(at):
-                        held.append((np.full(len(at), k), hashes[at].view(np.int64), place[at], letter[at], np.full(len(at), taken)))
-                        size += len(at)
-                if size > 50_000 or (held and at_end):
-                    k, hashes, place, letter, taken = (np.concatenate(x) for x in zip(*held, strict=True))
-                    put = pa.array([chr(x) if x else "" for x in letter.tolist()], pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(hashes), pa.array(place, pa.int32()), put, pa.array(taken, pa.int32())], names=["id", "hash", "place", "letter", "taken"])
-                    held, size = [], 0
+                    put = pa.array([chr(x) if x else "" for x in letter[at].tolist()], pa.string())
+                    columns = [pa.array(number[k[at]]), pa.array(hashes[at].view(np.int64)), pa.array(place[at].astype(np.int32)), put, pa.array(np.full(len(at), taken, np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["id", "hash", "place", "letter", "taken"])
 
     return run
 
@@ -118,8 +127,9 @@ def spelling_variants(words: DataFrame, times: int = 10, tables: WorkTables | No
     alphabet = np.unique(letters("".join(r[0] for r in vocabulary.select(F.explode(F.split("word", ""))).distinct().collect())))
     filled = hash_filter(vocabulary.select("hash"))
 
-    # few words make very many candidates: their work is dealt evenly
-    dealt = vocabulary.select("id", "word").repartition(F.xxhash64("id"))
+    # few bytes make very many candidates: tasks by the work, not by the size
+    work = (vocabulary.agg(F.sum(F.char_length("word"))).first()[0] or 0) * len(alphabet)
+    dealt = vocabulary.select("id", "word").repartition(int(work // TASK) + 1, "id")
     kept = dealt.mapInArrow(_candidates(filled, alphabet), "id long, hash long, place int, letter string, taken int")
     other = vocabulary.select("hash", F.col("word").alias("near"), F.col("n").alias("near_n"))
     met = kept.join(other, "hash").join(vocabulary.select("id", "word"), "id")

@@ -160,7 +160,7 @@ def test_neighbourhood_is_whole_and_distinct(word):
     want |= {word[:k] + x + word[k + 1 :] for k in range(len(word)) for x in "abcdé"}
     want |= {word[:k] + x + word[k:] for k in range(len(word) + 1) for x in "abcdé"}
     got = []
-    for hashes, places, put, taken in variants.neighbourhood(word, alphabet, size=11):
+    for hashes, _, places, put, taken in variants.neighbourhoods([word], alphabet, size=11):
         for h, at, x in zip(hashes.tolist(), places.tolist(), put.tolist(), strict=True):
             made = word[:at] + (chr(x) if x else "") + word[at + taken :]
             assert variants.word_hash(made) == h
