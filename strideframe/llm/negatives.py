@@ -194,9 +194,13 @@ def search(needs: DataFrame, table: DataFrame, k: int, top: float, same: bool, t
     kin = F.col("label") if same else F.lit(0).cast("long")
     rows = tables.save(_blocks(table.withColumn("kin", kin), ROWS), "row_blocks")
     # few anchors are one block, whichever pivots they are near: each block costs a copy of the rows
-    groups = F.least(F.lit(PIVOTS), F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) / ANCHORS))).cast("int")
+    groups = lambda n: F.least(F.lit(PIVOTS), F.greatest(F.lit(1), F.floor(n / ANCHORS))).cast("int")
     spread = needs.withColumn("kin", kin)
-    spread = spread.join(spread.groupBy("kin").agg(groups.alias("groups")), "kin").withColumns({"home": F.col("cell"), "cell": F.col("cell") % F.col("groups")}).drop("groups")
+    if same:
+        spread = spread.join(spread.groupBy("kin").agg(groups(F.count(F.lit(1))).alias("groups")), "kin")
+    else:
+        spread = spread.withColumn("groups", groups(F.lit(needs.count())))
+    spread = spread.withColumns({"home": F.col("cell"), "cell": F.col("cell") % F.col("groups")}).drop("groups")
     asked = tables.save(_blocks(spread, ANCHORS), "need_blocks")
     low, high = _ranges("near")
     of_rows = rows.groupBy("kin", "cell", "part").agg(low.alias("low"), high.alias("high"))
