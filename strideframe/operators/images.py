@@ -11,12 +11,14 @@ carried on from batch to batch.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .registration import blend, window, wrap
 
@@ -56,38 +58,58 @@ def scaled(height: int, width: int, most: int | None) -> tuple[int, int]:
     return int(height * k + 0.5), int(width * k + 0.5)
 
 
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of Arrow batches as dictionaries; bytes stay where they are."""
+    for batch in batches:
+        columns = [c if pa.types.is_binary(f.type) else c.to_pylist() for f, c in zip(batch.schema, batch.columns, strict=True)]
+        for values in zip(*columns, strict=True):
+            yield dict(zip(batch.schema.names, values, strict=True))
+
+
+def _gathered(rows: Iterator[list], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of rows, of about `most` bytes where the last value is bytes."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 64 + (len(row[-1]) if isinstance(row[-1], bytes) else 0)
+        if size > most:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), schema, strict=True)], schema=schema)
+
+
+def _runs(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[dict]]:
+    """Consecutive rows that agree in the named columns."""
+    for _, rows in itertools.groupby(_rows(batches), key=lambda r: [r[x] for x in names]):
+        yield list(rows)
+
+
+SHAPE = ("height", "width", "channels")
+
+
 def batch_sums(frames: DataFrame, size: int = 20, key: str = "video") -> DataFrame:
     """Partial sums of batches of `size` frames: key, batch, height, width, channels, n, sums (32-bit numbers).
 
     A batch has one row for each run of its frames within a partition. Frames of one batch that differ in shape are an error.
     """
+    lean = frames.select(key, F.floor(F.col("frame") / size).cast("long").alias("batch"), *(F.col(x).cast("int").alias(x) for x in SHAPE), "pixels")
+    kind = to_arrow_type(frames.schema[key].dataType)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, total, count = None, None, 0
-
-        def row() -> pa.RecordBatch:
-            values = [*held, count, total.tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(values, schema, strict=True)], schema=schema)
-
-        schema = None
-        for batch in batches:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))
-            if schema is None:
-                kinds = [(key, get(key).type), ("batch", pa.int64()), *((x, pa.int32()) for x in ("height", "width", "channels")), ("n", pa.int64()), ("sums", pa.binary())]
-                schema = pa.schema(kinds)
-            for *shape, pixels in zip(get(key).to_pylist(), get("batch").to_pylist(), get("height").to_pylist(), get("width").to_pylist(), get("channels").to_pylist(), get("pixels"), strict=True):
-                image = np.frombuffer(pixels.as_buffer(), np.uint8)
-                if held is not None and held != shape:
-                    yield row()
-                    held = None
-                if held is None:
-                    held, total, count = shape, np.zeros(len(image), np.int32), 0
-                total += image
-                count += 1
-        if held is not None:
-            yield row()
-
-    lean = frames.select(key, F.floor(F.col("frame") / size).cast("long").alias("batch"), *(F.col(x).cast("int").alias(x) for x in ("height", "width", "channels")), "pixels")
+        def sums() -> Iterator[list]:
+            names = (key, "batch", *SHAPE)
+            for found, rows in itertools.groupby(_rows(batches), key=lambda r: [r[x] for x in names]):
+                total, n = None, 0
+                for row in rows:
+                    image = np.frombuffer(row["pixels"].as_buffer(), np.uint8)
+                    total = image.astype(np.int32) if total is None else np.add(total, image, out=total)
+                    n += 1
+                yield [*found, n, total.tobytes()]
+
+        kinds = [(key, kind), ("batch", pa.int64()), *((x, pa.int32()) for x in SHAPE), ("n", pa.int64()), ("sums", pa.binary())]
+        yield from _gathered(sums(), pa.schema(kinds))
+
     return lean.mapInArrow(add, f"`{key}` {frames.schema[key].dataType.simpleString()}, batch long, height int, width int, channels int, n long, sums binary")
 
 
@@ -96,21 +118,22 @@ def mean_of(parts: list[dict]) -> np.ndarray:
     shapes = {(p["height"], p["width"], p["channels"]) for p in parts}
     if len(shapes) > 1:
         raise ValueError(f"frames of one batch differ in shape: {sorted(shapes)}")
-    total = sum(np.frombuffer(p["sums"], np.int32).astype(np.int64) for p in parts)
+    total = sum(np.frombuffer(p["sums"].as_buffer(), np.int32).astype(np.int64) for p in parts)
     return (total // sum(p["n"] for p in parts)).reshape(*shapes.pop())
 
 
 def batch_images(frames: DataFrame, size: int = 20, key: str = "video") -> DataFrame:
     """S-14, A-11: key, batch, height, width, channels, n_frames and pixels (bytes) of the mean image of each batch; the last may be short."""
 
-    def merge(group: pa.Table) -> pa.Table:
-        parts = group.to_pylist()
-        image = mean_of(parts).astype(np.uint8)
-        one = group.slice(0, 1).select([key, "batch", "height", "width", "channels"])
-        return one.append_column("n_frames", pa.array([sum(p["n"] for p in parts)], pa.int64())).append_column("pixels", pa.array([image.tobytes()], pa.binary()))
+    kind = to_arrow_type(frames.schema[key].dataType)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [(key, kind), ("batch", pa.int64()), *((x, pa.int32()) for x in SHAPE), ("n_frames", pa.int64()), ("pixels", pa.binary())]
+        means = ([*(parts[0][x] for x in (key, "batch", *SHAPE)), sum(p["n"] for p in parts), mean_of(parts).astype(np.uint8).tobytes()] for parts in _runs(batches, key, "batch"))
+        yield from _gathered(means, pa.schema(kinds))
 
-    kind = frames.schema[key].dataType.simpleString()
-    return batch_sums(frames, size, key).groupBy(key, "batch").applyInArrow(merge, f"`{key}` {kind}, batch long, height int, width int, channels int, n_frames long, pixels binary")
+    sums = batch_sums(frames, size, key).repartition(key, "batch").sortWithinPartitions(key, "batch")
+    return sums.mapInArrow(merge, f"`{key}` {frames.schema[key].dataType.simpleString()}, batch long, height int, width int, channels int, n_frames long, pixels binary")
 
 
 def filled_mask(spans: list[dict], height: int, width: int) -> np.ndarray:
@@ -167,35 +190,34 @@ def register_frames(frames: DataFrame, masks: DataFrame | None = None, size: int
     both = F.when((F.col("batch") % SPAN == 0) & (F.col("batch") > 0), F.array(span - 1, span)).otherwise(F.array(span))
     dealt = sums.withColumn("span", F.explode(both)).repartition(key, "span").sortWithinPartitions(key, "span", "batch")
 
+    kind = to_arrow_type(frames.schema[key].dataType)
+
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = None
-        video, parts, images, first, carried = None, [], [], 0, None
-
-        def image() -> np.ndarray:
-            return prepared(mean_of(parts), [parts[0][x] for x in layers], most, area)
-
-        def flushed() -> pa.RecordBatch:
-            nonlocal images, carried, first
-            found, last = correlated(np.stack(images), carried, compat)
-            start = first if carried is None else first - 1
-            columns = [[video[0]] * len(found), range(start, start + len(found)), *(zip(*found, strict=True) if found else ([], [], []))]
-            first, carried, images = first + len(images), last, []
-            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-        for batch in batches:
-            if schema is None:
-                schema = pa.schema([(key, batch.schema.field(key).type), ("pair_idx", pa.int64()), ("dx", pa.int32()), ("dy", pa.int32()), ("confidence", pa.float64())])
-            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
-                if parts and (row[key], row["span"], row["batch"]) != (parts[0][key], parts[0]["span"], parts[0]["batch"]):
-                    images.append(image())
-                    parts = []
-                    if len(images) * images[0].size >= PIXELS or (row[key], row["span"]) != video:
-                        yield flushed()
-                if (row[key], row["span"]) != video:
-                    video, images, first, carried = (row[key], row["span"]), [], row["batch"], None
-                parts.append(row)
-        if parts:
-            images.append(image())
-            yield flushed()
+        def stretch(runs: Iterator[list[dict]]) -> Iterator[list]:
+            """Pairs of one stretch of a video; one spectrum is carried from one stack of images to the next."""
+            images, at, carried = [], None, None
+            for last, parts in _with_last(runs):
+                at = parts[0]["batch"] if at is None else at
+                images.append(prepared(mean_of(parts), [parts[0][x] for x in layers], most, area))
+                if last or len(images) * images[0].size >= PIXELS:
+                    found, spectrum = correlated(np.stack(images), carried, compat)
+                    start = at if carried is None else at - 1
+                    yield from ([parts[0][key], start + k, *pair] for k, pair in enumerate(found))
+                    images, at, carried = [], at + len(images), spectrum
+
+        kinds = [(key, kind), ("pair_idx", pa.int64()), ("dx", pa.int32()), ("dy", pa.int32()), ("confidence", pa.float64())]
+        stretches = itertools.groupby(_runs(batches, key, "span", "batch"), key=lambda parts: (parts[0][key], parts[0]["span"]))
+        yield from _gathered((pair for _, runs in stretches for pair in stretch(runs)), pa.schema(kinds))
 
     return dealt.mapInArrow(pairs, f"`{key}` {frames.schema[key].dataType.simpleString()}, pair_idx long, dx int, dy int, confidence double")
+
+
+def _with_last(items: Iterator) -> Iterator[tuple[bool, object]]:
+    """Each item, and whether it is the last."""
+    items = iter(items)
+    before = next(items, None)
+    for item in items:
+        yield False, before
+        before = item
+    if before is not None:
+        yield True, before
