@@ -1,4 +1,4 @@
-"""Readers (S-01, S-04..S-11, S-18, D22)."""
+"""Readers (S-04..S-07, S-09..S-11, S-18, D22)."""
 
 from __future__ import annotations
 
