@@ -5,14 +5,15 @@ removed from a block or an allow list on a day. Changes become validity
 intervals, from an addition to the next change of the same entry and list. The
 intervals of a host and its parent domains are merged into one timeline per
 host: consecutive segments, each with the verdict of the most specific entry
-that is active, an allow entry before a block entry of the same length. An
-as-of join then gives every capture the one segment of its host that holds
-its fetch day.
+that is active, an allow entry before a block entry of the same length. The
+as-of join lays the captures of a host and the starts of its segments in one
+order of days and carries the last segment along, so that every row is looked
+at once, whatever the number of segments.
 
 Hosts are made distinct before lists are looked up, so a host with a third of
-all captures costs one timeline; the captures themselves meet their timeline
-in a plain equi-join, whose skewed partitions Spark splits. Only DataFrame
-functions run.
+all captures costs one timeline. Its captures are dealt to as many keys as it
+takes to leave none with more than one SHAREth of all captures, and its timeline
+is copied to each. Only DataFrame functions run.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 FOREVER = 2**31 - 1
-#: Keys over which a host's captures are spread.
-SALTS = 8
+#: A key has one SHAREth of all captures at most, so fewer than SHARE hosts are dealt to several keys.
+SHARE = 300
 
 
 def host_of(url: Column) -> Column:
@@ -87,13 +88,22 @@ def filter_urls(captures: DataFrame, changes: DataFrame) -> DataFrame:
     captures = captures.drop(*own)
     inner = [c if c in ("url", "fetched") else f"column_{k}" for k, c in enumerate(captures.columns)]
     kept = captures.toDF(*inner).withColumns({"host": host_of(F.col("url")), "__day": F.col("fetched").cast("int")})
-    line = timelines(kept.select("host").dropna().distinct(), validity(changes)).withColumnsRenamed({"host": "__host", "since": "__since", "until": "__until"})
-    # a host's captures are spread over SALTS keys, as one host may hold a third of all, and its timeline is copied to each
-    salt = F.pmod(F.xxhash64("url", "__day"), F.lit(SALTS)).cast("int")
-    copies = line.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = kept.withColumn("__part", salt)
-    hit = (salted["host"] == copies["__host"]) & (salted["__part"] == copies["__salt"]) & (salted["__day"] >= copies["__since"]) & (salted["__day"] < copies["__until"])
-    out = salted.join(copies, hit, "left").withColumn("blocked", F.coalesce(F.col("list") == "block", F.lit(False)))
+    hosts = kept.where("host IS NOT NULL AND __day IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"))
+    line = timelines(hosts.select("host"), validity(changes))
+    most = (hosts.agg(F.sum("n")).first()[0] or 0) / SHARE
+    hot = hosts.where(F.col("n") > F.lit(most)).select("host", F.ceil(F.col("n") / F.lit(most or 1.0)).cast("int").alias("__keys"))
+    keys = F.coalesce("__keys", F.lit(1))
+    dealt = kept.where("host IS NOT NULL AND __day IS NOT NULL").join(F.broadcast(hot), "host", "left")
+    dealt = dealt.withColumns({"__key": F.pmod(F.xxhash64("url", "__day", F.monotonically_increasing_id()), keys).cast("int"), "__row": F.lit(1)}).drop("__keys")
+    copies = line.join(F.broadcast(hot), "host", "left").withColumn("__key", F.explode(F.sequence(F.lit(0), keys - 1)))
+    copies = copies.select("host", "__key", F.col("since").alias("__day"), F.lit(0).alias("__row"), F.struct("until", "entry", "list").alias("__segment"))
+    both = dealt.unionByName(copies, allowMissingColumns=True)
+    ahead = W.partitionBy("host", "__key").orderBy("__day", "__row").rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("__segment", F.last("__segment", ignorenulls=True).over(ahead)).where("__row = 1")
+    hit = F.col("__segment.until") > F.col("__day")
+    found = found.select(*inner, "host", F.when(hit, F.col("__segment.entry")).alias("entry"), F.when(hit, F.col("__segment.list")).alias("list"))
+    none = kept.where("host IS NULL OR __day IS NULL").select(*inner, "host", F.lit(None).cast("string").alias("entry"), F.lit(None).cast("string").alias("list"))
+    out = found.unionByName(none).withColumn("blocked", F.coalesce(F.col("list") == "block", F.lit(False)))
     return out.select(*inner, *own).toDF(*captures.columns, *own)
 
 

@@ -154,8 +154,19 @@ def test_url_filter_equals_brute_force(spark):
         assert (rows[k]["entry"], rows[k]["list"], rows[k]["blocked"]) == verdict(host, day) and rows[k]["until"] == "u" and rows[k]["host"] == host
 
 
+def test_one_host_with_many_segments(spark):
+    """Captures of one host are dealt to many keys, and each finds its segment among all."""
+    changes = spark.range(1500).selectExpr("'hot.org' AS entry", "'block' AS list", "cast(id AS int) AS day", "IF(id % 2 = 0, 'add', 'remove') AS action")
+    captures = spark.range(20_000).selectExpr("concat('http://hot.org/', id % 50) AS url", "cast(id % 1600 AS int) - 50 AS fetched", "id")
+    captures = captures.unionByName(spark.createDataFrame([(None, 3, 1), ("http://hot.org/", None, 2), (None, None, 3)], "url string, fetched int, id long"))
+    found = urlfilter.filter_urls(captures, changes)
+    assert found.count() == 20_003
+    wrong = found.where("blocked <> (host IS NOT NULL AND fetched IS NOT NULL AND fetched BETWEEN 0 AND 1498 AND fetched % 2 = 0)")
+    assert wrong.count() == 0 and found.where("blocked").count() > 9000
+
+
 @pytest.mark.skipif(not HERE, reason="no test tables")
-@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLE_SQL) - {"op11_hardneg", "op12_spelling", "op13_substring"}))  # those: test_searches.py
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for table in ("documents", "pages"):
