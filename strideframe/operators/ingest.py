@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from .numbering import prefix_sums
+
 
 class Checked(NamedTuple):
     accepted: DataFrame
@@ -44,15 +46,12 @@ def check_reference(rows: DataFrame, parents: DataFrame, reference: str, parent_
 def unfold_chapters(videos: DataFrame, first_id: int = 1) -> DataFrame:
     """S-24: a row for each chapter of `chapters`, with source and times as doubles; null lists give none.
 
-    Chapters are numbered in the order of (video_id, position). A running sum
-    goes over videos inside a range of ids that share two characters, and over
-    these ranges; no task sees all videos. Ids are keys, so no two are equal.
+    Chapters are numbered in the order of (video_id, position), by sums over
+    ranges of ids; no task sees all videos. Ids are keys, so no two are equal.
     """
-    sized = videos.withColumns({"__n": F.coalesce(F.size("chapters"), F.lit(0)), "__range": F.substring("id", 1, 2)}).where("__n > 0")
-    before = lambda w: F.coalesce(F.sum("__n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranges = sized.groupBy("__range").agg(F.sum("__n").alias("__n")).select("__range", before(W.orderBy("__range")).alias("__ahead"))
-    placed = sized.withColumn("__own", before(W.partitionBy("__range").orderBy("id"))).join(ranges, "__range")
-    out = placed.select(F.col("id").alias("video_id"), (F.col("__ahead") + F.col("__own")).alias("__first"), F.posexplode("chapters").alias("ordinal", "c"))
+    sized = videos.withColumn("__n", F.coalesce(F.size("chapters"), F.lit(0))).where("__n > 0")
+    placed = prefix_sums(sized, "id", "__n", "__first")
+    out = placed.select(F.col("id").alias("video_id"), "__first", F.posexplode("chapters").alias("ordinal", "c"))
     times = [F.col(f"c.{x}").cast("double").alias(x) for x in ("start_time", "end_time")]
     return out.select((F.col("__first") + F.col("ordinal") + first_id).cast("long").alias("chapter_id"), "c.title", *times, F.lit("youtube").alias("source"), "video_id")
 

@@ -1,50 +1,55 @@
-"""Registry and protocols of optional models (X-01..X-03, X-08, X-10..X-12, S-12).
+"""Models that others bring: detectors, pose models, decoders (X-01..X-03, X-08, X-10..X-12, S-12).
 
-Decoders, detectors and pose models are not part of this package. An
-implementation is registered under a name and used by mapInPandas; tests use a
-deterministic stand-in.
+None is part of this package. A model is a class that takes frames as pandas
+batches; `model` files it under its role and name with the schema of its rows,
+which must hold the columns that operators read from that role.
 """
 
 from __future__ import annotations
 
-import logging
 from collections.abc import Callable, Iterator
-from typing import Any, Protocol
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
+
+#: Columns that each role gives for the operators that follow it.
+NEEDED = {
+    "text mask": ("video", "batch", "text"),
+    "person mask": ("video", "batch", "persons"),
+    "tracker": ("video", "track", "frame"),
+    "pose": ("video", "frame", "joints"),
+    "decoder": ("video", "frame", "height", "width", "channels", "pixels"),
+}
+#: X-03: sizes a person model comes in.
+SIZES = ("nano", "small", "medium", "large", "extra_large")
 
-log = logging.getLogger(__name__)
-
-
-class FrameModel(Protocol):
-    """Takes frames (video, frame, height, width, pixels) and gives rows of its own schema."""
 
-    schema: str
+class Filed(NamedTuple):
+    model: type
+    schema: StructType
 
-    def __call__(self, frames: pd.DataFrame) -> pd.DataFrame: ...
 
+MODELS: dict[tuple[str, str], Filed] = {}
 
-class Registry:
-    """X-01: builders by key; an unknown key is logged and is a ValueError."""
 
-    def __init__(self):
-        self._builders: dict[str, Callable[..., Any]] = {}
+def model(role: str, name: str, schema: str) -> Callable[[type], type]:
+    """X-01: a class decorator; the schema (DDL) is checked here, not when the job runs."""
+    rows = StructType.fromDDL(schema)
+    missing = set(NEEDED[role]) - set(rows.names)
+    if missing:
+        raise ValueError(f"{role} {name!r} lacks {sorted(missing)}")
 
-    def register(self, key: str, builder: Callable[..., Any]) -> None:
-        self._builders[key] = builder
+    def file(kind: type) -> type:
+        MODELS[role, name] = Filed(kind, rows)
+        return kind
 
-    def create(self, key: str, **options: Any) -> Any:
-        builder = self._builders.get(key)
-        if builder is None:
-            log.error("no builder for %r", key)
-            raise ValueError(key)
-        return builder(**options)
+    return file
 
 
-TEXT_MASKS, PERSON_MASKS, TRACKERS, POSES, FRAMES = (Registry() for _ in range(5))
-#: X-03: sizes a person model comes in.
-SIZES = ("nano", "small", "medium", "large", "extra_large")
+def names(role: str) -> list[str]:
+    return sorted(n for r, n in MODELS if r == role)
 
 
 def check_size(size: str) -> str:
@@ -53,11 +58,15 @@ def check_size(size: str) -> str:
     return size
 
 
-def apply_model(frames: DataFrame, model: FrameModel) -> DataFrame:
-    """Runs a model over frames, batch by batch; it is sent to the workers once per task."""
+def apply_model(frames: DataFrame, role: str, name: str, **options) -> DataFrame:
+    """Rows of a filed model over frames; it is built once in a task, from options, and called batch by batch."""
+    if (role, name) not in MODELS:
+        raise ValueError(f"no {role} {name!r}; there are {names(role)}")
+    kind, schema = MODELS[role, name]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built = kind(**options)
         for batch in batches:
-            yield model(batch)
+            yield built(batch)
 
-    return frames.mapInPandas(run, model.schema)
+    return frames.mapInPandas(run, schema)

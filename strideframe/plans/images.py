@@ -1,11 +1,11 @@
-"""Queries on images and masks."""
+"""Queries on images, masks and stacked clips."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..operators import images, masks
+from ..operators import images, masks, numbering
 from .relational import table
 from .sequences import BASE, SIZE, frames
 
@@ -68,3 +68,13 @@ def q67_frame_pairs(spark, sf_dir):
     covers = rows.select("video", F.floor(F.col("frame") / SIZE).alias("batch")).where("batch % 3 = 0").distinct()
     covers = covers.select("video", "batch", masks.box_spans(box(1, 1, 6, 3), F.lit(16), F.lit(16)).alias("text"), masks.box_spans(box(9, 4, 14, 15), F.lit(16), F.lit(16)).alias("persons"))
     return images.register_frames(shown, covers, SIZE, most=None).withColumn("confidence", F.round("confidence", 6))
+
+
+# U-02
+@query("""WITH s AS (SELECT event_id, user_id AS clip, row_number() OVER (ORDER BY user_id, ts, event_id) - 1 AS row FROM events)
+SELECT event_id, row, clip, row - min(row) OVER (PARTITION BY clip) AS frame FROM s""")
+def q68_stack_clips(spark, sf_dir):
+    """All videos' rows one below the other, cut apart again by the index alone."""
+    clips = table(spark, sf_dir, "events").select(F.col("user_id").alias("clip"), "ts", "event_id")
+    stacked, index = numbering.stack_clips(clips, "clip", ["ts", "event_id"])
+    return numbering.cut_apart(stacked.select("event_id", "row"), index).select("event_id", "row", "clip", "frame")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
+from pyspark.sql.window import Window as W
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -11,6 +14,39 @@ def append(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").parquet(path)
 
 
+def inserted(spark: SparkSession, path: str) -> DataFrame | None:
+    """What insert_batch has written under path, with writer and batch; None before the first batch."""
+    try:
+        return spark.read.parquet(path).withColumns({x: F.col(x).cast("string") for x in ("writer", "batch")})
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def insert_batch(rows: DataFrame, path: str, key: str, writer: str, batch: int | str) -> None:
+    """S-21, S-22: rows whose key isn't there yet, as one batch of a writer; the table's keys stay unique.
+
+    Each batch is a folder of its own, and a batch that is written again takes
+    the place of its first try, so a replay changes nothing. Of rows with one
+    key the one with the smallest hash stays, on each try the same; null keys
+    are left out. Only one batch is written at a time. Rows have no columns
+    named writer or batch.
+    """
+    order = W.partitionBy(key).orderBy(F.xxhash64(*rows.columns))
+    once = rows.where(F.col(key).isNotNull()).withColumn("__n", F.row_number().over(order)).where("__n = 1").drop("__n")
+    before = inserted(rows.sparkSession, path)
+    if before is not None:
+        others = before.where((F.col("writer") != writer) | (F.col("batch") != str(batch)))
+        once = once.join(others.select(key), key, "left_anti")
+    once.write.mode("overwrite").parquet(f"{path}/writer={writer}/batch={batch}")
+
+
+def insert_stream(rows: DataFrame, path: str, key: str, writer: str) -> DataStreamWriter:
+    """insert_batch of each micro-batch of a stream, under its number; start it with a checkpoint of its own for each writer."""
+    return rows.writeStream.foreachBatch(lambda some, number: insert_batch(some, path, key, writer, number))
+
+
 def write_segments(segments: DataFrame, path: str, filter_name: str) -> None:
     """S-27, X-20: one partition for each filter; segments of a video stay together in a file."""
     segments.withColumn("filter_name", F.lit(filter_name)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("filter_name").parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strideframe.functions import geometry as g
 from strideframe.functions import text
-from strideframe.operators import features, ingest, manifests, pca, plugins, prompts, registration, sequence, skeleton, tracks
+from strideframe.operators import features, ingest, manifests, numbering, pca, plugins, prompts, registration, sequence, skeleton, tracks
 from strideframe.sources import readers, sinks
 
 
@@ -182,15 +182,41 @@ def test_readers(spark, tmp_path):
         readers.read_yaml("a: [")
 
 
-def test_registry():
-    plugins.POSES.register("still", lambda n: n + 1)
-    assert plugins.POSES.create("still", n=1) == 2
-    with pytest.raises(ValueError):
-        plugins.POSES.create("unknown")
+def test_models_are_filed_with_their_schema(spark):
+    @plugins.model("pose", "still", "video string, frame long, joints array<double>, mark int")
+    class Still:
+        def __init__(self, mark):
+            self.mark = mark
+
+        def __call__(self, frames):
+            return frames[["video", "frame"]].assign(joints=[[float(k)] for k in frames["frame"]], mark=self.mark)
+
+    assert plugins.names("pose") == ["still"] and plugins.names("tracker") == []
+    frames = spark.createDataFrame([("v", 1), ("v", 2)], "video string, frame long")
+    assert sorted(tuple(r) for r in plugins.apply_model(frames, "pose", "still", mark=7).collect()) == [("v", 1, [1.0], 7), ("v", 2, [2.0], 7)]
+    with pytest.raises(ValueError, match="there are"):
+        plugins.apply_model(frames, "pose", "unknown")
+    with pytest.raises(ValueError, match="lacks"):
+        plugins.model("tracker", "half", "video string, frame long")
     with pytest.raises(ValueError):
         plugins.check_size("huge")
 
 
+def test_clips_are_stacked_and_cut_apart(spark, monkeypatch):
+    monkeypatch.setattr(numbering, "SAMPLE", 2)
+    monkeypatch.setattr(numbering, "BLOCK", 7)
+    rng = np.random.default_rng(9)
+    clips = {f"same prefix {k:03d}": int(rng.integers(1, 30)) for k in range(70)}
+    rows = [(c, f, f * 1.5) for c, n in clips.items() for f in range(n)]
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([rows[k] for k in order], "clip string, frame long, value double").repartition(6)
+    stacked, index = numbering.stack_clips(df)
+    assert [tuple(r) for r in stacked.orderBy("row").select("clip", "frame", "value", "row").collect()] == [(*r, k) for k, r in enumerate(sorted(rows))]
+    apart = numbering.cut_apart(stacked.select("row", "value"), index)
+    assert sorted((r["clip"], r["frame"], r["value"]) for r in apart.collect()) == sorted(rows)
+    assert numbering.stack_clips(df.limit(0))[0].count() == 0
+
+
 def test_chapters_are_numbered_over_all_videos(spark):
     rows = [(f"{p}{k:02d}", None if k % 5 == 4 else [(f"t{j}", j, j + 1) for j in range(k % 4)]) for p in ("aa", "ab", "b") for k in range(12)]
     rows.append(("hot", [(f"t{j}", j, j + 1) for j in range(500)]))
