@@ -155,10 +155,13 @@ def _families(marks: DataFrame, tables: WorkTables) -> DataFrame:
     joined = lambda some: F.aggregate(some, F.lit(0).cast("long"), lambda all_, m: all_.bitwiseXOR(m["h"]))
     family = lambda key, fixed: F.struct(key.alias("key"), fixed.alias("fixed"))
     highest = F.length(F.bin(F.floor(F.array_max(F.transform("marks", lambda m: m["held"])) / F.col("least")))) - 1  # of the powers of two
-    levels = F.transform(F.sequence(F.lit(0), highest), lambda k: F.filter("marks", lambda m: m["held"] >= F.col("least") * F.pow(F.lit(2), k)))
+    # what a lambda closes over is worked out again for each element, unless it is an element itself
+    steps = F.transform(F.sequence(F.lit(0), highest), lambda k: F.col("least") * F.pow(F.lit(2), k))
+    levels = F.transform(steps, lambda step: F.filter("marks", lambda m: m["held"] >= step))
     shared = F.transform(levels, lambda some: family(joined(some), F.size(some)))
-    but_one = F.transform("marks", lambda m: family(F.col("every").bitwiseXOR(m["h"]), F.size("marks") - 1))
-    keys = marks.withColumn("every", joined(F.col("marks"))).select("leaf", "template", "least", "n", "first", "low", "high", F.explode(F.filter(F.array_distinct(F.concat(shared, but_one)), lambda f: f["fixed"] * 2 > F.col("size"))).alias("f"))
+    every = F.array(F.struct(joined(F.col("marks")).alias("key"), (F.size("marks") - 1).alias("fixed")))
+    but_one = F.flatten(F.transform(every, lambda e: F.transform("marks", lambda m: family(e["key"].bitwiseXOR(m["h"]), e["fixed"]))))
+    keys = marks.select("leaf", "template", "least", "n", "first", "low", "high", F.explode(F.filter(F.array_distinct(F.concat(shared, but_one)), lambda f: f["fixed"] * 2 > F.col("size"))).alias("f"))
     keys = tables.save(keys.withColumn("key", F.col("f")["key"]).drop("f"), "keys")
     # a template of fewer than DOCUMENTS documents has no others than low and high
     ends = keys.groupBy("leaf", "key").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.min("first").alias("first"), F.count(F.lit(1)).alias("templates")).where("templates > 1")
