@@ -1,4 +1,4 @@
-"""Motion features from joint sequences (V-28, V-29, V-31, V-33..V-36, A-15, A-16, A-18, A-19, A-21, P-19).
+"""Motion features from joint sequences (V-28, V-29, V-31, V-33, V-35, V-36, A-15, A-16, A-18, A-19, A-21, P-19).
 
 Inverse and forward kinematics need body models that are not available, so
 rotation blocks are taken as input where they occur.

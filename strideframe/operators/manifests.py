@@ -1,4 +1,4 @@
-"""What would be written, cut or downloaded, as tables (S-28..S-33, X-06, X-07, P-06, F-20, F-25, J-07, J-08, J-11, P-16, A-03, A-04, U-01)."""
+"""What would be written, cut or downloaded, as tables (S-28..S-33, X-06, P-06, F-20, F-25, J-07, J-08, J-11, P-16, A-03, A-04, U-01)."""
 
 from __future__ import annotations
 
