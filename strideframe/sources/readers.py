@@ -11,6 +11,7 @@ import pandas as pd
 import yaml
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructType
 from pyspark.sql.window import Window as W
 
 from ..functions import text
@@ -52,20 +53,23 @@ def read_yaml(document: str) -> dict:
         raise ValueError(str(error)) from error
 
 
-def read_arrays(spark: SparkSession, folder: str, pattern: str = "*.npy") -> DataFrame:
+def read_arrays(spark: SparkSession, folder: str, pattern: str = "*.npy", by: Sequence[str] = ()) -> DataFrame:
     """S-10: path, shape and flat values of .npy files, one at a time; objects are never unpickled.
 
-    Batches of files that go to Python are bounded by spark.sql.execution.arrow.maxBytesPerBatch.
+    Files of sinks.write_arrays have the pattern "part-*"; by names the columns
+    that its folders carry. Batches of files that go to Python are bounded by
+    spark.sql.execution.arrow.maxBytesPerBatch.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder).select("path", *by, "content")
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for k, content in enumerate(batch.pop("content")):
                 one = np.load(io.BytesIO(content), allow_pickle=False)
-                yield pd.DataFrame({"path": [path], "shape": [list(one.shape)], "values": [one.astype(np.float64).reshape(-1)]})
+                yield batch.iloc[[k]].assign(shape=[list(one.shape)], values=[one.astype(np.float64).reshape(-1)])
 
-    return files.mapInPandas(load, "path string, shape array<long>, values array<double>")
+    shape = StructType(files.schema.fields[:-1]).add("shape", ArrayType(LongType())).add("values", ArrayType(DoubleType()))
+    return files.mapInPandas(load, shape)
 
 
 def array_rows(arrays: DataFrame) -> DataFrame:

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import io
+from collections.abc import Iterator, Sequence
+
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,8 +67,41 @@ def write_buckets(rows: DataFrame, path: str, bucket: str = "bucket") -> None:
     rows.write.mode("overwrite").partitionBy(bucket).parquet(path)
 
 
+def write_files(rows: DataFrame, path: str, content: str = "content", by: Sequence[str] = ()) -> None:
+    """S-35: the bytes of each row as a file of its own, a line feed after them, in a folder for each value of by.
+
+    Spark's text writer carries the bytes as they are, to any store that it
+    reaches: a task's files show when it commits, and those of a failed try
+    never do. Null bytes make a file of the line feed alone.
+    """
+    named = rows.select(*by, F.col(content).cast("string").alias("content"))
+    named.write.mode("overwrite").partitionBy(*by).option("maxRecordsPerFile", 1).text(path, compression="none", lineSep="\n")
+
+
+def write_arrays(arrays: DataFrame, path: str, by: Sequence[str] = ()) -> None:
+    """S-26, S-35: an .npy file for each row of shape and values (read_arrays gives such rows), in folders by columns.
+
+    A line feed follows the array's data, which readers of the format don't
+    look at. A shape that doesn't fit the values fails the write, and nothing
+    is left of it.
+    """
+
+    def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index
+            for k in range(batch.num_rows):
+                values = np.asarray(batch.column(at("values"))[k].values, np.float64)
+                held = io.BytesIO()
+                np.save(held, values.reshape(batch.column(at("shape"))[k].as_py()), allow_pickle=False)
+                yield pa.RecordBatch.from_arrays([*(batch.column(at(c)).slice(k, 1) for c in by), pa.array([held.getvalue()], pa.binary())], names=[*by, "content"])
+
+    lean = arrays.select(*by, F.col("shape").cast("array<long>").alias("shape"), F.col("values").cast("array<double>").alias("values"))
+    schema = lean.select(*by, F.lit(b"").alias("content")).schema
+    write_files(lean.mapInArrow(save, schema), path, by=by)
+
+
 def write_stage(rows: DataFrame, path: str) -> None:
-    """S-26, S-35."""
+    """S-26, S-35: as a table."""
     rows.write.mode("overwrite").parquet(path)
 
 
