@@ -12,16 +12,19 @@ window and cleared where a document starts, so a document's score is the log
 probability of the whole of it. Training is truncated backpropagation over
 windows of STEPS tokens with adaptive steps.
 
-Training documents (those of more than CUT tokens in parts) are dealt by a hash
-of their id and text to shards of about SHARD_TOKENS tokens, and to ROUNDS
-rounds. In a round every shard starts from the same parameters and learns its
-documents of that round in the order of the hash; then parameters and step
-sizes are averaged by tokens, in a tree of fan-in FAN. So a score depends on
+Training documents are dealt whole, by a hash of their id and text, to shards
+of about SHARD_TOKENS tokens, and to ROUNDS rounds. In a round every shard
+starts from the same parameters and learns its documents of that round, the
+state carried over each document to its end, in as many lanes as the longest
+document leaves about equally long (windows are longer where lanes are fewer),
+a lane's documents in the order of the hash; then parameters and step sizes are averaged by tokens, over a task's shards and on in
+a tree of fan-in FAN. So a score depends on
 the documents alone, not on how the table or the cluster is cut.
 """
 
 from __future__ import annotations
 
+import heapq
 import pickle
 import zlib
 from collections import Counter
@@ -42,8 +45,12 @@ LANES, STEPS, RATE, CLIP = 256, 16, 0.3, 1.0
 #: Scores are log masses and bounded states' products; none comes near this bound, which keeps exp finite.
 TOP = np.float32(60)
 FOLDS, HELD = 7, 2
-#: Tokens of a shard, of a part of a document in training, and rounds between which shards are averaged.
-SHARD_TOKENS, CUT, ROUNDS = 1 << 22, 512, 4
+#: Tokens of a shard, and rounds between which shards are averaged.
+SHARD_TOKENS, ROUNDS = 1 << 22, 4
+#: Steps of a window at most, where few lanes are left: in scoring, and in training (the reach of its gradients).
+LONGEST, REACH = 4096, 512
+#: Lanes of a shard at least, however long its longest document.
+FEWEST = 8
 #: Tasks of a round at most; each takes its shards one after the other.
 TASKS = 10_000
 #: Distinct words that a task counts before it passes them on, and tables averaged at a time.
@@ -219,13 +226,14 @@ def _turned(x: np.ndarray) -> np.ndarray:
 class Lanes:
     """Deals documents' symbols to lanes and hands out windows (ids, starts, document numbers), each (steps, lanes)."""
 
-    def __init__(self, lanes: int = LANES, steps: int = STEPS):
-        self.steps, self.docs = steps, 0
+    def __init__(self, lanes: int = LANES, steps: int = STEPS, longest: int = LONGEST):
+        self.steps, self.longest, self.docs = steps, longest, 0
         self.rows = [[] for _ in range(lanes)]
         self.sizes = np.zeros(lanes, np.int64)
 
-    def add(self, symbols: np.ndarray) -> None:
-        lane = int(self.sizes.argmin())
+    def add(self, symbols: np.ndarray, lane: int | None = None) -> None:
+        """Without a lane, to the one with the fewest tokens."""
+        lane = int(self.sizes.argmin()) if lane is None else lane
         self.rows[lane].append((self.docs, symbols))
         self.sizes[lane] += len(symbols)
         self.docs += 1
@@ -255,7 +263,7 @@ class Lanes:
             yield from self._cut(np.arange(len(self.rows)), n, self.steps)
         while last and self.sizes.any():
             live = np.flatnonzero(self.sizes)
-            yield from self._cut(live, int(min(self.sizes[live].min(), 4096)), self.steps * len(self.rows) // len(live))
+            yield from self._cut(live, int(min(self.sizes[live].min(), self.longest)), self.steps * len(self.rows) // len(live))
 
     def _cut(self, lanes: np.ndarray, n: int, steps: int):
         ids, starts, docs = (np.stack(x, axis=1) for x in zip(*[self._flat(k, n) for k in lanes], strict=True))
@@ -300,8 +308,8 @@ def _symbols(shared, symbols: int, shards: int):
                     words = tokens_of(raw)
                     found = np.fromiter(map(index.get, words, repeat(symbols - 1)), "<u2", len(words))
                     seed = xxhash.xxh3_64_intdigest(raw or b"", seed=(doc or 0) & 0xFFFFFFFF)
-                    parts += [found[k : k + CUT].tobytes() for k in range(0, len(found), CUT)]
-                    keys += [(seed + k) & 0xFFFFFFFFFFFFFFFF for k in range(-(-len(found) // CUT))]
+                    parts.append(found.tobytes())
+                    keys.append(seed)
             key = mix64(np.asarray(keys, np.uint64))
             columns = [pa.array((key >> np.uint64(40)) % np.uint64(ROUNDS), pa.int32()), pa.array((mix64(key) % np.uint64(shards)).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(parts, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["round", "shard", "place", "symbols"])
@@ -309,33 +317,46 @@ def _symbols(shared, symbols: int, shards: int):
     return run
 
 
+def _even_lanes(parts: list[np.ndarray]) -> Lanes:
+    """A shard's documents of a round in lanes that end at about the same time: the longest are dealt first, each to the lane with the fewest tokens."""
+    sizes = np.array([len(x) for x in parts])
+    count = int(np.clip(sizes.sum() // sizes.max(), FEWEST, LANES))
+    lanes, filled, lane_of = Lanes(count, min(STEPS * LANES // count, REACH), REACH), [(0, k) for k in range(count)], np.zeros(len(parts), np.int64)
+    for doc in np.argsort(-sizes, kind="stable"):
+        size, lane_of[doc] = filled[0]
+        heapq.heapreplace(filled, (size + int(sizes[doc]), int(lane_of[doc])))
+    for doc, lane in zip(parts, lane_of.tolist(), strict=True):
+        lanes.add(doc, lane)
+    return lanes
+
+
 def _train(shared, model):
-    """One row per shard: tokens seen and the parameters; rows come sorted by shard and place."""
+    """One row per task that has a shard: tokens seen, and its shards' parameters averaged by tokens; rows come sorted by shard and place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan, current = pickle.loads(shared.value), None
+        plan, current, total, weight, parts = pickle.loads(shared.value), None, None, 0, []
 
         def end():
-            learn(True)
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int64()), pa.array([seen], pa.int64()), pa.array([network.packed()], pa.binary())], names=["part", "seen", "params"])
-
-        def learn(last: bool):
-            nonlocal seen
-            for at, ids, starts, _ in lanes.windows(last):
+            nonlocal total, weight
+            network, lanes, seen = Network(plan["symbols"]), _even_lanes(parts), sum(map(len, parts))
+            network.unpack(model.value)
+            state = np.zeros((len(lanes.rows), HIDDEN), np.float32)
+            for at, ids, starts, _ in lanes.windows(True):
                 state[at] = network.learn(ids, starts, state[at])
-                seen += ids.size
+            one = np.frombuffer(network.packed(), np.float32).astype(np.float64) * seen
+            total, weight = one if total is None else total + one, weight + seen
 
         for batch in pieces(batches, "symbols"):
             for shard, raw in zip(_column(batch, "shard"), _column(batch, "symbols"), strict=True):
                 if shard != current:
                     if current is not None:
-                        yield end()
-                    current, seen, network, lanes, state = shard, 0, Network(plan["symbols"]), Lanes(), np.zeros((LANES, HIDDEN), np.float32)
-                    network.unpack(model.value)
-                lanes.add(np.frombuffer(raw, "<u2"))
-            learn(False)
+                        end()
+                    current, parts = shard, []
+                parts.append(np.frombuffer(raw, "<u2"))
         if current is not None:
-            yield end()
+            end()
+            merged = (total / weight).astype(np.float32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([weight], pa.int64()), pa.array([merged], pa.binary())], names=["part", "seen", "params"])
 
     return run
 

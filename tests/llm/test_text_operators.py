@@ -3,8 +3,10 @@
 import collections
 import itertools
 import math
+import pickle
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -13,7 +15,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from strideframe.llm import linedup, lmscore, mixing, neardup, packing, quality, sharding, tokenfile, tokens
-from strideframe.llm.common import WorkTables
 
 public = pytest.importorskip("public_tokenizers")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -297,19 +298,19 @@ def test_token_files(spark, rows):
         at += len(want)
 
 
-def test_token_files_name_their_documents(spark, rows, monkeypatch):
+def test_token_files_name_their_documents(spark, rows, monkeypatch, tmp_path):
     monkeypatch.setattr(tokenfile, "FILE_IDS", 400)
     path = public.path("byte_bpe_50k.json")
     from tokenizers import Tokenizer
 
     tool = Tokenizer.from_file(path)
     more = [*rows, (9000, "very long " * 40_000, "s1"), (None, "another without an id", "s1")]
-    files = tokenfile.write_token_files(table(spark, more), path, WorkTables(spark, "test")).orderBy("part", "number").collect()
+    tokenfile.write_token_files(table(spark, more), path, str(tmp_path / "ids"))
+    files = [tokenfile.TokenFile(p.read_bytes()) for p in (tmp_path / "ids").glob("part-*") if p.stat().st_size]
     found, at = [], {}
-    for r in files:
-        file = tokenfile.TokenFile(bytes(r["file"]))
-        assert r["before"] == at.get(r["part"], 0) and r["n_ids"] == file.ids == file.lengths.sum() and (file.ids <= 400 or len(file.lengths) == 1)
-        at[r["part"]] = r["before"] + r["n_ids"]
+    for file in sorted(files, key=lambda f: (f.part, f.number)):
+        assert file.before == at.get(file.part, 0) and file.ids == file.lengths.sum() and (file.ids <= 400 or len(file.lengths) == 1)
+        at[file.part] = file.before + file.ids
         found += [(i, zlib.crc32(file.document(k).tobytes())) for k, i in enumerate(file.doc_ids)]
     want = [(i, zlib.crc32(np.asarray([*tool.encode(t or "", add_special_tokens=False).ids, 2], "<u4").tobytes())) for i, t, _ in more]
     assert collections.Counter(found) == collections.Counter(want) and [x for x, _ in found] == sorted((x for x, _, _ in more), key=lambda x: -1 if x is None else x)
@@ -536,3 +537,57 @@ def test_lanes_score_whole_documents():
         states, state[at], _ = net.run(ids, starts, state[at])
         np.add.at(got, numbers.reshape(-1), net.log_probs(states.reshape(-1, lmscore.HIDDEN), ids.reshape(-1)))
     assert got == pytest.approx([plain_log_prob(net, d) for d in docs], rel=1e-4)
+
+
+def test_gradients_equal_finite_differences():
+    rng = np.random.default_rng(8)
+    net = lmscore.Network(np.array([50.0, 30, 20, 10, 5, 5, 3, 100]), seed=2)
+    symbols = rng.integers(0, 8, 14)
+    before = [p.astype(np.float64) for p in net.params]
+    net.squares = [np.full(p.shape, 100, np.float32) for p in net.params]  # steps stay small and near linear
+    starts = (np.arange(14) == 0)[:, None]
+    net.learn(symbols[:, None], starts, np.zeros((1, lmscore.HIDDEN), np.float32))
+    step = 1e-5
+    for k, old in enumerate(before):
+        got = (old - net.params[k]) * 10 / lmscore.RATE * lmscore.STEPS
+        for at in rng.permutation(old.size)[:60]:
+            ends = []
+            for sign in (1, -1):
+                moved = [p.copy() for p in before]
+                moved[k].reshape(-1)[at] += sign * step
+                ends.append(-plain_log_prob(types.SimpleNamespace(params=moved, cls=net.cls), symbols))
+            assert got.reshape(-1)[at] == pytest.approx((ends[0] - ends[1]) / (2 * step), rel=1e-2, abs=2e-4)
+
+
+def test_scores_equal_plain_steps_and_shares(spark, rows, monkeypatch):
+    monkeypatch.setattr(lmscore, "VOCABULARY", 30)
+    monkeypatch.setattr(lmscore, "HEAD", 50)
+    learned, kept = lmscore._learned, []
+    monkeypatch.setattr(lmscore, "_learned", lambda *a: kept.append(learned(*a)) or kept[-1])
+    more = [*rows, (7001, " ".join(f"w{k % 37}" for k in range(5000)), "s1")]
+    found = lmscore.lm_scores(table(spark, more)).collect()
+    split = lambda t: [*(t or "").encode().lower().split(), b" "]
+    counts = collections.Counter(w for i, t, _ in more if lmscore.fold(i) != 2 for w in split(t))
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:30]
+    others = sum(counts.values()) - sum(counts[w] for w in top)
+    net = lmscore.Network(np.array([*(counts[w] for w in top), others], np.float64))
+    net.unpack(kept[0])
+    share = math.log10(others + len(counts) - 30 + 1)
+    text = {i: t for i, t, _ in more}
+    for r in found:
+        words = split(text[r["doc_id"]])
+        want = plain_log_prob(net, [top.index(w) if w in top else 30 for w in words]) / math.log(10)
+        want += sum(math.log10(counts[w] + 1) - share for w in words if w not in top)
+        assert r["score"] == pytest.approx(want, rel=1e-4)
+
+
+def test_training_documents_stay_whole():
+    lanes = lmscore.Lanes(lanes=2, steps=4, longest=lmscore.REACH)
+    lanes.add(np.arange(2000) % 7)
+    windows = list(lanes.windows(last=True))
+    assert sum(w[2].sum() for w in windows) == 1 and max(len(w[1]) for w in windows) <= lmscore.REACH
+    many = lmscore._even_lanes([np.full(n, k % 9, "<u2") for k, n in enumerate([900, 10, 30, 2000, 700, *[50] * 300])])
+    assert len(many.rows) == 9 and many.sizes.max() - many.sizes.min() < 350 and len(lmscore._even_lanes([np.zeros(3, "<u2")]).rows) == lmscore.FEWEST
+    assert sum(w[2].sum() for w in many.windows(last=True)) == 305
+    dealt = list(lmscore._symbols(types.SimpleNamespace(value=pickle.dumps({"words": [b"a"]})), 2, 3)(iter([pa.RecordBatch.from_arrays([pa.array([next(k for k in range(99) if lmscore.fold(k) != 2)], pa.int64()), pa.array([b"a " * 3000], pa.binary())], names=["doc_id", "text"])])))
+    assert [len(x) for b in dealt for x in b.column(3).to_pylist()] == [2 * 3001]
