@@ -6,17 +6,19 @@ the others keep their low bits in place and put their high bits on an
 exception list (position, high bits). The start of every block is indexed, so
 any document can be read without decoding what lies before it.
 
-One file (a row of a table, as only Spark's own writers reach every store)
-holds consecutive documents in ascending doc_id order:
+One file holds consecutive documents in ascending doc_id order. Files follow
+each other by (part, number), which each carries, as Spark's writer names them:
 
-    magic "PFR2", documents, documents without an id (they come first), ids, blocks
-                                               little-endian unsigned 32 bits each
+    magic "PFR3", documents, documents without an id (they come first), ids, blocks,
+        part, number                           little-endian unsigned 32 bits each
+    ids in earlier files of the part           unsigned 64 bits
     block starts                               unsigned 32 bits, from the payload's start
     lengths of the documents                   unsigned 32 bits
     doc_ids (0 where there is none)            signed 64 bits
     payload, per block: minimum (4 bytes), width, exceptions (1 byte each),
         packed differences (BLOCK * width / 8 bytes),
         exception positions (1 byte each), their high bits (4 bytes each)
+    a line feed                                from Spark's writer of text files
 """
 
 from __future__ import annotations
@@ -27,15 +29,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from ..sources import sinks
 from . import tokens
 from .common import WorkTables, gathered, releasing
 
 BLOCK, PERCENT = 128, 90
-MAGIC = b"PFR2"
+MAGIC, HEADER = b"PFR3", 36
 #: Id that ends each document, and ids after which a file is closed.
 END, FILE_IDS = 2, 1 << 20
 #: Text bytes that are encoded at a time.
@@ -107,9 +110,9 @@ def encode_file(documents: list[np.ndarray], doc_ids: list[int | None] | None =
     return _file(np.asarray([len(d) for d in documents], np.int64), ids, [None] * len(documents) if doc_ids is None else doc_ids)
 
 
-def _file(lengths: np.ndarray, ids: np.ndarray, doc_ids: list[int | None]) -> bytes:
+def _file(lengths: np.ndarray, ids: np.ndarray, doc_ids: list[int | None], part: int = 0, number: int = 0, before: int = 0) -> bytes:
     starts, payload = encode_blocks(ids)
-    head = np.asarray([len(lengths), sum(x is None for x in doc_ids), len(ids), len(starts)], "<u4").tobytes()
+    head = np.asarray([len(lengths), sum(x is None for x in doc_ids), len(ids), len(starts), part, number], "<u4").tobytes() + before.to_bytes(8, "little")
     names = np.asarray([x or 0 for x in doc_ids], "<i8").tobytes()
     return MAGIC + head + starts.astype("<u4").tobytes() + lengths.astype("<u4").tobytes() + names + payload
 
@@ -120,11 +123,12 @@ class TokenFile:
     def __init__(self, data: bytes):
         if data[:4] != MAGIC:
             raise ValueError("not a token file")
-        n, nulls, self.ids, blocks = np.frombuffer(data, "<u4", 4, 4).tolist()
-        self.starts = np.frombuffer(data, "<u4", blocks, 20)
-        self.lengths = np.frombuffer(data, "<u4", n, 20 + 4 * blocks).astype(np.int64)
-        self.doc_ids = [None] * nulls + np.frombuffer(data, "<i8", n, 20 + 4 * (blocks + n))[nulls:].tolist()
-        self.payload = data[20 + 4 * (blocks + n) + 8 * n :]
+        n, nulls, self.ids, blocks, self.part, self.number = np.frombuffer(data, "<u4", 6, 4).tolist()
+        self.before = int.from_bytes(data[HEADER - 8 : HEADER], "little")
+        self.starts = np.frombuffer(data, "<u4", blocks, HEADER)
+        self.lengths = np.frombuffer(data, "<u4", n, HEADER + 4 * blocks).astype(np.int64)
+        self.doc_ids = [None] * nulls + np.frombuffer(data, "<i8", n, HEADER + 4 * (blocks + n))[nulls:].tolist()
+        self.payload = data[HEADER + 4 * (blocks + n) + 8 * n :]
         self.ends = np.cumsum(self.lengths)
 
     def document(self, k: int) -> np.ndarray:
@@ -145,10 +149,8 @@ def _encode(path: str, end: int):
         number, before, size = 0, 0, 0
 
         def close():
-            file = _file(np.concatenate(lengths), np.concatenate(held), docs)
-            row = [[part], [number], [before], [size], [file]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(row, kinds, strict=True)], names=["part", "number", "before", "n_ids", "file"])
+            file = _file(np.concatenate(lengths), np.concatenate(held), docs, part, number, before)
+            return pa.RecordBatch.from_arrays([pa.array([file], pa.binary())], names=["content"])
 
         for batch in gathered(batches, limit=CHUNK):
             found, counts = encoder.encode(batch.column(batch.schema.get_field_index("text")), end)
@@ -170,8 +172,8 @@ def _encode(path: str, end: int):
     return run
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, tables: WorkTables, end: int = END) -> DataFrame:
-    """Writes the files and returns their table: part, number, before, n_ids, file.
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end: int = END) -> None:
+    """Writes the files of docs into a folder of any store that Spark writes to, in one commit.
 
     Documents are dealt by ranges of doc_id and sorted, so
     (part, number) order is ascending doc_id order; null ids come first. Rows
@@ -180,25 +182,28 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, tables: WorkTables,
     lean = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     salted = lean.withColumn("__salt", F.pmod(F.monotonically_increasing_id() * 48271, F.lit(65521)))
     dealt = salted.repartitionByRange("doc_id", "__salt").sortWithinPartitions("doc_id", "__salt").select("doc_id", "text")
-    schema = "part int, number int, before long, n_ids long, file binary"
-    return tables.save(dealt.mapInArrow(releasing(_encode(tokenizer_path, end)), schema), "files")
+    sinks.write_files(dealt.mapInArrow(releasing(_encode(tokenizer_path, end)), "content binary"), folder)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for k in range(batch.num_rows):
-            one = {f.name: batch.column(i)[k] for i, f in enumerate(batch.schema)}
-            file = TokenFile(one["file"].as_py())
+        for content in batch.column(0):
+            file = TokenFile(content.as_py())
             raw, ends = memoryview(file.all()).cast("B"), file.ends
             starts = ends - file.lengths
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            n = len(crcs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(file.doc_ids, pa.int64()), pa.array(np.full(n, one["part"].as_py(), np.int32)), pa.array(starts + one["before"].as_py()), pa.array(file.lengths), pa.array(crcs, pa.int64())],
+                [pa.array(file.doc_ids, pa.int64()), pa.array(np.full(len(crcs), file.part, np.int32)), pa.array(starts + file.before), pa.array(file.lengths), pa.array(crcs, pa.int64())],
                 names=["doc_id", "part", "local", "n_tokens", "ids_crc32"],
             )
 
 
+def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per document of a folder's files: doc_id, part, local (ids before it in the part), n_tokens, ids_crc32."""
+    files = spark.read.format("binaryFile").load(folder).select("content")
+    return files.mapInArrow(releasing(_decode), "doc_id long, part int, local long, n_tokens long, ids_crc32 long")
+
+
 def token_digest(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32.
 
@@ -208,9 +213,10 @@ def token_digest(docs: DataFrame, tokenizer_path: str, end: int = END) -> DataFr
     read. An empty table gives no rows.
     """
     tables = WorkTables(docs.sparkSession, "tokens")
-    files = write_token_files(docs, tokenizer_path, tables, end)
-    read = files.select("part", "before", "file").mapInArrow(_decode, "doc_id long, part int, local long, n_tokens long, ids_crc32 long")
-    sums = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    folder = f"{tables.root}/token_files"
+    write_token_files(docs, tokenizer_path, folder, end)
+    read = tables.save(read_token_files(docs.sparkSession, folder), "read")
+    sums = read.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row for each task that wrote
     before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sums.select("part", before.alias("before"))
     return read.join(starts, "part").select("doc_id", (F.col("before") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
