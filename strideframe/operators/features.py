@@ -1,4 +1,4 @@
-"""Motion features from joint sequences (V-28, V-29, V-31, V-33, V-35, V-36, A-15, A-16, A-18, A-19, A-21, P-19).
+"""Motion features from joint sequences (V-28, V-29, V-31, V-33..V-36, A-15, A-16, A-18, A-19, A-21, P-19, X-19).
 
 Inverse and forward kinematics need body models that are not available, so
 rotation blocks are taken as input where they occur.
@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from ..functions import geometry as g
+from . import skeleton
 
 
 def put_on_floor(frames: DataFrame, joints: str = "joints", clip: str = "clip", n: int = 22) -> DataFrame:
@@ -59,6 +60,93 @@ def assemble(root: Column, positions: Column, rotations: Column, velocities: Col
     return F.concat(root, positions, rotations, velocities, contacts)
 
 
+#: Ankles and toes, left before right, and the squared step below which a foot stands.
+FEET, STANDING = (7, 10, 8, 11), 0.002
+
+
+def motion_features(frames: DataFrame, joints: str = "joints", rotations: str = "rotations", clip: str = "clip", n: int = 22, standing: float = STANDING) -> DataFrame:
+    """V-34: clip, frame and `values` (V-33), 8 + 9 (n - 1) + 3 n numbers, for each frame but a clip's last.
+
+    A clip is put on the floor with its first root at the origin and turned so
+    that its first frame faces +z. The root block is the half angle turned
+    until the next frame, the root's step seen from the next frame's heading
+    (x, z), and its height; then local positions, the rotation block (6 (n - 1)
+    numbers of `rotations`, taken as it is), local velocities, and whether the
+    feet stand. All windows share one exchange and one sort on (clip, frame).
+    Frames without a number or with fewer than n joints are left out first; a
+    frame without rotations, or whose hips and shoulders give no heading, has
+    null values. A clip of one frame has no rows.
+    """
+    line = W.partitionBy(clip).orderBy("frame")
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    flat, at = F.col("__j"), F.col("__p")
+    lean = frames.where((F.size(joints) >= 3 * n) & F.col("frame").isNotNull())
+    lean = lean.select(clip, "frame", F.col(joints).cast("array<double>").alias("__j"), F.col(rotations).cast("array<double>").alias("__r"))
+    lowest = F.least(*[flat[3 * k + 1] for k in range(n)])
+    known = lean.withColumns({"__y": F.min(lowest).over(whole), "__first": F.first("__j").over(whole)}).withColumn("__q", facing(F.col("__first")))
+    origin = (F.col("__first")[0], F.col("__y"), F.col("__first")[2])
+    placed = g.each_joint(flat, n, lambda j: g.quaternion_rotate(quaternion(F.col("__q")), g.sub(j, origin)))
+    headed = known.select(clip, "frame", "__r", placed.alias("__p")).withColumn("__q", facing(at))
+    paired = headed.withColumns({"__to": F.lead("__p").over(line), "__turned": F.lead("__q").over(line)}).where(F.col("__to").isNotNull())
+    now, after = quaternion(F.col("__q")), quaternion(F.col("__turned"))
+    turn = g.quaternion_multiply(after, g.quaternion_inverse(now))[2]
+    local = F.slice(local_pose(at, now, n), 4, 3 * (n - 1))
+
+    def row(step: Column) -> Column:
+        x, _, z = g.quaternion_rotate(after, g.joint(step, 0))
+        root = F.array(F.asin(g.clip(turn, -1.0, 1.0)), x, z, at[1])
+        velocities = g.each_joint(step, n, lambda j: g.quaternion_rotate(now, j))
+        contacts = F.array(*[F.when(g.dot(g.joint(step, k), g.joint(step, k)) < standing, 1.0).otherwise(0.0) for k in FEET])
+        return assemble(root, local, F.col("__r"), velocities, contacts)
+
+    # the steps are bound inside one expression, so that a filter on it, pushed below it, makes them once and not at each use
+    values = F.transform(F.array(F.zip_with("__to", "__p", lambda b, a: b - a)), row)[0]
+    usable = F.col("__q")[0].isNotNull() & F.col("__turned")[0].isNotNull()
+    return paired.select(clip, "frame", F.when(usable, values).alias("values"))
+
+
+def recovered(rows: DataFrame, values: str = "values", clip: str = "clip", n: int = 22) -> DataFrame:
+    """V-35 with V-36: clip, frame and `joints`, from the root and position blocks of motion features."""
+    block = F.col(values)
+    parts = rows.select(clip, "frame", *[block[k].alias(name) for k, name in enumerate(("rv", "vx", "vz", "y"))], F.slice(block, 5, 3 * (n - 1)).alias("__local"))
+    rooted = recover_root(parts, clip)
+    root = (F.col("root_x"), F.col("root_y"), F.col("root_z"))
+    return rooted.select(clip, "frame", recover_positions(F.col("__local"), F.col("heading"), root, n).alias("joints"))
+
+
+#: Seconds cut from the start of recordings of some collections, by a part of their path (K-19: 40 fps).
+LEADS = {"Eyes_Japan_Dataset": 3.0, "MPI_HDM05": 3.0, "TotalCapture": 1.0, "MPI_Limits": 1.0, "Transitions_mocap": 0.5}
+#: Fixed value: recordings with this in their path are taken whole and not turned.
+WHOLE = "humanact12"
+#: Frames of a block by which recordings meet the index.
+BLOCK = 1024
+
+
+def augmented(frames: DataFrame, index: DataFrame, joints: str = "joints", n: int = 22, pairs: Sequence[tuple[int, int]] = skeleton.BODY_PAIRS, rate: int = 40, index_rate: int = 20) -> DataFrame:
+    """X-19 (second step): clips cut from recordings by an index, and their mirror images, named with an M before.
+
+    frames: source, frame (from 0), joints. index: source, name, start, end, at
+    index_rate, end exclusive. Gives clip, frame (from 0), joints. Bounds count
+    from the end of the recording's lead; x is negated. The join is on the
+    source and a block of frames, so a long recording with many clips does not
+    meet them all. Rows without a source, and clips without frames, give none.
+    """
+    source, up = F.col("source"), rate / index_rate
+    lead = sum((F.when(source.contains(part), F.lit(int(seconds * rate))).otherwise(0) for part, seconds in LEADS.items()), F.lit(0))
+    whole = source.contains(WHOLE)
+    lean = frames.select("source", "frame", F.slice(joints, 1, 3 * n).cast("array<double>").alias("__j"))
+    bounds = index.select("source", "name", *[(F.col(x) * up).cast("long").alias(f"__{x}") for x in ("start", "end")])
+    low, high = F.col("__start") + lead, F.col("__end") + lead
+    cut = bounds.where(~whole).withColumns({"__low": low, "__high": high}).where("__high > __low")
+    spread = cut.withColumn("__block", F.explode(F.sequence(F.floor(F.col("__low") / BLOCK), F.floor((F.col("__high") - 1) / BLOCK))))
+    cuts = lean.withColumn("__block", F.floor(F.col("frame") / BLOCK)).join(spread, ["source", "__block"]).where("frame >= __low AND frame < __high")
+    turned = F.transform("__j", lambda x, k: F.when(k % 3 == 0, -x).otherwise(x))
+    cuts = cuts.select("name", (F.col("frame") - F.col("__low")).alias("frame"), turned.alias("__j"))
+    uncut = lean.join(bounds.where(whole).select("source", "name"), "source").select("name", F.col("frame").cast("long").alias("frame"), "__j")
+    both = F.array(F.struct(F.col("name").alias("clip"), F.col("__j").alias("joints")), F.struct(F.concat(F.lit("M"), "name").alias("clip"), skeleton.mirrored(F.col("__j"), pairs, n).alias("joints")))
+    return cuts.unionByName(uncut).select("frame", F.inline(both)).select("clip", "frame", "joints")
+
+
 def finite_clips(frames: DataFrame, values: str = "values", clip: str = "clip") -> DataFrame:
     """P-19: clips none of whose values is NaN."""
     bad = frames.groupBy(clip).agg(F.bool_or(F.exists(F.col(values), F.isnan)).alias("bad")).where("bad").select(clip)
@@ -107,9 +195,11 @@ def recover_root(frames: DataFrame, clip: str = "clip") -> DataFrame:
 
 def recover_positions(local: Column, heading: Column, root: g.Vector, n: int = 22) -> Column:
     """V-36: joints 1.. turned by the inverse heading and moved to the root's x and z, the root before them."""
-    q = (F.cos(heading), F.lit(0.0), -F.sin(heading), F.lit(0.0))
-    moved = [g.add(g.quaternion_rotate(q, g.joint(local, k)), (root[0], F.lit(0.0), root[2])) for k in range(n - 1)]
-    return g.flat([root, *moved])
+    def back(v: list[Column]) -> Column:
+        q, ahead = (v[0], F.lit(0.0), -v[1], F.lit(0.0)), (v[2], F.lit(0.0), v[3])
+        return g.each_joint(local, n - 1, lambda j: g.add(g.quaternion_rotate(q, j), ahead))
+
+    return F.concat(F.array(*root), g.let((F.cos(heading), F.sin(heading), root[0], root[2]), back))
 
 
 def leg_ratio(source: Column, target: Column, bones: Sequence[int] = (5, 8)) -> Column:

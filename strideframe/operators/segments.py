@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def steady(dx: Column, dy: Column, confidence: Column, max_shift: float = 2.0, min_confidence: float = 0.2) -> Column:
+def steady(dx: Column, dy: Column, confidence: Column, max_shift: float | Column = 2.0, min_confidence: float = 0.2) -> Column:
     """P-10: both strict."""
     return (F.sqrt(dx * dx + dy * dy) < max_shift) & (confidence > min_confidence)
 
@@ -79,10 +81,11 @@ def numbered(segments: DataFrame, key: str = "video") -> DataFrame:
     return segments.withColumn("seg_idx", (F.row_number().over(W.partitionBy(key).orderBy("start", "end")) - 1).cast("long"))
 
 
-def steady_segments(pairs: DataFrame, videos: DataFrame, frames: int = 20, max_shift: float = 2.0, min_confidence: float = 0.2, min_seconds: float = 5.0, key: str = "video") -> DataFrame:
+def steady_segments(pairs: DataFrame, videos: DataFrame, frames: int = 20, max_shift: float | Column = 2.0, min_confidence: float = 0.2, min_seconds: float = 5.0, key: str = "video") -> DataFrame:
     """X-05: bins of steady pairs, united, filtered by duration, then combined; in that order (K-05).
 
     pairs: key, pair_idx, dx, dy, confidence. videos: key, frames_number, fps.
+    max_shift may be a Column of pairs.
     """
     bins = pair_bins(pairs, videos, frames, key).where(steady(F.col("dx"), F.col("dy"), F.col("confidence"), max_shift, min_confidence))
     united = unite_overlapping(bins.select(key, "start", "end"), key).join(videos.select(key, "fps"), key)
@@ -103,26 +106,48 @@ def clip_to(segments: DataFrame, extents: DataFrame, min_length: int = 120, key:
     return cut.where((F.col("clip_end") > F.col("clip_start")) & (F.col("clip_end") - F.col("clip_start") > min_length)).drop("start", "end")
 
 
-def compare(a: DataFrame, b: DataFrame, key: str = "video") -> DataFrame:
-    """J-05, J-06, A-12: of each video in both runs, mean and population deviation of end-point distances.
+def steady_runs(pairs: DataFrame, videos: DataFrame, max_shifts: Sequence[float], key: str = "video", **options) -> DataFrame:
+    """X-05 at several thresholds in one pass: key, run (place of the threshold), start, end, seg_idx.
 
-    NaN where the runs differ in the number of segments.
+    The threshold is part of the key, so the pairs are read and sorted once.
     """
-    count = lambda rows, name: rows.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    both = count(a, "n_a").join(count(b, "n_b"), key)
-    left = a.select(key, "seg_idx", F.col("start").alias("s0"), F.col("end").alias("e0"))
-    right = b.select(key, "seg_idx", F.col("start").alias("s1"), F.col("end").alias("e1"))
-    ends = left.join(right, [key, "seg_idx"]).select(key, F.explode(F.array(F.abs(F.col("s0") - F.col("s1")), F.abs(F.col("e0") - F.col("e1")))).alias("d"))
-    sums = ends.groupBy(key).agg(F.avg("d").alias("m"), F.stddev_pop("d").alias("s"))
-    same = F.col("n_a") == F.col("n_b")
-    nan = F.lit(float("nan"))
-    return both.join(sums, key, "left").select(key, "n_a", "n_b", F.when(same, F.col("m")).otherwise(nan).alias("mean_distance"), F.when(same, F.col("s")).otherwise(nan).alias("std_distance"))
+    runs = F.array(*[F.struct(F.lit(k).alias("run"), F.lit(float(x)).alias("max_shift")) for k, x in enumerate(max_shifts)])
+    tried = pairs.select("*", F.inline(runs)).withColumn("__key", F.struct(key, "run")).drop(key, "run")
+    several = videos.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(max_shifts) - 1))).alias("run")).withColumn("__key", F.struct(key, "run"))
+    found = steady_segments(tried, several.drop(key, "run"), max_shift=F.col("max_shift"), key="__key", **options)
+    return found.select(F.col("__key")[key].alias(key), F.col("__key")["run"].alias("run"), "start", "end", "seg_idx")
+
+
+def compare_runs(runs: DataFrame, key: str = "video") -> DataFrame:
+    """J-05, J-06, A-12: of each video in runs 0 and 1, mean and population deviation of end-point distances.
+
+    runs: key, run, seg_idx, start, end. NaN where the runs differ in the number of segments.
+    """
+    at = lambda run, column: F.max(F.when(F.col("run") == run, F.col(column)))
+    paired = runs.groupBy(key, "seg_idx").agg(*[at(run, c).alias(f"{c}{run}") for run in (0, 1) for c in ("start", "end")])
+    ends = F.posexplode(F.array(F.abs(F.col("start0") - F.col("start1")), F.abs(F.col("end0") - F.col("end1"))))
+    long = paired.select(key, F.col("start0").isNotNull().alias("in0"), F.col("start1").isNotNull().alias("in1"), ends.alias("side", "d"))
+    n = lambda run: F.count_if((F.col("side") == 0) & F.col(f"in{run}"))
+    sums = long.groupBy(key).agg(n(0).alias("n_a"), n(1).alias("n_b"), F.avg("d").alias("m"), F.stddev_pop("d").alias("s")).where("n_a > 0 AND n_b > 0")
+    same, nan = F.col("n_a") == F.col("n_b"), F.lit(float("nan"))
+    return sums.select(key, "n_a", "n_b", F.when(same, F.col("m")).otherwise(nan).alias("mean_distance"), F.when(same, F.col("s")).otherwise(nan).alias("std_distance"))
+
+
+def compare(a: DataFrame, b: DataFrame, key: str = "video") -> DataFrame:
+    """J-05, J-06, A-12 of two tables of segments, as `compare_runs`."""
+    both = [rows.select(key, F.lit(run).alias("run"), "seg_idx", "start", "end") for run, rows in enumerate((a, b))]
+    return compare_runs(both[0].unionByName(both[1]), key)
+
+
+def comparison_kind() -> Column:
+    """P-20: `differs`, or `unlike` where a video cannot be compared; null where the runs agree."""
+    mean = F.col("mean_distance")
+    return F.when(F.isnan(mean), "unlike").when(mean != 0, "differs")
 
 
 def split_comparison(compared: DataFrame) -> tuple[DataFrame, DataFrame]:
     """P-20: videos that differ, and videos that cannot be compared."""
-    mean = F.col("mean_distance")
-    return compared.where(~F.isnan(mean) & (mean != 0)), compared.where(F.isnan(mean))
+    return compared.where(comparison_kind() == "differs"), compared.where(comparison_kind() == "unlike")
 
 
 def catalogue(names: Column, ids: Column, segments: Column) -> Column:

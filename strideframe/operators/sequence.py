@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -74,30 +73,38 @@ def median_filter(rows: DataFrame, value: str, kernel: int = 31, key: str = "cur
     return wide.withColumn("smooth", F.percentile("__v", F.lit(0.5)).over(w)).where("__own").select(key, "frame", "smooth")
 
 
+def polynomial_weights(window: int, order: int = 2) -> np.ndarray:
+    """Row k holds the weights of a window's values in its least-squares polynomial at place k."""
+    powers = np.vander(np.arange(window) - window // 2, order + 1, increasing=True)
+    return powers @ np.linalg.pinv(powers)
+
+
 def polynomial_smooth(rows: DataFrame, value: str, window: int = 51, order: int = 2, key: str = "curve") -> DataFrame:
-    """W-08: least-squares polynomial in a sliding window; both ends take the polynomial of the outermost window.
+    """W-08: least-squares polynomial in a sliding window (odd); both ends take the polynomial of the outermost window.
 
-    One curve is one group; a curve shorter than the window is an error.
+    Columns key, frame, smooth. Frames inside a curve are sums of lagged
+    values; only the `window - 1` frames of a curve's ends look at lists of
+    values. A curve shorter than the window is an error.
     """
     half = window // 2
-
-    def smooth(table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("frame")
-        y = table["v"].to_numpy(np.float64)
-        if len(y) < window:
-            raise ValueError(f"a curve has {len(y)} frames, fewer than the window of {window}")
-        powers = np.vander(np.arange(-half, half + 1), order + 1, increasing=True)
-        solve = np.linalg.pinv(powers)
-        out = np.convolve(y, solve[0][::-1], mode="same")
-        for side, places in ((y[:window], np.arange(-half, 0)), (y[-window:], np.arange(1, half + 1))):
-            ends = np.vander(places, order + 1, increasing=True) @ (solve @ side)
-            out[:half] = ends if places[0] < 0 else out[:half]
-            if places[0] > 0:
-                out[-half:] = ends
-        return pd.DataFrame({key: table[key].to_numpy(), "frame": table["frame"].to_numpy(), "smooth": out})
-
-    lean = rows.select(key, F.col("frame").cast("long").alias("frame"), F.col(value).cast("double").alias("v"))
-    return lean.groupBy(key).applyInPandas(smooth, f"{key} {rows.schema[key].dataType.simpleString()}, frame long, smooth double")
+    weights = polynomial_weights(window, order)
+    line = W.partitionBy(key).orderBy("frame")
+    v = F.col("__v")
+    at, n = F.row_number().over(line) - 1, F.count(F.lit(1)).over(line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    based = rows.select(key, F.col("frame").cast("long").alias("frame"), F.col(value).cast("double").alias("__v")).withColumns({"__i": at, "__n": n})
+    inner = sum((F.lag(v, half - k).over(line) * F.lit(float(weights[half][k])) for k in range(window)), F.lit(0.0))
+    low = F.least(F.greatest(F.col("__i") - half, F.lit(0)), F.col("__n") - window)
+    end = (F.col("__i") < half) | (F.col("__i") >= F.col("__n") - half)
+    # the values of the outermost windows, in order, held at the frames of the ends alone
+    first = F.collect_list(F.when(F.col("__i") < window, v)).over(line.rowsBetween(-half, window - 1))
+    last = F.collect_list(F.when(F.col("__i") >= F.col("__n") - window, v)).over(line.rowsBetween(-(window - 1), half))
+    table = F.array(*[F.array(*map(F.lit, map(float, row))) for row in weights])
+    shown = based.withColumns({"__inner": inner, "__first": F.when(F.col("__i") < half, first), "__last": F.when(F.col("__i") >= F.col("__n") - half, last)})
+    some = F.when(F.col("__i") < half, F.col("__first")).otherwise(F.col("__last"))
+    outer = F.aggregate(F.zip_with(some, F.get(table, (F.col("__i") - low).cast("int")), lambda x, w: x * w), F.lit(0.0), lambda a, x: a + x)
+    short = F.raise_error(F.concat(F.lit("a curve has "), F.col("__n").cast("string"), F.lit(f" frames, fewer than the window of {window}"))).cast("double")
+    smooth = F.when(F.col("__n") < window, short).when(end, outer).otherwise(F.col("__inner"))
+    return shown.select(key, "frame", smooth.alias("smooth"))
 
 
 def first_difference(rows: DataFrame, *values: str, key: str = "clip", order: str = "frame") -> DataFrame:
@@ -141,10 +148,38 @@ def weighted_mean_curve(rows: DataFrame, value: str, key: str = "curve", order:
 def lively_curves(rows: DataFrame, value: str, share: float = 0.5, key: str = "curve") -> DataFrame:
     """P-27, A-17: curves whose population deviation is above a percentile of all: key, std (K-18)."""
     stds = rows.groupBy(key).agg(F.stddev_pop(value).alias("std"))
-    limit = stds.agg(F.percentile("std", F.lit(share)).alias("limit"))  # one row
+    limit = exact_percentile(stds, "std", share)  # one row
     return stds.join(F.broadcast(limit), F.col("std") > F.col("limit")).select(key, "std")
 
 
+#: How far, as a share of rows, the approximate bounds of an exact percentile lie from it.
+BRACKET = 0.001
+
+
+def exact_percentile(rows: DataFrame, value: str, share: float) -> DataFrame:
+    """One row, `limit`: the exact percentile (interpolated, nulls left out), null for an empty table.
+
+    A sketch gives bounds a little below and above it. Values below the bounds
+    are counted where they are; of those between, each distinct one goes with
+    its count to the last step, about 2 * BRACKET of the rows instead of all.
+    """
+    v = F.col(value).cast("double")
+    some = rows.select(v.alias("__v")).where(F.col("__v").isNotNull())
+    shares = F.array(F.lit(max(0.0, share - BRACKET)), F.lit(min(1.0, share + BRACKET)))
+    sketch = F.percentile_approx("__v", shares, F.lit(int(4 / BRACKET)))
+    bounds = some.agg(F.when(F.count(F.lit(1)) > int(8 / BRACKET), sketch).otherwise(F.array(F.lit(float("-inf")), F.lit(float("nan")))).alias("__b"))
+    marked = some.join(F.broadcast(bounds))  # one row
+    inside = F.col("__v").between(F.col("__b")[0], F.col("__b")[1])
+    sums = marked.groupBy(F.when(inside, F.col("__v")).alias("__v"), (F.col("__v") < F.col("__b")[0]).alias("__low")).agg(F.count(F.lit(1)).alias("n"))
+    whole = sums.agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("__low"), F.col("n"))), F.lit(0)).alias("below"))
+    line = W.orderBy("__v").rowsBetween(W.unboundedPreceding, W.currentRow)
+    ranked = sums.where("__v IS NOT NULL").withColumn("upto", F.sum("n").over(line)).join(F.broadcast(whole.select(F.col("n").alias("all"), "below")))
+    place = F.lit(share) * (F.col("all") - 1) - F.col("below")  # among those between, from 0
+    at = lambda p: F.min(F.when(F.col("upto") > p, F.col("__v")))
+    found = ranked.agg(at(F.floor(place)).alias("a"), at(F.ceil(place)).alias("b"), F.first(place - F.floor(place)).alias("part"))
+    return found.select((F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("limit"))
+
+
 def colours(stds: DataFrame, value: str = "std") -> DataFrame:
     """A-17: min-max scale with a divisor of 0.01 at least, then (x * 0.9 + 0.2) / 1.2."""
     bounds = stds.agg(F.min(value).alias("lo"), F.max(value).alias("hi"))

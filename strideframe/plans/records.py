@@ -73,8 +73,8 @@ def q54_crops(spark, sf_dir):
 @query(f"""WITH q AS ({sequences.ORACLE_SQL["q19_segment_compare"]})
 SELECT 'differs' AS kind, video, mean_distance FROM q WHERE NOT isnan(mean_distance) AND mean_distance <> 0 UNION ALL SELECT 'unlike', video, NULL FROM q WHERE isnan(mean_distance)""")
 def q55_split_comparison(spark, sf_dir):
-    differ, unlike = segments.split_comparison(sequences.q19_segment_compare(spark, sf_dir))
-    return differ.select(F.lit("differs").alias("kind"), "video", "mean_distance").unionByName(unlike.select(F.lit("unlike").alias("kind"), "video", F.lit(None).cast("double").alias("mean_distance")))
+    kinds = sequences.q19_segment_compare(spark, sf_dir).withColumn("kind", segments.comparison_kind()).where("kind IS NOT NULL")
+    return kinds.select("kind", "video", F.when(F.col("kind") == "differs", F.col("mean_distance")).alias("mean_distance"))
 
 
 # J-13

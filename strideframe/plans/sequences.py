@@ -222,7 +222,7 @@ d AS (SELECT st.video, unnest([abs(st.start - su.start), abs(st."end" - su."end"
 s AS (SELECT video, avg(d) AS m, stddev_pop(d) AS sd FROM d GROUP BY 1)
 SELECT n.video, n_a, n_b, CASE WHEN n_a = n_b THEN round(m, 6) ELSE 'nan'::DOUBLE END AS mean_distance, CASE WHEN n_a = n_b THEN round(sd, 6) ELSE 'nan'::DOUBLE END AS std_distance FROM n LEFT JOIN s USING (video)""")
 def q19_segment_compare(spark, sf_dir):
-    found = segments.compare(steady(spark, sf_dir, 25), steady(spark, sf_dir, 28))
+    found = segments.compare_runs(segments.steady_runs(registered(spark, sf_dir), videos(spark, sf_dir), (25, 28), frames=SIZE, min_confidence=0.05, min_seconds=2.0))
     return found.withColumns({c: F.round(c, 6) for c in ("mean_distance", "std_distance")})
 
 
@@ -332,7 +332,14 @@ def q42_registration(spark, sf_dir):
     return registration.register(images).withColumn("confidence", F.round("confidence", 6))
 
 
+def sql_polynomial(window: int) -> str:
+    """The list of lists of weights: by the row's place in its window, then by the place of the value."""
+    return str([[float(x) for x in row] for row in sequence.polynomial_weights(window)])
+
+
 # W-08
-@query()
+@query(f"""WITH c AS ({CURVE}), i AS (SELECT *, row_number() OVER (PARTITION BY curve ORDER BY frame) - 1 AS i, count(*) OVER (PARTITION BY curve) AS n FROM c),
+k AS (SELECT i.curve, i.frame, i.i, least(greatest(i.i - 7, 0), i.n - 15) AS low, o.o FROM i, (SELECT unnest(range(15)) AS o) o)
+SELECT k.curve, k.frame, round(sum(s.v * ({sql_polynomial(15)})[k.i - k.low + 1][k.o + 1]), 4) AS smooth FROM k JOIN i s ON s.curve = k.curve AND s.i = k.low + k.o GROUP BY 1, 2""")
 def q35c_polynomial(spark, sf_dir):
     return sequence.polynomial_smooth(curves(spark, sf_dir), "v", window=15).withColumn("smooth", F.round("smooth", 4))

@@ -247,8 +247,33 @@ def q48_totals(spark, sf_dir):
     return features.totals(features.finite_clips(marked)).withColumn("minutes", F.round("minutes", 6))
 
 
+#: Heading of a skeleton of 21 joints: (fx, fz), the level direction at right angles to hips and shoulders.
+def sql_heading(j: str) -> str:
+    ax, az = (f"({p(2, i, j)} - {p(1, i, j)} + {p(17, i, j)} - {p(16, i, j)})" for i in (0, 2))
+    size = f"sqrt({ax} * {ax} + {az} * {az})"
+    return f"{az} / {size} AS fx, -{ax} / {size} AS fz"
+
+
+def sql_turned(x: str, z: str, f: str = "") -> tuple[str, str]:
+    """x and z after a turn about y that takes the heading to +z."""
+    return f"(({x}) * {f}fz - ({z}) * {f}fx)", f"(({x}) * {f}fx + ({z}) * {f}fz)"
+
+
+def sql_placed(x0: str = "0", y0: str = "0", z0: str = "0", j: str = "j", f: str = "") -> str:
+    """21 joints minus an origin, turned."""
+    parts = []
+    for k in range(21):
+        x, z = sql_turned(f"{p(k, 0, j)} - {x0}", f"{p(k, 2, j)} - {z0}", f)
+        parts += [x, f"{p(k, 1, j)} - {y0}", z]
+    return f"[{', '.join(parts)}]"
+
+
+FIRST = f"{EM}, e0 AS (SELECT *, first_value(j) OVER (PARTITION BY clip ORDER BY frame) AS j0 FROM e), e1 AS (SELECT *, {sql_heading('j0')} FROM e0)"
+
+
 # V-13, V-27, V-28, V-31
-@query()
+@query(f"""WITH {FIRST}, e2 AS (SELECT clip, frame, {sql_placed()} AS j FROM e1), e3 AS (SELECT *, {sql_heading('j')} FROM e2), e4 AS (SELECT clip, frame, {sql_placed('j[1]', '0', 'j[3]')} AS j FROM e3)
+SELECT clip, frame, unnest(range(63))::INT AS pos, {r("unnest(j)", 6)} AS v FROM e4""")
 def q49_rotations(spark, sf_dir):
     """Face-forward clips and their local poses; lengths are unchanged by rotations."""
     turned = features.face_forward(frames(spark, sf_dir).withColumn("joints", F.slice(J(), 1, 63)), n=21)
@@ -264,8 +289,70 @@ def q41_pca(spark, sf_dir):
     return pca.fit_component(rows).transform(rows).select("clip", "frame", F.round("score", 6).alias("score"))
 
 
+_LEG = lambda shift: " + ".join("greatest(" + ", ".join(f"abs(j[{3 * k + i + 1 + shift}])" for i in range(3)) + ")" for k in (5, 8))
+
+
 # V-33, A-21, P-24
-@query()
+@query(f"WITH {EM} SELECT clip, frame, 64 AS width, {r(f'({_LEG(3)}) / ({_LEG(0)})', 6)} AS ratio FROM e")
 def q50_assembly(spark, sf_dir):
     whole = features.assemble(F.slice(J(), 1, 4), F.slice(J(), 5, 20), F.slice(J(), 25, 20), F.slice(J(), 45, 16), F.slice(J(), 61, 4))
     return frames(spark, sf_dir).select("clip", "frame", F.size(whole).alias("width"), F.round(features.leg_ratio(J(), F.slice(J(), 4, 48)), 6).alias("ratio"))
+
+
+_FEATURES = f"""{FIRST}, e2 AS (SELECT *, min(list_min([{", ".join(p(k, 1) for k in range(21))}])) OVER (PARTITION BY clip) AS y0 FROM e1),
+f0 AS (SELECT clip, frame, j AS raw, {sql_placed("j0[1]", "y0", "j0[3]")} AS j FROM e2), f1 AS (SELECT *, {sql_heading("j")} FROM f0),
+f2 AS (SELECT *, lead(j) OVER w AS k, lead(fx) OVER w AS gx, lead(fz) OVER w AS gz FROM f1 WINDOW w AS (PARTITION BY clip ORDER BY frame)),
+f3 AS (SELECT *, asin(sin((atan2(-gx, gz) - atan2(-fx, fz)) / 2)) AS rv, (k[1] - j[1]) * gz - (k[3] - j[3]) * gx AS vx, (k[1] - j[1]) * gx + (k[3] - j[3]) * gz AS vz,
+  {sql_placed("j[1]", "0", "j[3]")}[4:63] AS ric, [{", ".join(f"k[{i}] - j[{i}]" for i in range(1, 64))}] AS d FROM f2 WHERE k IS NOT NULL)"""
+_CONTACTS = ", ".join(f"CASE WHEN {' + '.join(f'{p(k, i, chr(100))} * {p(k, i, chr(100))}' for i in range(3))} < 0.05 THEN 1.0::DOUBLE ELSE 0 END" for k in (7, 10, 8, 11))
+
+
+def feature_rows(spark, sf_dir) -> DataFrame:
+    """Rows of 21 joints; a frame's own numbers, twice, stand for its rotation block."""
+    body = F.slice(J(), 1, 60)
+    return features.motion_features(frames(spark, sf_dir).withColumn("rotations", F.concat(body, body)), n=21, standing=0.05)
+
+
+# V-34, V-28..V-33
+@query(f"""WITH {_FEATURES}, f4 AS (SELECT clip, frame, list_concat([rv, vx, vz, j[2]], ric, raw[1:60], raw[1:60], {sql_placed(j="d")}, [{_CONTACTS}]) AS v FROM f3)
+SELECT clip, frame, unnest(range(251))::INT AS pos, {r("unnest(v)")} AS v FROM f4""")
+def q69_motion_features(spark, sf_dir):
+    return long(feature_rows(spark, sf_dir), F.col("values"))
+
+
+_BACK = ["rx", "y", "rz"]
+for _k in range(20):
+    _x, _y, _z = (f"ric[{3 * _k + _i + 1}]" for _i in range(3))
+    _BACK += [f"{_x} * cos(2 * a) - {_z} * sin(2 * a) + rx", _y, f"{_z} * cos(2 * a) + {_x} * sin(2 * a) + rz"]
+
+
+# V-35, V-36 of V-34; a turn by more than half a circle in one frame is taken for a smaller one, as its sine is all that is kept
+@query(f"""WITH {_FEATURES}, h AS (SELECT clip, frame, ric, j[2] AS y, coalesce(sum(rv) OVER (PARTITION BY clip ORDER BY frame ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a,
+  coalesce(lag(vx) OVER w, 0) AS vx, coalesce(lag(vz) OVER w, 0) AS vz FROM f3 WINDOW w AS (PARTITION BY clip ORDER BY frame)),
+t AS (SELECT *, vx * cos(2 * a) - vz * sin(2 * a) AS x, vz * cos(2 * a) + vx * sin(2 * a) AS z FROM h), u AS (SELECT *, sum(x) OVER o AS rx, sum(z) OVER o AS rz FROM t WINDOW o AS (PARTITION BY clip ORDER BY frame ROWS UNBOUNDED PRECEDING))
+SELECT clip, frame, unnest(range(63))::INT AS pos, {r(f"unnest([{', '.join(_BACK)}])", 4)} AS v FROM u""")
+def q70_recovered_clips(spark, sf_dir):
+    return long(features.recovered(feature_rows(spark, sf_dir), n=21), J(), digits=4)
+
+
+_SOURCES = "('Eyes_Japan_Dataset/', 'humanact12/', 'BMLmovi/')"
+
+
+# X-19, P-25, F-29
+@query(f"""WITH {EM}, s AS (SELECT *, list_extract([{_SOURCES[1:-1]}], (clip % 3 + 1)::INT) || clip AS source, row_number() OVER (PARTITION BY clip ORDER BY frame) - 1 AS i FROM e),
+x AS (SELECT DISTINCT source, 'c' || clip AS name, 2 + clip AS lo, 40 + 9 * clip AS hi FROM s WHERE clip IS NOT NULL UNION SELECT DISTINCT source, 'd' || clip, 30, 90 FROM s WHERE clip IS NOT NULL),
+b AS (SELECT *, source LIKE '%humanact12%' AS whole, CASE WHEN source LIKE '%Eyes_Japan_Dataset%' THEN 120 ELSE 0 END AS skip FROM x),
+c AS (SELECT name, CASE WHEN whole THEN i ELSE i - skip - 2 * lo END AS frame, CASE WHEN whole THEN 1 ELSE -1 END AS side, j FROM s JOIN b USING (source) WHERE whole OR (i >= skip + 2 * lo AND i < skip + 2 * hi))
+SELECT name AS clip, frame, {r("side * j[1]")} AS x0, {r("side * j[4]")} AS x1, {r("j[5]")} AS y1 FROM c UNION ALL SELECT 'M' || name, frame, {r("-side * j[1]")}, {r("-side * j[7]")}, {r("j[8]")} FROM c""")
+def q71_augmented_clips(spark, sf_dir):
+    rows = frames(spark, sf_dir).where("clip IS NOT NULL")
+    kinds = F.array(F.lit("Eyes_Japan_Dataset/"), F.lit("humanact12/"), F.lit("BMLmovi/"))
+    named = sequence.frame_index(rows.withColumnRenamed("frame", "id"), "clip", "id").withColumn("source", F.concat(F.get(kinds, (F.col("clip") % 3).cast("int")), F.col("clip").cast("string")))
+    listed = named.select("source", "clip").distinct()
+    c = F.col("clip")
+    cuts = F.array(
+        F.struct(F.concat(F.lit("c"), c.cast("string")).alias("name"), (2 + c).cast("long").alias("start"), (40 + 9 * c).cast("long").alias("end")),
+        F.struct(F.concat(F.lit("d"), c.cast("string")).alias("name"), F.lit(30).cast("long").alias("start"), F.lit(90).cast("long").alias("end")),
+    )
+    out = features.augmented(named, listed.select("source", F.inline(cuts)), n=21, pairs=PAIRS)
+    return rounded(out.select("clip", "frame", J()[0].alias("x0"), J()[3].alias("x1"), J()[4].alias("y1")), "x0", "x1", "y1")
