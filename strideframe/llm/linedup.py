@@ -56,7 +56,12 @@ def _with_tokens(rows: DataFrame) -> DataFrame:
     Conditions on tokens would be pushed down and cut every line once more.
     """
     cut = lambda x: F.array_remove(F.split(x, " "), "")
-    spaced = rows.withColumn("__line", F.translate("__line", _BLANK, " " * len(_BLANK))).where(F.btrim("__line") != "")
+    # translate looks up every character, and few lines hold such a blank
+    blank = F.contains("__line", F.lit(_BLANK[0]))
+    for x in _BLANK[1:]:
+        blank = blank | F.contains("__line", F.lit(x))
+    line = F.when(blank, F.translate("__line", _BLANK, " " * len(_BLANK))).otherwise(F.col("__line"))
+    spaced = rows.withColumn("__line", line).where(F.btrim("__line") != "")
     masked = F.when(F.col("__line").rlike("[0-9]"), cut(F.regexp_replace("__line", _WITH_DIGIT, FIELD)))
     both = spaced.withColumn("__plain", cut(F.col("__line"))).withColumn("__masked", masked).drop("__line")
     mostly = 2 * F.size(F.filter("__masked", lambda x: x == FIELD)) < F.size("__masked")
@@ -161,8 +166,9 @@ def _families(marks: DataFrame, tables: WorkTables) -> DataFrame:
     shared = F.transform(levels, lambda some: family(joined(some), F.size(some)))
     every = F.array(F.struct(joined(F.col("marks")).alias("key"), (F.size("marks") - 1).alias("fixed")))
     but_one = F.flatten(F.transform(every, lambda e: F.transform("marks", lambda m: family(e["key"].bitwiseXOR(m["h"]), e["fixed"]))))
-    keys = marks.select("leaf", "template", "least", "n", "first", "low", "high", F.explode(F.filter(F.array_distinct(F.concat(shared, but_one)), lambda f: f["fixed"] * 2 > F.col("size"))).alias("f"))
-    keys = tables.save(keys.withColumn("key", F.col("f")["key"]).drop("f"), "keys")
+    # a key is made of its marks, so equal keys have as many; longs are made distinct by hash, structs by comparing all
+    fit = F.transform(F.filter(F.concat(shared, but_one), lambda f: f["fixed"] * 2 > F.col("size")), lambda f: f["key"])
+    keys = tables.save(marks.select("leaf", "template", "least", "n", "first", "low", "high", F.explode(F.array_distinct(fit)).alias("key")), "keys")
     # a template of fewer than DOCUMENTS documents has no others than low and high
     ends = keys.groupBy("leaf", "key").agg(F.min("low").alias("lowest"), F.max("high").alias("highest"), F.min("first").alias("first"), F.count(F.lit(1)).alias("templates")).where("templates > 1")
     between = lambda x: (F.col(x) > F.col("lowest")) & (F.col(x) < F.col("highest"))
