@@ -2,11 +2,15 @@
 
 Words and pairs of neighbouring words are hashed into BUCKETS. Two smoothed
 multinomials over the buckets are counted: one over the whole corpus, one over
-trusted documents (every second row of a bounded sample of labelled rows). A
-document's score is the mean over its features of log(trusted / corpus), so
-length does not matter. A document is kept where its score reaches a threshold,
-which the other half of the sample fixes: the LOSS quantile of its trusted
-scores, lowered half way to the 99 % quantile of the rejected scores below it.
+trusted documents. A document's score is the mean over its features of
+log(trusted / corpus), so length does not matter. A document is kept where its
+score reaches a threshold: the LOSS quantile of trusted scores, lowered half
+way to the 99 % quantile of the rejected scores below it.
+
+All labelled rows are used, however many. In the order of a hash every second
+trusted document makes the multinomial and every other one fixes the
+threshold, as do all rejected ones. Labels meet documents by a join, spared by
+a filter of fixed size; quantiles are exact, by bins that narrow.
 """
 
 from __future__ import annotations
@@ -15,17 +19,19 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix64, pieces, releasing, windows_hash, word_hashes
+from .common import WorkTables, hash_filter, in_filter, mix64, pieces, releasing, windows_hash, word_hashes
+from .sharding import numbered
 
 BUCKETS = 10_000
-#: Labelled rows of each kind that are used at most, in the order of a hash of their doc_id.
-SAMPLE = 20_000
 #: Share of trusted documents that may fall below the threshold.
 LOSS = 0.001
+#: Bins by which a quantile is narrowed in a round.
+BINS = 1024
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 MIN_WORDS, MAX_REPEAT, WINDOW = 10, 20, 5
@@ -64,21 +70,23 @@ def base_counts(text: str) -> tuple[int, int, int]:
     return len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines))
 
 
-def _count(trusted: frozenset):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
-        total, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in pieces(batches):
-            for doc, raw in zip(batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), batch.column(batch.schema.get_field_index("text")).to_pylist(), strict=True):
-                if raw:
-                    counts = np.bincount(features(hashes.array(raw.split())), minlength=BUCKETS)
-                    total += counts
-                    if doc in trusted:
-                        target += counts
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used]), pa.array(target[used])], names=["bucket", "total", "target"])
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hashes = word_hashes()
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in pieces(batches):
+        for raw in batch.column(batch.schema.get_field_index("text")).to_pylist():
+            if raw:
+                total += np.bincount(features(hashes.array(raw.split())), minlength=BUCKETS)
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
 
-    return run
+
+def bucket_counts(rows: DataFrame) -> np.ndarray:
+    """Features of all texts by bucket."""
+    counts = np.zeros(BUCKETS)
+    for row in rows.mapInArrow(releasing(_count), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # BUCKETS rows at most
+        counts[row["bucket"]] = row["n"]
+    return counts
 
 
 def _score(weights: np.ndarray):
@@ -99,20 +107,64 @@ def _score(weights: np.ndarray):
     return run
 
 
-def labelled(labels: DataFrame, quality: int, limit: int = SAMPLE) -> list[int]:
-    """doc_ids of at most `limit` rows labelled `quality` and not toxic, in the order of a hash."""
+def _usable(labels: DataFrame, quality: int) -> DataFrame:
+    """doc_ids labelled `quality` and not toxic, each once, with the hash that orders them."""
     wanted = labels.where((F.col("quality") == quality) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    rows = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
-    return [r["doc_id"] for r in rows]
+    return wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().withColumn("order", F.xxhash64("doc_id"))
+
+
+def labelled(labels: DataFrame, quality: int) -> list[int]:
+    """All doc_ids of _usable in their order, to look at the halves of a small table; no operator calls it."""
+    return [r["doc_id"] for r in _usable(labels, quality).orderBy("order", "doc_id").collect()]
 
 
-def threshold(trusted: np.ndarray, rejected: np.ndarray, loss: float = LOSS) -> float:
-    """The lowest score that is kept; without trusted scores everything is."""
-    if not len(trusted):
+def marked(labels: DataFrame, tables: WorkTables) -> DataFrame:
+    """One row per usable doc_id: fitted (makes the multinomial), held (a trusted one that fixes the threshold), rejected."""
+    good = numbered(_usable(labels, 1), ["order", "doc_id"], tables)
+    # a document that makes the multinomial would score too high for the threshold; a single one does both
+    alone = good.count() == 1
+    odd = F.col("__row") % 2 == 1
+    halves = good.select("doc_id", (~odd).alias("fitted"), (odd | F.lit(alone)).alias("held"))
+    both = halves.join(_usable(labels, 0).select("doc_id", F.lit(True).alias("rejected")), "doc_id", "full")
+    return tables.save(both.select("doc_id", *(F.coalesce(x, F.lit(False)).alias(x) for x in ("fitted", "held", "rejected"))), "marks")
+
+
+def met(lean: DataFrame, marks: DataFrame) -> DataFrame:
+    """Rows of lean whose doc_id is marked, with its marks. What the filter rules out is not shuffled."""
+    filled = lean.sparkSession.sparkContext.broadcast(hash_filter(marks.select(F.xxhash64("doc_id").alias("hash"))))
+
+    @F.pandas_udf("boolean")
+    def maybe(hashes: pd.Series) -> pd.Series:
+        return pd.Series(in_filter(filled.value, hashes.to_numpy().view(np.uint64)))
+
+    return lean.where(maybe(F.xxhash64("doc_id"))).join(marks, "doc_id")
+
+
+def quantile(scores: DataFrame, share: float) -> float | None:
+    """The value of rank floor(share * (n - 1)) of column score; null for no rows.
+
+    Each round counts BINS bins between the bounds and goes on with the one that
+    holds the rank, until its bounds are equal.
+    """
+    low, high, n = scores.agg(F.min("score"), F.max("score"), F.count("score")).first()
+    rank = int(share * (n - 1))
+    while n and low < high:
+        inner = scores.where(F.col("score").between(low, high))
+        place = F.least(F.lit(BINS - 1), F.floor((F.col("score") - low) / (high - low) * BINS))
+        for _, low, high, n in sorted(inner.groupBy(place.alias("bin")).agg(F.min("score"), F.max("score"), F.count("score")).collect()):  # BINS rows at most
+            if rank < n:
+                break
+            rank -= n
+    return low
+
+
+def threshold(scores: DataFrame, loss: float = LOSS) -> float:
+    """The lowest score that is kept, from (score, held, rejected); without trusted scores everything is."""
+    edge = quantile(scores.where("held"), loss)
+    if edge is None:
         return -np.inf
-    edge = float(np.quantile(trusted, loss, method="lower"))
-    below = rejected[rejected < edge]
-    return (edge + float(np.quantile(below, 0.99, method="lower"))) / 2 if len(below) else edge
+    below = quantile(scores.where("rejected").where(F.col("score") < edge), 0.99)
+    return edge if below is None else (edge + below) / 2
 
 
 class QualityModel(NamedTuple):
@@ -123,25 +175,19 @@ class QualityModel(NamedTuple):
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Counts both multinomials over all rows and fixes the threshold on the labelled sample."""
-    bound_batches(docs.sparkSession)
+    """Counts both multinomials and fixes the threshold, from all rows of docs and labels."""
+    tables = WorkTables(docs.sparkSession, "quality")
     lean = _lean(docs)
-    good, bad = labelled(labels, 1), labelled(labels, 0)
-    # in the order of a hash; a document that makes the multinomial would score too high for the threshold
-    fitted, good = (good[::2], good[1::2]) if len(good) > 1 else (good, good)
-    counts = lean.mapInArrow(releasing(_count(frozenset(fitted))), "bucket int, total long, target long").groupBy("bucket").agg(F.sum("total").alias("total"), F.sum("target").alias("target"))
-    total, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for row in counts.collect():  # BUCKETS rows at most
-        total[row["bucket"]], target[row["bucket"]] = row["total"], row["target"]
+    marks = marked(labels, tables)
+    known = tables.save(met(lean, marks), "labelled")
+    target = bucket_counts(known.where("fitted").select("text"))
     if not target.sum():
         return QualityModel(np.zeros(BUCKETS), -np.inf)
+    total = bucket_counts(lean.select("text"))
     weights = np.log((target + 1) / (target.sum() + BUCKETS)) - np.log((total + 1) / (total.sum() + BUCKETS))
-    sample = docs.sparkSession.createDataFrame([(x, k) for k, ids in enumerate((bad, good)) for x in ids], "doc_id long, quality int")
-    # 2 * SAMPLE rows at most on either side of the collect
-    scored = lean.join(F.broadcast(sample.select("doc_id").distinct()), "doc_id").mapInArrow(releasing(_score(weights)), SCORES)
-    passed = scored.where(~_failed()).join(F.broadcast(sample), "doc_id").groupBy("doc_id", "quality").agg(F.min("score").alias("score")).select("quality", "score").collect()
-    by_class = [np.asarray([r["score"] for r in passed if r["quality"] == k]) for k in (1, 0)]
-    return QualityModel(weights, threshold(*by_class))
+    scored = known.where("held OR rejected").select("doc_id", "text").mapInArrow(releasing(_score(weights)), SCORES)
+    passed = scored.where(~_failed()).groupBy("doc_id").agg(F.min("score").alias("score")).join(marks, "doc_id")
+    return QualityModel(weights, threshold(tables.save(passed.select("score", "held", "rejected"), "scores")))
 
 
 def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -197,6 +197,35 @@ def test_quality_equals_brute_force(spark):
         assert r["score"] == pytest.approx(want) and r["kept"] == (not r["base_failed"] and want >= edge)
 
 
+def test_quality_uses_all_labels(spark):
+    """More trusted rows than were once sampled: each counts in its half, and the threshold is the exact quantile of the other."""
+    n = 44_000
+    text = F.concat_ws(" ", *[F.concat(F.lit("w"), F.pmod(F.xxhash64("id", F.lit(k)), F.lit(3000 if k else 9))) for k in range(12)])
+    docs = spark.range(n, numPartitions=4).select(F.col("id").alias("doc_id"), text.alias("text")).cache()
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 50 != 0).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"))
+    model = quality.fit_quality(docs, labels.union(labels))
+    order = quality.labelled(labels, 1)
+    assert sorted(order) == [k for k in range(n) if k % 50]
+    hashes = quality.word_hashes()
+    marks = {r["doc_id"]: quality.features(hashes.array(r["text"].encode().split())) for r in docs.collect()}
+    docs.unpersist()
+    total, target = (np.bincount(np.concatenate([marks[k] for k in ids]), minlength=quality.BUCKETS) for ids in (range(n), order[::2]))
+    weights = np.log((target + 1) / (target.sum() + quality.BUCKETS)) - np.log((total + 1) / (total.sum() + quality.BUCKETS))
+    assert np.allclose(model.weights, weights)
+    kept = np.quantile([weights[marks[k]].mean() for k in order[1::2]], quality.LOSS, method="lower")
+    below = [x for k in range(0, n, 50) if (x := weights[marks[k]].mean()) < kept]
+    assert model.edge == pytest.approx((kept + np.quantile(below, 0.99, method="lower")) / 2 if below else kept)
+
+
+def test_quality_quantiles_are_exact(spark):
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=5000), np.round(rng.normal(size=3000), 1), np.r_[np.full(900, 1e-300), -1e9, 1.0, 1e9], [0.25]):
+        scores = spark.createDataFrame([(float(x),) for x in values], "score double").cache()
+        for share in (0.0, 0.001, 0.5, 0.99, 1.0):
+            assert quality.quantile(scores, share) == np.quantile(values, share, method="lower")
+    assert quality.quantile(scores.limit(0), 0.5) is None
+
+
 def components(rows, percent):
     """Brute force over all pairs; rows of one doc_id are one node."""
     sets, top = collections.defaultdict(list), {}
