@@ -1,6 +1,7 @@
 """LM scoring by a gated recurrent network trained in numpy (operator 5).
 
-Tokens are a text's lower-cased words and one end. All training words are
+Tokens are a text's lower-cased words and one end; Arrow cuts, counts and looks
+up the words of some megabytes of texts at a time. All training words are
 counted; the HEAD most frequent are looked up from a broadcast list of bounded
 size, the others' counts come by a join on the word. The network's symbols are
 the VOCABULARY most frequent words and one for all others, whose share is
@@ -29,16 +30,16 @@ import pickle
 import zlib
 from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WorkTables, mix64, per_worker, pieces, releasing
+from .common import WorkTables, gathered, mix64, per_worker, pieces, releasing
 
 HEAD, VOCABULARY, CLASSES, HIDDEN = 1 << 18, 2047, 40, 16
 LANES, STEPS, RATE, CLIP = 256, 16, 0.3, 1.0
@@ -59,10 +60,26 @@ FLUSH, FAN = 400_000, 16
 END = b" "
 
 
-def tokens_of(raw: bytes | None) -> list[bytes]:
-    words = raw.lower().split() if raw else []
-    words.append(END)
-    return words
+def words_of(batch: pa.RecordBatch) -> tuple[pa.Array, np.ndarray]:
+    """Lower-cased words of all texts, one after the other, and how many each text has; bytes need not be valid UTF-8."""
+    text = pc.fill_null(batch.column(batch.schema.get_field_index("text")).cast(pa.string(), safe=False), "")
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(text))  # at runs of the six ASCII spaces, with empty words at the edges
+    words = lists.flatten()
+    full = pc.greater(pc.binary_length(words), 0)
+    before = np.concatenate([[0], np.cumsum(full.to_numpy(zero_copy_only=False))])
+    offsets = lists.offsets.to_numpy()
+    return words.filter(full), np.diff(before[offsets - offsets[0]])
+
+
+def ranks_of(words: pa.Array, sizes: np.ndarray, listed: pa.Array, other: int) -> np.ndarray:
+    """Places in listed of each text's tokens, its end included; `other` where not listed."""
+    found = pc.fill_null(pc.index_in(words, listed), other).to_numpy(zero_copy_only=False).astype(np.int64)
+    end = pc.index(listed, pa.scalar(END.decode())).as_py()
+    return np.insert(found, np.cumsum(sizes), other if end < 0 else end)
+
+
+def _listed(words: list[bytes]) -> pa.Array:
+    return pa.array(words, pa.binary()).cast(pa.string(), safe=False)
 
 
 def fold(doc_id: int | None) -> int:
@@ -256,14 +273,20 @@ class Lanes:
         self.sizes[lane] -= at
         return ids, starts, docs
 
-    def windows(self, last: bool = False):
-        """Full windows; the last call also gives what is left, in windows that are longer as lanes run out."""
+    def windows(self, last: bool = False, pad: bool = False):
+        """Full windows; the last call also gives what is left, in windows that are longer as lanes run out.
+
+        With pad, lanes that end within the same `steps` tokens end together,
+        those that are shorter with symbols of document -1.
+        """
         n = int(self.sizes.min()) // self.steps * self.steps
         if n:
             yield from self._cut(np.arange(len(self.rows)), n, self.steps)
         while last and self.sizes.any():
             live = np.flatnonzero(self.sizes)
-            yield from self._cut(live, int(min(self.sizes[live].min(), self.longest)), self.steps * len(self.rows) // len(live))
+            n = min(self.sizes[live].min(), self.longest)
+            n = max(n, min(self.sizes[live].max(), self.steps)) if pad else n
+            yield from self._cut(live, int(n), self.steps * len(self.rows) // len(live))
 
     def _cut(self, lanes: np.ndarray, n: int, steps: int):
         ids, starts, docs = (np.stack(x, axis=1) for x in zip(*[self._flat(k, n) for k in lanes], strict=True))
@@ -275,43 +298,50 @@ def _column(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
 
 
+def _training(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in gathered(batches):
+        yield batch.filter(pa.array([fold(doc) != HELD for doc in _column(batch, "doc_id")], pa.bool_()))
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts: Counter = Counter()
+    ends, held = 0, []
+
+    def merged(tables: list[pa.Table]) -> pa.Table:
+        sums = pa.concat_tables(tables).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return pa.table({"word": sums.column("word"), "n": sums.column("n_sum")})
 
-    def flush():
-        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
+    def out(table: pa.Table):
+        return pa.table({"word": table.column("word").cast(pa.binary()), "n": table.column("n")}).to_batches()
 
-    for batch in pieces(batches):
-        for doc, raw in zip(_column(batch, "doc_id"), _column(batch, "text"), strict=True):
-            if fold(doc) != HELD:
-                counts.update(tokens_of(raw))
-        if len(counts) > FLUSH:
-            yield flush()
-            counts.clear()
-    yield flush()
+    for batch in _training(batches):
+        ends += batch.num_rows
+        found = words_of(batch)[0].value_counts()
+        held.append(pa.table({"word": found.field("values"), "n": found.field("counts")}))
+        if sum(map(len, held)) > 2 * FLUSH:
+            held = [merged(held)]
+            if len(held[0]) > FLUSH:
+                yield from out(held.pop())
+    if ends:
+        yield from out(merged([*held, pa.table({"word": [END.decode()], "n": [ends]})]))
 
 
-def _head(key: str, shared) -> dict[bytes, int]:
-    return per_worker("head", key, lambda: {w: k for k, w in enumerate(pickle.loads(shared.value)["words"])})
+def _head(key: str, shared) -> pa.Array:
+    return per_worker("head", key, lambda: _listed(pickle.loads(shared.value)["words"]))
 
 
 def _symbols(shared, symbols: int, shards: int):
     """Training documents as symbols: round, shard, place (a hash), and the symbols' 16 bits each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plan = pickle.loads(shared.value)
-        index = {w: k for k, w in enumerate(plan["words"][: symbols - 1])}
-        for batch in pieces(batches):
-            parts, keys = [], []
-            for doc, raw in zip(_column(batch, "doc_id"), _column(batch, "text"), strict=True):
-                if fold(doc) != HELD:
-                    words = tokens_of(raw)
-                    found = np.fromiter(map(index.get, words, repeat(symbols - 1)), "<u2", len(words))
-                    seed = xxhash.xxh3_64_intdigest(raw or b"", seed=(doc or 0) & 0xFFFFFFFF)
-                    parts.append(found.tobytes())
-                    keys.append(seed)
+        listed = _listed(pickle.loads(shared.value)["words"][: symbols - 1])
+        for batch in _training(batches):
+            words, sizes = words_of(batch)
+            found = ranks_of(words, sizes, listed, symbols - 1).astype("<u2")
+            ends = np.concatenate([[0], 2 * np.cumsum(sizes + 1)]).astype(np.int32)
+            parts = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(found)])
+            keys = [xxhash.xxh3_64_intdigest(raw or b"", seed=(doc or 0) & 0xFFFFFFFF) for doc, raw in zip(_column(batch, "doc_id"), _column(batch, "text"), strict=True)]
             key = mix64(np.asarray(keys, np.uint64))
-            columns = [pa.array((key >> np.uint64(40)) % np.uint64(ROUNDS), pa.int32()), pa.array((mix64(key) % np.uint64(shards)).astype(np.int64)), pa.array(key.view(np.int64)), pa.array(parts, pa.binary())]
+            columns = [pa.array((key >> np.uint64(40)) % np.uint64(ROUNDS), pa.int32()), pa.array((mix64(key) % np.uint64(shards)).astype(np.int64)), pa.array(key.view(np.int64)), parts]
             yield pa.RecordBatch.from_arrays(columns, names=["round", "shard", "place", "symbols"])
 
     return run
@@ -374,7 +404,7 @@ def _learned(lean: DataFrame, tables: WorkTables, shared, symbols: int, train_to
     """The parameters after all rounds."""
     spark = lean.sparkSession
     shards = max(1, -(-train_tokens // SHARD_TOKENS))
-    dealt = tables.save(lean.mapInArrow(_symbols(shared, symbols, shards), "round int, shard long, place long, symbols binary"), "symbols", by="round")
+    dealt = tables.save(lean.mapInArrow(releasing(_symbols(shared, symbols, shards)), "round int, shard long, place long, symbols binary"), "symbols", by="round")
     params = start
     for turn in range(ROUNDS):
         model = spark.sparkContext.broadcast(params)
@@ -401,29 +431,37 @@ def _score(key: str, shared, model, symbols: int):
         rows: dict[int, list] = {}
 
         def step(last: bool):
-            for lane, ids, starts, docs in lanes.windows(last):
+            for lane, ids, starts, docs in lanes.windows(last, pad=True):
                 states, state[lane], _ = network.run(ids, starts, state[lane])
                 logp = network.log_probs(states.reshape(-1, HIDDEN), ids.reshape(-1)).astype(np.float64)
                 found, where = np.unique(docs, return_inverse=True)
                 for doc, value, n in zip(found.tolist(), np.bincount(where.reshape(-1), logp).tolist(), np.bincount(where.reshape(-1)).tolist(), strict=True):
-                    rows[doc][7] += value
-                    rows[doc][11] -= n
+                    if doc >= 0:
+                        rows[doc][7] += value
+                        rows[doc][11] -= n
 
         def done():
             out = [rows.pop(k)[:11] for k in [k for k, r in rows.items() if not r[11]]]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-        for batch in pieces(batches):
-            for doc, raw in zip(_column(batch, "doc_id"), _column(batch, "text"), strict=True):
-                words = tokens_of(raw)
-                found = np.fromiter(map(index.get, words, repeat(HEAD)), np.int64, len(words))
-                known = found < HEAD
-                tail = Counter([words[k] for k in np.flatnonzero(~known)])
-                each = logs[np.minimum(found, len(logs) - 1)]
-                outside = found >= symbols - 1
-                rows[lanes.docs] = [base + lanes.docs, doc, fold(doc) == HELD, len(words), int(known.sum()), float(each.sum()), float(each[outside].sum()), 0.0, int(outside.sum()), list(tail), list(tail.values()), len(words)]
-                lanes.add(np.minimum(found, symbols - 1).astype("<u2"))
+        for batch in gathered(batches):
+            words, sizes = words_of(batch)
+            found, ends = ranks_of(words, sizes, index, HEAD), np.cumsum(sizes + 1)
+            starts, outside = ends - sizes - 1, found >= symbols - 1
+            each = logs[np.minimum(found, len(logs) - 1)]
+            unknown = np.flatnonzero(np.delete(found, ends - 1) >= HEAD)
+            tail, cuts = words.take(pa.array(unknown)).cast(pa.binary()).to_pylist(), np.searchsorted(unknown, np.cumsum(sizes)).tolist()
+            # of each document: the sums over its tokens, one at least
+            sums = [np.add.reduceat(x, starts).tolist() for x in ((found < HEAD).astype(np.int64), each, np.where(outside, each, 0.0), outside.astype(np.int64))]
+            symbol, low = np.minimum(found, symbols - 1).astype("<u2"), 0
+            for doc, start, end, high, known, log, rare, out in zip(_column(batch, "doc_id"), starts.tolist(), ends.tolist(), cuts, *sums, strict=True):
+                times = Counter(tail[low:high])
+                if found[end - 1] >= HEAD:
+                    times[END] = 1
+                rows[lanes.docs] = [base + lanes.docs, doc, fold(doc) == HELD, end - start, known, log, rare, 0.0, out, list(times), list(times.values()), end - start]
+                lanes.add(symbol[start:end])
+                low = high
             step(False)
             yield from done()
         step(True)

@@ -226,6 +226,54 @@ def test_quality_quantiles_are_exact(spark):
     assert quality.quantile(scores.limit(0), 0.5) is None
 
 
+def test_lm_words_at_once(monkeypatch):
+    """Words, counts and symbols of many texts at a time against plain splitting: odd spaces, bytes that are no UTF-8, null, sliced batches, flushes."""
+    rng = random.Random(7)
+    odd = [b"", None, b" ", b"\n\x0b\x0c A\tb\r\n", b"a\xa0B \xc2\xa0 \x1cC\x85 \xff\xfe X", "\u00c9T\u00c9 \u2003\u00dfx".encode(), b"Z" * 5000]
+    texts = odd * 3 + [b" ".join(b"W%d" % rng.randrange(400) for _ in range(rng.randrange(60))) + b"\n" * rng.randrange(2) for _ in range(200)]
+    docs = [None, *range(len(texts) - 1)]
+    plain = lambda t: (t or b"").lower().split() + [b" "]
+    batch = pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(texts, pa.binary())], names=["doc_id", "text"])
+    words, sizes = lmscore.words_of(batch.slice(5))
+    assert words.cast(pa.binary()).to_pylist() == [w for t in texts[5:] for w in plain(t)[:-1]] and sizes.tolist() == [len(plain(t)) - 1 for t in texts[5:]]
+    some = [b"w1", b" ", b"x", b"\xff\xfe"]
+    for listed in (some, some[:1], []):
+        want = [listed.index(w) if w in listed else 9 for t in texts[5:] for w in plain(t)]
+        assert lmscore.ranks_of(words, sizes, lmscore._listed(listed), 9).tolist() == want
+    counts = collections.Counter(w for i, t in zip(docs, texts, strict=True) if lmscore.fold(i) != lmscore.HELD for w in plain(t))
+    for flush in (10, 300, 400_000):
+        monkeypatch.setattr(lmscore, "FLUSH", flush)
+        found = collections.Counter()
+        for out in lmscore._count(iter([batch.slice(0, 90), batch.slice(90)])):
+            for w, n in zip(out.column("word").to_pylist(), out.column("n").to_pylist(), strict=True):
+                found[w] += n
+        assert found == counts
+    assert list(lmscore._count(iter([batch.slice(0, 0)]))) == []
+    dealt = next(lmscore._symbols(types.SimpleNamespace(value=pickle.dumps({"words": some})), 5, 3)(iter([batch])))
+    training = [plain(t) for i, t in zip(docs, texts, strict=True) if lmscore.fold(i) != lmscore.HELD]
+    assert [np.frombuffer(x, "<u2").tolist() for x in dealt.column("symbols").to_pylist()] == [[some.index(w) if w in some else 4 for w in t] for t in training]
+
+
+def test_lanes_that_end_together():
+    """Padded windows hand out each document whole and in order, in few windows."""
+    rng = np.random.default_rng(3)
+    sizes, counts = rng.integers(1, 90, 200).tolist() + [700], {}
+    for pad in (False, True):
+        lanes, seen, counts[pad] = lmscore.Lanes(lanes=16, steps=32), collections.defaultdict(list), 0
+        for n in sizes:
+            lanes.add(rng.integers(0, 9, n))
+        want = {doc: x.tolist() for row in lanes.rows for doc, x in row}
+        for _, ids, starts, docs in lanes.windows(True, pad):
+            counts[pad] += 1
+            for lane in range(ids.shape[1]):
+                for i, start, doc in zip(ids[:, lane].tolist(), starts[:, lane].tolist(), docs[:, lane].tolist(), strict=True):
+                    assert start == (doc >= 0 and not seen[doc])
+                    seen[doc].append(i)
+        assert {k: x for k, x in seen.items() if k >= 0} == want and (pad or -1 not in seen)
+        assert not lanes.sizes.any()
+    assert counts[True] < counts[False] - 5
+
+
 def components(rows, percent):
     """Brute force over all pairs; rows of one doc_id are one node."""
     sets, top = collections.defaultdict(list), {}
