@@ -165,7 +165,8 @@ def q15_credibility(spark, sf_dir):
 # J-04, A-07, U-05
 @query(f"WITH {TRACKS} SELECT * FROM ov")
 def q16_pair_overlap(spark, sf_dir):
-    return tracks.overlaps(daily(spark, sf_dir)).withColumn("overlap", F.round("overlap", 6))
+    # the SQL's round(); Spark's makes a decimal of each of very many rows
+    return tracks.overlaps(daily(spark, sf_dir)).withColumn("overlap", F.floor(F.col("overlap") * 1e6 + 0.5) / 1e6)
 
 
 # P-14, U-03
