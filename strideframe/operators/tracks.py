@@ -14,8 +14,8 @@ from pyspark.sql.window import Window as W
 
 TRACK = ("video", "track")
 
-#: Tracks of a block whose pairs are returned; each LONG words of a track count as one more.
-PAIRED, LONG = 1024, 64
+#: Tracks of a block whose pairs are returned, and of one that is only searched; each LONG words of a track count as one more.
+PAIRED, SEARCHED, LONG = 1024, 4096, 64
 
 #: Pairs of tracks that are counted at once.
 CELLS = 1 << 17
@@ -134,7 +134,19 @@ def overlaps(tracks: DataFrame, key: tuple[str, ...] = TRACK) -> DataFrame:
 
 def single_person(tracks: DataFrame, most: float = 0.05, key: tuple[str, ...] = TRACK) -> DataFrame:
     """P-14: tracks none of whose overlaps exceeds `most`; either side of a pair may go, a lone track stays."""
-    bad = overlaps(tracks, key).where(F.col("overlap") > most).select(*key).distinct()
+
+    def crowded(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right = _sides(key, batches)
+        rows, columns = np.zeros(len(left[0]), np.int64), np.zeros(len(right[0]), np.int64)
+        for low, counts in _common(left, right, left is right):
+            rows[low : low + len(counts)] = counts.max(axis=1, initial=0)
+            np.maximum(columns, counts.max(axis=0, initial=0), out=columns)
+        for side, common in ((left, rows), (right, columns))[: 1 if left is right else 2]:
+            bad = side[0].filter(pa.array((common > 0) & (common / side[1] > most)))
+            yield pa.RecordBatch.from_arrays([pa.repeat(key[0], len(bad)), bad], names=["video", "track"])
+
+    made = StructType([StructField(k, tracks.schema[c].dataType) for k, c in zip(TRACK, key, strict=True)])
+    bad = _blocks(tracks, key, SEARCHED).applyInArrow(crowded, made).toDF(*key).distinct()
     return tracks.select(*key).distinct().join(bad, list(key), "left_anti")
 
 

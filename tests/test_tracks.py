@@ -81,3 +81,20 @@ def crowd(spark, each=150, frames=40):
 def test_overlaps_exchange_no_pairs(spark):
     df, n = crowd(spark)
     assert exchanged(tracks.overlaps(df)) < n + 4 * 150 + 2 * 150  # frames, their words in each of 4 tasks, tracks
+
+
+@pytest.mark.parametrize(("block", "cells", "most"), [(8, 16, 0.05), (8, 64, 0.5), (4096, 1 << 17, 0.5), (8, 64, -1.0), (8, 64, 1.0)])
+def test_single_person_by_brute_force(spark, monkeypatch, block, cells, most):
+    monkeypatch.setattr(tracks, "SEARCHED", block)
+    monkeypatch.setattr(tracks, "CELLS", cells)
+    monkeypatch.setattr(tracks, "LONG", 2)
+    rows = made()
+    bad = {(v, a) for (v, a, _), share in brute(rows).items() if share > most}
+    found = [(r["video"], r["track"]) for r in tracks.single_person(spark.createDataFrame(rows, SCHEMA), most).collect()]
+    assert len(found) == len(set(found)) and set(found) == {r[:2] for r in rows} - bad
+    assert bad or most == 1.0
+
+
+def test_single_person_exchanges_no_pairs(spark):
+    df, n = crowd(spark)
+    assert exchanged(tracks.single_person(df, 0.97)) < 2 * (n + 4 * 150) + 6 * 150  # as above, the tracks once more, and those in the way
