@@ -1,9 +1,11 @@
-"""Overlaps of tracks: by brute force, over several blocks and words, and with no pair exchanged."""
+"""Overlaps of tracks and what is found by them: by brute force or SQL, over several blocks and words, and with no pair exchanged."""
 
 import random
 
+import duckdb
 import pytest
 
+import __spark_entry__ as driver
 from strideframe.operators import tracks
 
 SCHEMA = "video string, track long, frame long"
@@ -98,3 +100,16 @@ def test_single_person_by_brute_force(spark, monkeypatch, block, cells, most):
 def test_single_person_exchanges_no_pairs(spark):
     df, n = crowd(spark)
     assert exchanged(tracks.single_person(df, 0.97)) < 2 * (n + 4 * 150) + 6 * 150  # as above, the tracks once more, and those in the way
+
+
+def test_vote_query_exchanges_no_pairs(spark, tmp_path):
+    """150 users of one video over 40 days and one after them, as many votes as the SQL gives."""
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT d * 151 + u AS event_id, TIMESTAMP '2024-01-01' + to_days((d + u // 150 * 40)::INT) AS ts, u * 10 AS user_id, 'view' AS event_type, (30 + (u + d) % 21)::DOUBLE AS value, '' AS props
+      FROM range(151) a(u), range(40) b(d) WHERE d <> u AND (d < 3 * u OR d % 2 = 0)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    n = con.sql("SELECT count(*) FROM events").fetchall()[0][0]
+    got, want = driver.queries()["q17_vote"](spark, str(tmp_path)), con.sql(driver.oracle_sql()["q17_vote"])
+    rows = want.fetchall()
+    assert sorted(tuple(r[c] for c in want.columns) for r in got.collect()) == sorted(rows) and {r[2] for r in rows} == {2, 3}
+    assert exchanged(got) < 5 * n  # days of tracks for each of three voters, and on to their tracks
